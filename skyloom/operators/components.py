@@ -27,19 +27,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     for r in range(max_rounds):
         if cur.isEmpty():
             break
-        pick = cur.groupBy("u").agg(
-            F.min(F.struct(F.xxhash64("v", F.lit(r)).alias("p"), F.col("v").alias("n"))).alias("m"),
-            F.count(F.lit(1)).alias("deg"))
+        pick = cur.groupBy("u").agg(F.min(F.struct(F.xxhash64("v", F.lit(r)).alias("p"), F.col("v").alias("n"))).alias("m"))
         own = F.struct(F.xxhash64("u", F.lit(r)).alias("p"), F.col("u").alias("n"))
-        step = pick.select(F.col("u").alias("node"), F.least(F.col("m"), own)["n"].alias("parent"), "deg")
-        sizes = step.groupBy("parent").agg(F.count(F.lit(1)).alias("kids"))
-        jump = step.select(F.col("node").alias("parent"), F.col("parent").alias("grand")).join(sizes, "parent")
+        step = pick.select(F.col("u").alias("node"), F.least(F.col("m"), own)["n"].alias("parent"))
+        jump = step.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
         f = cut_lineage(
-            attach(step, jump, ["parent"], count="kids")
-            .select("node", F.coalesce("grand", "parent").alias("parent"), "deg"))
+            attach(step, jump, ["parent"])
+            .select("node", F.coalesce("grand", "parent").alias("parent")))
         maps.append(f)
-        by_u = attach(cur, f.select(F.col("node").alias("u"), F.col("parent").alias("fu"), "deg"), ["u"], count="deg").drop("deg")
-        by_uv = attach(by_u, f.select(F.col("node").alias("v"), F.col("parent").alias("fv"), "deg"), ["v"], count="deg")
+        by_u = attach(cur, f.select(F.col("node").alias("u"), F.col("parent").alias("fu")), ["u"])
+        by_uv = attach(by_u, f.select(F.col("node").alias("v"), F.col("parent").alias("fv")), ["v"])
         cur = cut_lineage(by_uv.filter("fu <> fv").select(F.col("fu").alias("u"), F.col("fv").alias("v")).distinct())
     else:
         raise RuntimeError("components did not converge")
@@ -47,9 +44,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
     out = maps[0].select("node", F.col("parent").alias("root"))
     for m in maps[1:]:
-        sizes = out.groupBy("root").agg(F.count(F.lit(1)).alias("kids"))
-        nxt = m.select(F.col("node").alias("root"), F.col("parent").alias("up")).join(sizes, "root")
-        out = attach(out, nxt, ["root"], count="kids").select("node", F.coalesce("up", "root").alias("root"))
+        nxt = m.select(F.col("node").alias("root"), F.col("parent").alias("up"))
+        out = attach(out, nxt, ["root"]).select("node", F.coalesce("up", "root").alias("root"))
     return out
 
 
@@ -112,7 +108,7 @@ def _linked_cells(points: DataFrame, id_col: str, keys: Sequence[str], coords: S
     b = cells.select(*part, F.col("_cell").alias("_cb"), F.col("_n").alias("_nb"), *ren("b"))
     pairs = a.join(b, part).withColumn("_near", _box_near(dims)).filter(F.col("_near") <= eps).withColumn("_far", _box_far(dims))
     pairs = cut_lineage(pairs.select("_ca", "_cb", (F.col("_far") <= eps).alias("_sure")))
-    members = attach(placed, cells.select(*part, "_cell", "_n"), part, count="_n").drop("_n", *ks)
+    members = attach(placed, cells.select(*part, "_cell", "_n"), part).drop("_n", *ks)
     sure = pairs.filter("_sure").select(F.col("_ca").alias("u"), F.col("_cb").alias("v"))
     open_pairs = pairs.filter(~F.col("_sure")).select("_ca", "_cb")
     if open_pairs.isEmpty():
@@ -146,7 +142,7 @@ def _component_labels(points: DataFrame, id_col: str, keys: Sequence[str], coord
     sizes = members.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
     named = sizes.join(roots.select(F.col("node").alias("_cell"), F.col("root").alias("_root")), "_cell", "left")
     named = named.select("_cell", "_n", F.coalesce("_root", "_cell").alias("_root"))
-    return attach(members, named, ["_cell"], count="_n").drop("_cell", "_n")
+    return attach(members, named, ["_cell"]).drop("_cell", "_n")
 
 
 def density_groups(df: DataFrame, id_col: str, coords: Sequence[str], eps: float, min_samples: int = 1,
@@ -205,5 +201,5 @@ def number_labels(df: DataFrame, label: str, out: str, keys: Sequence[str] = (),
     """Replace arbitrary labels by 1..k in label order; NULL labels become ``noise``."""
     sizes = df.filter(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_n"))
     ranked = OrderedScan(sizes, keys, [label]).row_number(out).done()
-    return attach(df, ranked, [*keys, label], count="_n").drop("_n").withColumn(
+    return attach(df, ranked, [*keys, label]).drop("_n").withColumn(
         out, F.coalesce(F.col(out), F.lit(noise)).cast("long"))

@@ -1,8 +1,9 @@
 """Grouped work that stays balanced when one key owns a large share of the rows.
 
 A window partitioned by a hot key, or an exact median of it, would put all rows of that
-key into one task.  The helpers here replace such plans by combinable aggregates, by
-look-ups that spread hot keys, and by ordered scans over bounded chunks of each key.
+key into one task.  The helpers here first check how large the largest group is (a
+combinable count over the key columns only).  Bounded groups use plain windows and
+aggregates; larger ones use ordered scans over chunks of a key and bracketed percentiles.
 """
 
 from __future__ import annotations
@@ -13,50 +14,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# A key is hot above this many rows.  At most MAX_HOT of them are broadcast; every key
-# that is not among the MAX_HOT largest owns less than 1/MAX_HOT of all rows.
-HOT_ROWS = 2_000_000
-MAX_HOT = 1000
+# Groups up to this many rows fit one task; larger ones are split.
 CHUNK_ROWS = 1_000_000
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group; reads only the key columns and combines before the shuffle."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.agg(F.max("_n")).first()[0] or 0
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], count: str | None = None,
-           hot_rows: int = HOT_ROWS) -> DataFrame:
+def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left-join one-row-per-key ``stats`` back to the rows of ``df``.
 
-    With ``count`` (rows per key, a column of ``stats``) the hottest keys, at most
-    ``MAX_HOT`` rows whatever the input size, go through a broadcast join and their rows
-    are spread over the exchange of the second, general join instead of meeting in one task.
+    The sides are never forced into a broadcast.  Rows of a hot key are all on the left
+    side, where adaptive execution splits an oversized partition into several tasks and
+    sends the single matching row of ``stats`` to each (``RUNTIME_CONF`` turns that on).
     """
-    keys = list(keys)
-    cols = [c for c in stats.columns if c not in keys]
-    if count is None:
-        return df.join(stats, keys, "left")
-    hot = (
-        stats.orderBy(F.col(count).desc()).limit(MAX_HOT).filter(F.col(count) >= hot_rows)
-        .select(*keys, F.struct(*cols).alias("_hot"))
-    )
-    spread = df.join(F.broadcast(hot), keys, "left").withColumn(
-        "_spread",
-        F.when(F.col("_hot").isNotNull(), F.lit(1) + F.pmod(F.xxhash64(*df.columns), F.lit(4096))).otherwise(F.lit(0)),
-    )
-    cold = stats.select(*keys, F.lit(0).cast("long").alias("_spread"), F.struct(*cols).alias("_cold"))
-    joined = spread.withColumn("_spread", F.col("_spread").cast("long")).join(cold, [*keys, "_spread"], "left")
-    picked = F.coalesce("_hot", "_cold")
-    return joined.select(*df.columns, *[picked[c].alias(c) for c in cols])
+    return df.join(stats, list(keys), "left")
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
     """Per-key aggregates written back on each row, without a window over the key."""
-    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_group_n"), *aggs)
-    return attach(df, stats, keys, count="_group_n").drop("_group_n")
+    return attach(df, df.groupBy(*keys).agg(*aggs), keys)
 
 
 def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -75,115 +55,105 @@ def nulls_last(col: Column | str) -> tuple[Column, Column]:
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[Column | str, float]],
-                      hot_rows: int = HOT_ROWS, accuracy: int = 2000) -> DataFrame:
+                      hot_rows: int = CHUNK_ROWS, accuracy: int = 2000, largest: int | None = None) -> DataFrame:
     """Exact linear-interpolation percentiles per key, for keys of any size.
 
-    Keys below ``hot_rows`` use Spark's exact ``percentile`` (its buffer is then bounded).
-    For larger keys a sketch brackets every wanted rank, rows outside the brackets are only
-    counted, and the order statistic is read from the few rows inside by a spilling
-    window.  A bracket that misses its rank raises instead of returning a wrong value.
+    When no group exceeds ``hot_rows`` this is Spark's exact ``percentile``, whose buffer is
+    then bounded.  Callers whose groups are bounded by construction pass ``largest``.
     """
-    keys = list(keys)
-    names = list(wanted)
+    keys, names = list(keys), list(wanted)
     cols = [F.col(c) if isinstance(c, str) else c for c, _ in wanted.values()]
+    probs = [float(p) for _, p in wanted.values()]
+    if (largest_group(df, keys) if largest is None else largest) <= hot_rows:
+        return df.groupBy(*keys).agg(*[F.percentile(c, p).alias(n) for n, c, p in zip(names, cols, probs)])
     vals = df.select(*keys, *[c.cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
-    plain = lambda: [F.percentile(f"_v{i}", p).alias(n) for i, (n, (_, p)) in enumerate(wanted.items())]
-    sizes = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = (
-        sizes.orderBy(F.col("_n").desc()).limit(MAX_HOT).filter(F.col("_n") >= hot_rows)
-    )
-    flagged = vals.join(F.broadcast(hot.select(*keys, F.lit(True).alias("_is_hot"))), keys, "left")
-    cold = flagged.filter(F.col("_is_hot").isNull()).groupBy(*keys).agg(*plain())
-    hot_rows_df = flagged.filter(F.col("_is_hot"))
-    long = hot_rows_df.select(
-        *keys,
-        F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"_v{i}").alias("_v")) for i in range(len(names))])).alias("_s"),
-    ).select(*keys, "_s._i", "_s._v").filter(F.col("_v").isNotNull())
-    prob = F.element_at(F.array(*[F.lit(float(p)) for _, p in wanted.values()]), F.col("_i") + 1)
+    return _bracketed_percentiles(vals, keys, names, probs, accuracy)
+
+
+def _bracketed_percentiles(vals: DataFrame, keys: list[str], names: list[str], probs: list[float], accuracy: int) -> DataFrame:
+    """Percentiles of very large groups.
+
+    A sketch brackets every wanted rank, rows outside the bracket are only counted, and the
+    order statistics are read by a spilling window from the distinct values inside.  A
+    bracket that misses its rank raises instead of returning a wrong value.
+    """
+    pieces = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"_v{i}").alias("_v")) for i in range(len(names))])
+    long = vals.select(*keys, F.explode(pieces).alias("_s")).select(*keys, "_s._i", "_s._v")
+    all_keys = vals.select(*keys).distinct()
+    long = long.filter(F.col("_v").isNotNull())
     margin = 4.0 / accuracy
-    sketch_probs = sorted({max(0.0, min(1.0, p + d)) for _, p in wanted.values() for d in (-margin, margin)} | {0.0, 1.0})
+    grid = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)})
     sketch = long.groupBy(*keys, "_i").agg(
-        F.count("_v").alias("_m"),
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", [float(p) for p in sketch_probs], accuracy).alias("_q"),
-    )
-    probs_arr = F.array(*[F.lit(float(p)) for p in sketch_probs])
-    lo_pos = F.array_position(probs_arr, F.greatest(F.lit(0.0), prob - margin)).cast("int")
-    hi_pos = F.array_position(probs_arr, F.least(F.lit(1.0), prob + margin)).cast("int")
+        F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", grid, accuracy).alias("_q"))
+    at = lambda q: grid.index(min(1.0, max(0.0, q))) + 1
+    low = F.element_at(F.array(*[F.lit(at(p - margin)) for p in probs]), F.col("_i") + 1)
+    high = F.element_at(F.array(*[F.lit(at(p + margin)) for p in probs]), F.col("_i") + 1)
+    prob = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1)
     bracket = sketch.select(
-        *keys, "_i", "_m",
-        F.when(prob - margin <= 0, F.col("_min")).otherwise(F.element_at("_q", lo_pos)).alias("_scan_lo"),
-        F.when(prob + margin >= 1, F.col("_max")).otherwise(F.element_at("_q", hi_pos)).alias("_hi"),
-        (prob * (F.col("_m") - 1)).alias("_rank"),
-    )
-    # At most MAX_HOT * len(wanted) bracket rows, so this broadcast has a fixed bound.
-    placed = long.join(F.broadcast(bracket), [*keys, "_i"])
-    below = placed.filter(F.col("_v") < F.col("_lo")).groupBy(*keys, "_i").agg(F.count(F.lit(1)).alias("_below"))
-    inside = placed.filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        *keys, "_i", (prob * (F.col("_m") - 1)).alias("_rank"),
+        F.when(prob <= margin, F.col("_min")).otherwise(F.element_at("_q", low)).alias("_lo"),
+        F.when(prob >= 1 - margin, F.col("_max")).otherwise(F.element_at("_q", high)).alias("_hi"))
+    placed = attach(long, bracket, [*keys, "_i"])
+    below = placed.filter("_v < _lo").groupBy(*keys, "_i").agg(F.count(F.lit(1)).alias("_below"))
     # Equal values collapse before ranking: copies of one value cost one row.
-    counted = inside.groupBy(*keys, "_i", "_rank", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counted = placed.filter("_v >= _lo AND _v <= _hi").groupBy(*keys, "_i", "_rank", "_v").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        counted.withColumn("_cum", F.sum("_c").over(w))
-        .join(F.broadcast(below), [*keys, "_i"], "left")
-        .withColumn("_last", F.col("_cum") - 1 + F.coalesce("_below", F.lit(0)))
-        .withColumn("_first", F.col("_last") - F.col("_c") + 1)
-    )
-    k_lo, k_hi = F.floor("_rank"), F.ceil("_rank")
+    ranked = attach(counted.withColumn("_cum", F.sum("_c").over(w)), below, [*keys, "_i"])
+    last = F.col("_cum") - 1 + F.coalesce("_below", F.lit(0))
+    first = last - F.col("_c") + 1
+    lower, upper = F.floor("_rank"), F.ceil("_rank")
     picked = ranked.groupBy(*keys, "_i", "_rank").agg(
-        F.max(F.when((F.col("_first") <= k_lo) & (F.col("_last") >= k_lo), F.col("_v"))).alias("_a"),
-        F.max(F.when((F.col("_first") <= k_hi) & (F.col("_last") >= k_hi), F.col("_v"))).alias("_b"),
-    ).withColumn(
-        "_val",
-        F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("percentile bracket missed its rank")).cast("double"))
-        .otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.floor("_rank"))),
-    )
-    hot_out = picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("_val"))).alias(n) for i, n in enumerate(names)]
-    )
-    return cold.unionByName(hot_out)
-
-
-def median_by(df: DataFrame, keys: Sequence[str], *cols: str) -> DataFrame:
+        F.max(F.when((first <= lower) & (last >= lower), F.col("_v"))).alias("_a"),
+        F.max(F.when((first <= upper) & (last >= upper), F.col("_v"))).alias("_b"))
+    value = F.when(
+        F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("percentile bracket missed its rank")).cast("double")
+    ).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.floor("_rank")))
+    out = picked.withColumn("_val", value).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_i") == i, F.col("_val"))).alias(n) for i, n in enumerate(names)])
+    return all_keys.join(out, keys, "left") if keys else out
+
+
+def median_by(df: DataFrame, keys: Sequence[str], *cols: str, largest: int | None = None) -> DataFrame:
     """Exact medians per key under the columns' own names."""
-    return exact_percentiles(df, keys, {c: (c, 0.5) for c in cols})
+    return exact_percentiles(df, keys, {c: (c, 0.5) for c in cols}, largest=largest)
 
 
 class OrderedScan:
-    """Lag, lead, running sums and row numbers per key in ``order``, in bounded chunks.
+    """Lag, lead, running sums and row numbers per key in ``order``.
 
-    The leading order column must be numeric.  A key with more than ``chunk_rows`` rows is
-    split into equal ranges of it; windows then run per (key, chunk) and one summary row per
-    chunk carries values across chunk borders.  Small keys stay in a single chunk.
+    When every group has at most ``chunk_rows`` rows these are plain windows.  Otherwise a
+    larger group is split into equal ranges of the leading (numeric) order column;
+    windows run per (key, chunk) and one summary row per chunk carries values across
+    chunk borders.
     """
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows: int = CHUNK_ROWS):
-        self.keys, self.order = list(keys), list(order)
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows: int = CHUNK_ROWS,
+                 largest: int | None = None):
+        self.keys, self.order, self.df = list(keys), list(order), df
+        self.split = (largest_group(df, keys) if largest is None else largest) > chunk_rows
+        if not self.split:
+            return
         lead_col = self.order[0]
         stats = df.groupBy(*self.keys).agg(
             F.count(F.lit(1)).alias("_scan_n"), F.min(lead_col).cast("double").alias("_scan_lo"),
             F.max(lead_col).cast("double").alias("_scan_hi"))
         pieces = F.ceil(F.col("_scan_n") / F.lit(chunk_rows))
         width = (F.col("_scan_hi") - F.col("_scan_lo")) / pieces
-        big = attach(df, stats, self.keys, count="_scan_n") if self.keys else df.crossJoin(F.broadcast(stats))
+        # Without keys the statistics are a single row.
+        placed = attach(df, stats, self.keys) if self.keys else df.crossJoin(F.broadcast(stats))
         chunk = F.when((pieces <= 1) | (width <= 0) | F.col(lead_col).isNull(), F.lit(0)).otherwise(
             F.least(F.floor((F.col(lead_col).cast("double") - F.col("_scan_lo")) / width), pieces - 1))
-        self.df = big.withColumn("_chunk", chunk.cast("long")).drop("_scan_n", "_scan_lo", "_scan_hi")
+        self.df = placed.withColumn("_chunk", chunk.cast("long")).drop("_scan_n", "_scan_lo", "_scan_hi")
 
     @property
     def _part(self) -> list[str]:
-        return [*self.keys, "_chunk"]
+        return [*self.keys, "_chunk"] if self.split else self.keys
 
     @property
     def window(self):
         return Window.partitionBy(*self._part).orderBy(*self.order)
 
-    def _carry(self, agg: Column, name: str, forward: bool) -> DataFrame:
-        w = Window.partitionBy(*self.keys).orderBy("_chunk")
-        summary = self.df.groupBy(*self._part).agg(agg.alias("_s"))
-        moved = F.lag("_s").over(w) if forward else F.lead("_s").over(w)
-        return summary.select(*self._part, moved.alias(name))
-
     def lag(self, values: dict[str, str]) -> "OrderedScan":
         """``values`` maps output name to source column; the previous row's values."""
         return self._shift(values, forward=True)
@@ -192,27 +162,32 @@ class OrderedScan:
         return self._shift(values, forward=False)
 
     def _shift(self, values: dict[str, str], forward: bool) -> "OrderedScan":
+        move = F.lag if forward else F.lead
+        if not self.split:
+            self.df = self.df.withColumns({n: move(F.col(c)).over(self.window) for n, c in values.items()})
+            return self
         packed = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
         order = F.struct(*self.order)
-        edge = self._carry(F.max_by(packed, order) if forward else F.min_by(packed, order), "_edge", forward)
-        local = (F.lag(packed) if forward else F.lead(packed)).over(self.window)
-        out = self.df.withColumn("_local", local).join(edge, self._part, "left")
+        border = F.max_by(packed, order) if forward else F.min_by(packed, order)
+        w = Window.partitionBy(*self.keys).orderBy("_chunk")
+        edge = self.df.groupBy(*self._part).agg(border.alias("_s")).select(*self._part, move("_s").over(w).alias("_edge"))
+        out = self.df.withColumn("_local", move(packed).over(self.window)).join(edge, self._part, "left")
         keep = [c for c in self.df.columns if c not in values]
         got = F.coalesce("_local", "_edge")
         self.df = out.select(*keep, *[got[n].alias(n) for n in values])
         return self
 
     def running_sum(self, name: str, value: Column, inclusive: bool = True) -> "OrderedScan":
-        staged = self.df.withColumn("_val", value)
+        rows = self.window.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        local = F.coalesce(F.sum(value).over(rows), F.lit(0))
+        if not self.split:
+            self.df = self.df.withColumn(name, local)
+            return self
         w_chunk = Window.partitionBy(*self.keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-        offset = (
-            staged.groupBy(*self._part).agg(F.sum("_val").alias("_s"))
-            .select(*self._part, F.coalesce(F.sum("_s").over(w_chunk), F.lit(0)).alias("_off"))
-        )
-        stop = 0 if inclusive else -1
-        local = F.coalesce(F.sum("_val").over(self.window.rowsBetween(Window.unboundedPreceding, stop)), F.lit(0))
-        out = staged.withColumn(name, local).join(offset, self._part, "left")
-        self.df = out.withColumn(name, F.col(name) + F.col("_off")).drop("_off", "_val")
+        offset = self.df.groupBy(*self._part).agg(F.sum(value).alias("_s")).select(
+            *self._part, F.coalesce(F.sum("_s").over(w_chunk), F.lit(0)).alias("_off"))
+        out = self.df.withColumn(name, local).join(offset, self._part, "left")
+        self.df = out.withColumn(name, F.col(name) + F.col("_off")).drop("_off")
         return self
 
     def row_number(self, name: str) -> "OrderedScan":
@@ -223,12 +198,14 @@ class OrderedScan:
 
 
 def island_ids(df: DataFrame, keys: Sequence[str], order: Sequence[str], breaks: Column, prev: dict[str, str],
-               out: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+               out: str, chunk_rows: int = CHUNK_ROWS, largest: int | None = None) -> DataFrame:
     """Gaps-and-islands: ``out`` counts from 1 and rises where ``breaks`` holds.
 
     ``prev`` names the lagged columns ``breaks`` may use (output name to source column).
     """
-    scan = OrderedScan(df, keys, order, chunk_rows).lag(prev)
+    scan = OrderedScan(df, keys, order, chunk_rows, largest).lag(prev)
     flag = F.when(F.coalesce(breaks, F.lit(False)), 1).otherwise(0).cast("long")
-    scan.running_sum(out, flag)
-    return scan.done().withColumn(out, F.col(out) + 1).drop(*prev)
+    # The flag uses window output, so it becomes a column before it is summed.
+    scan.df = scan.df.withColumn("_flag", flag)
+    scan.running_sum(out, F.col("_flag"))
+    return scan.done().withColumn(out, F.col(out) + 1).drop("_flag", *prev)

@@ -101,7 +101,7 @@ def nearest_within(left: DataFrame, right: DataFrame, left_coords: Sequence[str]
             todo = todo.join(hit, [*keys, *lc], "left_anti")
     matched = sizes.join(found, [*keys, *lc], "left").select(
         *keys, *lc, "_n", F.col("_m._rid").alias(right_id), F.col("_m._d").alias(dist))
-    return attach(base, matched, [*keys, *lc], count="_n").drop(*lc, "_n")
+    return attach(base, matched, [*keys, *lc]).drop(*lc, "_n")
 
 
 def any_within(left: DataFrame, right: DataFrame, left_coords: Sequence[str], right_coords: Sequence[str],

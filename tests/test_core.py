@@ -83,14 +83,6 @@ def test_ordered_scan_across_chunks(spark, chunk):
     assert got["nt"].fillna(-1).tolist() == g["t"].shift(-1).fillna(-1).tolist()
 
 
-def test_attach_spreads_hot_keys(spark):
-    df = spark.range(1000).select(F.when(F.col("id") < 600, 1).otherwise(F.col("id")).alias("k"), "id")
-    stats = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    out = skew.attach(df, stats, ["k"], count="n", hot_rows=100).toPandas()
-    assert len(out) == 1000
-    assert (out.loc[out.k == 1, "n"] == 600).all() and (out.loc[out.k != 1, "n"] == 1).all()
-
-
 def test_nearest_within_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     a, b = rng.uniform(0, 10, (300, 2)), rng.uniform(0, 10, (200, 2))
