@@ -8,10 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyloom.functions.angles import _c
 
-BAZIN_FEATURES = "tau_ratio double, t_peak_off double, peak double, fwhm double, rise_time double, decay_time double, fluence double"
+BAZIN_FEATURES = T.StructType([
+    T.StructField(n, T.DoubleType())
+    for n in ("tau_ratio", "t_peak_off", "peak", "fwhm", "rise_time", "decay_time", "fluence")])
 # Fixed values of the feature grid: rise times before and fall times after t0, points.
 GRID_BEFORE, GRID_AFTER, GRID_POINTS = 12, 18, 6000
 
@@ -56,7 +59,7 @@ def bazin_features(a: pd.Series, t0: pd.Series, tau_rise: pd.Series, tau_fall: p
         high = np.flatnonzero(shape >= shape[top] / 2)
         lo, hi = grid[high[0]], grid[high[-1]]
         out[i, 1:] = (grid[top] - tv[i], shape[top], hi - lo, grid[top] - lo, hi - grid[top], np.trapezoid(shape, grid))
-    return pd.DataFrame(out, columns=[p.split()[0] for p in BAZIN_FEATURES.split(", ")])
+    return pd.DataFrame(out, columns=BAZIN_FEATURES.names)
 
 
 def exposed_sinusoid(t_min, period_min, cadence_min: float, phase=0.0) -> Column:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
@@ -22,6 +24,8 @@ def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every operator assumes (UTC, AQE, skew handling)."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    # Grouped pandas functions travel by value, so executors need no copy of the package.
+    cloudpickle.register_pickle_by_value(sys.modules["skyloom"])
     return spark
 
 
