@@ -28,27 +28,27 @@ def ecliptic_directions(df: DataFrame, mjd: str, epoch: str, observer: tuple[str
                         node: str, peri: str, anomaly: str, motion: str) -> DataFrame:
     """Unit vectors (ux, uy, uz) from the observer to each orbit at ``mjd``.
 
-    Kepler's equation gets a fixed number of Newton steps, one projection each, so the
-    expression tree stays small and the whole solve stays in generated code.
+    The fixed number of Newton steps for Kepler's equation runs inside ``aggregate``, whose
+    bound variables keep the expression small wherever the optimizer moves it.
     """
     two_pi = 2 * math.pi
-    out = df.withColumn("_m", F.pmod(F.radians(F.col(anomaly)) + F.radians(F.col(motion)) * (F.col(mjd) - F.col(epoch)), F.lit(two_pi)))
-    out = out.withColumn("_ecc", F.col("_m"))
-    for _ in range(NEWTON_STEPS):
-        x = F.col("_ecc")
-        out = out.withColumn("_ecc", x - (x - F.col(e) * F.sin(x) - F.col("_m")) / (1 - F.col(e) * F.cos(x)))
-    ecc = F.col("_ecc")
-    out = out.withColumns({
-        "_nu": 2 * F.atan2(F.sqrt(1 + F.col(e)) * F.sin(ecc / 2), F.sqrt(1 - F.col(e)) * F.cos(ecc / 2)),
-        "_r": F.col(a) * (1 - F.col(e) * F.cos(ecc)),
-    })
-    arg = F.radians(F.col(peri)) + F.col("_nu")
-    lon, tilt = F.radians(F.col(node)), F.radians(F.col(inc))
-    out = out.withColumns({
-        "_x": F.col("_r") * (F.cos(lon) * F.cos(arg) - F.sin(lon) * F.sin(arg) * F.cos(tilt)) - F.col(observer[0]),
-        "_y": F.col("_r") * (F.sin(lon) * F.cos(arg) + F.cos(lon) * F.sin(arg) * F.cos(tilt)) - F.col(observer[1]),
-        "_z": F.col("_r") * F.sin(arg) * F.sin(tilt) - F.col(observer[2]),
-    })
-    norm = F.sqrt(F.col("_x") ** 2 + F.col("_y") ** 2 + F.col("_z") ** 2)
-    out = out.withColumns({"ux": F.col("_x") / norm, "uy": F.col("_y") / norm, "uz": F.col("_z") / norm})
-    return out.drop("_m", "_ecc", "_nu", "_r", "_x", "_y", "_z")
+    ecc_col = F.col(e)
+    mean = F.pmod(F.radians(F.col(anomaly)) + F.radians(F.col(motion)) * (F.col(mjd) - F.col(epoch)), F.lit(two_pi))
+
+    def step(acc: Column, m: Column) -> Column:
+        return acc - (acc - ecc_col * F.sin(acc) - m) / (1 - ecc_col * F.cos(acc))
+
+    def position(x: Column) -> Column:
+        arg = F.radians(F.col(peri)) + 2 * F.atan2(F.sqrt(1 + ecc_col) * F.sin(x / 2), F.sqrt(1 - ecc_col) * F.cos(x / 2))
+        lon, tilt = F.radians(F.col(node)), F.radians(F.col(inc))
+        r = F.col(a) * (1 - ecc_col * F.cos(x))
+        return F.struct(
+            (r * (F.cos(lon) * F.cos(arg) - F.sin(lon) * F.sin(arg) * F.cos(tilt)) - F.col(observer[0])).alias("x"),
+            (r * (F.sin(lon) * F.cos(arg) + F.cos(lon) * F.sin(arg) * F.cos(tilt)) - F.col(observer[1])).alias("y"),
+            (r * F.sin(arg) * F.sin(tilt) - F.col(observer[2])).alias("z"))
+
+    solved = F.aggregate(F.array_repeat(mean, NEWTON_STEPS), mean, step, position)
+    unit = F.transform(F.array(solved), lambda v: F.struct(*[
+        (v[c] / F.sqrt(v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"])).alias("u" + c) for c in "xyz"]))
+    out = df.withColumn("_dir", F.element_at(unit, 1))
+    return out.withColumns({c: F.col("_dir")[c] for c in ("ux", "uy", "uz")}).drop("_dir")

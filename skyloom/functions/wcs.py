@@ -64,15 +64,18 @@ class TangentWcs:
     def with_pixels(self, df: DataFrame, ra: str, dec: str, x: str = "x", y: str = "y", iterations: int = 6) -> DataFrame:
         """Add pixel columns; the distortion is inverted by a fixed number of fixed-point steps.
 
-        Directions on the far hemisphere get NULL.
+        Directions on the far hemisphere get NULL.  The steps run inside ``aggregate``, so the
+        expression does not grow with their number.
         """
         uu, vv = self.undistorted(ra, dec)
-        out = df.withColumns({"_uu": uu, "_vv": vv}).withColumns({"_u": F.col("_uu"), "_v": F.col("_vv")})
+        start = F.struct(uu.alias("u"), vv.alias("v"))
         if self.a or self.b:
-            for _ in range(iterations):
-                u, v = F.col("_u"), F.col("_v")
-                out = out.withColumns({"_u": F.col("_uu") - polynomial(u, v, self.a), "_v": F.col("_vv") - polynomial(u, v, self.b)})
-        return out.withColumns({x: F.col("_u") + self.crpix[0], y: F.col("_v") + self.crpix[1]}).drop("_u", "_v", "_uu", "_vv")
+            start = F.aggregate(
+                F.array_repeat(start, iterations), start,
+                lambda acc, first: F.struct((first["u"] - polynomial(acc["u"], acc["v"], self.a)).alias("u"),
+                                            (first["v"] - polynomial(acc["u"], acc["v"], self.b)).alias("v")))
+        out = df.withColumn("_uv", start)
+        return out.withColumns({x: F.col("_uv.u") + self.crpix[0], y: F.col("_uv.v") + self.crpix[1]}).drop("_uv")
 
     def sky_errors(self, x, y, x_err, y_err, delta: float = 0.1) -> tuple[Column, Column]:
         """Pixel errors to sky errors by a finite-difference Jacobian."""

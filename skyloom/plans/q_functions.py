@@ -273,9 +273,12 @@ def e28b(spark, sf):
     return D.table(spark, sf, "events").select("event_id", r6(f).alias("flux"))
 
 
-@query("E29_error_outline", f"""WITH s AS ({D.STARS_SQL}), i AS (SELECT unnest(generate_series(0, 999)) AS outline)
-SELECT source, CAST(outline AS INTEGER) AS outline, {R('ra + (5e-1 + nation / 50e0) * cos(outline * (2 * 3141592653589793e-15 / 999))')} AS outline_ra,
-{R('dec + (5e-1 + nation / 50e0) * sin(outline * (2 * 3141592653589793e-15 / 999))')} AS outline_dec FROM s, i""")
+@query("E29_error_outline", f"""WITH s AS ({D.STARS_SQL}), i AS (SELECT unnest(generate_series(0, 999)) AS outline),
+o AS (SELECT source, ra + (5e-1 + nation / 50e0) * cos(outline * (2 * 3141592653589793e-15 / 999)) AS r,
+dec + (5e-1 + nation / 50e0) * sin(outline * (2 * 3141592653589793e-15 / 999)) AS d FROM s, i)
+SELECT source, count(*) AS n, {R('min(r)')} AS ra_lo, {R('max(r)')} AS ra_hi, {R('min(d)')} AS dec_lo, {R('max(d)')} AS dec_hi FROM o GROUP BY source""")
 def e29(spark, sf):
     s = D.stars(spark, sf).select("source", "ra", "dec", (0.5 + F.col("nation") / 50).alias("rad"))
-    return Wc.error_outline(s, "ra", "dec", "rad").select("source", "outline", r6("outline_ra").alias("outline_ra"), r6("outline_dec").alias("outline_dec"))
+    return Wc.error_outline(s, "ra", "dec", "rad").groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.min("outline_ra")).alias("ra_lo"), r6(F.max("outline_ra")).alias("ra_hi"),
+        r6(F.min("outline_dec")).alias("dec_lo"), r6(F.max("outline_dec")).alias("dec_hi"))
