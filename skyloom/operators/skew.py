@@ -191,21 +191,23 @@ class OrderedScan:
         return self
 
     def fill(self, values: dict[str, str], forward: bool = True) -> "OrderedScan":
-        """Last (or next) non-NULL value of each source column, the row itself included."""
-        w = Window.partitionBy(*self._part).orderBy(*self.order)
-        rows = w.rowsBetween(Window.unboundedPreceding, 0) if forward else w.rowsBetween(0, Window.unboundedFollowing)
-        pick = F.last if forward else F.first
-        local = {n: pick(F.col(c), ignorenulls=True).over(rows) for n, c in values.items()}
+        """Last (or next) non-NULL value of each source column, the row itself included.
+
+        The next value is the last one in reversed order: a frame that ends at the current row
+        grows with it, while one that starts there would be rebuilt for every row.
+        """
+        order = [F.col(o) if forward else F.col(o).desc() for o in self.order]
+        rows = Window.partitionBy(*self._part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        local = {n: F.last(F.col(c), ignorenulls=True).over(rows) for n, c in values.items()}
         if not self.split:
             self.df = self.df.withColumns(local)
             return self
-        order = F.struct(*self.order)
+        key = F.struct(*self.order)
         take = F.max_by if forward else F.min_by
-        wc = Window.partitionBy(*self.keys).orderBy("_chunk")
-        before = wc.rowsBetween(Window.unboundedPreceding, -1) if forward else wc.rowsBetween(1, Window.unboundedFollowing)
+        before = Window.partitionBy(*self.keys).orderBy(F.col("_chunk") if forward else F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
         edge = self.df.groupBy(*self._part).agg(
-            *[take(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(f"_e_{n}") for n, c in values.items()])
-        edge = edge.select(*self._part, *[pick(F.col(f"_e_{n}"), ignorenulls=True).over(before).alias(f"_f_{n}") for n in values])
+            *[take(F.col(c), F.when(F.col(c).isNotNull(), key)).alias(f"_e_{n}") for n, c in values.items()])
+        edge = edge.select(*self._part, *[F.last(F.col(f"_e_{n}"), ignorenulls=True).over(before).alias(f"_f_{n}") for n in values])
         out = self.df.withColumns(local).join(edge, self._part, "left")
         self.df = out.withColumns({n: F.coalesce(n, f"_f_{n}") for n in values}).drop(*[f"_f_{n}" for n in values])
         return self
