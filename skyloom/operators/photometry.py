@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.photometry import convert_flux
 from skyloom.operators.robust import MAD_TO_SIGMA, median_mad, sigma_clip
-from skyloom.operators.skew import attach, exact_percentiles
+from skyloom.operators.skew import attach, broadcast_if_small, exact_percentiles
 
 
 def offsets(radius: float, inner: float | None = None, square: bool = False) -> list[tuple[int, int]]:
@@ -187,7 +187,7 @@ def scene_photometry(stamps: DataFrame, keys: Sequence[str], value: str, models:
     types = dict(stamps.dtypes)
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"flux_{m} double" for m in models] + ["background double", "rms double"])
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a = np.column_stack([pdf[m].to_numpy(float) for m in models] + [np.ones(len(pdf))])
         v = pdf[value].to_numpy(float)
         use = np.isfinite(v) & np.isfinite(a).all(1)
@@ -280,7 +280,7 @@ def psf_likeness(stamps: DataFrame, models: DataFrame, keys: Sequence[str], pixe
     """
     keys = list(keys)
     norm = stamps.groupBy(*keys).agg(F.sum(value).alias("_total"))
-    rows = stamps.join(norm, keys).join(F.broadcast(models), list(pixel))  # a fixed grid of model stamps
+    rows = stamps.join(norm, keys).join(broadcast_if_small(models), list(pixel))
     v = F.col(value) / F.col("_total")
     score = rows.groupBy(*keys, shift).agg(F.sum((v - F.col(model)) ** 2).alias("residual"), F.corr(value, model).alias("psf_like"), F.sum(F.abs(v - F.col(model))).alias("psf_diff"))
     return score.groupBy(*keys).agg(F.min(F.struct("residual", shift, "psf_like", "psf_diff")).alias("_b")).select(*keys, "_b.*")

@@ -231,3 +231,8 @@ def island_ids(df: DataFrame, keys: Sequence[str], order: Sequence[str], breaks:
     scan.df = scan.df.withColumn("_flag", flag)
     scan.running_sum(out, F.col("_flag"))
     return scan.done().withColumn(out, F.col(out) + 1).drop("_flag", *prev)
+
+
+def broadcast_if_small(df: DataFrame, limit: int = 200_000) -> DataFrame:
+    """Hint a broadcast only after counting the rows; a larger table joins by shuffle."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
