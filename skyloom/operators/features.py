@@ -105,8 +105,9 @@ def shapiro_w(df: DataFrame, key: str, flux: str = "flux", tie: str = "pt") -> D
 def periodogram(df: DataFrame, key: str, time: str, flux: str, f_min: float, f_max: float, n_freq: int) -> DataFrame:
     """C4: least-squares amplitude at each frequency of a grid.
 
-    Every Arrow batch is reduced to its trigonometric sums per (series, frequency) at once, so
-    the exchange carries n_freq rows per series and batch instead of points x frequencies.
+    Rows are range-partitioned by (series, time): short series stay together, a long one is cut
+    into several tasks.  Every Arrow batch is reduced to trigonometric sums per (series,
+    frequency), so the second exchange carries sums instead of points x frequencies.
     """
     mean = df.groupBy(key).agg(F.avg(flux).alias("_m"), F.min(time).alias("_t0"))
     rows = attach(df.select(key, time, flux), mean, [key]).select(key, (F.col(time) - F.col("_t0")).alias("t"), (F.col(flux) - F.col("_m")).alias("f"))
@@ -126,6 +127,7 @@ def periodogram(df: DataFrame, key: str, time: str, flux: str, f_min: float, f_m
                     total += np.array([(c * c).sum(0), (s * s).sum(0), (c * s).sum(0), (v * c).sum(0), (v * s).sum(0)])
                 yield pd.DataFrame({key: k, "j": np.arange(n_freq), **dict(zip(names, total))})
 
+    rows = rows.repartitionByRange(key, "t").sortWithinPartitions(key)
     part = rows.mapInPandas(sums, f"{key} {ktype}, j long, " + ", ".join(f"{n} double" for n in names))
     s = part.groupBy(key, "j").agg(*[F.sum(n).alias(n) for n in names])
     # Where sine and cosine are not independent on the sampling there is no amplitude.

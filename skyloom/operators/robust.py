@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.numeric import c4
 from skyloom.functions.photometry import scale_to_zp, zp_to_scale
-from skyloom.operators.skew import OrderedScan, attach, exact_percentiles, group_stats
+from skyloom.operators.skew import OrderedScan, attach, exact_percentiles, largest_group
 from skyloom.session import cut_lineage
 
 MAD_TO_SIGMA = 1.4826
@@ -33,28 +33,24 @@ def median_mad(df: DataFrame, keys: Sequence[str], col: str, largest: int | None
 def sigma_clip(df: DataFrame, keys: Sequence[str], col: str, nsigma: float = 3.0, max_iter: int = 5) -> DataFrame:
     """Iterative clip around the median by population standard deviations; adds ``kept``.
 
-    Only one row per key moves between rounds; the loop ends when no key changes.
+    A round is one aggregate over the rows inside the last bounds; only one row per key moves
+    on.  The loop ends when no key's statistics change.
     """
     keys = list(keys)
-    good = df.filter(F.col(col).isNotNull() & ~F.isnan(col))
+    good = df.filter(F.col(col).isNotNull() & ~F.isnan(col)).select(*keys, col)
+    largest = largest_group(good, keys)
+    inside = (F.col(col) > F.col("_lo")) & (F.col(col) < F.col("_hi"))
     bounds, seen = None, None
     for _ in range(max_iter):
-        cur = good if bounds is None else _attach_any(good, bounds.drop("_n"), keys).filter((F.col(col) > F.col("_lo")) & (F.col(col) < F.col("_hi")))
-        med = exact_percentiles(cur, keys, {"_med": (col, 0.5)})
-        stat = cur.groupBy(*keys).agg(F.stddev_pop(col).alias("_std"))
-        both = med.join(stat, keys) if keys else med.crossJoin(F.broadcast(stat))
-        nxt = both.select(*keys, (F.col("_med") - nsigma * F.col("_std")).alias("_lo"), (F.col("_med") + nsigma * F.col("_std")).alias("_hi"))
-        inside = (F.col(col) > F.col("_lo")) & (F.col(col) < F.col("_hi"))
-        sizes = _attach_any(good, nxt, keys).groupBy(*keys).agg(F.count_if(inside).alias("_n"))
-        nxt = cut_lineage(nxt.join(sizes, keys) if keys else nxt.crossJoin(F.broadcast(sizes)))
-        # Bounds that keep the same number of points and nest in the last ones keep the same points.
-        total = nxt.agg(F.sum("_n"), F.count(F.lit(1))).first()
-        bounds = nxt
-        if seen is not None and total[0] == seen:
+        cur = good if bounds is None else _attach_any(good, bounds, keys).filter(inside)
+        stat = exact_percentiles(cur, keys, {"_med": (col, 0.5)}, largest=largest, also=[F.stddev_pop(col).alias("_std"), F.count(F.lit(1)).alias("_n")])
+        stat = cut_lineage(stat.select(*keys, "_n", "_med", "_std"))
+        now = stat.agg(F.sum("_n"), F.sum("_med"), F.sum("_std"), F.count(F.lit(1))).first()
+        if now == seen:
             break
-        seen = total[0]
-    out = _attach_any(df, bounds.drop("_n"), keys)
-    return out.withColumn("kept", F.coalesce((F.col(col) > F.col("_lo")) & (F.col(col) < F.col("_hi")), F.lit(False))).drop("_lo", "_hi")
+        seen = now
+        bounds = stat.select(*keys, (F.col("_med") - nsigma * F.col("_std")).alias("_lo"), (F.col("_med") + nsigma * F.col("_std")).alias("_hi"))
+    return _attach_any(df, bounds, keys).withColumn("kept", F.coalesce(inside, F.lit(False))).drop("_lo", "_hi")
 
 
 def sigma_cut_average(df: DataFrame, keys: Sequence[str], col: str, noise: str | None = None, nsigma: float | None = 3.0, max_iter: int = 10,

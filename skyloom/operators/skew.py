@@ -55,9 +55,12 @@ def nulls_last(col: Column | str) -> tuple[Column, Column]:
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[Column | str, float]],
-                      hot_rows: int = CHUNK_ROWS, accuracy: int = 2000, largest: int | None = None) -> DataFrame:
+                      hot_rows: int = CHUNK_ROWS, accuracy: int = 2000, largest: int | None = None,
+                      also: Sequence[Column] = ()) -> DataFrame:
     """Exact linear-interpolation percentiles per key, for keys of any size.
 
+    ``also`` adds plain aggregates, computed in the same pass where possible.
+
     When no group exceeds ``hot_rows`` this is Spark's exact ``percentile``, whose buffer is
     then bounded.  Callers whose groups are bounded by construction pass ``largest``.
     """
@@ -65,9 +68,13 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tupl
     cols = [F.col(c) if isinstance(c, str) else c for c, _ in wanted.values()]
     probs = [float(p) for _, p in wanted.values()]
     if (largest_group(df, keys) if largest is None else largest) <= hot_rows:
-        return df.groupBy(*keys).agg(*[F.percentile(c, p).alias(n) for n, c, p in zip(names, cols, probs)])
+        return df.groupBy(*keys).agg(*[F.percentile(c, p).alias(n) for n, c, p in zip(names, cols, probs)], *also)
     vals = df.select(*keys, *[c.cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
-    return _bracketed_percentiles(vals, keys, names, probs, accuracy)
+    out = _bracketed_percentiles(vals, keys, names, probs, accuracy)
+    if not also:
+        return out
+    more = df.groupBy(*keys).agg(*also)
+    return out.join(more, keys) if keys else out.crossJoin(F.broadcast(more))
 
 
 def _bracketed_percentiles(vals: DataFrame, keys: list[str], names: list[str], probs: list[float], accuracy: int) -> DataFrame:

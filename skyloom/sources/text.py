@@ -44,7 +44,7 @@ def header_cards(files: DataFrame, path: str = "path", content: str = "content")
 
     ``files`` is what the binary-file source yields.  Only the header is decoded.
     """
-    text = F.decode(F.col(content), F.lit("ISO-8859-1"))
+    text = F.decode(F.col(content), "ISO-8859-1")
     head = F.substring_index(text, "END" + " " * 77, 1)
     count = F.floor(F.length(head) / CARD).cast("int")
     index = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
