@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.operators.skew import OrderedScan, attach, group_stats
+from skyloom.operators.skew import OrderedScan, attach, group_stats, spread
 from skyloom.operators.spatial import cell, euclid, with_cells, with_neighbour_cells
 from skyloom.session import cut_lineage
 
@@ -102,7 +102,7 @@ def _linked_cells(points: DataFrame, id_col: str, keys: Sequence[str], coords: S
     reach = math.ceil(math.sqrt(dims)) + 1 if dims > 1 else 1
     offsets = _half_offsets(dims, reach, side, eps)
     ren = lambda tag: [F.col(f"_{b}{i}").alias(f"_{tag}{b}{i}") for i in range(dims) for b in ("lo", "hi")]
-    a = cells.select(*part, F.col("_cell").alias("_ca"), F.col("_n").alias("_na"), *ren("a"))
+    a = spread(cells.select(*part, F.col("_cell").alias("_ca"), F.col("_n").alias("_na"), *ren("a")), "_ca")
     table = F.array(*[F.array(*[F.lit(o).cast("long") for o in off]) for off in offsets])
     a = a.withColumn("_off", F.explode(table)).withColumns({k: F.col(k) + F.col("_off")[i] for i, k in enumerate(ks)}).drop("_off")
     b = cells.select(*part, F.col("_cell").alias("_cb"), F.col("_n").alias("_nb"), *ren("b"))
@@ -110,7 +110,7 @@ def _linked_cells(points: DataFrame, id_col: str, keys: Sequence[str], coords: S
     pairs = cut_lineage(pairs.select("_ca", "_cb", (F.col("_far") <= eps).alias("_sure")))
     members = attach(placed, cells.select(*part, "_cell", "_n"), part).drop("_n", *ks)
     sure = pairs.filter("_sure").select(F.col("_ca").alias("u"), F.col("_cb").alias("v"))
-    open_pairs = pairs.filter(~F.col("_sure")).select("_ca", "_cb")
+    open_pairs = spread(pairs.filter(~F.col("_sure")).select("_ca", "_cb"), "_ca")
     if open_pairs.isEmpty():
         return members, sure
     # Only cells of an undecided pair are split further.
@@ -125,6 +125,7 @@ def _linked_cells(points: DataFrame, id_col: str, keys: Sequence[str], coords: S
     near = cut_lineage(near.select("_ca", "_cb", "_sure", *["_a" + s for s in ss], *["_b" + s for s in ss]))
     sure2 = near.filter("_sure").select(F.col("_ca").alias("u"), F.col("_cb").alias("v")).distinct()
     rest = near.join(sure2.select(F.col("u").alias("_ca"), F.col("v").alias("_cb")), ["_ca", "_cb"], "left_anti")
+    rest = spread(rest, "_ca", *["_a" + s for s in ss])
     # Copies of a point would repeat the same test.
     pos = sub.select("_cell", *ss, *coords).distinct()
     pa = pos.select(F.col("_cell").alias("_ca"), *[F.col(s).alias("_a" + s) for s in ss], *[F.col(c).alias(f"_pa{i}") for i, c in enumerate(coords)])
@@ -172,7 +173,7 @@ def density_groups(df: DataFrame, id_col: str, coords: Sequence[str], eps: float
     sparse = placed.filter(F.col("_in_cell") < min_samples)
     # A sparse cell holds fewer than min_samples points, so this join grows linearly.
     probe = with_neighbour_cells(
-        sparse.select(*keys, F.col(id_col).alias("_pid"), *[F.col(c).alias(f"_p{i}") for i, c in enumerate(cs)]),
+        spread(sparse.select(*keys, F.col(id_col).alias("_pid"), *[F.col(c).alias(f"_p{i}") for i, c in enumerate(cs)]), "_pid"),
         [f"_p{i}" for i in range(dims)], side, offsets=every)
     copies = placed.groupBy(*keys, *ks, *cs).agg(F.count(F.lit(1)).alias("_copies"))
     reach_df = probe.join(copies, [*keys, *ks]).filter(
@@ -185,7 +186,7 @@ def density_groups(df: DataFrame, id_col: str, coords: Sequence[str], eps: float
     # Border points: non-core points of sparse cells, joined to the core points nearby.
     loose = sparse.join(core_ids, id_col, "left_anti")
     probe_b = with_neighbour_cells(
-        loose.select(*keys, F.col(id_col).alias("_pid"), *[F.col(c).alias(f"_p{i}") for i, c in enumerate(cs)]),
+        spread(loose.select(*keys, F.col(id_col).alias("_pid"), *[F.col(c).alias(f"_p{i}") for i, c in enumerate(cs)]), "_pid"),
         [f"_p{i}" for i in range(dims)], side, offsets=every)
     core_pos = with_cells(named, cs, side).groupBy(*keys, *ks, *cs).agg(F.min("_core_label").alias("_core_label"))
     border = (probe_b.join(core_pos, [*keys, *ks])

@@ -243,3 +243,11 @@ def island_ids(df: DataFrame, keys: Sequence[str], order: Sequence[str], breaks:
 def broadcast_if_small(df: DataFrame, limit: int = 200_000) -> DataFrame:
     """Hint a broadcast only after counting the rows; a larger table joins by shuffle."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition into the session's shuffle partitions ahead of a step that multiplies rows.
+
+    Adaptive execution would otherwise merge the small input into few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
