@@ -52,3 +52,17 @@ def ecliptic_directions(df: DataFrame, mjd: str, epoch: str, observer: tuple[str
         (v[c] / F.sqrt(v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"])).alias("u" + c) for c in "xyz"]))
     out = df.withColumn("_dir", F.element_at(unit, 1))
     return out.withColumns({c: F.col("_dir")[c] for c in ("ux", "uy", "uz")}).drop("_dir")
+
+
+def field_candidates(orbits: DataFrame, epochs: DataFrame, field: tuple[float, float, float], radius_deg: float, motion_deg: float, latitude_deg: float, limit: float = 20.8) -> DataFrame:
+    """Orbits that can reach a field: cheap orbit tests first, then any sample epoch within radius + motion.
+
+    ``epochs`` holds the few sample times with the observer's position (mjd, ox, oy, oz); they are
+    read as one array, so each surviving orbit is expanded to its own samples.
+    """
+    cheap = orbits.filter(latitude_reachable("inc", latitude_deg) & brightness_reachable("a", "e", "h", limit))
+    samples = epochs.agg(F.collect_list(F.struct("mjd", "ox", "oy", "oz")).alias("_s"))  # sampling step bounds the list
+    each = cheap.crossJoin(F.broadcast(samples)).withColumn("_e", F.explode("_s")).select(*cheap.columns, "_e.*")
+    v = ecliptic_directions(each, "mjd", "epoch", ("ox", "oy", "oz"), "a", "e", "inc", "node", "peri", "anomaly", "motion")
+    cosine = F.col("ux") * field[0] + F.col("uy") * field[1] + F.col("uz") * field[2]
+    return v.filter(cosine >= math.cos(math.radians(radius_deg + motion_deg))).groupBy("orbit").agg(F.count(F.lit(1)).alias("n_epochs"))
