@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.llm.adaptive_rules import quality_rules
 from skyloom.llm.ngram_join import jaccard_components
+from skyloom.llm.url_filter import filter_urls, with_parts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +51,75 @@ FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r
 @query("op9_ngram_jaccard", OP9_SQL)
 def op9(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH cut AS (
+    SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+    SELECT page_id, url, regexp_extract(rest, '^[^/?#]*', 0) AS h0, substring(rest, length(regexp_extract(rest, '^[^/?#]*', 0)) + 1) AS tail FROM cut),
+named AS (
+    SELECT page_id, url, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(tail, '^[^?#]*', 0) AS path,
+        list_sort(list_filter(string_split(regexp_extract(tail, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_'))) AS q
+    FROM parts),
+canon AS (
+    SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/$', '')
+        || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS c FROM named),
+listed AS (SELECT c FROM canon WHERE c IS NOT NULL GROUP BY c HAVING count(*) > 1),
+rules(verdict, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/'))
+SELECT page_id, host, path,
+    (SELECT rh || rp FROM rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) ORDER BY length(rh || rp) DESC LIMIT 1) AS rule,
+    coalesce((SELECT verdict FROM rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) ORDER BY length(rh || rp) DESC LIMIT 1),
+        CASE WHEN c IN (SELECT c FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+FROM canon
+"""
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query("op8_url_filter", OP8_SQL)
+def op8(spark, sf_dir):
+    """Listed here: pages that the crawl holds more than once under one canonical URL."""
+    pages = table(spark, sf_dir, "pages")
+    listed = with_parts(pages.select("url")).filter("canonical IS NOT NULL").groupBy("canonical").agg(
+        F.count(F.lit(1)).alias("n"), F.min("url").alias("url")).filter("n > 1").select("url")
+    return filter_urls(pages, listed, URL_RULES)
+
+
+def _op10_sql() -> str:
+    value = "CASE {m} WHEN 'word_length' THEN CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END WHEN 'symbols' THEN CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END WHEN 'lines' THEN CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END ELSE CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END END"
+    return r"""
+WITH base AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM base),
+win AS (SELECT r, i, hash(ws[i:i + 7]) AS h FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, h) AS c FROM win) WHERE c > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM again, range(8) AS s(k) GROUP BY r),
+counts AS (
+    SELECT w.r, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
+        CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+    FROM w LEFT JOIN covered USING (r)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts),
+measures(m, least, has_low) AS (VALUES ('word_length', 40, true), ('symbols', 25, false), ('lines', 40, false), ('repeats', 40, false)),
+vals AS (SELECT r, lang, source, base_failed, m, least, has_low, """ + value.format(m="m") + r""" AS x FROM judged, measures),
+cells AS (SELECT lang, source, m, least, has_low, (x >> greatest(length(bin(x)) - 6, 0)) << greatest(length(bin(x)) - 6, 0) AS b, count(*) AS n
+    FROM vals WHERE NOT base_failed GROUP BY ALL),
+levels AS (
+    SELECT 0 AS lv, lang, source, m, least, has_low, b, n FROM cells
+    UNION ALL SELECT 1, lang, NULL, m, least, has_low, b, sum(n) FROM cells GROUP BY ALL
+    UNION ALL SELECT 2, NULL, NULL, m, least, has_low, b, sum(n) FROM cells GROUP BY ALL),
+ranked AS (SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, m ORDER BY b) AS s, sum(n) OVER (PARTITION BY lv, lang, source, m) AS a FROM levels),
+quart AS (SELECT lv, lang, source, m, least, has_low, max(a) AS a, min(CASE WHEN 4 * s >= a THEN b END) AS q1, min(CASE WHEN 4 * s >= 3 * a THEN b END) AS q3
+    FROM ranked GROUP BY ALL),
+lim AS (SELECT lv, lang, source, m, a, CASE WHEN has_low THEN q1 - 6 * greatest(q3 - q1, least) END AS low, q3 + 6 * greatest(q3 - q1, least) AS high FROM quart),
+picked AS (
+    SELECT v.r, v.x, CASE WHEN s.a >= 100 THEN s.low WHEN l.a >= 100 THEN l.low ELSE c.low END AS low, CASE WHEN s.a >= 100 THEN s.high WHEN l.a >= 100 THEN l.high ELSE c.high END AS high
+    FROM vals v LEFT JOIN lim s ON s.lv = 0 AND s.m = v.m AND s.lang IS NOT DISTINCT FROM v.lang AND s.source IS NOT DISTINCT FROM v.source
+    LEFT JOIN lim l ON l.lv = 1 AND l.m = v.m AND l.lang IS NOT DISTINCT FROM v.lang LEFT JOIN lim c ON c.lv = 2 AND c.m = v.m),
+verdicts AS (SELECT r, bool_and(coalesce(x <= high AND (low IS NULL OR x >= low), false)) AS ok FROM picked GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept FROM judged JOIN verdicts USING (r)
+"""
+
+
+@query("op10_adaptive_rules", _op10_sql())
+def op10(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"))
