@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.adaptive_rules import quality_rules
+from skyloom.llm import language_id
 from skyloom.llm.ngram_join import jaccard_components
 from skyloom.llm.url_filter import filter_urls, with_parts
 
@@ -123,3 +124,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 @query("op10_adaptive_rules", _op10_sql())
 def op10(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def fold(divisor: int, rest: int):
+    """True for rows whose crc32(doc_id as text) leaves ``rest``; a NULL id belongs to no fold."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == rest, F.lit(False))
+
+
+@query("op3_language_id")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(3, 1))
+    model = language_id.train(docs.filter("NOT held_out AND doc_id IS NOT NULL").select("text", "lang"))
+    found = language_id.identify(docs, model, ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
