@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skyloom.llm.hashing import Powers, Words, mix, text_slices
+from skyloom.llm.hashing import _BASE, Powers, Words, mix, text_slices
 from skyloom.llm.scratch import Scratch
 from skyloom.operators.components import connected_components
 
-BUCKET_BITS = 18  # counters of repeated shingles, whatever the input's size
+BUCKET_BITS = 21  # counters of repeated shingles, whatever the input's size: 2 MB
 FILTER_BITS = 24  # the largest filter of candidate keys: 2 MB
 _SEEDS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
@@ -133,16 +133,17 @@ def _full_sets(width: int, num: int, den: int, classes, bits):
         def held(at):
             return (table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
-        def arrays(values, doc, keep):
+        def arrays(values, doc, keep, kind=np.int64):
             counts = np.bincount(doc, minlength=len(keep))[keep]
             chosen = values[np.isin(doc, np.flatnonzero(keep))]
             ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(chosen.view(np.int64)))
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(chosen.view(np.int64).astype(kind)))
 
         for batch in batches:
-            for _, data, offsets in text_slices(batch):
+            for rows, data, offsets in text_slices(batch):
                 sets = _Sets(data, offsets, powers, width, None)
-                bare = sets.key.view(np.uint64)
+                ids = rows.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
+                bare = _tag(sets.key, ids)
                 keep = held(bare & mask) & held((bare >> np.uint64(FILTER_BITS)) & mask) & (sets.n > 0)
                 for i in np.flatnonzero(keep).tolist():
                     k = int(sets.key[i])
@@ -159,13 +160,18 @@ def _full_sets(width: int, num: int, den: int, classes, bits):
                     at = np.lexsort((rank, doc))
                     begin = np.searchsorted(doc, doc)
                     first = np.arange(len(at)) - begin < _prefix_length(sets.n, num, den)[doc]
-                    parts.append(arrays(tokens[at][first], doc[first], keep))
+                    # Half of each hash does to rule a shared shingle out.
+                    parts.append(arrays(tokens[at][first], doc[first], keep, np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(sets.key[keep]), pa.array(sets.n[keep]), arrays(tokens, doc, keep), *parts],
                                                  ["key", "n", "tokens", "second", "third"])
 
     return run
 
 
+def _tag(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return keys.view(np.uint64) ^ (ids.astype(np.int64).view(np.uint64) * _BASE)
+
+
 def _fits(a: str, b: str, num: int, den: int) -> Column:
     """Both sizes and the places of a shared shingle still allow the threshold."""
     na, nb = F.col(f"{a}size").bitwiseAND(0xFFFFFFFF), F.col(f"{b}size").bitwiseAND(0xFFFFFFFF)
@@ -181,12 +187,14 @@ class _Join:
 
     def describe(self) -> DataFrame:
         rows = self.scratch.put(self.docs.mapInArrow(_describe(self.width), "id long, n long, key long, bucket int, weight long"))
-        counted = rows.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("weight").alias("weight")).collect()
+        counted = rows.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.length(F.bin(F.sum("weight"))).cast("tinyint").alias("class")).toArrow()
         classes = np.zeros(1 << BUCKET_BITS, dtype=np.uint8)
-        for bucket, weight in counted:
-            classes[bucket] = weight.bit_length()
+        classes[counted.column("bucket").to_numpy()] = counted.column("class").to_numpy()
         self.classes = self.spark.sparkContext.broadcast(classes)
-        return rows.filter("bucket IS NULL").select("id", "n", "key")
+        described = rows.filter("bucket IS NULL").select("id", "n", "key")
+        # One document stands for each set: where sets are needed whole, only its text gives them.
+        self.first = self.scratch.put(described.groupBy("key").agg(F.min("id").alias("first")))
+        return described
 
     def shared(self) -> DataFrame:
         """Prefix rows of shingles that at least two different sets have there, with the first and last such set."""
@@ -201,24 +209,24 @@ class _Join:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (u, v) that share prefixes in the other orders and reach the threshold."""
         pairs = self.scratch.put(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        keys = pairs.select(F.explode(F.array("u", "v")).alias("key"))
-        count = pairs.count()
-        size = 1 << min(FILTER_BITS, max(10, (32 * count).bit_length()))
-        at = F.explode(F.array(F.col("key").bitwiseAND(size - 1), F.shiftrightunsigned("key", FILTER_BITS).bitwiseAND(size - 1)))
+        keys = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(self.first, "key")
+        size = 1 << min(FILTER_BITS, max(10, (32 * pairs.count()).bit_length()))
+        tag = F.col("key").bitwiseXOR(F.coalesce("first", F.lit(-1)) * F.lit(int(_BASE.view(np.int64))))
+        at = F.explode(F.array(tag.bitwiseAND(size - 1), F.shiftrightunsigned(tag, FILTER_BITS).bitwiseAND(size - 1)))
         bits = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
-            F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).collect()
+            F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).toArrow()
         table = np.zeros(size // 64, dtype=np.uint64)
-        for word, value in bits:
-            table[word] = np.uint64(value & 0xFFFFFFFFFFFFFFFF)
-        made = self.docs.mapInArrow(
+        table[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
+        sets = self.scratch.put(self.docs.mapInArrow(
             _full_sets(self.width, self.num, self.den, self.classes, self.spark.sparkContext.broadcast(table)),
-            "key long, n long, tokens array<long>, second array<long>, third array<long>")
-        sets = self.scratch.put(made.join(keys.distinct(), "key", "left_semi").dropDuplicates(["key"]))
+            "key long, n long, tokens array<long>, second array<int>, third array<int>"))
         side = lambda name: sets.select(F.col("key").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in sets.columns if c != "key"])
         both = pairs.join(side("u"), "u").join(side("v"), "v")
         both = both.filter(F.arrays_overlap("u_second", "v_second") & F.arrays_overlap("u_third", "v_third"))
         common = F.size(F.array_intersect("u_tokens", "v_tokens"))
-        return self.scratch.put(both.filter((self.den + self.num) * common >= self.num * (F.col("u_n") + F.col("v_n"))).select("u", "v"))
+        out = self.scratch.put(both.filter((self.den + self.num) * common >= self.num * (F.col("u_n") + F.col("v_n"))).select("u", "v"))
+        self.scratch.forget(1)
+        return out
 
     def mixed(self, shared: DataFrame, parts: DataFrame) -> DataFrame:
         """Rows of shingles that still lie in more than one component."""
@@ -262,8 +270,7 @@ class _Join:
             before, turn = crossing, turn + 1
             if last:
                 break
-        sets = described.filter("n > 0").groupBy("key").agg(F.min("id").alias("first"))
-        sets = sets.join(parts, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root"))
+        sets = self.first.join(parts, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root"))
         least = sets.groupBy("root").agg(F.min("first").alias("component_id"))
         of = sets.join(least, "root").select("key", "component_id")
         out = described.filter("n > 0").join(of, "key", "left").select(

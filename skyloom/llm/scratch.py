@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,11 +36,22 @@ class Scratch:
         path = f"{self.base}/{self.count}"
         df.write.parquet(path)
         self.paths.append(path)
+        # The shuffles behind a written table are done with; Spark removes their files as soon
+        # as nothing refers to them, which otherwise waits for the driver's next collection.
+        gc.collect()
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, keep: int = 1) -> None:
         """Delete all written tables but the last ``keep``."""
-        old, self.paths = (self.paths[:-keep], self.paths[-keep:]) if keep else (self.paths, [])
-        for path in old:
+        self._delete(self.paths[:len(self.paths) - keep])
+
+    def forget(self, back: int) -> None:
+        """Delete the table written ``back`` tables before the last."""
+        self._delete([self.paths[-1 - back]])
+
+    def _delete(self, paths: list[str]) -> None:
+        self.paths = [p for p in self.paths if p not in paths]
+        for path in paths:
             where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
