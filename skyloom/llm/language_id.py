@@ -169,7 +169,7 @@ def best_path(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndar
 
 def _label(model, penalty: float):
     def run(batches):
-        tables, known = CodePoints(), model.value
+        tables, known = CodePoints(), LanguageModel(**model.value)
         states = len(known.langs)
         names = pa.array(known.langs, pa.string())
         for batch in batches:
@@ -215,5 +215,5 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str | Column], pe
     if not model.langs:
         return kept.select(*[f.name for f in fields], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.array().cast(SPANS).alias("spans"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain values: executors need not import this module
     return kept.mapInArrow(_label(shared, penalty), f"{schema}, lang_pred string, score double, spans {SPANS}")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.adaptive_rules import quality_rules
-from skyloom.llm import language_id
+from skyloom.llm import language_id, secret_scan
 from skyloom.llm.ngram_join import jaccard_components
 from skyloom.llm.url_filter import filter_urls, with_parts
 
@@ -137,3 +137,18 @@ def op3(spark, sf_dir):
     model = language_id.train(docs.filter("NOT held_out AND doc_id IS NOT NULL").select("text", "lang"))
     found = language_id.identify(docs, model, ["doc_id", "held_out"])
     return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+def _joined(spans):
+    """``kind:start:end`` of spans, comma-joined."""
+    parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return F.array_join(parts, ",")
+
+
+@query("op4_secret_scan")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.train(docs), ["doc_id"])
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined("spans").alias("spans"))
