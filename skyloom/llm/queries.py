@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.adaptive_rules import quality_rules
-from skyloom.llm import language_id, secret_scan
+from skyloom.llm import language_id, packing, secret_scan
 from skyloom.llm.ngram_join import jaccard_components
 from skyloom.llm.url_filter import filter_urls, with_parts
 
@@ -152,3 +152,10 @@ def op4(spark, sf_dir):
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"] != "markov")
     return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+@query("op7_packing")
+def op7(spark, sf_dir):
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
