@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.adaptive_rules import quality_rules
-from skyloom.llm import language_id, packing, secret_scan
+from skyloom.llm import language_id, packing, quality, secret_scan, toxicity
 from skyloom.llm.ngram_join import jaccard_components
+from skyloom.llm.scratch import Scratch
 from skyloom.llm.url_filter import filter_urls, with_parts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +160,20 @@ def op7(spark, sf_dir):
     import public_tokenizers
 
     return packing.pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query("op1_toxicity")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(5, 0))
+    learn = table(spark, sf_dir, "labels").filter(~fold(5, 0) & F.col("doc_id").isNotNull())
+    found = toxicity.score(docs, toxicity.train(docs, learn), ["doc_id", "held_out"])
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op2_quality")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(4, 2))
+    stats = Scratch(spark).put(quality.statistics(docs, ["doc_id", "held_out"]))  # the texts are read once
+    learn = table(spark, sf_dir, "labels").filter(~fold(4, 2) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("label"))
+    model = quality.train(stats.join(learn, "doc_id", "left"))
+    return quality.score(stats, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
