@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.adaptive_rules import quality_rules
-from skyloom.llm import language_id, packing, quality, secret_scan, toxicity
+from skyloom.llm import chunk_dedup, language_id, packing, quality, secret_scan, toxicity
 from skyloom.llm.ngram_join import jaccard_components
 from skyloom.llm.scratch import Scratch
 from skyloom.llm.url_filter import filter_urls, with_parts
@@ -177,3 +177,8 @@ def op2(spark, sf_dir):
     learn = table(spark, sf_dir, "labels").filter(~fold(4, 2) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("label"))
     model = quality.train(stats.join(learn, "doc_id", "left"))
     return quality.score(stats, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query("op6_chunk_dedup")
+def op6(spark, sf_dir):
+    return chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
