@@ -201,16 +201,30 @@ class _Join:
         rows = self.docs.mapInArrow(_prefixes(self.width, self.num, self.den, self.classes), "token long, key long, size long")
         # Tasks drop repeated sets they see; a set seen by several tasks counts once here by its key.
         w = Window.partitionBy("token")
-        rows = rows.withColumns({"lo": F.min(F.struct("key", "size")).over(w), "hi": F.max(F.struct("key", "size")).over(w)})
-        rows = rows.filter(F.col("lo.key") != F.col("hi.key"))
-        return self.scratch.put(rows.select("token", "key", "size", F.col("lo.key").alias("lo_key"), F.col("lo.size").alias("lo_size"),
-                                            F.col("hi.key").alias("hi_key"), F.col("hi.size").alias("hi_size")))
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (u, v) that share prefixes in the other orders and reach the threshold."""
+        rows = rows.withColumns({"lo": F.min("key").over(w), "hi": F.max("key").over(w)})
+        return self.scratch.put(rows.filter("lo <> hi").select("token", "key", "size"))
+
+    def star(self, rows: DataFrame, turn: int) -> DataFrame:
+        """Pairs of each set with two leaders of its shingles, from other components.
+
+        Copies of a text share with each other what each shares with the text, so the set whose
+        shingles are shared most leads: near copies of one text mostly meet that text.
+        """
+        common = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+        hub = rows.join(common, "token").groupBy("key").agg(F.sum("n").alias("hub"))
+        rows = rows.join(hub, "key")
+        lead = rows.groupBy("token").agg(F.max_by(F.struct("key", "size", "part", "hub"), F.struct("hub", "key")).alias("l"))
+        lead = lead.select("token", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("key", "size", "part", "hub")])
+        met = rows.join(lead, "token").filter((F.col("part") != F.col("l_part")) & _fits("", "l_", self.num, self.den))
+        two = F.array(F.max_by("l_key", F.struct("l_hub", "l_key")), F.max_by("l_key", F.xxhash64("l_key", F.lit(turn))))
+        return met.groupBy(F.col("key").alias("u")).agg(two.alias("v")).select("u", F.explode("v").alias("v"))
+
+    def verified(self, pairs: DataFrame) -> tuple[DataFrame, int]:
+        """Those of the pairs (u, v) that share prefixes in the other orders and reach the threshold, and how many were tested."""
         pairs = self.scratch.put(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         keys = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(self.first, "key")
-        size = 1 << min(FILTER_BITS, max(10, (32 * pairs.count()).bit_length()))
+        tested = pairs.count()
+        size = 1 << min(FILTER_BITS, max(10, (32 * tested).bit_length()))
         tag = F.col("key").bitwiseXOR(F.coalesce("first", F.lit(-1)) * F.lit(int(_BASE.view(np.int64))))
         at = F.explode(F.array(tag.bitwiseAND(size - 1), F.shiftrightunsigned(tag, FILTER_BITS).bitwiseAND(size - 1)))
         bits = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
@@ -221,12 +235,13 @@ class _Join:
             _full_sets(self.width, self.num, self.den, self.classes, self.spark.sparkContext.broadcast(table)),
             "key long, n long, tokens array<long>, second array<int>, third array<int>"))
         side = lambda name: sets.select(F.col("key").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in sets.columns if c != "key"])
-        both = pairs.join(side("u"), "u").join(side("v"), "v")
+        # The same joins at every size: the sets are large and the pairs grow with the input.
+        both = pairs.join(side("u").hint("merge"), "u").join(side("v").hint("merge"), "v")
         both = both.filter(F.arrays_overlap("u_second", "v_second") & F.arrays_overlap("u_third", "v_third"))
         common = F.size(F.array_intersect("u_tokens", "v_tokens"))
         out = self.scratch.put(both.filter((self.den + self.num) * common >= self.num * (F.col("u_n") + F.col("v_n"))).select("u", "v"))
         self.scratch.forget(1)
-        return out
+        return out, tested
 
     def mixed(self, shared: DataFrame, parts: DataFrame) -> DataFrame:
         """Rows of shingles that still lie in more than one component."""
@@ -240,36 +255,31 @@ class _Join:
         described = self.describe()
         shared = self.shared()
         num, den = self.num, self.den
-        lead = [shared.filter(F.col("key") != F.col(f"{x}_key")).filter(_fits("", f"{x}_", num, den)).select(F.col("key").alias("u"), F.col(f"{x}_key").alias("v"))
-                for x in ("lo", "hi")]
-        links = self.verified(lead[0].unionByName(lead[1]))
-        parts = self.scratch.put(connected_components(links))
-        before, turn = None, 0
+        rows = shared.withColumn("part", F.col("key"))
+        links, parts, turn = None, None, 0
         while True:
-            rows = self.mixed(shared, parts)
-            load = rows.groupBy("token", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(
-                F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
-            crossing, count = load[0] or 0, load[1] or 0
-            if not count:
-                break
-            # As long as leaders still thin the crossing pairs out and these are many, go on with leaders.
-            last = crossing <= 8 * count or (before is not None and crossing > 0.7 * before)
-            if last:
-                a, b = [rows.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("key", "size", "part")]) for x in ("a", "b")]
-                pairs = a.join(b, "token").filter((F.col("a_key") < F.col("b_key")) & (F.col("a_part") != F.col("b_part")) & _fits("a_", "b_", num, den))
-                pairs = pairs.select(F.col("a_key").alias("u"), F.col("b_key").alias("v"))
-            else:
-                lead_of = rows.groupBy("token").agg(F.min_by(F.struct("key", "size", "part"), F.xxhash64("key", F.lit(turn))).alias("l"))
-                lead_of = lead_of.select("token", F.col("l.key").alias("l_key"), F.col("l.size").alias("l_size"), F.col("l.part").alias("l_part"))
-                pairs = rows.join(lead_of, "token").filter((F.col("part") != F.col("l_part")) & _fits("", "l_", num, den))
-                pairs = pairs.select(F.col("key").alias("u"), F.col("l_key").alias("v"))
-            more = self.verified(pairs)
-            links = links.unionByName(more)
-            if not more.isEmpty():
+            pairs, last = self.star(rows, turn), False
+            if turn:
+                load = rows.groupBy("token", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(
+                    F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
+                crossing, count = load[0] or 0, load[1] or 0
+                if not count:
+                    break
+                # Leaders go on while they still link what they meet and all crossing pairs would be many.
+                last = crossing <= 8 * count or 10 * linked < tested
+                if last:
+                    a, b = [rows.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("key", "size", "part")]) for x in ("a", "b")]
+                    pairs = a.join(b, "token").filter((F.col("a_key") < F.col("b_key")) & (F.col("a_part") != F.col("b_part")) & _fits("a_", "b_", num, den))
+                    pairs = pairs.select(F.col("a_key").alias("u"), F.col("b_key").alias("v"))
+            more, tested = self.verified(pairs)
+            linked = more.count()
+            links = more if links is None else links.unionByName(more)
+            if linked or parts is None:
                 parts = self.scratch.put(connected_components(links))
-            before, turn = crossing, turn + 1
+            turn += 1
             if last:
                 break
+            rows = self.mixed(shared, parts)
         sets = self.first.join(parts, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root"))
         least = sets.groupBy("root").agg(F.min("first").alias("component_id"))
         of = sets.join(least, "root").select("key", "component_id")
