@@ -1,30 +1,79 @@
-"""Training-data pipeline over ``documents``: five stages, each one of the operators in ``skyloom.llm``."""
+"""Training-data pipeline over ``documents``: five stages, each one of the operators in ``skyloom.llm``.
+
+Every stage but the last returns the columns of its input.  Rows with a NULL ``doc_id`` go with the
+first stage: nothing could be decided about them later.
+"""
 
 from __future__ import annotations
 
 import os
 import sys
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from skyloom.llm import decontaminate, language_id, packing, secret_scan  # noqa: E402
 from skyloom.llm.ngram_join import jaccard_components  # noqa: E402
 from skyloom.llm.scratch import Scratch  # noqa: E402
 from skyloom.session import tune  # noqa: E402
 
+MIXED = 0.5  # a text with no language for at least half of its letters is rejected
+MARK = "[SECRET]"
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter or without a main language go; the others stay, with the language found."""
+    tune(spark)
+    model = language_id.train(docs.select("text", "lang"))
+    found = language_id.identify(docs.filter("doc_id IS NOT NULL").withColumn("_text", F.col("text")), model, ["_text", *[c for c in docs.columns if c != "text"]])
+    kept = found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIXED))
+    return kept.withColumn("text", F.col("_text")).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that Jaccard links reach, the one with the smallest id stays; a repeated row stays once."""
+    tune(spark)
+    others = jaccard_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "text"])  # grouped as the join left it, so without another exchange
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    tune(spark)
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark; all documents stay."""
+    tune(spark)
+    found = secret_scan.scan(docs, secret_scan.train(docs), [c for c in docs.columns if c != "text"], redact=MARK)
+    changed = F.size("spans") > 0
+    found = found.withColumn("text", F.col("redacted"))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
+
 
-def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that Jaccard links reach, the one with the smallest id stays."""
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenised documents and where they lie in sequences of 2048."""
     tune(spark)
-    of = jaccard_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(of, "doc_id", "left_anti").select(*docs.columns)
+    return packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json")))
 
 
-STAGES = [("near_duplicates", one_of_each_group)]
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_jaccard", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secret_scan", mask_secrets),
+    ("packing", pack_sequences),
+]
 
-# Language models, hashed digests and packing have no SQL form.
+# Language models, hashed digests and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

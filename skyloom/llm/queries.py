@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.adaptive_rules import quality_rules
-from skyloom.llm import chunk_dedup, language_id, packing, quality, secret_scan, toxicity
+from skyloom.llm import chunk_dedup, decontaminate, language_id, packing, quality, secret_scan, toxicity
 from skyloom.llm.ngram_join import jaccard_components
 from skyloom.llm.scratch import Scratch
 from skyloom.llm.url_filter import filter_urls, with_parts
@@ -182,3 +182,8 @@ def op2(spark, sf_dir):
 @query("op6_chunk_dedup")
 def op6(spark, sf_dir):
     return chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op5_decontaminate")
+def op5(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
