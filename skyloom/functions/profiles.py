@@ -8,15 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skyloom.functions.angles import _c
 
-BAZIN_FEATURES = T.StructType([
-    T.StructField(n, T.DoubleType())
-    for n in ("tau_ratio", "t_peak_off", "peak", "fwhm", "rise_time", "decay_time", "fluence")])
-# Fixed values of the feature grid: rise times before and fall times after t0, points.
-GRID_BEFORE, GRID_AFTER, GRID_POINTS = 12, 18, 6000
+BAZIN_FEATURES = ["tau_ratio", "t_peak_off", "peak", "fwhm", "rise_time", "decay_time", "fluence"]
+# The profile is looked at from 12 rise times before to 18 fall times after t0.
+BEFORE, AFTER = 12.0, 18.0
+HALVINGS, PANELS = 50, 2000
 
 
 def _clip50(x: Column) -> Column:
@@ -42,24 +40,42 @@ def bazin_exposed(t, a, t0, tau_rise, tau_fall, offset, exposure: float, supersa
     return total / supersample
 
 
-@F.pandas_udf(BAZIN_FEATURES)
-def bazin_features(a: pd.Series, t0: pd.Series, tau_rise: pd.Series, tau_fall: pd.Series) -> pd.DataFrame:
-    """Shape descriptors of fitted profiles, on a fixed grid per profile."""
-    av, tv, rv, fv = (s.to_numpy(dtype=float) for s in (a, t0, tau_rise, tau_fall))
-    out = np.full((len(av), 7), np.nan)
-    ratio_ok = rv > 0
-    out[ratio_ok, 0] = fv[ratio_ok] / rv[ratio_ok]
-    unit = np.linspace(0.0, 1.0, GRID_POINTS)
-    for i in np.flatnonzero(np.isfinite(av) & (av > 0) & (rv > 0) & (fv > 0)):
-        start, stop = tv[i] - GRID_BEFORE * rv[i], tv[i] + GRID_AFTER * fv[i]
-        grid = start + (stop - start) * unit
-        dt = grid - tv[i]
-        shape = av[i] * np.exp(np.clip(-dt / fv[i], -50, 50)) / (1 + np.exp(np.clip(-dt / rv[i], -50, 50)))
-        top = int(shape.argmax())
-        high = np.flatnonzero(shape >= shape[top] / 2)
-        lo, hi = grid[high[0]], grid[high[-1]]
-        out[i, 1:] = (grid[top] - tv[i], shape[top], hi - lo, grid[top] - lo, hi - grid[top], np.trapezoid(shape, grid))
-    return pd.DataFrame(out, columns=BAZIN_FEATURES.names)
+def _shape(dt: Column, rise: Column, fall: Column) -> Column:
+    return F.exp(_clip50(-dt / fall)) / (1.0 + F.exp(_clip50(-dt / rise)))
+
+
+def _halving(inside: Column, outside: Column, level: Column, rise: Column, fall: Column) -> Column:
+    """Where the profile crosses ``level`` between a point above it and one below."""
+    start = F.struct(inside.cast("double").alias("i"), outside.cast("double").alias("o"), level.alias("v"), rise.alias("r"), fall.alias("f"))
+
+    def step(s, _):
+        mid = (s["i"] + s["o"]) / 2
+        above = _shape(mid, s["r"], s["f"]) >= s["v"]
+        return F.struct(F.when(above, mid).otherwise(s["i"]).alias("i"), F.when(above, s["o"]).otherwise(mid).alias("o"), s["v"].alias("v"), s["r"].alias("r"), s["f"].alias("f"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, step, lambda s: s["i"])
+
+
+def bazin_features(a, t0, tau_rise, tau_fall) -> Column:
+    """Shape descriptors of a fitted profile, as a struct of ``BAZIN_FEATURES``.
+
+    The derivative vanishes at ``rise * ln(fall / rise - 1)``, limited to the range looked at (a
+    profile that falls faster than it rises is highest at the range's start).  Half-maximum
+    crossings are found by halving, the fluence by the trapezoidal rule.  All but the ratio are
+    NULL unless amplitude and both times are positive.
+    """
+    a, rise, fall = _c(a), _c(tau_rise), _c(tau_fall)
+    first, last = -BEFORE * rise, AFTER * fall
+    top_at = F.when(fall > rise, F.least(F.greatest(rise * F.log(fall / rise - 1), first), last)).otherwise(first)
+    top = _shape(top_at, rise, fall)
+    left = F.when(_shape(first, rise, fall) >= top / 2, first).otherwise(_halving(top_at, first, top / 2, rise, fall))
+    right = F.when(_shape(last, rise, fall) >= top / 2, last).otherwise(_halving(top_at, last, top / 2, rise, fall))
+    width = (last - first) / PANELS
+    inner = F.aggregate(F.sequence(F.lit(1), F.lit(PANELS - 1)), F.lit(0.0), lambda s, i: s + _shape(first + width * i, rise, fall))
+    area = width * (inner + (_shape(first, rise, fall) + _shape(last, rise, fall)) / 2)
+    fine = (a > 0) & (rise > 0) & (fall > 0)
+    values = [fall / F.when(rise > 0, rise), top_at, a * top, right - left, top_at - left, right - top_at, a * area]
+    return F.struct(*[(v if n == "tau_ratio" else F.when(fine, v)).alias(n) for n, v in zip(BAZIN_FEATURES, values)])
 
 
 def exposed_sinusoid(t_min, period_min, cadence_min: float, phase=0.0) -> Column:
@@ -94,36 +110,57 @@ def _emg_pdf(z: np.ndarray, k: float) -> np.ndarray:
 
 
 # Fixed values of the flare placement: largest shape parameter, level that bounds the
-# active part, margin on either side, points of the calibration grid.
-K_MAX, ACTIVE_LEVEL, MARGIN, FINE_POINTS = 8.0, 0.05, 0.05, 5000
+# active part, margin on either side of it.
+K_MAX, ACTIVE_LEVEL, MARGIN = 8.0, 0.05, 0.05
+
+
+def _root(positive: float, negative: float, fn) -> float:
+    """Where ``fn`` changes sign between a point where it is positive and one where it isn't."""
+    for _ in range(60):
+        mid = (positive + negative) / 2
+        if fn(mid) > 0:
+            positive = mid
+        else:
+            negative = mid
+    return positive
+
+
+def flare_extent(k: float) -> tuple[float, float]:
+    """Where the density of shape ``k`` passes ``ACTIVE_LEVEL`` of its maximum, rising and falling.
+
+    A Gaussian with an exponential tail has its maximum where it crosses the bare Gaussian:
+    its derivative is their difference over ``k``.
+    """
+    density = lambda z: float(_emg_pdf(np.array(z), k))
+    far = 5 + 10 * k
+    mode = 0.0 if k < 1e-6 else _root(-5.0, far, lambda z: math.exp(-0.5 * z * z) / math.sqrt(2 * math.pi) - density(z))
+    above = lambda z: density(z) - ACTIVE_LEVEL * density(mode)
+    return _root(mode, -5.0, above), _root(mode, far, above)
 
 
 def emg_flare(duty_frac: float = 0.6, cadence_min: float = 10.0):
     """A pandas UDF (K, minutes since start, event minutes) to flux before unit scaling.
 
-    The asymmetric flare is integrated exactly over each exposure; negative K mirrors it.
+    The asymmetric flare is integrated exactly over each exposure; negative K mirrors it.  Its
+    active part fills the duty fraction but for the margins.
     """
 
     @F.pandas_udf("double")
     def flux(k: pd.Series, t_min: pd.Series, event_min: pd.Series) -> pd.Series:
+        shape = np.clip(k.to_numpy(dtype=float), -1, 1)
+        window = event_min.to_numpy(dtype=float) / duty_frac
+        middle, half = t_min.to_numpy(dtype=float) / window, cadence_min / 2 / window
+        span = duty_frac * (1 - 2 * MARGIN)
         out = np.empty(len(k))
-        kv = np.clip(k.to_numpy(dtype=float), -1, 1)
-        tv, ev = t_min.to_numpy(dtype=float), event_min.to_numpy(dtype=float)
-        for shape in np.unique(kv):
-            rows = np.flatnonzero(kv == shape)
-            inner = abs(shape) * K_MAX
-            grid = np.linspace(-5, 5 + 10 * inner, FINE_POINTS)
-            pdf = _emg_pdf(grid, inner)
-            active = grid[pdf >= ACTIVE_LEVEL * pdf.max()]
-            width = duty_frac * (1 - 2 * MARGIN)
-            scale = width / (active[-1] - active[0])
-            loc = MARGIN - active[0] * scale
-            window = ev[rows] / duty_frac
-            start = MARGIN if shape >= 0 else 1 - (MARGIN + width)
-            tau = start + tv[rows] / window
-            half = cadence_min / 2 / window
-            lo, hi = (tau - half, tau + half) if shape >= 0 else (1 - tau - half, 1 - tau + half)
-            out[rows] = _emg_cdf((hi - loc) / scale, inner) - _emg_cdf((lo - loc) / scale, inner)
+        for value in np.unique(shape):
+            at = shape == value
+            inner = abs(value) * K_MAX
+            rising, falling = flare_extent(inner)
+            # From minutes to the density's units; a mirrored flare is read from its end backwards.
+            per = (falling - rising) / span
+            centre = middle[at] if value >= 0 else span - middle[at]
+            early, late = rising + (centre - half[at]) * per, rising + (centre + half[at]) * per
+            out[at] = _emg_cdf(late, inner) - _emg_cdf(early, inner)
         return pd.Series(out)
 
     return flux

@@ -14,7 +14,7 @@ from skyloom.operators.spatial import cell, euclid, with_cells, with_neighbour_c
 from skyloom.session import cut_lineage
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (u, v).
 
     Each round contracts every node into its neighbour of least random priority and then
@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     fwd = edges.select("u", "v").filter("u <> v")
     cur = cut_lineage(fwd.union(fwd.select("v", "u")).distinct())
     maps = []
-    for r in range(max_rounds):
+    for r in itertools.count():
         if cur.isEmpty():
             break
         pick = cur.groupBy("u").agg(F.min(F.struct(F.xxhash64("v", F.lit(r)).alias("p"), F.col("v").alias("n"))).alias("m"))
@@ -38,8 +38,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         by_u = attach(cur, f.select(F.col("node").alias("u"), F.col("parent").alias("fu")), ["u"])
         by_uv = attach(by_u, f.select(F.col("node").alias("v"), F.col("parent").alias("fv")), ["v"])
         cur = cut_lineage(by_uv.filter("fu <> fv").select(F.col("fu").alias("u"), F.col("fv").alias("v")).distinct())
-    else:
-        raise RuntimeError("components did not converge")
     if not maps:
         return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
     out = maps[0].select("node", F.col("parent").alias("root"))
@@ -59,6 +57,16 @@ def _half_offsets(dims: int, reach: int, side: float, eps: float) -> list[tuple[
     return out
 
 
+# Up to this many dimensions every neighbouring cell is listed.
+FULL_DIMS = 3
+
+
+def _shifted(df: DataFrame, ks: Sequence[str], offsets: list[tuple[int, ...]]) -> DataFrame:
+    """A copy of each row per offset, with the offset added to the cell numbers."""
+    table = F.array(*[F.array(*[F.lit(o).cast("long") for o in off]) for off in offsets])
+    return df.withColumn("_off", F.explode(table)).withColumns({k: F.col(k) + F.col("_off")[i] for i, k in enumerate(ks)}).drop("_off")
+
+
 def _boxes(points: DataFrame, by: Sequence[str], coords: Sequence[str], tag: str) -> DataFrame:
     aggs: list[Column] = []
     for i, c in enumerate(coords):
@@ -99,14 +107,19 @@ def _linked_cells(points: DataFrame, id_col: str, keys: Sequence[str], coords: S
         F.min(id_col).alias("_cell"), F.count(F.lit(1)).alias("_n"),
         *[a for i, c in enumerate(coords) for a in (F.min(c).alias(f"_lo{i}"), F.max(c).alias(f"_hi{i}"))])
     cells = cut_lineage(cells)
-    reach = math.ceil(math.sqrt(dims)) + 1 if dims > 1 else 1
-    offsets = _half_offsets(dims, reach, side, eps)
     ren = lambda tag: [F.col(f"_{b}{i}").alias(f"_{tag}{b}{i}") for i in range(dims) for b in ("lo", "hi")]
     a = spread(cells.select(*part, F.col("_cell").alias("_ca"), F.col("_n").alias("_na"), *ren("a")), "_ca")
-    table = F.array(*[F.array(*[F.lit(o).cast("long") for o in off]) for off in offsets])
-    a = a.withColumn("_off", F.explode(table)).withColumns({k: F.col(k) + F.col("_off")[i] for i, k in enumerate(ks)}).drop("_off")
     b = cells.select(*part, F.col("_cell").alias("_cb"), F.col("_n").alias("_nb"), *ren("b"))
-    pairs = a.join(b, part).withColumn("_near", _box_near(dims)).filter(F.col("_near") <= eps).withColumn("_far", _box_far(dims))
+    if dims <= FULL_DIMS:
+        reach = math.ceil(math.sqrt(dims)) + 1 if dims > 1 else 1
+        a, b, met = _shifted(a, ks, _half_offsets(dims, reach, side, eps)), b, F.lit(True)
+    else:
+        # Too many neighbours to list: cells meet in blocks of side eps of the first dimensions.
+        part = [*keys, *[f"_g{i}" for i in range(FULL_DIMS)]]
+        block = lambda d, tag: d.withColumns({f"_g{i}": cell(f"_{tag}lo{i}", eps) for i in range(FULL_DIMS)}).drop(*ks)
+        a = _shifted(block(a, "a"), [f"_g{i}" for i in range(FULL_DIMS)], list(itertools.product(range(-2, 3), repeat=FULL_DIMS)))
+        b, met = block(b, "b"), F.col("_ca") < F.col("_cb")
+    pairs = a.join(b, part).filter(met).withColumn("_near", _box_near(dims)).filter(F.col("_near") <= eps).withColumn("_far", _box_far(dims))
     pairs = cut_lineage(pairs.select("_ca", "_cb", (F.col("_far") <= eps).alias("_sure")))
     members = attach(placed, cells.select(*part, "_cell", "_n"), part).drop("_n", *ks)
     sure = pairs.filter("_sure").select(F.col("_ca").alias("u"), F.col("_cb").alias("v"))
@@ -165,18 +178,24 @@ def density_groups(df: DataFrame, id_col: str, coords: Sequence[str], eps: float
     dims = len(coords)
     side = eps / math.sqrt(dims) * (1 - 1e-12)
     ks = [f"_k{i}" for i in range(dims)]
-    reach = math.ceil(math.sqrt(dims)) + 1 if dims > 1 else 1
-    half = _half_offsets(dims, reach, side, eps)
-    every = [tuple([0] * dims), *half, *[tuple(-o for o in off) for off in half]]
+    # Neighbours meet in cells where these are few enough to list, else in blocks of side eps of the first dimensions.
+    near_dims = min(dims, FULL_DIMS)
+    near_side = side if dims <= FULL_DIMS else eps
+    if dims <= FULL_DIMS:
+        half = _half_offsets(dims, math.ceil(math.sqrt(dims)) + 1 if dims > 1 else 1, side, eps)
+        every = [tuple([0] * dims), *half, *[tuple(-o for o in off) for off in half]]
+    else:
+        every = list(itertools.product(range(-1, 2), repeat=near_dims))
+    near_ks = [f"_k{i}" for i in range(near_dims)]
     placed = group_stats(with_cells(pts, cs, side), [*keys, *ks], F.count(F.lit(1)).alias("_in_cell"))
     placed = cut_lineage(placed)
     sparse = placed.filter(F.col("_in_cell") < min_samples)
     # A sparse cell holds fewer than min_samples points, so this join grows linearly.
     probe = with_neighbour_cells(
         spread(sparse.select(*keys, F.col(id_col).alias("_pid"), *[F.col(c).alias(f"_p{i}") for i, c in enumerate(cs)]), "_pid"),
-        [f"_p{i}" for i in range(dims)], side, offsets=every)
-    copies = placed.groupBy(*keys, *ks, *cs).agg(F.count(F.lit(1)).alias("_copies"))
-    reach_df = probe.join(copies, [*keys, *ks]).filter(
+        [f"_p{i}" for i in range(near_dims)], near_side, offsets=every)
+    copies = with_cells(placed.drop(*ks), cs[:near_dims], near_side).groupBy(*keys, *near_ks, *cs).agg(F.count(F.lit(1)).alias("_copies"))
+    reach_df = probe.join(copies, [*keys, *near_ks]).filter(
         euclid([(F.col(f"_p{i}"), F.col(c)) for i, c in enumerate(cs)]) <= eps)
     counts = reach_df.groupBy("_pid").agg(F.sum("_copies").alias("_deg"))
     core_ids = counts.filter(F.col("_deg") >= min_samples).select(F.col("_pid").alias(id_col))
@@ -187,9 +206,9 @@ def density_groups(df: DataFrame, id_col: str, coords: Sequence[str], eps: float
     loose = sparse.join(core_ids, id_col, "left_anti")
     probe_b = with_neighbour_cells(
         spread(loose.select(*keys, F.col(id_col).alias("_pid"), *[F.col(c).alias(f"_p{i}") for i, c in enumerate(cs)]), "_pid"),
-        [f"_p{i}" for i in range(dims)], side, offsets=every)
-    core_pos = with_cells(named, cs, side).groupBy(*keys, *ks, *cs).agg(F.min("_core_label").alias("_core_label"))
-    border = (probe_b.join(core_pos, [*keys, *ks])
+        [f"_p{i}" for i in range(near_dims)], near_side, offsets=every)
+    core_pos = with_cells(named, cs[:near_dims], near_side).groupBy(*keys, *near_ks, *cs).agg(F.min("_core_label").alias("_core_label"))
+    border = (probe_b.join(core_pos, [*keys, *near_ks])
               .filter(euclid([(F.col(f"_p{i}"), F.col(c)) for i, c in enumerate(cs)]) <= eps)
               .groupBy("_pid").agg(F.min("_core_label").alias("_core_label"))
               .select(F.col("_pid").alias(id_col), "_core_label"))

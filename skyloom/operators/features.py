@@ -102,41 +102,61 @@ def shapiro_w(df: DataFrame, key: str, flux: str = "flux", tie: str = "pt") -> D
     return s.select(key, F.when(F.col("n") > 5, total * total / F.col("ss")).alias("shapiro_w"))
 
 
-def periodogram(df: DataFrame, key: str, time: str, flux: str, f_min: float, f_max: float, n_freq: int) -> DataFrame:
-    """C4: least-squares amplitude at each frequency of a grid.
+def frequency_grid(df: DataFrame, key: str, time: str, oversample: int = 5) -> DataFrame:
+    """C4: (key, df, n_freq) of each series' own grid: steps of 1 / (``oversample`` x time span), from one
+    step up to half the sampling rate (one over twice the median gap between different times)."""
+    times = df.select(key, time).distinct()
+    gaps = OrderedScan(times, [key], [time]).lag({"_before": time}).done().withColumn("_gap", F.col(time) - F.col("_before")).filter("_gap > 0")
+    mid = exact_percentiles(gaps, [key], {"_median": ("_gap", 0.5)})
+    span = times.groupBy(key).agg((F.max(time) - F.min(time)).alias("_span"))
+    grid = span.join(mid, key).filter("_span > 0").withColumn("df", 1 / (oversample * F.col("_span")))
+    return grid.select(key, "df", F.greatest(F.lit(0), F.ceil(1 / (2 * F.col("_median")) / F.col("df")) - 1).cast("long").alias("n_freq"))
+
+
+def periodogram(df: DataFrame, key: str, time: str, flux: str, grid: DataFrame | None = None) -> DataFrame:
+    """C4: least-squares amplitude at each frequency of a series' grid (key, df, n_freq); by default its own.
 
     Rows are range-partitioned by (series, time): short series stay together, a long one is cut
     into several tasks.  Every Arrow batch is reduced to trigonometric sums per (series,
     frequency), so the second exchange carries sums instead of points x frequencies.
     """
-    mean = df.groupBy(key).agg(F.avg(flux).alias("_m"), F.min(time).alias("_t0"))
-    rows = attach(df.select(key, time, flux), mean, [key]).select(key, (F.col(time) - F.col("_t0")).alias("t"), (F.col(flux) - F.col("_m")).alias("f"))
+    grid = frequency_grid(df, key, time) if grid is None else grid
+    mean = df.groupBy(key).agg(F.avg(flux).alias("_m"), F.min(time).alias("_t0")).join(grid, key)
+    rows = attach(df.select(key, time, flux), mean, [key]).filter("n_freq > 0").select(
+        key, (F.col(time) - F.col("_t0")).alias("t"), (F.col(flux) - F.col("_m")).alias("f"), "df", "n_freq")
     ktype = dict(df.dtypes)[key]
     names = ["cc", "ss", "cs", "fc", "fs"]
 
     def sums(batches):
-        grid = np.linspace(f_min, f_max, n_freq)
         for pdf in batches:
             for k, g in pdf.groupby(key, sort=False):
-                total = np.zeros((5, n_freq))
+                n, step = int(g["n_freq"].iat[0]), 2 * np.pi * float(g["df"].iat[0])
                 t, f = g["t"].to_numpy(float), g["f"].to_numpy(float)
-                for a in range(0, len(t), 2000):
-                    arg = 2 * np.pi * np.outer(t[a:a + 2000], grid)
-                    c, s = np.cos(arg), np.sin(arg)
-                    v = f[a:a + 2000, None]
-                    total += np.array([(c * c).sum(0), (s * s).sum(0), (c * s).sum(0), (v * c).sum(0), (v * s).sum(0)])
-                yield pd.DataFrame({key: k, "j": np.arange(n_freq), **dict(zip(names, total))})
+                # exp(i j x) = exp(i q m x) exp(i r x) for j = q m + r: all frequencies' sums are two matrix
+                # products, and the squares' sums are the plain sums at twice the frequency.
+                m = 64
+                plain = np.zeros((2 * n // m + 1, m), dtype=complex)
+                signal = np.zeros((n // m + 1, m), dtype=complex)
+                for lo in range(0, len(t), 2000):
+                    x, v = step * t[lo:lo + 2000], f[lo:lo + 2000]
+                    coarse = np.exp(1j * m * np.outer(np.arange(len(plain)), x))
+                    fine = np.exp(1j * np.outer(x, np.arange(m)))
+                    plain += coarse @ fine
+                    signal += (coarse[:len(signal)] * v) @ fine
+                j = np.arange(1, n + 1)
+                twice, one = plain.reshape(-1)[2 * j], signal.reshape(-1)[j]
+                yield pd.DataFrame({key: k, "j": j - 1, "frequency": j * float(g["df"].iat[0]), "cc": (len(t) + twice.real) / 2, "ss": (len(t) - twice.real) / 2,
+                                    "cs": twice.imag / 2, "fc": one.real, "fs": one.imag})
 
     rows = rows.repartitionByRange(key, "t").sortWithinPartitions(key)
-    part = rows.mapInPandas(sums, f"{key} {ktype}, j long, " + ", ".join(f"{n} double" for n in names))
-    s = part.groupBy(key, "j").agg(*[F.sum(n).alias(n) for n in names])
+    part = rows.mapInPandas(sums, f"{key} {ktype}, j long, frequency double, " + ", ".join(f"{n} double" for n in names))
+    s = part.groupBy(key, "j").agg(F.max("frequency").alias("frequency"), *[F.sum(n).alias(n) for n in names])
     # Where sine and cosine are not independent on the sampling there is no amplitude.
     det = F.col("cc") * F.col("ss") - F.col("cs") ** 2
     det = F.when(det > 1e-9 * F.col("cc") * F.col("ss"), det)
     a = (F.col("fc") * F.col("ss") - F.col("fs") * F.col("cs")) / det
     b = (F.col("fs") * F.col("cc") - F.col("fc") * F.col("cs")) / det
-    freq = F.lit(f_min) + F.col("j") * F.lit((f_max - f_min) / (n_freq - 1))
-    return s.select(key, "j", freq.alias("frequency"), F.sqrt(a * a + b * b).alias("power"))
+    return s.select(key, "j", "frequency", F.sqrt(a * a + b * b).alias("power"))
 
 
 def _prominences(p: np.ndarray, peaks: np.ndarray, wlen: int) -> np.ndarray:
@@ -151,17 +171,17 @@ def _prominences(p: np.ndarray, peaks: np.ndarray, wlen: int) -> np.ndarray:
     return out
 
 
-def periodogram_peaks(power: DataFrame, key: str, prominence: float = 3.0, distance: int = 20, wlen: int = 300) -> DataFrame:
-    """C4: peaks by falling prominence, grouped into signals and their harmonics.
+def prominent_peaks(power: DataFrame, key: str, prominence: float = 3.0, distance: int = 20, wlen: int = 300) -> DataFrame:
+    """C4: (key, peak, peak_freq, peak_power, prominence, step): local maxima, the most prominent first.
 
-    The power is measured in units of its mean.  One series' grid is a fixed number of rows.
+    The power is measured in units of its mean.  A grid is bounded by its series' sampling.
     """
     ktype = dict(power.dtypes)[key]
 
     def find(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("j")
         raw, freq = pdf["power"].to_numpy(float), pdf["frequency"].to_numpy(float)
-        p = raw / np.nanmean(raw)
+        p = np.nan_to_num(raw / np.nanmean(raw)) if np.isfinite(raw).any() else np.zeros(len(raw))
         idx = np.flatnonzero((p[1:-1] > p[:-2]) & (p[1:-1] > p[2:])) + 1
         keep = np.ones(len(idx), bool)
         for i in np.argsort(-p[idx], kind="stable"):
@@ -171,27 +191,43 @@ def periodogram_peaks(power: DataFrame, key: str, prominence: float = 3.0, dista
                 keep[close] = False
         idx = idx[keep]
         prom = _prominences(p, idx, wlen)
-        order = np.argsort(-prom[prom >= prominence], kind="stable")
-        idx, prom = idx[prom >= prominence][order], prom[prom >= prominence][order]
-        f, err = freq[idx], 3 * float(np.median(np.diff(freq)))
-        signal, harmonic, number = np.zeros(len(f), int), np.zeros(len(f), int), 1
-        while (signal == 0).any():
-            open_ = np.flatnonzero(signal == 0)
-            ratio = f[open_] / f[open_[0]]
-            same = np.round(ratio, 1) - np.floor(ratio) <= err
-            same[0] = True
-            signal[open_[same]], harmonic[open_[same]] = number, np.floor(ratio[same])
-            number += 1
-        return pd.DataFrame({key: k[0], "peak": np.arange(1, len(f) + 1), "peak_freq": f, "peak_power": raw[idx], "prominence": prom, "signal_num": signal, "harmonic": harmonic})
+        idx, prom = idx[prom >= prominence], prom[prom >= prominence]
+        order = np.argsort(-prom, kind="stable")
+        step = float(freq[-1] - freq[0]) / (len(freq) - 1) if len(freq) > 1 else 0.0
+        return pd.DataFrame({key: k[0], "peak": np.arange(1, len(idx) + 1), "peak_freq": freq[idx[order]], "peak_power": raw[idx[order]], "prominence": prom[order], "step": step})
+
+    return power.groupBy(key).applyInPandas(find, f"{key} {ktype}, peak long, peak_freq double, peak_power double, prominence double, step double")
+
+
+def periodogram_peaks(power: DataFrame, key: str, prominence: float = 3.0, distance: int = 20, wlen: int = 300) -> DataFrame:
+    """C4: peaks by falling prominence, as signals and their harmonics.
+
+    Each peak joins the first signal of whose leading frequency it is a harmonic, to a tenth and
+    three grid steps; a peak that is of none leads a new signal.
+    """
+    peaks = prominent_peaks(power, key, prominence, distance, wlen)
+    ranked = peaks.groupBy(key).agg(F.max("step").alias("step"), F.array_sort(F.collect_list(F.struct("peak", "peak_freq", "peak_power", "prominence"))).alias("peaks"))
+    leads = F.array().cast("array<double>")
+    told = F.array().cast("array<struct<signal_num:bigint,harmonic:bigint>>")
+    start = F.struct(leads.alias("leads"), told.alias("told"), F.col("step").alias("step"))
+
+    def place(state, peak):
+        ratio = lambda lead: peak["peak_freq"] / lead
+        fits = F.transform(state["leads"], lambda lead: F.bround(ratio(lead), 1) - F.floor(ratio(lead)) <= 3 * state["step"])
+        first = F.array_position(fits, True)
+        new = first == 0
+        own = F.when(new, F.struct((F.size(state["leads"]) + 1).cast("long").alias("signal_num"), F.lit(1).cast("long").alias("harmonic"))).otherwise(
+            F.struct(first.cast("long").alias("signal_num"), F.floor(ratio(F.get(state["leads"], first - 1))).cast("long").alias("harmonic")))
+        grown = F.when(new, F.concat(state["leads"], F.array(peak["peak_freq"]))).otherwise(state["leads"])
+        return F.struct(grown.alias("leads"), F.concat(state["told"], F.array(own)).alias("told"), state["step"].alias("step"))
 
-    schema = f"{key} {ktype}, peak long, peak_freq double, peak_power double, prominence double, signal_num long, harmonic long"
-    return power.groupBy(key).applyInPandas(find, schema)
+    numbered = ranked.select(key, F.explode(F.arrays_zip("peaks", F.aggregate("peaks", start, place, lambda s: s["told"]).alias("told"))).alias("_z"))
+    return numbered.select(key, *[F.col(f"_z.peaks.{c}").alias(c) for c in ("peak", "peak_freq", "peak_power", "prominence")], "_z.told.signal_num", "_z.told.harmonic")
 
 
-def best_period(power: DataFrame, key: str) -> DataFrame:
-    """C4: period of the strongest frequency of each series."""
-    best = power.groupBy(key).agg(F.min(F.struct((-F.col("power")).alias("p"), "j", "frequency")).alias("_b"))
-    return best.select(key, (1 / F.col("_b.frequency")).alias("period"))
+def best_period(power: DataFrame, key: str, prominence: float = 3.0, distance: int = 20, wlen: int = 300) -> DataFrame:
+    """C4: period of the most prominent peak of each series; series without a peak have none and are left out."""
+    return prominent_peaks(power, key, prominence, distance, wlen).filter("peak = 1").select(key, (1 / F.col("peak_freq")).alias("period"))
 
 
 def fourier_features(df: DataFrame, key: str, periods: DataFrame, time: str = "t", flux: str = "flux", order: int = 3) -> DataFrame:
@@ -239,16 +275,17 @@ def folded_features(df: DataFrame, key: str, periods: DataFrame, tie: str, time:
                                            (F.col("_range") / F.col("_n") / F.col("_sd")).alias("phase_cusum"), "slope_per10", "slope_per90")
 
 
-def feature_table(df: DataFrame, key: str, tie: str, periods: DataFrame | None = None, time: str = "t", flux: str = "flux", f_min: float = 0.01, f_max: float = 0.5, n_freq: int = 400) -> DataFrame:
-    """The 21 features of every series; series with an undefined feature are dropped."""
+def feature_table(df: DataFrame, key: str, tie: str, periods: DataFrame | None = None, time: str = "t", flux: str = "flux", prominence: float = 3.0) -> DataFrame:
+    """The 21 features of every series; series with an undefined feature, as one
+    without a prominent period, are dropped."""
     if periods is None:
-        periods = best_period(periodogram(df, key, time, flux, f_min, f_max, n_freq), key)
+        periods = best_period(periodogram(df, key, time, flux), key, prominence)
     out = non_periodic_features(df, key, [time, tie], flux).join(shapiro_w(df, key, flux, tie), key).join(periods, key)
     out = out.join(fourier_features(df, key, periods, time, flux), key).join(folded_features(df, key, periods, tie, time, flux), key)
     return out.select(key, *FEATURE_NAMES).dropna()
 
 
-def random_forest(train: DataFrame, features: Sequence[str], label: str, trees: int = 200, sample: float = 0.66, seed: int = 7, max_depth: int = 5):
+def random_forest(train: DataFrame, features: Sequence[str], label: str, trees: int = 200, sample: float = 0.66, seed: int = 7, max_depth: int = 30):
     """Fitted random forest (Gini, sqrt features, 0.66 sample) with its label index and assembler."""
     index = StringIndexer(inputCol=label, outputCol="_label").fit(train)
     pack = VectorAssembler(inputCols=list(features), outputCol="_features")

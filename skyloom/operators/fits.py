@@ -98,17 +98,21 @@ def fit_events(windows: DataFrame, keys: Sequence[str], exposure: float = 0.0, s
     return windows.select(*keys, "t", "flux", "err", "t_start", "t_end").groupBy(*keys).applyInPandas(fit, schema)
 
 
-def event_windows(events: DataFrame, lc: DataFrame, keys: Sequence[str], event: str, cadence: float, n_durations: float = 3.0, max_events: int | None = 10) -> DataFrame:
+def busy_objects(events: DataFrame, keys: Sequence[str], max_events: int) -> DataFrame:
+    """Objects with more than ``max_events`` positive events, and how many."""
+    return events.filter("flux_sign > 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_events")).filter(F.col("n_events") > max_events)
+
+
+def event_windows(events: DataFrame, lc: DataFrame, keys: Sequence[str], event: str, cadence: float, n_durations: float = 3.0, max_events: int | None = None) -> DataFrame:
     """Light-curve points within ``n_durations`` around each positive event.
 
-    Objects with more than ``max_events`` events are left out, as the fit table does.  Events reach their
-    points by equality on time blocks.
+    With ``max_events``, objects with more events are left out; ``busy_objects`` lists them.  Events
+    reach their points by equality on time blocks.
     """
     keys = list(keys)
     ev = events.filter("flux_sign > 0")
     if max_events is not None:
-        busy = ev.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= max_events)
-        ev = ev.join(busy.select(*keys), keys, "left_semi")
+        ev = ev.join(busy_objects(events, keys, max_events), keys, "left_anti")
     dur = F.greatest(F.col("t_end") - F.col("t_start"), F.lit(cadence))
     mid = (F.col("t_start") + F.col("t_end")) / 2
     ev = ev.select(*keys, event, "t_start", "t_end", (mid - n_durations * dur / 2).alias("_lo"), (mid + n_durations * dur / 2).alias("_hi"))
@@ -118,25 +122,28 @@ def event_windows(events: DataFrame, lc: DataFrame, keys: Sequence[str], event:
     return rows.filter(F.col("t").between(F.col("_lo"), F.col("_hi"))).select(*keys, event, "t", "flux", "err", "t_start", "t_end")
 
 
-def whitened(df: DataFrame, row: str, features: Sequence[str], variance: float = 0.99, max_components: int = 4) -> DataFrame:
-    """log10 of positive features, standardised, rotated to the components that explain
-    ``variance`` (at most ``max_components``) and scaled to unit variance: columns w0, w1, ..."""
+def whitened(df: DataFrame, row: str, features: Sequence[str], variance: float = 0.99, log: bool = True, whiten: bool = True) -> DataFrame:
+    """Features (their log10 with ``log``; rows without a usable value go), standardised and, with
+    ``whiten``, rotated to the components that explain ``variance`` and scaled to unit variance:
+    columns w0, w1, ..."""
     good = df
     for c in features:
-        good = good.filter(F.col(c) > 0)
-    logs = good.select(row, *[F.log10(c).alias(c) for c in features])
+        good = good.filter(F.col(c) > 0 if log else F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+    logs = good.select(row, *[(F.log10(c) if log else F.col(c).cast("double")).alias(c) for c in features])
     st = logs.agg(*[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
     z = logs.select(row, *[((F.col(c) - st[f"m_{c}"]) / (st[f"s_{c}"] or 1.0)).alias(c) for c in features])
+    if not whiten:
+        return z.select(row, *[F.col(c).alias(f"w{i}") for i, c in enumerate(features)])
     vec = VectorAssembler(inputCols=list(features), outputCol="v").transform(z)
     model = PCA(k=len(features), inputCol="v", outputCol="pc").fit(vec)
     share = np.cumsum(model.explainedVariance.toArray())
-    k = min(int(np.searchsorted(share, variance) + 1), max_components, len(features))
+    k = min(int(np.searchsorted(share, variance) + 1), len(features))
     pcs = model.transform(vec).select(row, vector_to_array("pc").alias("pc"))
     sd = pcs.agg(*[F.stddev_pop(F.col("pc")[i]).alias(f"s{i}") for i in range(k)]).first()
     return pcs.select(row, *[(F.col("pc")[i] / (sd[f"s{i}"] or 1.0)).alias(f"w{i}") for i in range(k)])
 
 
-def cluster_events(df: DataFrame, row: str, features: Sequence[str], eps: float = 0.5, min_samples: int = 10, **kw) -> DataFrame:
+def cluster_events(df: DataFrame, row: str, features: Sequence[str], eps: float = 0.5, min_samples: int = 15, **kw) -> DataFrame:
     """Density clusters of whitened fit features; -1 is noise and -2 a row with unusable features."""
     w = whitened(df, row, features, **kw)
     lab = density_groups(w, row, [c for c in w.columns if c != row], eps, min_samples, label="cluster")

@@ -104,7 +104,7 @@ def detect_sources(pixels: DataFrame, keys: Sequence[str], value: str = "v", mes
 
 def negative_extent(positions: DataFrame, pixels: DataFrame, keys: Sequence[str], row: str, value: str = "v", radius: float = 2.0) -> DataFrame:
     """Depth of the deepest negative pixel nearby in clipped standard deviations; outside counts as 0."""
-    kept = sigma_clip(pixels, keys, value, 3.0, 5).filter("kept")
+    kept = sigma_clip(pixels, keys, value, 3.0, 5, library=True).filter("kept")
     std = kept.groupBy(*keys).agg(F.stddev_pop(value).alias("_std"))
     offs = offsets(radius)
     near = stamp_pixels(positions, pixels, keys, offs, row).groupBy(*keys, row).agg(F.min(value).alias("_m"), F.count(F.lit(1)).alias("_n"))
@@ -145,7 +145,7 @@ def moving_aperture(positions: DataFrame, pixels: DataFrame, keys: Sequence[str]
     centres; pixels beyond five sigma of the frame are left out of the sky.
     """
     r_in, r_out = 2 * radius + 3, 2 * radius + 7
-    clipped = sigma_clip(pixels, keys, value, 5.0, 5)
+    clipped = sigma_clip(pixels, keys, value, 5.0, 5, library=True)
     pos = positions.withColumns({"y": F.floor(F.col("py") + 0.5), "x": F.floor(F.col("px") + 0.5)})
     near = stamp_pixels(pos, clipped, keys, offsets(int(np.ceil(r_out)) + 1, square=True), row)
     near = near.join(positions.select(*keys, row, "px", "py"), [*keys, row])
@@ -318,11 +318,12 @@ def resolve_units(df: DataFrame, zeropoints: DataFrame, keys: Sequence[str], uni
         "_zp", flux, err).withColumnsRenamed({"_f": flux, "_e": err})
 
 
-def calibration_zeropoint(stars: DataFrame, keys: Sequence[str], mag: str, max_err_factor: float = 3.0, rounds: int = 3, tolerance: float = 1e-3) -> DataFrame:
+def calibration_zeropoint(stars: DataFrame, keys: Sequence[str], mag: str, max_err_factor: float = 3.0, tolerance: float = 1e-3, rounds: int = 100) -> DataFrame:
     """Zero-point of a unit from fitted star fluxes, refitted on the stars that agree with it.
 
     ``stars`` has flux, e_flux and a catalogue magnitude; A16's error mask and A11's binned
-    combine are applied, outliers beyond five scatters leave, until the zero-point settles.
+    combine are applied, outliers beyond five scatters leave, until the zero-point settles; ``converged``
+    tells whether every unit did within ``rounds``.
     """
     from skyloom.operators.filters import keep_good_errors
     from skyloom.operators.robust import binned_zeropoint
@@ -336,9 +337,9 @@ def calibration_zeropoint(stars: DataFrame, keys: Sequence[str], mag: str, max_e
         new = cut_lineage(binned_zeropoint(cur, keys))
         if zp is not None:
             step = new.join(zp.select(*keys, F.col("zp_ab").alias("_old")), keys).agg(F.max(F.abs(F.col("zp_ab") - F.col("_old")))).first()[0]
-            if step is not None and step < tolerance:
-                return new
+            if step is None or step < tolerance:
+                return new.withColumn("converged", F.lit(True))
         zp = new
         lim = attach(good, zp.select(*keys, F.col("zp_ab").alias("_z"), F.col("zp_scatter").alias("_s")), keys)
         cur = lim.filter(F.abs(F.col("zp_ab") - F.col("_z")) <= F.greatest(5 * F.col("_s"), F.lit(1e-6))).drop("_z", "_s")
-    return zp
+    return zp.withColumn("converged", F.lit(False))

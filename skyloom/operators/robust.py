@@ -30,16 +30,21 @@ def median_mad(df: DataFrame, keys: Sequence[str], col: str, largest: int | None
     return med.join(mad, keys) if keys else med.crossJoin(F.broadcast(mad))
 
 
-def sigma_clip(df: DataFrame, keys: Sequence[str], col: str, nsigma: float = 3.0, max_iter: int = 5) -> DataFrame:
+def sigma_clip(df: DataFrame, keys: Sequence[str], col: str, nsigma: float = 3.0, max_iter: int = 5, library: bool = False) -> DataFrame:
     """Iterative clip around the median by population standard deviations; adds ``kept``.
 
-    A round is one aggregate over the rows inside the last bounds; only one row per key moves
-    on.  The loop ends when no key's statistics change.
+    By default a value on a bound goes and every round looks at all rows again.  With ``library``
+    (A5, P2, P7) a value on a bound stays, so that equal values survive a deviation of 0, and
+    what one round rejected never returns: the bounds only narrow.  A round is one aggregate
+    over the rows inside the last bounds; only one row per key moves on.  The loop ends when no
+    key's statistics change.
     """
     keys = list(keys)
-    good = df.filter(F.col(col).isNotNull() & ~F.isnan(col)).select(*keys, col)
+    # Every round reads the values: they are projected and materialised once, not recomputed per round.
+    good = cut_lineage(df.filter(F.col(col).isNotNull() & ~F.isnan(col)).select(*keys, col))
     largest = largest_group(good, keys)
-    inside = (F.col(col) > F.col("_lo")) & (F.col(col) < F.col("_hi"))
+    low, high = F.col("_lo"), F.col("_hi")
+    inside = (F.col(col) >= low) & (F.col(col) <= high) if library else (F.col(col) > low) & (F.col(col) < high)
     bounds, seen = None, None
     for _ in range(max_iter):
         cur = good if bounds is None else _attach_any(good, bounds, keys).filter(inside)
@@ -49,7 +54,12 @@ def sigma_clip(df: DataFrame, keys: Sequence[str], col: str, nsigma: float = 3.0
         if now == seen:
             break
         seen = now
-        bounds = stat.select(*keys, (F.col("_med") - nsigma * F.col("_std")).alias("_lo"), (F.col("_med") + nsigma * F.col("_std")).alias("_hi"))
+        new = stat.select(*keys, (F.col("_med") - nsigma * F.col("_std")).alias("_lo"), (F.col("_med") + nsigma * F.col("_std")).alias("_hi"))
+        if library and bounds is not None:
+            old = bounds.select(*keys, F.col("_lo").alias("_plo"), F.col("_hi").alias("_phi"))
+            both = new.join(old, keys) if keys else new.crossJoin(F.broadcast(old))
+            new = cut_lineage(both.select(*keys, F.greatest("_lo", "_plo").alias("_lo"), F.least("_hi", "_phi").alias("_hi")))
+        bounds = new
     return _attach_any(df, bounds, keys).withColumn("kept", F.coalesce(inside, F.lit(False))).drop("_lo", "_hi")
 
 
@@ -150,12 +160,13 @@ def flag_event_frames(events: DataFrame, max_frame: int, nsigma: float = 7.0, ke
     frame = F.least(F.greatest(F.col("frame_max") * F.col("frame_bin"), F.lit(0)), F.lit(max_frame))
     tagged = events.withColumn("_pf", frame)
     counts = tagged.groupBy(*keys, "_pf").agg(F.count(F.lit(1)).cast("double").alias("_c"))
-    kept = sigma_clip(counts, keys, "_c", nsigma).filter("kept")
+    kept = sigma_clip(counts, keys, "_c", nsigma, library=True).filter("kept")
     med = exact_percentiles(kept, keys, {"_med": ("_c", 0.5)})
     std = kept.groupBy(*keys).agg(F.stddev_pop("_c").alias("_std"))
     limit = med.join(std, list(keys)) if keys else med.crossJoin(F.broadcast(std))
     bad = _attach_any(counts, limit, keys).withColumn("bad_frame_flag", (F.col("_c") > F.col("_med") + nsigma * F.col("_std")).cast("long"))
-    return attach(tagged, bad.select(*keys, "_pf", "bad_frame_flag"), [*keys, "_pf"]).drop("_pf")
+    flagged = attach(tagged, bad.select(*keys, "_pf", "bad_frame_flag"), [*keys, "_pf"]).drop("_pf")
+    return flagged.withColumn("bad_frame_flag", F.coalesce("bad_frame_flag", F.lit(0).cast("long")))
 
 
 def weighted_stats(df: DataFrame, key: str, weight: str, columns: Sequence[str], first: Sequence[str] = (), order: str | None = None) -> DataFrame:

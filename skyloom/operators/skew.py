@@ -81,14 +81,23 @@ def _bracketed_percentiles(vals: DataFrame, keys: list[str], names: list[str], p
     """Percentiles of very large groups.
 
     A sketch brackets every wanted rank, rows outside the bracket are only counted, and the
-    order statistics are read by a spilling window from the distinct values inside.  A
-    bracket that misses its rank raises instead of returning a wrong value.
+    order statistics are read by a spilling window from the distinct values inside.  Where a
+    bracket misses its rank, all are widened eightfold and read again; the widest holds everything.
     """
     pieces = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"_v{i}").alias("_v")) for i in range(len(names))])
     long = vals.select(*keys, F.explode(pieces).alias("_s")).select(*keys, "_s._i", "_s._v")
     all_keys = vals.select(*keys).distinct()
     long = long.filter(F.col("_v").isNotNull())
     margin = 4.0 / accuracy
+    while True:
+        out, missed = _read_brackets(long, keys, names, probs, accuracy, margin)
+        if margin >= 1 or missed.isEmpty():
+            return all_keys.join(out, keys, "left") if keys else out
+        margin = min(1.0, 8 * margin)
+
+
+def _read_brackets(long: DataFrame, keys: list[str], names: list[str], probs: list[float], accuracy: int, margin: float) -> tuple[DataFrame, DataFrame]:
+    """(percentiles, ranks that lie outside their brackets)."""
     grid = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)})
     sketch = long.groupBy(*keys, "_i").agg(
         F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
@@ -113,12 +122,12 @@ def _bracketed_percentiles(vals: DataFrame, keys: list[str], names: list[str], p
     picked = ranked.groupBy(*keys, "_i", "_rank").agg(
         F.max(F.when((first <= lower) & (last >= lower), F.col("_v"))).alias("_a"),
         F.max(F.when((first <= upper) & (last >= upper), F.col("_v"))).alias("_b"))
-    value = F.when(
-        F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("percentile bracket missed its rank")).cast("double")
-    ).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.floor("_rank")))
+    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.floor("_rank"))
+    found = bracket.select(*keys, "_i").join(picked, [*keys, "_i"], "left")
+    missed = found.filter(F.col("_a").isNull() | F.col("_b").isNull())
     out = picked.withColumn("_val", value).groupBy(*keys).agg(
         *[F.max(F.when(F.col("_i") == i, F.col("_val"))).alias(n) for i, n in enumerate(names)])
-    return all_keys.join(out, keys, "left") if keys else out
+    return out, missed
 
 
 def median_by(df: DataFrame, keys: Sequence[str], *cols: str, largest: int | None = None) -> DataFrame:

@@ -130,7 +130,23 @@ def e15(spark, sf):
     return s.select("pt", r6(Pr.bazin("dt", "flux", 0.0, 2.0, 20.0, 5.0)).alias("model"), r6(Pr.bazin_exposed("dt", "flux", 0.0, 2.0, 20.0, 5.0, 3.0)).alias("exposed"))
 
 
-@query("E16_bazin_features")
+def _shape_sql(x):
+    return f"(exp(greatest(-5e1, least(5e1, -({x}) / f))) / (1 + exp(greatest(-5e1, least(5e1, -({x}) / r)))))"
+
+
+_E16 = f"""WITH RECURSIVE z AS (SELECT star, zp_ab AS a, 5e-1 + e_zp * 10e0 AS r, rp / 3e0 AS f FROM ({D.ZEROPOINTS_SQL})),
+e AS (SELECT *, -12e0 * r AS lo, 18e0 * f AS hi, CASE WHEN f > r THEN least(greatest(r * ln(f / r - 1), -12e0 * r), 18e0 * f) ELSE -12e0 * r END AS top FROM z),
+p AS (SELECT *, {_shape_sql('top')} AS v, {_shape_sql('lo')} AS vlo, {_shape_sql('hi')} AS vhi FROM e),
+h AS (SELECT star, r, f, v, side, 0 AS n, top AS i, CASE side WHEN 0 THEN lo ELSE hi END AS o FROM p, range(2) AS s(side)
+ UNION ALL SELECT star, r, f, v, side, n + 1, CASE WHEN {_shape_sql('(i + o) / 2')} >= v / 2 THEN (i + o) / 2 ELSE i END, CASE WHEN {_shape_sql('(i + o) / 2')} >= v / 2 THEN o ELSE (i + o) / 2 END FROM h WHERE n < 50),
+c AS (SELECT star, max(CASE WHEN side = 0 THEN i END) AS cl, max(CASE WHEN side = 1 THEN i END) AS cr FROM h WHERE n = 50 GROUP BY star),
+q AS (SELECT p.*, CASE WHEN vlo >= v / 2 THEN lo ELSE cl END AS l, CASE WHEN vhi >= v / 2 THEN hi ELSE cr END AS g FROM p JOIN c USING (star)),
+k AS (SELECT star, sum({_shape_sql('lo + (hi - lo) / 2000 * i')}) AS inner_sum FROM p, range(1, 2000) AS s(i) GROUP BY star)
+SELECT star, {R('f / r')} AS tau_ratio, {R('top')} AS t_peak_off, {R('a * v')} AS peak, {R('g - l')} AS fwhm, {R('top - l')} AS rise_time, {R('g - top')} AS decay_time,
+{R('a * (hi - lo) / 2000 * (inner_sum + (vlo + vhi) / 2)')} AS fluence FROM q JOIN k USING (star)"""
+
+
+@query("E16_bazin_features", _E16)
 def e16(spark, sf):
     z = D.zeropoints(spark, sf)
     f = Pr.bazin_features(F.col("zp_ab"), F.lit(0.0) + F.col("star"), 0.5 + F.col("e_zp") * 10, F.col("rp") / 3)

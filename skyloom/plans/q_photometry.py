@@ -20,7 +20,7 @@ def _pos(spark, sf):
 
 POS_SQL = "pos AS (SELECT vec_id, vec_id % 8 AS py, vec_id * 3 % 8 AS px FROM embeddings)"
 PX_SQL = f"p AS ({D.PIXELS_SQL})"
-_PCLIP, _PLAST = clip_sql(5, "p", "vec_id", "v", "3e0")
+_PCLIP, _PLAST = clip_sql(5, "p", "vec_id", "v", "3e0", library=True)
 
 
 @query("P1_detect_sources")
@@ -71,7 +71,7 @@ def p6(spark, sf):
     return mm.select("label", r6(3.0 * P.MAD_TO_SIGMA * F.col("mad")).alias("flux_err"))
 
 
-@query("P7_moving_aperture", f"""WITH {PX_SQL}, c AS (SELECT vec_id, vec_id % 8 + 25e-2 AS py, vec_id * 3 % 8 - 25e-2 AS px FROM embeddings), {clip_sql(5, 'p', 'vec_id', 'v', '5e0')[0]},
+@query("P7_moving_aperture", f"""WITH {PX_SQL}, c AS (SELECT vec_id, vec_id % 8 + 25e-2 AS py, vec_id * 3 % 8 - 25e-2 AS px FROM embeddings), {clip_sql(5, 'p', 'vec_id', 'v', '5e0', library=True)[0]},
 k AS (SELECT p.*, v > lo AND v < hi AS kept FROM p JOIN b4 USING (vec_id)), d AS (SELECT k.*, sqrt(pow(x - px, 2) + pow(y - py, 2)) AS d FROM k JOIN c USING (vec_id)),
 s AS (SELECT vec_id, sum(v) FILTER (d <= 15e-1) AS su, count(*) FILTER (d <= 15e-1) AS npix, avg(v) FILTER (d > 6 AND d <= 10 AND kept) AS sky, stddev_pop(v) FILTER (d > 6 AND d <= 10 AND kept) AS sky_std FROM d GROUP BY vec_id)
 SELECT vec_id, npix, {R('su - npix * coalesce(sky, 0e0)')} AS flux, {R('sky_std')} AS sky_std, CASE WHEN sky_std > 0 THEN {R('(su - npix * coalesce(sky, 0e0)) / (sqrt(npix) * sky_std)', 4)} END AS sig FROM s""")

@@ -19,7 +19,25 @@ def zp_sql(keys, src, zp="zp_ab", name="zs"):
 {name} AS (SELECT {k}, any_value(zp) AS zp, 14826e-4 * median(abs({zp} - zp)) AS scatter, any_value(n) AS n FROM {src} JOIN {name}_m USING ({k}) GROUP BY {k})"""
 
 
-@query("A5_bad_frames")
+def clip_sql(n_iter, src, key, col, k, library=False):
+    """SQL of a fixed number of median / population-sigma clips; ``library``: bounds stay and only narrow."""
+    out, prev, op = [], f"SELECT {key}, {col} FROM {src}", "=" if library else ""
+    for i in range(n_iter):
+        lo, hi = f"median({col}) - {k} * stddev_pop({col})", f"median({col}) + {k} * stddev_pop({col})"
+        if library and i:
+            out.append(f"c{i} AS (SELECT {key}, {lo} AS l, {hi} AS h FROM ({prev}) GROUP BY {key}), b{i} AS (SELECT {key}, greatest(l, lo) AS lo, least(h, hi) AS hi FROM c{i} JOIN b{i - 1} USING ({key}))")
+        else:
+            out.append(f"b{i} AS (SELECT {key}, {lo} AS lo, {hi} AS hi FROM ({prev}) GROUP BY {key})")
+        prev = f"SELECT {src}.{key}, {col} FROM {src} JOIN b{i} USING ({key}) WHERE {col} >{op} lo AND {col} <{op} hi"
+    return ", ".join(out), f"b{n_iter - 1}"
+
+
+_ACLIP, _ALAST = clip_sql(5, "cn", "one", "c", "2e0", library=True)
+
+
+@query("A5_bad_frames", f"""WITH e AS (SELECT event_id, frame // frame_bin AS frame_max, frame_bin, least(greatest(frame // frame_bin * frame_bin, 0), 1500) AS pf FROM ({D.SOURCES_SQL})),
+cn AS (SELECT 1 AS one, pf, CAST(count(*) AS DOUBLE) AS c FROM e GROUP BY pf), {_ACLIP}, st AS (SELECT median(c) AS m, stddev_pop(c) AS sd FROM cn JOIN {_ALAST} USING (one) WHERE c >= lo AND c <= hi)
+SELECT event_id, frame_max, frame_bin, CAST(c > m + 2 * sd AS BIGINT) AS bad_frame_flag FROM e JOIN cn USING (pf), st""")
 def a5(spark, sf):
     ev = D.sources(spark, sf).select("event_id", F.floor(F.col("frame") / F.col("frame_bin")).alias("frame_max"), "frame_bin")
     return Rb.flag_event_frames(ev, 1500, nsigma=2.0)
@@ -86,15 +104,6 @@ def a11(spark, sf):
     return rounded(Rb.binned_zeropoint(D.zeropoints(spark, sf), ["sector"], min_n=2), "zp_ab", "e_zp_ab", "zp_scatter")
 
 
-def clip_sql(n_iter, src, key, col, k):
-    """SQL of a fixed number of median / population-sigma clips."""
-    out, prev = [], f"SELECT {key}, {col} FROM {src}"
-    for i in range(n_iter):
-        out.append(f"b{i} AS (SELECT {key}, median({col}) - {k} * stddev_pop({col}) AS lo, median({col}) + {k} * stddev_pop({col}) AS hi FROM ({prev}) GROUP BY {key})")
-        prev = f"SELECT {src}.{key}, {col} FROM {src} JOIN b{i} USING ({key}) WHERE {col} > lo AND {col} < hi"
-    return ", ".join(out), f"b{n_iter - 1}"
-
-
 _CLIP, _LAST = clip_sql(5, "s", "series", "flux", "15e-1")
 
 
