@@ -11,8 +11,8 @@ many documents quote seldom reach a prefix, and break ties by different hashes.
 2. One pass emits the prefixes of the first order; one exchange by shingle keeps those that
    different sets share.  The place of a shared shingle bounds the overlap, which discards
    most pairs at once.
-3. Each set meets the first and the last set of its shared shingles.  Pairs that also
-   share a prefix shingle in the other orders are verified exactly and contracted into
+3. Each set meets two leaders of its shared shingles.  Pairs whose prefixes have enough in common
+   and that share a prefix shingle in every other order are verified exactly and contracted into
    components.  Only shingles that still join different components go on: while such pairs
    would be many, further rounds use other leaders; in the end all of them are verified.
    Links inside a component decide nothing more, so a group of near copies never costs the
@@ -162,8 +162,8 @@ def _full_sets(width: int, num: int, den: int, classes, bits):
                     first = np.arange(len(at)) - begin < _prefix_length(sets.n, num, den)[doc]
                     # Half of each hash does to rule a shared shingle out.
                     parts.append(arrays(tokens[at][first], doc[first], keep, np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(sets.key[keep]), pa.array(sets.n[keep]), arrays(tokens, doc, keep), *parts],
-                                                 ["key", "n", "tokens", "second", "third"])
+                yield pa.RecordBatch.from_arrays([pa.array(sets.key[keep]), pa.array(ids[keep]), pa.array(sets.n[keep]), arrays(tokens, doc, keep), *parts],
+                                                 ["key", "id", "n", "tokens", "second", "third"])
 
     return run
 
@@ -201,8 +201,10 @@ class _Join:
         rows = self.docs.mapInArrow(_prefixes(self.width, self.num, self.den, self.classes), "token long, key long, size long")
         # Tasks drop repeated sets they see; a set seen by several tasks counts once here by its key.
         w = Window.partitionBy("token")
-        rows = rows.withColumns({"lo": F.min("key").over(w), "hi": F.max("key").over(w)})
-        return self.scratch.put(rows.filter("lo <> hi").select("token", "key", "size"))
+        rows = rows.withColumns({"lo": F.min("key").over(w), "hi": F.max("key").over(w), "n": F.count(F.lit(1)).over(w)})
+        rows = self.scratch.put(rows.filter("lo <> hi").select("token", "key", "size", "n"))
+        self.prefixes = self.scratch.put(rows.groupBy("key").agg(F.max("size").alias("size"), F.collect_set("token").alias("first")))
+        return rows
 
     def star(self, rows: DataFrame, turn: int) -> DataFrame:
         """Pairs of each set with two leaders of its shingles, from other components.
@@ -210,8 +212,7 @@ class _Join:
         Copies of a text share with each other what each shares with the text, so the set whose
         shingles are shared most leads: near copies of one text mostly meet that text.
         """
-        common = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-        hub = rows.join(common, "token").groupBy("key").agg(F.sum("n").alias("hub"))
+        hub = rows.groupBy("key").agg(F.sum("n").alias("hub"))
         rows = rows.join(hub, "key")
         lead = rows.groupBy("token").agg(F.max_by(F.struct("key", "size", "part", "hub"), F.struct("hub", "key")).alias("l"))
         lead = lead.select("token", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("key", "size", "part", "hub")])
@@ -222,10 +223,17 @@ class _Join:
     def verified(self, pairs: DataFrame) -> tuple[DataFrame, int]:
         """Those of the pairs (u, v) that share prefixes in the other orders and reach the threshold, and how many were tested."""
         pairs = self.scratch.put(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        keys = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(self.first, "key")
+        # Both prefixes of the first order hold so many common shingles, if the sets are similar.
+        side = lambda name: self.prefixes.select(F.col("key").alias(name), F.col("size").bitwiseAND(0xFFFFFFFF).alias(f"{name}_n"), F.col("first").alias(f"{name}_first"))
+        met = pairs.join(side("u").hint("merge"), "u").join(side("v").hint("merge"), "v")
+        need = F.least(self.surplus("u_n", "v_n"), self.surplus("v_n", "u_n"))
+        pairs = self.scratch.put(met.filter(F.size(F.array_intersect("u_first", "v_first")) >= need).select("u", "v"))
+        of = lambda name: self.first.select(F.col("key").alias(name), F.coalesce("first", F.lit(-1)).alias(f"{name}_id"))
+        pairs = self.scratch.put(pairs.join(of("u"), "u").join(of("v"), "v"))
+        keys = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("key"), F.col("u_id").alias("id")), F.struct(F.col("v").alias("key"), F.col("v_id").alias("id")))).alias("k")).select("k.*").distinct()
         tested = pairs.count()
         size = 1 << min(FILTER_BITS, max(10, (32 * tested).bit_length()))
-        tag = F.col("key").bitwiseXOR(F.coalesce("first", F.lit(-1)) * F.lit(int(_BASE.view(np.int64))))
+        tag = F.col("key").bitwiseXOR(F.col("id") * F.lit(int(_BASE.view(np.int64))))
         at = F.explode(F.array(tag.bitwiseAND(size - 1), F.shiftrightunsigned(tag, FILTER_BITS).bitwiseAND(size - 1)))
         bits = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
             F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).toArrow()
@@ -233,22 +241,29 @@ class _Join:
         table[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
         sets = self.scratch.put(self.docs.mapInArrow(
             _full_sets(self.width, self.num, self.den, self.classes, self.spark.sparkContext.broadcast(table)),
-            "key long, n long, tokens array<long>, second array<int>, third array<int>"))
+            "key long, id long, n long, tokens array<long>, second array<int>, third array<int>"))
         side = lambda name: sets.select(F.col("key").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in sets.columns if c != "key"])
         # The same joins at every size: the sets are large and the pairs grow with the input.
-        both = pairs.join(side("u").hint("merge"), "u").join(side("v").hint("merge"), "v")
+        # The id leaves out copies that only the filter's collisions let through.
+        both = pairs.join(side("u").hint("merge"), ["u", "u_id"]).join(side("v").hint("merge"), ["v", "v_id"])
         both = both.filter(F.arrays_overlap("u_second", "v_second") & F.arrays_overlap("u_third", "v_third"))
         common = F.size(F.array_intersect("u_tokens", "v_tokens"))
         out = self.scratch.put(both.filter((self.den + self.num) * common >= self.num * (F.col("u_n") + F.col("v_n"))).select("u", "v"))
         self.scratch.forget(1)
         return out, tested
 
+    def surplus(self, n: str, m: str) -> Column:
+        """Common shingles that a prefix of a set of ``n`` holds at least: its length less what the other of ``m`` may lack."""
+        num, den = self.num, self.den
+        length = F.col(n) - F.ceil(F.lit(num) * F.col(n) / F.lit(den)) + 1
+        return length - F.col(n) + F.ceil(F.lit(num) * (F.col(n) + F.col(m)) / F.lit(num + den))
+
     def mixed(self, shared: DataFrame, parts: DataFrame) -> DataFrame:
         """Rows of shingles that still lie in more than one component."""
         rows = shared.select("token", "key", "size").join(parts, F.col("key") == F.col("node"), "left")
         rows = rows.select("token", "key", "size", F.coalesce("root", "key").alias("part"))
         w = Window.partitionBy("token")
-        rows = rows.withColumns({"_a": F.min("part").over(w), "_b": F.max("part").over(w)}).filter("_a <> _b").drop("_a", "_b")
+        rows = rows.withColumns({"_a": F.min("part").over(w), "_b": F.max("part").over(w), "n": F.count(F.lit(1)).over(w)}).filter("_a <> _b").drop("_a", "_b")
         return self.scratch.put(rows)
 
     def run(self) -> DataFrame:
