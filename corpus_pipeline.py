@@ -28,9 +28,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Texts without a letter or without a main language go; the others stay, with the language found."""
     tune(spark)
     model = language_id.train(docs.select("text", "lang"))
-    found = language_id.identify(docs.filter("doc_id IS NOT NULL").withColumn("_text", F.col("text")), model, ["_text", *[c for c in docs.columns if c != "text"]])
+    # The row travels as one column: whatever its columns are called, they meet no name of the operator's.
+    rows = docs.filter("doc_id IS NOT NULL").select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = language_id.identify(rows, model, ["row"])
     kept = found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIXED))
-    return kept.withColumn("text", F.col("_text")).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return kept.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +53,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced by a mark; all documents stay."""
     tune(spark)
-    found = secret_scan.scan(docs, secret_scan.train(docs), [c for c in docs.columns if c != "text"], redact=MARK)
-    changed = F.size("spans") > 0
-    found = found.withColumn("text", F.col("redacted"))
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+    found = secret_scan.scan(rows, secret_scan.train(docs), ["row"], redact=MARK)
+    now = {"text": F.col("redacted")}
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+        now["n_chars"] = F.when(F.size("spans") > 0, F.length("redacted").cast("long")).otherwise(F.col("row.n_chars"))
+    return found.select(*[(now[c] if c in now else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

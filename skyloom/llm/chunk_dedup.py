@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skyloom.llm.hashing import _BASE, _BYTE_VALUES, Powers, mix, text_slices
+from skyloom.llm.schema import with_fields
 from skyloom.llm.scratch import Scratch
 
 MASK = 0xF800  # 5 of the 16 bits: a candidate border every 32 bytes
@@ -129,5 +130,4 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) with the spans cut out of their texts; a character cut in two goes whole."""
     cuts = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans")).withColumnRenamed("doc_id", "_of")
     rows = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col("_of")), "left").select(*docs.columns, "_spans")
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name != "text")
-    return rows.mapInArrow(_cut, f"{schema}text string").select(*docs.columns)
+    return rows.mapInArrow(_cut, with_fields(docs, "text string")).select(*docs.columns)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.hashing import text_slices
+from skyloom.llm.schema import with_fields
 from skyloom.llm.unicode import SCRIPT_NAMES, TABLE, CodePoints, code_points
 
 DIRECT = 384  # letters below have symbols of their own, the others share 128
@@ -214,6 +215,5 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str | Column], pe
     fields = [f for f in kept.schema.fields[1:]]
     if not model.langs:
         return kept.select(*[f.name for f in fields], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.array().cast(SPANS).alias("spans"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain values: executors need not import this module
-    return kept.mapInArrow(_label(shared, penalty), f"{schema}, lang_pred string, score double, spans {SPANS}")
+    return kept.mapInArrow(_label(shared, penalty), with_fields(kept, f"lang_pred string, score double, spans {SPANS}"))

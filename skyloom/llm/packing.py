@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from skyloom.llm.scratch import Scratch
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
 CACHED_LENGTH = 64
 RANKED_ROWS = 50_000  # rows of one length that a window ranks together
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, doc_crc32 long"
@@ -79,14 +79,14 @@ class WordTokens:
             split = [t.replace("\n", " ").split(" ") for t in texts[lo:lo + 500]]
             if len(self.known) > CACHED_WORDS:
                 self.known, self.plain = {"": b""}, {}
+            # One call of the encoder for all new words of some hundred texts.
+            missing = set().union(*split).difference(self.known)
+            self._learn(missing)
             for words in split:
-                missing = set(words).difference(self.known)
-                if missing:
-                    self._learn(missing)
                 yield b"".join(map(self.known.__getitem__, words)) + self.end
-                for w in missing:
-                    if len(w) > CACHED_LENGTH:
-                        del self.known[w]
+            for w in missing:
+                if len(w) > CACHED_LENGTH:
+                    del self.known[w]
 
 
 def _pieces(path: str, end_id: int, size: int):

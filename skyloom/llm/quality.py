@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.hashing import Powers, Words, text_slices
+from skyloom.llm.schema import with_fields
 
 STATISTICS = ["length", "word_bytes", "symbols", "digits", "upper", "marks", "bangs", "bars", "different", "repeated", "phrases", "short", "long", "line_words", "wide"]
 BINS = 400
@@ -70,8 +71,7 @@ def _statistics(batches):
 def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns and the array ``stats`` per row of ``docs``; a NULL or empty text has the statistics of no word."""
     kept = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[1:])
-    return kept.mapInArrow(_statistics, f"{schema}stats array<double>")
+    return kept.mapInArrow(_statistics, with_fields(kept, "stats array<double>"))
 
 
 @dataclass
@@ -190,5 +190,4 @@ def _score(model):
 def score(stats: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``score`` (0 to 1) for every row of ``stats``."""
     kept = stats.select(*keep, "stats")
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(_score(stats.sparkSession.sparkContext.broadcast(vars(model))), f"{schema}score double")
+    return kept.mapInArrow(_score(stats.sparkSession.sparkContext.broadcast(vars(model))), with_fields(kept, "score double", ("stats",)))

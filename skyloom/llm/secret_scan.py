@@ -1,8 +1,10 @@
 """Secrets in text: fixed rules, and random-looking strings by character Markov models.
 
 Two first-order character models, of random strings and of ordinary identifiers, are counted
-over the corpus from samples that the fixed rules label: what a rule takes for a secret's value
-is random, every other run of identifier characters is ordinary.  A run is reported when the
+over the corpus from labelled samples: what a fixed rule takes for a secret's value is random; in
+texts without one, runs of identifier characters that seldom change between lower case, upper case,
+digits and signs are ordinary.  (Unknown secrets change often, so they don't teach the ordinary
+model themselves.)  A run is reported when the
 log-likelihood ratio of the two models, per character, exceeds a threshold.
 """
 
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.hashing import text_slices
+from skyloom.llm.schema import with_fields
 
 # The base rules, and how long a match (for ``assign`` its value) must be.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -54,6 +57,12 @@ def _secret_values(text: str) -> list[str]:
     return values + [m[0] for m in HEX.finditer(text)]
 
 
+# Lower case 0, upper case 1, digit 2, sign 3.
+_KIND = np.full(256, 3, dtype=np.int8)
+_KIND[97:123], _KIND[65:91], _KIND[48:58] = 0, 1, 2
+CHANGES = 0.3  # ordinary runs change kind at most this often per character
+
+
 class _Runs:
     """Runs of identifier characters of one slice, and the transition into each character."""
 
@@ -73,6 +82,10 @@ class _Runs:
         before[starts] = BORDER
         self.step = before * SIDE + code[1:-1]
         self.doc = np.searchsorted(offsets, self.starts, side="right") - 1
+        kind = _KIND[data]
+        changed = np.concatenate([[0, 0], np.cumsum(kind[1:] != kind[:-1])])
+        # Changes between the first and the last character of a run.
+        self.steady = changed[self.ends] - changed[np.minimum(self.starts + 1, len(data))] <= CHANGES * (self.ends - self.starts)
 
     def counts(self, chosen) -> np.ndarray:
         mark = np.zeros(len(self.step) + 1, dtype=np.int64)
@@ -100,7 +113,7 @@ def _count(batches):
                 if values:
                     plain[i] = False
                     random += _value_counts(values)
-            ordinary += runs.counts(plain[runs.doc])
+            ordinary += runs.counts(plain[runs.doc] & runs.steady)
     for name, counts in (("random", random), ("ordinary", ordinary)):
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["model", "step", "n"])
@@ -188,6 +201,5 @@ def scan(docs: DataFrame, model: SecretModel, keep: list[str], redact: str | Non
     stays NULL.
     """
     kept = docs.select(F.col("text").cast("string").alias("text"), *keep)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[1:])
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain values: executors need not import this module
-    return kept.mapInArrow(_scan(shared, redact), f"{schema}spans {SPANS}" + (", redacted string" if redact is not None else ""))
+    return kept.mapInArrow(_scan(shared, redact), with_fields(kept, f"spans {SPANS}" + (", redacted string" if redact is not None else "")))

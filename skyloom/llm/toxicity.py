@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.hashing import Words, text_slices
 from skyloom.llm.language_id import SYMBOLS, _Letters
+from skyloom.llm.schema import with_fields
 from skyloom.llm.scratch import Scratch
 from skyloom.llm.unicode import CodePoints
 
@@ -152,7 +153,8 @@ class Reader:
         word = self.restorer.restore(letters.lower())
         found = set(_features(word))
         if self.known is not None:  # neighbours may be letters, too: any part may be the word
-            found |= {word[i:j] for i in range(len(word)) for j in range(i + 4, min(len(word), i + 24) + 1)}
+            parts = {word[i:j] for i in range(len(word)) for j in range(i + 4, min(len(word), i + 24) + 1)}
+            found = found.union(*[_features(p) for p in parts if p in self.known])
         return self._coded(tuple(found))
 
     def _coded(self, found):
@@ -162,9 +164,9 @@ class Reader:
         """(row of the slice's batch, set of features) of every document, in order."""
         for rows, data, offsets in text_slices(batch):
             words = Words(data, offsets)
-            short = np.concatenate([[False], words.ends - words.starts <= 2, [False]])
+            short = np.concatenate([words.ends - words.starts <= 2, [False] * 3])
             # Documents with four single letters in a row: only they can hold a spaced word.
-            four = short[1:-1] & short[2:] & np.concatenate([short[3:], [False]]) & np.concatenate([short[4:], [False, False]]) if len(words.doc) else np.zeros(0, dtype=bool)
+            four = short[:-3] & short[1:-2] & short[2:-1] & short[3:]
             spaced = np.zeros(rows.num_rows, dtype=bool)
             spaced[words.doc[four]] = True
             for i, text in enumerate(rows.column(0).to_pylist()):
@@ -290,6 +292,5 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
     are scored each; other columns are ignored.
     """
     kept = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[1:])
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
-    return kept.mapInArrow(_score(shared), f"{schema}score double")
+    return kept.mapInArrow(_score(shared), with_fields(kept, "score double"))
