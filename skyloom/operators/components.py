@@ -112,14 +112,14 @@ def _linked_cells(points: DataFrame, id_col: str, keys: Sequence[str], coords: S
     b = cells.select(*part, F.col("_cell").alias("_cb"), F.col("_n").alias("_nb"), *ren("b"))
     if dims <= FULL_DIMS:
         reach = math.ceil(math.sqrt(dims)) + 1 if dims > 1 else 1
-        a, b, met = _shifted(a, ks, _half_offsets(dims, reach, side, eps)), b, F.lit(True)
+        a, met, meet = _shifted(a, ks, _half_offsets(dims, reach, side, eps)), F.lit(True), part
     else:
         # Too many neighbours to list: cells meet in blocks of side eps of the first dimensions.
-        part = [*keys, *[f"_g{i}" for i in range(FULL_DIMS)]]
+        meet = [*keys, *[f"_g{i}" for i in range(FULL_DIMS)]]
         block = lambda d, tag: d.withColumns({f"_g{i}": cell(f"_{tag}lo{i}", eps) for i in range(FULL_DIMS)}).drop(*ks)
         a = _shifted(block(a, "a"), [f"_g{i}" for i in range(FULL_DIMS)], list(itertools.product(range(-2, 3), repeat=FULL_DIMS)))
         b, met = block(b, "b"), F.col("_ca") < F.col("_cb")
-    pairs = a.join(b, part).filter(met).withColumn("_near", _box_near(dims)).filter(F.col("_near") <= eps).withColumn("_far", _box_far(dims))
+    pairs = a.join(b, meet).filter(met).withColumn("_near", _box_near(dims)).filter(F.col("_near") <= eps).withColumn("_far", _box_far(dims))
     pairs = cut_lineage(pairs.select("_ca", "_cb", (F.col("_far") <= eps).alias("_sure")))
     members = attach(placed, cells.select(*part, "_cell", "_n"), part).drop("_n", *ks)
     sure = pairs.filter("_sure").select(F.col("_ca").alias("u"), F.col("_cb").alias("v"))

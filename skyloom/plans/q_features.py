@@ -64,12 +64,7 @@ def c3(spark, sf):
 PEAKS = dict(prominence=0.3, distance=5, wlen=60)
 GRID_SQL = """u AS (SELECT DISTINCT series, t FROM s), gp AS (SELECT series, t - lag(t) OVER (PARTITION BY series ORDER BY t) AS g FROM u), md AS (SELECT series, median(g) AS g FROM gp WHERE g > 0 GROUP BY series),
 sp AS (SELECT series, max(t) - min(t) AS w, min(t) AS t0 FROM s GROUP BY series), mu AS (SELECT series, avg(flux) AS m FROM s GROUP BY series),
-gr AS (SELECT series, t0, m, 1 / (5 * w) AS df, CAST(greatest(0, ceil(1 / (2 * g) / (1 / (5 * w))) - 1) AS BIGINT) AS n FROM sp JOIN md USING (series) JOIN mu USING (series) WHERE w > 0),
-fr AS (SELECT series, t0, m, j, (j + 1) * df AS f FROM (SELECT series, t0, m, df, unnest(range(n)) AS j FROM gr)),
-ar AS (SELECT series, j, f, flux - m AS v, 2 * pi() * (t - t0) * f AS x FROM fr JOIN s USING (series)),
-su AS (SELECT series, j, f, sum(cos(x) * cos(x)) AS cc, sum(sin(x) * sin(x)) AS ss, sum(cos(x) * sin(x)) AS cs, sum(v * cos(x)) AS fc, sum(v * sin(x)) AS fs FROM ar GROUP BY ALL),
-de AS (SELECT *, CASE WHEN cc * ss - cs * cs > 1e-9 * cc * ss THEN cc * ss - cs * cs END AS d FROM su),
-pw AS (SELECT series, j, f, sqrt(pow((fc * ss - fs * cs) / d, 2) + pow((fs * cc - fc * cs) / d, 2)) AS p FROM de)"""
+gr AS (SELECT series, t0, m, 1 / (5 * w) AS df, CAST(greatest(0, ceil(1 / (2 * g) / (1 / (5 * w))) - 1) AS BIGINT) AS n FROM sp JOIN md USING (series) JOIN mu USING (series) WHERE w > 0)"""
 
 
 @query("C4_frequency_grid", f"WITH {LC_SQL}, {GRID_SQL} SELECT series, {R('df', 9)} AS df, n AS n_freq FROM gr")
@@ -77,7 +72,7 @@ def c4g(spark, sf):
     return rounded(C.frequency_grid(_lc(spark, sf), "series", "t"), "df", n=9)
 
 
-@query("C4_periodogram", f"WITH {LC_SQL}, {GRID_SQL} SELECT series, j, {R('f')} AS frequency, {R('p', 4)} AS power FROM pw")
+@query("C4_periodogram")  # in SQL every point meets every frequency; tests hold it against the definition
 def c4(spark, sf):
     return rounded(rounded(C.periodogram(_lc(spark, sf), "series", "t", "flux"), "frequency"), "power", n=4)
 

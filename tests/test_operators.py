@@ -133,6 +133,12 @@ def test_g2_equals_sequential_greedy(spark):
     assert got == set(kept)
 
 
+def test_g2_settles_a_long_chain(spark):
+    n = 450
+    chain = frame(spark, id=range(n), x=[0.8 * k for k in range(n)], y=[0.0] * n, f=[float(n - k) for k in range(n)])
+    assert sorted(r["id"] for r in dedupe.dedupe_close(chain, "id", ["x", "y"], "f", 1.0).collect()) == list(range(0, n, 2))
+
+
 def test_g5_ids_flow_from_fine_to_coarse(spark):
     ev = spark.createDataFrame(
         [(10, 1, 0, 3, "-", 1, 1), (11, 2, 0, 1, "-", 1, 1), (12, 4, 0, 0, "-", 1, 1), (13, 1, 50, 52, "-", 1, 1), (14, 2, 0, 1, "Asteroid", 9, 1), (15, 4, 40, 40, "-", 5, 5)],
@@ -203,12 +209,56 @@ def test_p17_recovers_a_planted_profile(spark):
 
 def test_c4_finds_a_planted_period(spark):
     t = np.sort(np.random.default_rng(7).uniform(0, 200, 400))
-    df = frame(spark, s=[1] * 400, t=t, f=3 * np.sin(2 * np.pi * t / 12.5) + 1)
-    p = features.periodogram(df, "s", "t", "f", 0.01, 0.4, 400)
-    assert features.best_period(p, "s").first()["period"] == pytest.approx(12.5, rel=0.02)
+    df = frame(spark, s=[1] * 400 + [2], t=np.r_[t, 5.0], f=np.r_[3 * np.sin(2 * np.pi * t / 12.5) + 1, 1.0])
+    p = features.periodogram(df, "s", "t", "f")
+    grid = p.filter("s = 1").orderBy("j").toPandas()
+    step = 1 / (5 * (t[-1] - t[0]))
+    assert grid["frequency"].to_numpy() == pytest.approx(step * np.arange(1, len(grid) + 1))
+    assert len(grid) == math.ceil(1 / (2 * np.median(np.diff(t))) / step) - 1
+    for j in (0, 15, 77, len(grid) - 1):
+        arg = 2 * np.pi * grid["frequency"][j] * (t - t[0])
+        f = 3 * np.sin(2 * np.pi * t / 12.5) + 1
+        fit = np.linalg.lstsq(np.c_[np.cos(arg), np.sin(arg)], f - f.mean(), rcond=None)[0]
+        assert grid["power"][j] == pytest.approx(np.hypot(*fit), rel=1e-6)
+    best = features.best_period(p, "s").collect()
+    assert [r["s"] for r in best] == [1] and best[0]["period"] == pytest.approx(12.5, rel=0.02)
     assert features.periodogram_peaks(p, "s").orderBy("peak").first()["peak_freq"] == pytest.approx(0.08, abs=0.002)
 
 
+def test_c4_prefers_a_prominent_peak_to_a_strong_edge(spark):
+    freq = np.arange(1, 301) * 0.001
+    power = 8 * np.exp(-freq / 0.004) + np.where(abs(freq - 0.1) < 0.0005, 5.0, 0) + np.where(abs(freq - 0.2) < 0.0005, 4.5, 0) + np.where(abs(freq - 0.17) < 0.0005, 4.0, 0) + 0.1
+    p = frame(spark, s=[1] * 300, j=range(300), frequency=freq, power=power)
+    assert features.best_period(p, "s").first()["period"] == pytest.approx(10)
+    got = [(r["signal_num"], r["harmonic"]) for r in features.periodogram_peaks(p, "s").orderBy("peak").collect()]
+    assert got == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_a5_equal_counts_flag_nothing(spark):
+    ev = frame(spark, eventid=range(40), frame_max=[k % 10 for k in range(40)], frame_bin=[1] * 40)
+    assert {r["bad_frame_flag"] for r in robust.flag_event_frames(ev, 100).collect()} == {0}
+    ev = frame(spark, eventid=range(140), frame_max=[k % 10 if k < 40 else 3 for k in range(140)], frame_bin=[1] * 140)
+    assert {r["frame_max"] for r in robust.flag_event_frames(ev, 100, nsigma=2.0).filter("bad_frame_flag = 1").collect()} == {3}
+
+
+def test_clip_modes(spark):
+    df = frame(spark, k=[1] * 5, v=[2.0, 2, 2, 2, 2])
+    assert robust.sigma_clip(df, ["k"], "v", library=True).filter("kept").count() == 5
+    assert robust.sigma_clip(df, ["k"], "v").filter("kept").count() == 0
+
+
+def test_g11_keeps_all_components_that_are_needed(spark):
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame(np.exp(rng.normal(size=(400, 6))), columns=list("abcdef"))
+    pdf.loc[:59] = np.exp(rng.normal(5, 0.02, (60, 6)))
+    df = spark.createDataFrame(pdf.assign(row=range(400)))
+    w = fits.whitened(df, "row", list("abcdef"))
+    assert len(w.columns) == 7
+    got = fits.cluster_events(df, "row", list("abcdef"), eps=0.5).filter("cluster >= 0").toPandas()
+    assert set(range(60)) <= set(got["row"]) and got.loc[got["row"] < 60, "cluster"].nunique() == 1
+    assert fits.whitened(df, "row", ["a", "b"], log=False, whiten=False).columns == ["row", "w0", "w1"]
+
+
 def test_c3_shapiro_on_normal_and_skewed_data(spark):
     rng = np.random.default_rng(0)
     df = frame(spark, s=[1] * 200 + [2] * 200, pt=range(400), f=np.r_[rng.normal(size=200), rng.exponential(size=200)])
