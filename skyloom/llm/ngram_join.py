@@ -35,6 +35,7 @@ from skyloom.operators.components import connected_components
 
 BUCKET_BITS = 21  # counters of repeated shingles, whatever the input's size: 2 MB
 FILTER_BITS = 24  # the largest filter of candidate keys: 2 MB
+PAIRS_PER_ROW = 100  # up to this many crossing pairs per remaining row are all compared by their places
 _SEEDS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 
@@ -280,8 +281,8 @@ class _Join:
                 crossing, count = load[0] or 0, load[1] or 0
                 if not count:
                     break
-                # Leaders go on while they still link what they meet and all crossing pairs would be many.
-                last = crossing <= 8 * count or 10 * linked < tested
+                # Leaders go on while they still link what they meet and crossing pairs are many to a row.
+                last = crossing <= PAIRS_PER_ROW * count or 10 * linked < tested
                 if last:
                     a, b = [rows.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("key", "size", "part")]) for x in ("a", "b")]
                     pairs = a.join(b, "token").filter((F.col("a_key") < F.col("b_key")) & (F.col("a_part") != F.col("b_part")) & _fits("a_", "b_", num, den))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyloom.session import shared_folder
+
 
 class Scratch:
     """Writes intermediate results as Parquet below ``spark.checkpoint.dir``.
@@ -20,12 +21,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if base is None:
-            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-                raise ValueError("spark.checkpoint.dir is not set; executors need a shared folder")
-            base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-            spark.sparkContext.setCheckpointDir(base)
+        base = shared_folder(spark)
         self.base = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
         self.count = 0
         self.paths: list[str] = []
