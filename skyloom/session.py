@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import tempfile
 
@@ -45,15 +46,25 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     return tune(spark)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors and the driver share: ``spark.checkpoint.dir``.
 
-    Only when neither the configuration nor the context names a folder (a local
-    test session) is a scratch folder set.
+    A cluster must set it; only a session whose executors are threads of the driver gets a
+    folder of its own.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set; executors need a shared folder")
+    own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.sparkContext.setCheckpointDir(own)
+    return own
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

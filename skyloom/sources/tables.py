@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -12,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skyloom.session import shared_folder
+
 PARTITION = ["sector", "cam", "ccd", "cut"]
 
 
@@ -23,9 +23,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}" if base else os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "t")
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -42,11 +41,15 @@ def load_table(spark: SparkSession, base: str, schema: T.StructType | str | None
     return nan_to_null(reader.schema(schema).csv(f"{base}.csv") if schema is not None else reader.option("inferSchema", True).csv(f"{base}.csv"))
 
 
-def save_table(df: DataFrame, path: str, partition: Sequence[str] = PARTITION) -> None:
+def save_table(df: DataFrame, path: str, partition: Sequence[str] = PARTITION, files_per_unit: int = 4) -> None:
     """Parquet partitioned by observing unit, as far as the columns exist."""
     parts = [c for c in partition if c in df.columns]
-    # One exchange on the partition columns and a spread keeps files few without one task per unit.
-    df.write.mode("overwrite").partitionBy(*parts).parquet(path) if parts else df.write.mode("overwrite").parquet(path)
+    if not parts:
+        df.write.mode("overwrite").parquet(path)
+        return
+    # One exchange by unit and a spread: few files, yet a large unit is written by several tasks.
+    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c not in parts] or parts), F.lit(files_per_unit))
+    df.repartition(*parts, spread).write.mode("overwrite").partitionBy(*parts).parquet(path)
 
 
 def load_all_units(spark: SparkSession, root: str, pattern: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -58,11 +61,22 @@ def load_all_units(spark: SparkSession, root: str, pattern: str, schema: T.Struc
         out = reader.parquet(root)
     except AnalysisException as e:
         raise FileNotFoundError(f"no readable {pattern} below {root}") from e
-    if not out.inputFiles():
+    if _listing(spark, root, pattern).isEmpty():
         raise FileNotFoundError(f"no {pattern} below {root}")
     return out
 
 
+def _listing(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length")
+
+
+def skipped_units(spark: SparkSession, root: str, pattern: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """S3: (path, length) of the files that ``load_all_units`` gets no row from: unreadable or empty ones."""
+    read = load_all_units(spark, root, pattern, schema).select(F.col("_metadata.file_path").alias("path")).distinct()
+    plain = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
+    return _listing(spark, root, pattern).withColumn("_p", plain).join(read.select(plain.alias("_p")), "_p", "left_anti").select("path", "length")
+
+
 def with_provenance(df: DataFrame, path: Column | None = None) -> DataFrame:
     """Sector, cam, ccd, cut and n read from a path such as Sector32/Cam1/Ccd2/Cut7of16."""
     p = path if path is not None else F.col("_metadata.file_path")
@@ -83,5 +97,4 @@ def commented_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def screen_files(spark: SparkSession, path: str, min_bytes: int, pattern: str = "*") -> DataFrame:
     """Files of at least ``min_bytes``, from the listing alone (contents are not read)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "length").filter(F.col("length") >= min_bytes)
+    return _listing(spark, path, pattern).filter(F.col("length") >= min_bytes)

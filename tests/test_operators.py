@@ -327,3 +327,10 @@ def test_st4_equals_a_plain_loop_over_two_triggers(spark, tmp_path):
         if start < 0 and sig[i] >= 5:
             start, end, misses = i, i, 0
     assert got == want
+
+
+def test_s3_reports_files_without_rows(spark, tmp_path):
+    frame(spark, a=[1, 2]).coalesce(1).write.parquet(str(tmp_path / "good"))
+    (tmp_path / "bad.parquet").write_bytes(b"PAR1 no table")
+    got = [r["path"] for r in tables.skipped_units(spark, str(tmp_path), "*.parquet", "a long").collect()]
+    assert len(got) == 1 and got[0].endswith("bad.parquet")
