@@ -26,8 +26,8 @@ SKETCH_BITS = 6
 MEASURES = {
     "word_length": ("word_chars", "n_words", 100, 40, True),
     "symbols": ("n_symbols", "n_words", 1000, 25, False),
-    "lines": ("n_dup_lines", "n_lines", 1000, 40, False),
-    "repeats": ("n_repeat_words", "n_words", 1000, 40, False),
+    "lines": ("n_dup_lines", "n_lines", 1000, 100, False),
+    "repeats": ("n_repeat_words", "n_words", 1000, 50, False),
 }
 
 

@@ -101,7 +101,7 @@ counts AS (
         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
     FROM w LEFT JOIN covered USING (r)),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts),
-measures(m, least, has_low) AS (VALUES ('word_length', 40, true), ('symbols', 25, false), ('lines', 40, false), ('repeats', 40, false)),
+measures(m, least, has_low) AS (VALUES ('word_length', 40, true), ('symbols', 25, false), ('lines', 100, false), ('repeats', 50, false)),
 vals AS (SELECT r, lang, source, base_failed, m, least, has_low, """ + value.format(m="m") + r""" AS x FROM judged, measures),
 cells AS (SELECT lang, source, m, least, has_low, (x >> greatest(length(bin(x)) - 6, 0)) << greatest(length(bin(x)) - 6, 0) AS b, count(*) AS n
     FROM vals WHERE NOT base_failed GROUP BY ALL),
