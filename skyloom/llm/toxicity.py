@@ -128,6 +128,14 @@ class Restorer:
         return max((score + self.scores[a][b][0], text) for (a, b), (score, text) in beams.items())[1]
 
 
+_DOUBLE = re.compile(r"(.)\1")
+_RUN = re.compile(r"(.)\1+")
+
+
+def _squeeze(word: str) -> str:
+    return _RUN.sub(r"\1", word)
+
+
 def _features(word: str) -> tuple[str, ...]:
     if not word:
         return ()
@@ -139,15 +147,21 @@ class Reader:
 
     def __init__(self, scores: np.ndarray, known: dict[str, int] | None):
         self.restorer, self.known, self.cache = Restorer(scores), known, {}
+        # Restoring letters only changes runs of them: what can become a known feature shares its squeezed form.
+        self.squeezed = {_squeeze(f) for f in known or ()}
 
     def of_token(self, token: str):
         low = token.lower().strip(_EDGES)
         found = _features(low)
-        if not low.isalpha() or any(a == b for a, b in zip(low, low[1:])):
-            plain = self.restorer.restore(token.lower())
-            if plain != low:
-                found += _features(plain)
-        return self._coded(found)
+        plain_letters = low.isalpha()
+        if plain_letters and not _DOUBLE.search(low):
+            return self._coded(found)
+        if plain_letters and self.known is not None:
+            squeezed = _squeeze(low)
+            if squeezed not in self.squeezed and not any("^" + squeezed[:k] in self.squeezed for k in range(1, min(len(squeezed), 7) + 1)):
+                return self._coded(found)
+        restored = self.restorer.restore(token.lower())
+        return self._coded(found + _features(restored) if restored != low else found)
 
     def of_spaced(self, letters: str):
         word = self.restorer.restore(letters.lower())
