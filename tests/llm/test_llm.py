@@ -211,6 +211,31 @@ def test_op6_finds_passages_and_survives_insertions(spark, docs, empty):
     assert left["text"].endswith("more") and len(left["text"]) < 300
 
 
+def test_op6_finds_every_passage_of_51_words_to_its_ends(spark):
+    passages = [prose(7000 + k, 51) for k in range(150)]
+    rows = [(2 * k + side, prose(8000 + 2 * k + side, 30, 5000) + f" <{side} " + p + f" {side}> " + prose(9000 + 2 * k + side, 30, 5000)) for k, p in enumerate(passages) for side in (0, 1)]
+    rows += [(1000, "é" + prose(1, 10) + " ä" + prose(2, 200) + "è"), (1001, "è" + prose(3, 10) + " ö" + prose(2, 200) + "é")]
+    got = {r[0]: (r[1], r[2]) for r in rows_of(chunk_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")))}
+    cut = {d: text.encode()[slice(*got[d])] for d, text in rows if d in got}
+    assert [cut.get(2 * k + 1, b"").strip().decode() for k in range(150)] == passages
+    assert not {2 * k for k in range(150)} & set(got) and cut[1001].decode() == prose(2, 200)
+
+
+def test_op6_finds_passages_of_one_repeated_word(spark):
+    rows = [(2 * k + side, f"{prose(8000 + 2 * k + side, 30, 5000)} {side} " + (w + " ") * 51 + f"{side} " + prose(9000 + 2 * k + side, 30, 5000)) for k, w in enumerate(["orble.", "ab", "erntenwh", "x", "edoution."]) for side in (0, 1)]
+    got = {}
+    for d, a, b in chunk_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "start", "end").collect():
+        got[d] = got.get(d, 0) + len(rows[d][1][a:b].strip())
+    assert all(got[2 * k + 1] >= 51 * (len(w) + 1) - 12 for k, w in enumerate(["orble.", "ab", "erntenwh", "x", "edoution."]))
+
+
+def test_op6_grows_over_many_windows(spark):
+    same = "0123456789" * 400
+    rows = [(1, prose(1, 40) + "." + same + prose(2, 60)), (2, prose(3, 40) + "," + same + prose(2, 60))]
+    start, end = rows_of(chunk_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).filter("doc_id = 2").groupBy().agg(F.min("start"), F.max("end")))[0]
+    assert rows[1][1][start:end] == same + prose(2, 60)
+
+
 def test_op6_chunks_tile_texts():
     texts = [t.encode() for t in ["", "a", LONG, "x" * 1000, prose(3, 300), "ä" * 77]]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
