@@ -62,7 +62,11 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int =
     their occurrences go.  Order: score and a descending, then the phrase's bytes.
     Columns of ``docs`` other than text and lang are not read; an empty table gives no row.
     """
-    known = Scratch(docs.sparkSession).put(phrase_counts(docs, longest, least))
+    return ranked(Scratch(docs.sparkSession).put(phrase_counts(docs, longest, least)), top, inside)
+
+
+def ranked(known: DataFrame, top: int = 2000, inside: int = 50) -> DataFrame:
+    """``collocations`` from the table that ``phrase_counts`` gives."""
     part = known.filter("phrase <> ''").select("lang", "phrase", "f")
     candidates = known.filter(F.size("words") >= 2).select("lang", "words", "phrase", F.col("f").alias("a"))
     # Both parts of a cut occur at least as often as the phrase, so they are among the counted ones.
@@ -77,9 +81,9 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int =
     scored = cuts.withColumns({"_top": (a * a).cast("decimal(31,0)") * F.lit(1_000_000).cast("decimal(7,0)"), "_below": l * r})
     scored = scored.withColumn("score", F.expr("_top div _below").cast("long"))
     best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("_cut")).select("lang", "phrase", "a", "_cut.score", "_cut.l", "_cut.r")
-    # Contiguous shorter parts of two words or more: (first word, number of words).
+    # Contiguous shorter parts of two words or more.
     spans = F.flatten(F.transform(F.sequence(F.lit(2), size - 1), lambda n: F.transform(
-        F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice("words", i, n), " "))))
+        F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, n), " "))))
     within = candidates.filter(size >= 3).select("lang", F.explode(F.array_distinct(spans)).alias("phrase"), F.col("a").alias("_longer"))
     within = within.groupBy("lang", "phrase").agg(F.max("_longer").alias("_longer"))
     kept = best.join(within, ["lang", "phrase"], "left").filter(F.col("_longer").isNull() | (100 * F.col("_longer") < inside * F.col("a")))
