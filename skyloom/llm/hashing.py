@@ -70,11 +70,11 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
 
 
 class Words:
-    """Words of one slice: byte ranges, their document and the words before each document."""
+    """Words of one slice: byte ranges, their document and the words before each document; ``is_word`` marks their bytes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = _IS_WORD):
         inside = np.zeros(len(data) + 2, dtype=bool)
-        inside[1:-1] = _IS_WORD[data]
+        inside[1:-1] = is_word[data]
         begins = inside[1:] & ~inside[:-1]
         finishes = inside[:-1] & ~inside[1:]
         # A document's border ends a word even where no blank stands between two texts.
