@@ -168,7 +168,9 @@ def best_path(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndar
     return path.reshape(-1)[slot]
 
 
-def _label(model, penalty: float):
+def _label(model, penalty: float, lead: int):
+    """``lead`` is the first column to hand on: 1 leaves the text out."""
+
     def run(batches):
         tables, known = CodePoints(), LanguageModel(**model.value)
         states = len(known.langs)
@@ -197,23 +199,26 @@ def _label(model, penalty: float):
                     [pa.array((letters.starts[at] - base).astype(np.int32)), pa.array((end - base).astype(np.int32)), names.take(pa.array(path[at]))], ["start", "end", "lang"])
                 ends = np.concatenate([[0], np.cumsum(np.bincount(letters.doc[at], minlength=docs))]).astype(np.int32)
                 lang = names.take(pa.array(best, mask=total == 0)).fill_null(UNKNOWN)
-                yield pa.RecordBatch.from_arrays([*rows.columns[1:], lang, pa.array(score), pa.ListArray.from_arrays(pa.array(ends), spans)],
-                                                 [*rows.schema.names[1:], "lang_pred", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[lead:], lang, pa.array(score), pa.ListArray.from_arrays(pa.array(ends), spans)],
+                                                 [*rows.schema.names[lead:], "lang_pred", "score", "spans"])
 
     return run
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: list[str | Column], penalty: float = 12.0) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, keep: list[str | Column], penalty: float = 12.0, with_text: bool = False) -> DataFrame:
     """``keep`` columns plus lang_pred, score and spans for every row of ``docs`` (text; whole texts).
 
+    ``with_text`` hands the text on, as the first column, NULL as ''; it need not travel a second time among ``keep``.
+
     ``score`` is the share of letters in spans of the predicted language; ``spans`` gives
     (start, end, lang) in code points.  NULL, empty and letterless texts are ``und`` with score
     0 and no span, as is every text under a model without languages.  Ties go to the
     alphabetically first language.
     """
     kept = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
-    fields = [f for f in kept.schema.fields[1:]]
+    lead = 0 if with_text else 1
+    fields = [f for f in kept.schema.fields[lead:]]
     if not model.langs:
         return kept.select(*[f.name for f in fields], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.array().cast(SPANS).alias("spans"))
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain values: executors need not import this module
-    return kept.mapInArrow(_label(shared, penalty), with_fields(kept, f"lang_pred string, score double, spans {SPANS}"))
+    return kept.mapInArrow(_label(shared, penalty, lead), with_fields(kept, f"lang_pred string, score double, spans {SPANS}", () if with_text else ("text",)))
