@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     # Split a skewed join partition even if that costs one more exchange later.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows of long texts or arrays travel to Python a few megabytes at a time, not ten thousand rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
     # Undefined arithmetic (x / 0, bad text) is a missing value here, not a failed job.
     "spark.sql.ansi.enabled": "false",
 }
