@@ -12,8 +12,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 from pyspark.sql.window import Window
 
+from skyloom.session import cut_lineage
+
 # Groups up to this many rows fit one task; larger ones are split.
 CHUNK_ROWS = 1_000_000
 
@@ -135,13 +138,46 @@ def median_by(df: DataFrame, keys: Sequence[str], *cols: str, largest: int | Non
     return exact_percentiles(df, keys, {c: (c, 0.5) for c in cols}, largest=largest)
 
 
+SAMPLES = 32  # sampled rows to a chunk
+
+
+def _hashable(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return _hashable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, MapType)
+
+
+def range_starts(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows: int) -> tuple[DataFrame, int]:
+    """(keys..., _starts) for keys of more than ``chunk_rows`` rows, and the greatest number of starts.
+
+    ``_starts`` are the ordered first rows (structs of ``order``) of a key's second and later ranges.  A
+    sample of ``SAMPLES`` rows to a range, chosen by hash and so the same in every run, is
+    ranked per key; every so many ranks a range begins.  The sample of one key has ``SAMPLES`` /
+    ``chunk_rows`` of its rows, which is why it may be gathered in one array.
+    """
+    keys = list(keys)
+    rate = max(1, chunk_rows // SAMPLES)
+    stride = -(-chunk_rows // rate)
+    cols = [F.col(f"`{c}`") for c in (*keys, *order)]
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > chunk_rows).drop("_n")
+    sample = df.select(*cols).filter(F.pmod(F.xxhash64(*cols), F.lit(rate)) == 0)
+    if keys:
+        sample = sample.join(hot, keys, "left_semi")
+    ranked = sample.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct(*[F.col(f"`{o}`") for o in order]))).alias("_s"))
+    # The window and the struct both put NULL before every value.
+    starts = cut_lineage(ranked.select(*keys, F.filter("_s", lambda x, i: (i > 0) & (i % stride == 0)).alias("_starts")))
+    return starts, starts.agg(F.max(F.size("_starts"))).first()[0] or 0
+
+
 class OrderedScan:
     """Lag, lead, running sums and row numbers per key in ``order``.
 
     When every group has at most ``chunk_rows`` rows these are plain windows.  Otherwise a
-    larger group is split into equal ranges of the leading (numeric) order column;
-    windows run per (key, chunk) and one summary row per chunk carries values across
-    chunk borders.
+    larger group is split at ``range_starts`` into chunks of about that many rows, however its
+    values are spread and whatever their types; windows run per (key, chunk) and one summary
+    row per chunk carries values across chunk borders.  Rows equal in the whole order are told
+    apart by a hash of their other columns, so they are divided too; only rows that
+    repeat every column share a chunk.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows: int = CHUNK_ROWS,
@@ -150,17 +186,17 @@ class OrderedScan:
         self.split = (largest_group(df, keys) if largest is None else largest) > chunk_rows
         if not self.split:
             return
-        lead_col = self.order[0]
-        stats = df.groupBy(*self.keys).agg(
-            F.count(F.lit(1)).alias("_scan_n"), F.min(lead_col).cast("double").alias("_scan_lo"),
-            F.max(lead_col).cast("double").alias("_scan_hi"))
-        pieces = F.ceil(F.col("_scan_n") / F.lit(chunk_rows))
-        width = (F.col("_scan_hi") - F.col("_scan_lo")) / pieces
-        # Without keys the statistics are a single row.
-        placed = attach(df, stats, self.keys) if self.keys else df.crossJoin(F.broadcast(stats))
-        chunk = F.when((pieces <= 1) | (width <= 0) | F.col(lead_col).isNull(), F.lit(0)).otherwise(
-            F.least(F.floor((F.col(lead_col).cast("double") - F.col("_scan_lo")) / width), pieces - 1))
-        self.df = placed.withColumn("_chunk", chunk.cast("long")).drop("_scan_n", "_scan_lo", "_scan_hi")
+        hashed = [f.name for f in df.schema.fields if f.name not in self.keys and _hashable(f.dataType)]
+        self.df = df.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in hashed]))
+        self.order.append("_tie")
+        starts, most = range_starts(self.df, self.keys, self.order, chunk_rows)
+        # Without keys there is a single row of starts.
+        placed = attach(self.df, starts, self.keys) if self.keys else self.df.crossJoin(F.broadcast(starts))
+        own = F.struct(*[F.col(f"`{o}`") for o in self.order])
+        # Binary search: how many starts are not above the row.
+        halves = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, most.bit_length())))])
+        chunk = F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.coalesce(F.get("_starts", at + step - 1) <= own, F.lit(False)), at + step).otherwise(at))
+        self.df = placed.withColumn("_chunk", F.coalesce(chunk, F.lit(0)).cast("long")).drop("_starts")
 
     @property
     def _part(self) -> list[str]:
@@ -232,7 +268,7 @@ class OrderedScan:
         return self.running_sum(name, F.lit(1).cast("long"))
 
     def done(self) -> DataFrame:
-        return self.df.drop("_chunk")
+        return self.df.drop("_chunk", "_tie") if self.split else self.df
 
 
 def island_ids(df: DataFrame, keys: Sequence[str], order: Sequence[str], breaks: Column, prev: dict[str, str],

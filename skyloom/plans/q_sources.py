@@ -172,7 +172,24 @@ def st3(spark, sf):
     return out.select(r6(D.seconds("bin_start") / 86400 + 40587).alias("bin_mjd"), r6("flux").alias("flux"), "n_frames")
 
 
-@query("ST4_streaming_extension")
+ST4_SQL = f"""WITH RECURSIVE r0 AS (SELECT user_id AS objid, CAST(floor((epoch(ts) - {D.EPOCH0}) / 14400) AS BIGINT) AS frame, max(value / 10e0) AS sig FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
+wm AS (SELECT CAST(floor((epoch(max(ts)) - 3600 - {D.EPOCH0}) / 14400) AS BIGINT) - 1 AS f FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY objid ORDER BY frame) AS rn FROM r0 WHERE frame <= (SELECT f FROM wm)),
+st AS (
+ SELECT DISTINCT objid, CAST(0 AS BIGINT) AS rn, CAST(-1 AS BIGINT) AS s, CAST(-1 AS BIGINT) AS e, CAST(-1 AS BIGINT) AS last, CAST(0 AS BIGINT) AS miss, CAST(0 AS BIGINT) AS hits,
+  CAST(NULL AS BIGINT) AS cs, CAST(NULL AS BIGINT) AS ce, CAST(NULL AS BIGINT) AS ch FROM r
+ UNION ALL
+ SELECT objid, rn, CASE WHEN opens THEN frame WHEN live AND NOT closes THEN s ELSE -1 END, CASE WHEN opens OR (live AND NOT closes AND sig >= 3) THEN frame ELSE e END, frame,
+  CASE WHEN opens THEN 0 ELSE m END, CASE WHEN opens THEN 1 WHEN live AND NOT closes AND sig >= 3 THEN hits + 1 ELSE hits END,
+  CASE WHEN closes THEN s END, CASE WHEN closes THEN e END, CASE WHEN closes THEN hits END
+ FROM (SELECT *, (NOT live OR closes) AND sig >= 5 AS opens FROM (SELECT *, live AND m >= 5 AS closes FROM (
+  SELECT st.objid, r.rn, s, e, hits, r.frame, r.sig, s >= 0 AS live, miss + r.frame - last - 1 + CASE WHEN r.sig >= 3 THEN 0 ELSE 1 END AS m
+  FROM st JOIN r ON r.objid = st.objid AND r.rn = st.rn + 1)))),
+fin AS (SELECT objid, s, e, hits FROM st WHERE rn = (SELECT max(rn) FROM r WHERE r.objid = st.objid) AND s >= 0 AND miss + (SELECT f FROM wm) - last >= 5)
+SELECT objid, cs AS frame_start, ce AS frame_end, ch AS n_detections FROM st WHERE cs IS NOT NULL UNION ALL SELECT objid, s, e, hits FROM fin"""
+
+
+@query("ST4_streaming_extension", ST4_SQL)
 def st4(spark, sf):
-    s = _stream(spark, sf).select(F.col("user_id").alias("objid"), F.floor((D.seconds("ts") - D.EPOCH0) / 14400).alias("frame"), (F.col("value") / 10).alias("sig"))
-    return _drain(spark, St.stream_extend(s))
+    s = _stream(spark, sf).select(F.col("user_id").alias("objid"), F.floor((D.seconds("ts") - D.EPOCH0) / 14400).alias("frame"), (F.col("value") / 10).alias("sig"), "ts")
+    return _drain(spark, St.stream_extend(s, "ts", 14400, D.EPOCH0))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def incoming(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_trigger: int = 1000) -> DataFrame:
@@ -36,37 +36,98 @@ def stream_bins(df: DataFrame, time: str, keys: list[str], width: str, lateness:
 
 
 EXTENDED = "objid long, frame_start long, frame_end long, n_detections long"
-STATE = "start long, end long, last long, misses long, hits long"
+OPEN = "start long, end long, last long, misses long, hits long"
+CLOSED = (-1, -1, -1, 0, 0)
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_extend(df: DataFrame, open_sig: float = 5.0, hit_sig: float = 3.0, budget: int = 5) -> DataFrame:
-    """ST4: event boundaries with a budget of missed frames, over (objid, frame, sig) rows.
+class Extension(StatefulProcessor):
+    """State of ST4 per object: the open event and the frames that the watermark has not passed.
 
-    An event opens at ``open_sig``, follows every frame from ``hit_sig`` on and closes when
-    ``budget`` frames were missed in all, absent frames included.  The state per object is five numbers;
-    rows of a trigger are handled in frame order.
+    Frames wait until no row of theirs can come any more, so the order of arrival does not matter.
+    An event-time timer stands at the end of the first waiting frame, or at the end of the frame with
+    which absent frames alone would use up the open event's budget; what is left without an
+    open event or a waiting frame is cleared.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        start, end, last, misses, hits = state.get if state.exists else (-1, -1, -1, 0, 0)
+    def __init__(self, open_sig: float, hit_sig: float, budget: int, frame_ms: int, origin_ms: int):
+        self.open_sig, self.hit_sig, self.budget = open_sig, hit_sig, budget
+        self.frame_ms, self.origin_ms = frame_ms, origin_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.event = handle.getValueState("event", OPEN)
+        self.waiting = handle.getMapState("waiting", "frame long", "sig double")
+
+    def close(self) -> None:
+        pass
+
+    def _wake(self, frame: int) -> None:
+        self.handle.registerTimer(self.origin_ms + (frame + 1) * self.frame_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        found: dict[int, float] = {}
+        for pdf in rows:
+            for frame, sig in pdf.groupby("frame")["sig"].max().items():
+                found[int(frame)] = max(float(sig), found.get(int(frame), float("-inf")))
+        for frame, sig in found.items():
+            before = self.waiting.getValue((frame,)) if self.waiting.containsKey((frame,)) else None
+            self.waiting.updateValue((frame,), (sig if before is None else max(sig, before[0]),))
+        if found:
+            self._wake(min(found))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        through = (timerValues.getCurrentWatermarkInMs() - self.origin_ms) // self.frame_ms - 1
+        frames = sorted((k[0], v[0]) for k, v in self.waiting.iterator())
+        due = [f for f in frames if f[0] <= through]
+        event, done = self.advance(tuple(self.event.get()) if self.event.exists() else CLOSED, due, through)
+        for frame, _ in due:
+            self.waiting.removeKey((frame,))
+        later = [f[0] for f in frames[len(due):]]
+        if event[0] >= 0:
+            self.event.update(event)
+            later.append(event[2] + self.budget - event[3])
+        else:
+            self.event.clear()
+        if later:
+            self._wake(min(later))
+        yield pd.DataFrame([(key[0], *d) for d in done], columns=["objid", "frame_start", "frame_end", "n_detections"])
+
+    def advance(self, event: tuple, frames: list[tuple[int, float]], through: int) -> tuple[tuple, list[tuple[int, int, int]]]:
+        """The open event after ``frames`` and all absent frames up to ``through``, and the events that closed."""
+        start, end, last, misses, hits = event
         done = []
-        rows = pd.concat(list(batches)).groupby("frame", as_index=False)["sig"].max().sort_values("frame")
-        for frame, sig in zip(rows["frame"].to_numpy(), rows["sig"].to_numpy()):
-            frame = int(frame)
+        for frame, sig in frames:
             if start >= 0:
                 if frame <= last:
                     continue
-                misses += frame - last - 1 + (0 if sig >= hit_sig else 1)
+                misses += frame - last - 1 + (0 if sig >= self.hit_sig else 1)
                 # A hit only counts when the budget was not used up before it.
-                if misses >= budget:
-                    done.append((key[0], start, end, hits))
+                if misses >= self.budget:
+                    done.append((start, end, hits))
                     start = -1
-                elif sig >= hit_sig:
+                elif sig >= self.hit_sig:
                     end, hits = frame, hits + 1
-            if start < 0 and sig >= open_sig:
+            if start < 0 and sig >= self.open_sig:
                 start, end, misses, hits = frame, frame, 0, 1
             last = frame
-        state.update((start, end, last, misses, hits))
-        yield pd.DataFrame(done, columns=["objid", "frame_start", "frame_end", "n_detections"])
+        if start >= 0 and misses + through - last >= self.budget:
+            done.append((start, end, hits))
+            start = -1
+        return ((start, end, last, misses, hits) if start >= 0 else CLOSED), done
+
+
+def stream_extend(df: DataFrame, time: str, frame_seconds: int, origin: int = 0, lateness: str = "1 hour", open_sig: float = 5.0,
+                  hit_sig: float = 3.0, budget: int = 5) -> DataFrame:
+    """ST4: event boundaries with a budget of missed frames, over rows of objid, frame, sig and ``time``.
 
-    return df.groupBy("objid").applyInPandasWithState(step, EXTENDED, STATE, "append", GroupStateTimeout.NoTimeout)
+    An event opens at ``open_sig``, follows every frame from ``hit_sig`` on and closes when
+    ``budget`` frames were missed in all, absent frames included.  Frame f ends at ``origin`` + (f + 1) *
+    ``frame_seconds`` (Unix seconds); an event is given out once the watermark passes the frame that closes
+    it, whether rows come after it or not.  Rows that ``lateness`` leaves behind are dropped.
+    """
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = df.select("objid", "frame", "sig", time).filter("sig IS NOT NULL AND frame IS NOT NULL").withWatermark(time, lateness)
+    step = Extension(open_sig, hit_sig, budget, 1000 * frame_seconds, 1000 * origin)
+    return rows.groupBy("objid").transformWithStateInPandas(statefulProcessor=step, outputStructType=EXTENDED, outputMode="Append", timeMode="EventTime")

@@ -83,6 +83,29 @@ def test_ordered_scan_across_chunks(spark, chunk):
     assert got["nt"].fillna(-1).tolist() == g["t"].shift(-1).fillna(-1).tolist()
 
 
+@pytest.mark.parametrize("lead", ["crowded", "equal", "text", "null"])
+def test_ordered_scan_divides_crowded_and_equal_leads(spark, lead):
+    rng = np.random.default_rng(8)
+    n = 6000
+    t = np.where(rng.random(n) < 0.99, rng.uniform(0, 1e-6, n), rng.uniform(0, 1e6, n))
+    lead_of = {"crowded": t, "equal": np.zeros(n), "text": [f"{x:.9f}" for x in t], "null": np.where(rng.random(n) < 0.9, np.nan, t)}[lead]
+    pdf = pd.DataFrame({"k": np.where(rng.random(n) < 0.95, 1, 2), "t": lead_of, "i": rng.permutation(n), "v": rng.integers(1, 9, n)})
+    kind = "string" if lead == "text" else "double"
+    df = spark.createDataFrame(pdf, f"k long, t {kind}, i long, v long").withColumn("t", F.col("t") if lead == "text" else F.nanvl("t", F.lit(None).cast("double")))
+    scan = skew.OrderedScan(df, ["k"], ["t"], chunk_rows=300)
+    sizes = scan.df.groupBy("k", "_chunk").count().toPandas()
+    assert sizes["count"].sum() == n and sizes["count"].max() < 900 and len(sizes) > 12
+    got = scan.lag({"pv": "v", "pi": "i"}).running_sum("cs", F.col("v")).row_number("rn").fill({"lv": "v"}).done().toPandas()
+    assert "_tie" not in got and len(got) == n
+    for _, g in got.groupby("k"):
+        g = g.sort_values("rn").reset_index(drop=True)
+        assert g["rn"].tolist() == list(range(1, len(g) + 1))
+        assert g["cs"].tolist() == g["v"].cumsum().tolist()
+        assert g["pi"].fillna(-1).tolist() == g["i"].shift().fillna(-1).tolist() and g["pv"].fillna(-1).tolist() == g["v"].shift().fillna(-1).tolist()
+        t = g["t"].dropna()
+        assert t.is_monotonic_increasing and g["t"].isna().sum() == (t.index.min() if len(t) else len(g))
+
+
 def test_nearest_within_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     a, b = rng.uniform(0, 10, (300, 2)), rng.uniform(0, 10, (200, 2))

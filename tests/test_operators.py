@@ -1,11 +1,13 @@
 """Operators against literal numpy versions and planted answers."""
 
 import math
+import os
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skyloom.functions import angles, photometry, timecode, wcs
 from skyloom.operators import dedupe, events, features, filters, fits, robust, series, tracks
@@ -305,28 +307,53 @@ def test_load_table_falls_back_to_csv(spark, tmp_path):
     assert text.orbit_catalogue(spark.createDataFrame([("short line",)], "value string")).count() == 0
 
 
-def test_st4_equals_a_plain_loop_over_two_triggers(spark, tmp_path):
-    rng = np.random.default_rng(9)
-    sig = rng.uniform(0, 7, 120)
-    src = tmp_path / "in"
-    for part, rows in enumerate((range(0, 60), range(60, 120))):
-        spark.createDataFrame([(1, int(i), float(sig[i])) for i in rows], "objid long, frame long, sig double").coalesce(1).write.parquet(str(src / f"p{part}"))
-    stream_df = spark.readStream.schema("objid long, frame long, sig double").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(src))
-    stream.run_available(stream.stream_extend(stream_df), str(tmp_path / "out"), str(tmp_path / "ck"))
-    got = sorted((r["frame_start"], r["frame_end"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    want, i = [], 0
-    start, end, misses = -1, -1, 0
-    for i in range(120):
+def walk(sig, frames):
+    """Events of one object over all frames, absent ones with no signal, frame by frame."""
+    want, start, end, misses, hits = [], -1, -1, 0, 0
+    for i in range(frames):
+        x = sig.get(i, 0.0)
         if start >= 0:
-            misses += sig[i] < 3
+            misses += x < 3
             if misses >= 5:
-                want.append((start, end))
+                want.append((start, end, hits))
                 start = -1
-            elif sig[i] >= 3:
-                end = i
-        if start < 0 and sig[i] >= 5:
-            start, end, misses = i, i, 0
-    assert got == want
+            elif x >= 3:
+                end, hits = i, hits + 1
+        if start < 0 and x >= 5:
+            start, end, misses, hits = i, i, 0, 1
+    return want
+
+
+def test_st4_stream_closes_every_event_and_equals_the_batch_rule(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    signals = {k: {int(f): float(v) for f, v in zip(rng.choice(90, 50, replace=False), rng.uniform(0, 7, 50))} for k in (1, 2, 3)}
+    signals[4] = {3: 6.0}  # nothing comes after its only row
+    rows = [(k, f, v) for k, s in signals.items() for f, v in s.items()] + [(1, f, 0.0) for f in list(signals[1])[:5]]
+    pdf = pd.DataFrame(rows, columns=["objid", "frame", "sig"])
+    pdf["ts"] = pd.to_datetime(pdf["frame"] * 60 + 30, unit="s")
+    # Rows of neighbouring frames arrive in any order, in six files; a last one moves the clock on.
+    pdf = pdf.iloc[np.argsort(pdf["frame"] + rng.uniform(0, 8, len(pdf)), kind="stable")]
+    parts = [pdf.iloc[i * len(pdf) // 6:(i + 1) * len(pdf) // 6] for i in range(6)]
+    parts.append(pd.DataFrame({"objid": [-1], "frame": [500], "sig": [0.0], "ts": pd.to_datetime([500 * 60], unit="s")}))
+    src = tmp_path / "in"
+    src.mkdir()
+    for i, part in enumerate(parts):
+        part.to_parquet(src / f"{i}.parquet", index=False, coerce_timestamps="us")
+        os.utime(src / f"{i}.parquet", (1000 + i, 1000 + i))
+    schema = "objid long, frame long, sig double, ts timestamp"
+    incoming = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+    out = stream.stream_extend(incoming, "ts", 60, lateness="9 minutes")
+    stream.run_available(out, str(tmp_path / "out"), str(tmp_path / "ck"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    found = sorted(tuple(r) for r in got.collect())
+    assert found == sorted((k, *e) for k, s in signals.items() for e in walk(s, 400)) and any(r[0] == 4 for r in found)
+    lc = spark.createDataFrame([(k, f, signals[k].get(f, 0.0)) for k in signals for f in range(120)], "objid long, frame long, sig double")
+    opened = got.select("objid", F.row_number().over(Window.partitionBy("objid").orderBy("frame_start")).alias("eventid"), "frame_start", F.col("frame_start").alias("frame_end"), F.col("frame_end").alias("closed"))
+    batch = series.extend_events(opened, lc, ["objid"])
+    assert batch.filter("new_end <> closed").count() == 0 and batch.count() == len(found)
+    # Once everything has closed, only the clock's own frame still waits.
+    state = spark.read.format("statestore").option("stateVarName", "event").load(str(tmp_path / "ck"))
+    assert state.count() == 0
 
 
 def test_s3_reports_files_without_rows(spark, tmp_path):
