@@ -221,6 +221,19 @@ class _Join:
         two = F.array(F.max_by("l_key", F.struct("l_hub", "l_key")), F.max_by("l_key", F.xxhash64("l_key", F.lit(turn))))
         return met.groupBy(F.col("key").alias("u")).agg(two.alias("v")).select("u", F.explode("v").alias("v"))
 
+    def block(self, rows: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        """Pairs of every row with a block of some ``PAIRS_PER_ROW`` rows of its shingle, and the rows without those blocks.
+
+        A block's rows have then met all others of their shingle and are done with, so rounds of blocks come
+        to an end whatever links; a shingle of fewer rows is settled at once.
+        """
+        blocks = F.greatest(F.ceil(F.col("n") / PAIRS_PER_ROW), F.lit(1))
+        rows = rows.withColumn("lead", F.pmod(F.xxhash64("key", "token", F.lit(turn)), blocks) == 0)
+        a = rows.filter("lead").select("token", *[F.col(c).alias(f"a_{c}") for c in ("key", "size", "part")])
+        b = rows.select("token", "lead", *[F.col(c).alias(f"b_{c}") for c in ("key", "size", "part")])
+        met = a.join(b, "token").filter((~F.col("lead") | (F.col("a_key") < F.col("b_key"))) & (F.col("a_part") != F.col("b_part")) & _fits("a_", "b_", self.num, self.den))
+        return met.select(F.col("a_key").alias("u"), F.col("b_key").alias("v")), self.scratch.put(rows.filter("NOT lead").select("token", "key", "size"))
+
     def verified(self, pairs: DataFrame) -> tuple[DataFrame, int]:
         """Those of the pairs (u, v) that share prefixes in the other orders and reach the threshold, and how many were tested."""
         pairs = self.scratch.put(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
@@ -282,8 +295,10 @@ class _Join:
                 if not count:
                     break
                 # Leaders go on while they still link what they meet and crossing pairs are many to a row.
-                last = crossing <= PAIRS_PER_ROW * count or 10 * linked < tested
-                if last:
+                last = crossing <= PAIRS_PER_ROW * count
+                if not last and 10 * linked <= tested:
+                    pairs, shared = self.block(rows, turn)
+                elif last:
                     a, b = [rows.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("key", "size", "part")]) for x in ("a", "b")]
                     pairs = a.join(b, "token").filter((F.col("a_key") < F.col("b_key")) & (F.col("a_part") != F.col("b_part")) & _fits("a_", "b_", num, den))
                     pairs = pairs.select(F.col("a_key").alias("u"), F.col("b_key").alias("v"))

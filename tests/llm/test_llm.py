@@ -117,6 +117,17 @@ def test_op9_chains_and_threshold_edges(spark):
     assert sorted(got, key=str) == components(rows)
 
 
+@pytest.mark.parametrize("per_row", [1, 3])
+def test_op9_ends_where_many_texts_share_sentences_without_links(spark, monkeypatch, per_row):
+    monkeypatch.setattr(ngram_join, "PAIRS_PER_ROW", per_row)
+    p = 7  # any two of these texts share at most one of four sentences
+    pool = [[prose(1000 + 50 * k + i, 40, 10**6) for i in range(p)] for k in range(4)]
+    rows = [(p * i + j, " ".join([pool[0][i], pool[1][j], pool[2][(i + j) % p], pool[3][(i + 2 * j) % p]])) for i in range(p) for j in range(p)]
+    rows += [(100, rows[5][1] + " more"), (101, rows[9][1] + " words here")]
+    got = rows_of(ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert sorted(got, key=str) == components(rows)
+
+
 def test_op7_pieces_hold_every_id_once(docs, empty):
     from tokenizers import Tokenizer
 
@@ -375,7 +386,7 @@ def test_pipeline_stages_decide(spark, tmp_path):
     secret = "password = 'Zx81kkQ0aa7YYp'"
     item = prose(500, 30)
     rows = [(1, prose(1, 60), "en"), (2, prose(1, 60), "en"), (3, prose(2, 40) + " " + item + " " + prose(3, 20), "en"), (4, prose(4, 50) + " " + secret + " " + prose(5, 9), "en"), (5, "12 34", "en"), (6, None, None), (None, prose(6, 30), "en"),
-            (7, prose(8, 50), None), (7, prose(8, 50), None)]
+            (7, prose(8, 50), None), (7, prose(8, 50), None), (8, prose(9, 60), "en"), (8, prose(10, 60), "en"), (9, prose(9, 60), "en"), (8, prose(9, 60) + " end", "en"), (None, prose(9, 60), "en")]
     table = spark.createDataFrame([(i, t, lang, "s", len(t) if t else None) for i, t, lang in rows], DOCS).withColumn("score", F.lit(3)).withColumn("spans", F.lit("x"))
     table.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -386,12 +397,14 @@ def test_pipeline_stages_decide(spark, tmp_path):
         assert state.columns == table.columns
         state.write.parquet(f"{tmp_path}/stage{k}")
         state = spark.read.parquet(f"{tmp_path}/stage{k}")
-        kept.append(sorted(r["doc_id"] for r in state.collect()))
-    assert kept == [[1, 2, 3, 4, 7, 7], [1, 3, 4, 7], [1, 4, 7], [1, 4, 7]]
+        kept.append(sorted((r["doc_id"] for r in state.collect()), key=lambda d: d or 0))
+    # Two texts under the id 8 stay, each the first of its own; its third text is a near copy.
+    assert kept == [[None, None, 1, 2, 3, 4, 7, 7, 8, 8, 8, 9], [None, 1, 3, 4, 7, 8, 8], [None, 1, 4, 7, 8, 8], [None, 1, 4, 7, 8, 8]]
+    assert state.filter("doc_id = 8").select("text").distinct().count() == 2
     masked = state.filter("doc_id = 4").first()
     assert "Zx81" not in masked["text"] and corpus_pipeline.MARK in masked["text"] and masked["n_chars"] == len(masked["text"]) and masked["spans"] == "x"
     pieces = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
-    assert set(pieces["doc_id"]) == {1, 4, 7} and pieces["sequence_id"].nunique() >= 1
+    assert set(pieces["doc_id"].dropna()) == {1, 4, 7, 8} and pieces["sequence_id"].nunique() >= 1
 
 
 @pytest.mark.parametrize("name", ["op8_url_filter", "op9_ngram_jaccard", "op10_adaptive_rules"])
