@@ -36,6 +36,7 @@ from skyloom.operators.components import connected_components
 BUCKET_BITS = 21  # counters of repeated shingles, whatever the input's size: 2 MB
 FILTER_BITS = 24  # the largest filter of candidate keys: 2 MB
 PAIRS_PER_ROW = 100  # up to this many crossing pairs per remaining row are all compared by their places
+BLOCK_ROWS = 1 << 16  # rows of a shingle that meet all its others in one round; pairs stream, so a block bounds what a join holds per key
 _SEEDS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 
@@ -222,12 +223,12 @@ class _Join:
         return met.groupBy(F.col("key").alias("u")).agg(two.alias("v")).select("u", F.explode("v").alias("v"))
 
     def block(self, rows: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-        """Pairs of every row with a block of some ``PAIRS_PER_ROW`` rows of its shingle, and the rows without those blocks.
+        """Pairs of every row with a block of some ``BLOCK_ROWS`` rows of its shingle, and the rows without those blocks.
 
         A block's rows have then met all others of their shingle and are done with, so rounds of blocks come
         to an end whatever links; a shingle of fewer rows is settled at once.
         """
-        blocks = F.greatest(F.ceil(F.col("n") / PAIRS_PER_ROW), F.lit(1))
+        blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.lit(1))
         rows = rows.withColumn("lead", F.pmod(F.xxhash64("key", "token", F.lit(turn)), blocks) == 0)
         a = rows.filter("lead").select("token", *[F.col(c).alias(f"a_{c}") for c in ("key", "size", "part")])
         b = rows.select("token", "lead", *[F.col(c).alias(f"b_{c}") for c in ("key", "size", "part")])
