@@ -1,4 +1,4 @@
-"""Pixel-table photometry.
+"""Pixel-table photometry.
 
 Pixels are rows (keys..., frame, y, x, value); images never leave their partitions whole.
 """
@@ -44,64 +44,6 @@ def stamp_pixels(positions: DataFrame, pixels: DataFrame, keys: Sequence[str], o
     return pos.join(pixels, [*keys, "y", "x"])
 
 
-def detect_sources(pixels: DataFrame, keys: Sequence[str], value: str = "v", mesh: int = 24, sigma: float = 3.0, fwhms: Sequence[float] = (1.5, 2.5),
-                   aperture: float = 1.5, min_snr: float = 3.0, max_neg_extent: float = 3.0, max_ellipticity: float = 0.75) -> DataFrame:
-    """Matched-filter detection of both signs.
-
-    Mesh medians form the background, Gaussian filters of each width are applied by a join
-    with a small kernel table, local maxima above ``sigma`` become detections (the best
-    filter wins), and second moments give the shape.  Overlapping sources are not deblended.
-    """
-    keys = list(keys)
-    cell = [*keys, "_my", "_mx"]
-    px = pixels.withColumns({"_my": F.floor(F.col("y") / mesh), "_mx": F.floor(F.col("x") / mesh)})
-    # A mesh cell has mesh x mesh pixels, so exact medians are bounded.
-    bg = median_mad(px, cell, value, largest=mesh * mesh)
-    sub = px.join(bg, cell).select(*keys, "y", "x", (F.col(value) - F.col("median")).alias("s"), (F.col("mad") * MAD_TO_SIGMA).alias("noise"))
-    spark = pixels.sparkSession
-    kernel = []
-    for i, fwhm in enumerate(fwhms):
-        sd = fwhm / 2.3548
-        offs = offsets(int(np.ceil(2 * sd)), square=True)
-        w = np.array([np.exp(-0.5 * (dy * dy + dx * dx) / sd**2) for dy, dx in offs])
-        kernel += [(i, float(fwhm), dy, dx, float(k)) for (dy, dx), k in zip(offs, w / np.sqrt((w**2).sum()))]
-    table = F.broadcast(spark.createDataFrame(kernel, "k int, detection_fwhm double, dy long, dx long, weight double"))  # fixed kernel table
-    spread = sub.crossJoin(table).select(*keys, "k", "detection_fwhm", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), (F.col("s") * F.col("weight")).alias("c"))
-    smooth = spread.groupBy(*keys, "k", "detection_fwhm", "y", "x").agg(F.sum("c").alias("filtered")).join(sub, [*keys, "y", "x"])
-    snr = F.col("filtered") / F.col("noise")
-    hot = smooth.filter((F.col("noise") > 0) & (F.abs(snr) >= sigma)).withColumns({"flux_sign": F.signum(snr).cast("long"), "peak_sig": F.abs(snr)})
-    best = hot.groupBy(*keys, "flux_sign", "y", "x").agg(F.max(F.struct("peak_sig", "detection_fwhm")).alias("b"), F.first("noise").alias("noise"))
-    # Local maximum: no brighter pixel of the same sign among the eight neighbours (ties: first in row order).
-    ring = [o for o in offsets(1, square=True) if o != (0, 0)]
-    arr = F.array(*[F.struct(F.lit(dy).cast("long").alias("dy"), F.lit(dx).cast("long").alias("dx")) for dy, dx in ring])
-    rival = best.withColumn("_o", F.explode(arr)).select(*keys, "flux_sign", (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x"),
-                                                         F.struct(F.col("b.peak_sig"), -F.col("y"), -F.col("x")).alias("_r"))
-    top = rival.groupBy(*keys, "flux_sign", "y", "x").agg(F.max("_r").alias("_r"))
-    peaks = best.join(top, [*keys, "flux_sign", "y", "x"], "left").filter(
-        F.col("_r").isNull() | (F.struct(F.col("b.peak_sig"), -F.col("y"), -F.col("x")) > F.col("_r")))
-    peaks = peaks.select(*keys, "flux_sign", "y", "x", "noise", F.col("b.peak_sig").alias("peak_sig"), F.col("b.detection_fwhm").alias("detection_fwhm"))
-    peaks = peaks.withColumn("_pid", F.struct(*keys, "flux_sign", "y", "x"))
-    near = stamp_pixels(peaks.select(*keys, "_pid", "y", "x"), sub.select(*keys, "y", "x", "s"), keys, offsets(3, square=True), "_pid")
-    v = F.greatest(F.col("s") * F.col("_pid.flux_sign"), F.lit(0.0))
-    disc = F.col("dy") ** 2 + F.col("dx") ** 2 <= aperture * aperture
-    inner = F.col("dy") ** 2 + F.col("dx") ** 2 <= 4
-    sums = near.groupBy("_pid").agg(
-        F.sum(v).alias("t"), F.sum(v * F.col("dx")).alias("sx"), F.sum(v * F.col("dy")).alias("sy"), F.sum(v * F.col("dx") ** 2).alias("sxx"),
-        F.sum(v * F.col("dy") ** 2).alias("syy"), F.sum(v * F.col("dx") * F.col("dy")).alias("sxy"),
-        F.sum(F.when(disc, F.col("s") * F.col("_pid.flux_sign"))).alias("flux"), F.count_if(disc).alias("npix"),
-        F.min(F.when(inner, F.col("s") * F.col("_pid.flux_sign"))).alias("low"))
-    out = peaks.join(sums, "_pid")
-    mx, my = F.col("sx") / F.col("t"), F.col("sy") / F.col("t")
-    out = out.withColumns({"_vx": F.col("sxx") / F.col("t") - mx * mx, "_vy": F.col("syy") / F.col("t") - my * my, "_vxy": F.col("sxy") / F.col("t") - mx * my})
-    half, root = (F.col("_vx") + F.col("_vy")) / 2, F.sqrt(((F.col("_vx") - F.col("_vy")) / 2) ** 2 + F.col("_vxy") ** 2)
-    out = out.withColumns({"a": F.sqrt(F.greatest(half + root, F.lit(0.0))), "b": F.sqrt(F.greatest(half - root, F.lit(0.0)))})
-    out = out.select(*keys, "flux_sign", (F.col("x") + mx).alias("xcentroid"), (F.col("y") + my).alias("ycentroid"), F.col("x").alias("xint"), F.col("y").alias("yint"), "flux",
-                     (F.col("flux") / (F.col("noise") * F.sqrt("npix"))).alias("snr"), "peak_sig", "detection_fwhm", "a", "b",
-                     (0.5 * F.atan2(2 * F.col("_vxy"), F.col("_vx") - F.col("_vy"))).alias("theta"),
-                     (1 - F.col("b") / F.col("a")).alias("ellipticity"), (F.greatest(F.lit(0.0), -F.col("low")) / F.col("noise")).alias("neg_extent"))
-    return out.filter((F.col("snr") >= min_snr) & (F.col("neg_extent") < max_neg_extent) & (F.coalesce("ellipticity", F.lit(0.0)) < max_ellipticity))
-
-
 def negative_extent(positions: DataFrame, pixels: DataFrame, keys: Sequence[str], row: str, value: str = "v", radius: float = 2.0) -> DataFrame:
     """Depth of the deepest negative pixel nearby in clipped standard deviations; outside counts as 0."""
     kept = sigma_clip(pixels, keys, value, 3.0, 5, library=True).filter("kept")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from skyloom.operators import photometry as P
+from skyloom.operators.detection import background_free, detect_sources, segments
 from skyloom.plans import fixtures as D
 from skyloom.plans.fixtures import R, r6
 from skyloom.plans.q_robust import clip_sql, rounded
@@ -25,10 +26,17 @@ _PCLIP, _PLAST = clip_sql(5, "p", "vec_id", "v", "3e0", library=True)
 
 @query("P1_detect_sources")
 def p1(spark, sf):
-    out = P.detect_sources(_px(spark, sf), ["vec_id"], mesh=8, sigma=2.0, min_snr=1.0)
+    out = detect_sources(_px(spark, sf), ["vec_id"], mesh=8, tile=8)
     return rounded(out.select("vec_id", "flux_sign", "xint", "yint", "xcentroid", "ycentroid", "flux", "snr", "ellipticity", "neg_extent"), "xcentroid", "ycentroid", "flux", "snr", "ellipticity", "neg_extent")
 
 
+@query("P1_segments")
+def p1s(spark, sf):
+    """All connected pixels of every width and sign, before thinning; ``test_p1`` holds them against a flood fill."""
+    out = segments(background_free(_px(spark, sf), ["vec_id"], mesh=8), ["vec_id"], tile=8)
+    return rounded(out.select("vec_id", "flux_sign", r6("detection_fwhm", 3).alias("detection_fwhm"), "n_pixels", "xcentroid", "ycentroid", "flux", "a", "b"), "xcentroid", "ycentroid", "flux", "a", "b", n=4)
+
+
 @query("P2_negative_extent", f"""WITH {PX_SQL}, {POS_SQL}, {_PCLIP}, sd AS (SELECT vec_id, stddev_pop(v) AS sd FROM p JOIN {_PLAST} USING (vec_id) WHERE v > lo AND v < hi GROUP BY vec_id),
 n AS (SELECT vec_id, CASE WHEN count(*) < 13 THEN least(min(v), 0e0) ELSE min(v) END AS m FROM p JOIN pos USING (vec_id) WHERE pow(y - py, 2) + pow(x - px, 2) <= 4 GROUP BY vec_id)
 SELECT vec_id, {R('greatest(0e0, -m) / sd')} AS neg_extent FROM n JOIN sd USING (vec_id)""")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skyloom.functions import angles, photometry, timecode, wcs
-from skyloom.operators import dedupe, events, features, filters, fits, robust, series, tracks
+from skyloom.operators import dedupe, detection, events, features, filters, fits, robust, series, tracks
 from skyloom.operators import photometry as phot
 from skyloom.operators.catalog import recovery_match
 from skyloom.sources import tables, text
@@ -169,13 +169,79 @@ def test_p8_equals_lstsq(spark):
     assert got["flux"] == pytest.approx(sol[0]) and got["background"] == pytest.approx(sol[1]) and got["e_flux"] == pytest.approx(e)
 
 
-def test_p1_finds_a_planted_source(spark):
+def flood(mask):
+    """Lists of (y, x) of the parts of a mask, pixel by pixel."""
+    left, parts = set(zip(*map(list, np.nonzero(mask)))), []
+    while left:
+        part, todo = [], [left.pop()]
+        while todo:
+            y, x = todo.pop()
+            part.append((y, x))
+            for n in [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]:
+                if n in left:
+                    left.remove(n)
+                    todo.append(n)
+        parts.append(part)
+    return parts
+
+
+def plain_segments(s, noise, fwhm, threshold, min_area):
+    """Whole-image version: kernel by its formula, one flood fill, moments per part."""
+    sd = fwhm / (2 * math.sqrt(2 * math.log(2)))
+    half = max(5, math.ceil(6 * sd) | 1) // 2
+    k = np.array([[(1 - (y * y + x * x) / (2 * sd * sd)) * math.exp(-(y * y + x * x) / (2 * sd * sd)) for x in range(-half, half + 1)] for y in range(-half, half + 1)])
+    k /= np.abs(k).sum()
+    h, w = s.shape
+    snr = np.zeros((h, w))
+    for y in range(h):
+        for x in range(w):
+            near = [(k[j - y + half, i - x + half], s[j, i], noise[j, i]) for j in range(max(0, y - half), min(h, y + half + 1)) for i in range(max(0, x - half), min(w, x + half + 1))]
+            snr[y, x] = sum(a * b / c**2 for a, b, c in near) / math.sqrt(sum(a * a / c**2 for a, b, c in near))
+    out = []
+    for sign in (1, -1):
+        for part in flood(sign * snr > threshold):
+            if len(part) >= min_area:
+                v = np.array([sign * snr[p] for p in part])
+                y, x = np.array(part).T
+                out.append((sign, round(fwhm, 6), len(part), round(float((v * x).sum() / v.sum()), 6), round(float((v * y).sum() / v.sum()), 6), round(float(sum(sign * s[p] for p in part)), 5)))
+    return out
+
+
+def test_p1_segments_over_tile_borders_equal_a_flood_fill(spark):
+    rng = np.random.default_rng(3)
+    s = rng.normal(0, 1, (30, 26))
+    s[12:15, :] += 4  # a source as long as the image, over all tiles
+    noise = rng.uniform(0.8, 1.3, s.shape)
+    y, x = np.mgrid[0:30, 0:26]
+    px = frame(spark, frame=[5] * s.size, y=y.ravel(), x=x.ravel(), s=s.ravel(), noise=noise.ravel())
+    for widths, threshold, area, tile in [((1.2, 2.0), 0.3, 2, 7), ((0.7,), 1.0, 1, 16), ((1.2,), 0.3, 2, 64)]:
+        want = sorted(r for f in widths for r in plain_segments(s, noise, f, threshold, area))
+        got = detection.segments(px, ["frame"], widths, threshold, area, tile).collect()
+        assert sorted((r["flux_sign"], round(r["detection_fwhm"], 6), r["n_pixels"], round(r["xcentroid"], 6), round(r["ycentroid"], 6), round(r["flux"], 5)) for r in got) == want
+
+
+def test_p1_finds_planted_sources_of_both_signs(spark):
     rng = np.random.default_rng(1)
-    y, x = np.mgrid[0:40, 0:40]
-    img = rng.normal(0, 1, (40, 40)) + 60 * np.exp(-0.5 * ((y - 20.3) ** 2 + (x - 11.8) ** 2) / 0.8)
-    px = frame(spark, frame=[0] * 1600, y=y.ravel(), x=x.ravel(), v=img.ravel())
-    got = phot.detect_sources(px, ["frame"], mesh=20, sigma=6.0).orderBy(F.col("snr").desc()).first()
-    assert got["flux_sign"] == 1 and abs(got["xcentroid"] - 11.8) < 0.4 and abs(got["ycentroid"] - 20.3) < 0.4
+    y, x = np.mgrid[0:96, 0:96]
+    planted = [(20.3, 11.8, 60, 1), (63.6, 64.2, 45, 1), (40.0, 80.4, 50, -1), (80.7, 31.1, 70, -1)]  # the second lies on a corner of four tiles
+    img = rng.normal(100, 1, y.shape) + sum(sign * f * np.exp(-0.5 * ((y - a) ** 2 + (x - b) ** 2) / 0.8) for a, b, f, sign in planted)
+    px = frame(spark, frame=[0] * y.size, y=y.ravel(), x=x.ravel(), v=img.ravel())
+    got = detection.detect_sources(px, ["frame"]).orderBy(F.col("snr").desc()).collect()
+    for a, b, f, sign in planted:
+        hits = [r for r in got if r["flux_sign"] == sign and math.hypot(r["ycentroid"] - a, r["xcentroid"] - b) < 0.5]
+        assert len(hits) == 1 and hits[0]["snr"] > 5 and hits[0]["neg_extent"] < 3
+    assert {(r["flux_sign"]) for r in got[:4]} == {1, -1} and all(r["ellipticity"] < 0.75 for r in got)
+    bright = [r for r in got if r["flux"] > 100]
+    for i, r in enumerate(bright):
+        assert all(r["flux_sign"] != o["flux_sign"] or math.hypot(r["xcentroid"] - o["xcentroid"], r["ycentroid"] - o["ycentroid"]) > 1 for o in bright[:i])
+
+
+def test_p1_joined_pixels_follow_long_chains():
+    mask = np.zeros((41, 41), dtype=bool)
+    mask[::2] = True
+    for k in range(1, 41, 4):
+        mask[k, -1] = mask[min(k + 2, 39), 0] = True  # one snake through all rows
+    assert len(set(detection.joined_pixels(mask))) == len(flood(mask)) == 1
 
 
 def test_g6_quadratic_and_clamped_acceleration(spark):
