@@ -117,11 +117,10 @@ def test_op9_chains_and_threshold_edges(spark):
     assert sorted(got, key=str) == components(rows)
 
 
-@pytest.mark.parametrize("per_row", [1, 3])
-def test_op9_ends_where_many_texts_share_sentences_without_links(spark, monkeypatch, per_row):
+def test_op9_ends_where_many_texts_share_sentences_without_links(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "PAIRS_PER_ROW", 1)
-    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", per_row)
-    p = 7  # any two of these texts share at most one of four sentences
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 4)
+    p = 5  # any two of these texts share at most one of four sentences
     pool = [[prose(1000 + 50 * k + i, 40, 10**6) for i in range(p)] for k in range(4)]
     rows = [(p * i + j, " ".join([pool[0][i], pool[1][j], pool[2][(i + j) % p], pool[3][(i + 2 * j) % p]])) for i in range(p) for j in range(p)]
     rows += [(100, rows[5][1] + " more"), (101, rows[9][1] + " words here")]
