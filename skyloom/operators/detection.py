@@ -21,6 +21,7 @@ from skyloom.operators.dedupe import dedupe_close
 from skyloom.operators.photometry import offsets, stamp_pixels
 from skyloom.operators.robust import MAD_TO_SIGMA, median_mad, sigma_clip
 from skyloom.operators.skew import attach
+from skyloom.operators.skew import spread as spread_rows
 from skyloom.session import cut_lineage
 
 # Kernel widths (full width at half maximum, in pixels), threshold, area, thinning radius, aperture and cuts.
@@ -97,7 +98,8 @@ def _parts(keys: Sequence[str], widths: Sequence[float], threshold: float, tile:
         core = slice(reach, reach + tile)
         wide = slice(reach - ring, reach + tile + ring)
         out = []
-        for i, kernel in enumerate(kernels):
+        # A tile beside the image has a halo only.
+        for i, kernel in enumerate(kernels if weight[core, core].any() else ()):
             snr = matched_snr(signal, weight, kernel)
             for sign in (1, -1):
                 seen = sign * snr[wide, wide]
@@ -114,6 +116,8 @@ def _parts(keys: Sequence[str], widths: Sequence[float], threshold: float, tile:
                 rows = {"kind": 0, "scale": i, "flux_sign": sign, "part_y": py[heads], "part_x": px[heads], "y": 0, "x": 0, "n_pixels": np.bincount(of, minlength=len(heads)),
                         "w": add(w), "wx": add(w * px), "wy": add(w * py), "wxx": add(w * px * px), "wyy": add(w * py * py), "wxy": add(w * px * py), "flux": add(flux)}
                 out.append(pd.DataFrame(rows))
+                if above.sum() == inside.sum():
+                    continue  # nothing beyond the border
                 # Pixels on the tile's border (kind 1), and those beyond it that touch them (kind 2).
                 edge = (y == 0) | (x == 0) | (y == tile - 1) | (x == tile - 1)
                 ey, ex, part = y[edge], x[edge], first[edge]
@@ -148,7 +152,7 @@ def segments(pixels: DataFrame, keys: Sequence[str], widths: Sequence[float] = W
     tiles = lambda c: F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile))
     spread = pixels.select(*keys, "y", "x", "s", "noise", F.explode(tiles("y")).alias("_ty")).withColumn("_tx", F.explode(tiles("x")))
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "kind int, scale int, flux_sign long, part_y long, part_x long, y long, x long, n_pixels long", *[f"{s} double" for s in SUMS[1:]]])
-    found = cut_lineage(spread.groupBy(*keys, "_ty", "_tx").applyInPandas(run, schema))
+    found = cut_lineage(spread_rows(spread, *keys, "_ty", "_tx").groupBy(*keys, "_ty", "_tx").applyInPandas(run, schema))
     layer = [*keys, "scale", "flux_sign"]
     node = F.struct(*layer, "part_y", "part_x")
     own = found.filter("kind = 1").select(*layer, "y", "x", node.alias("u"))
