@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import io
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from skyloom.operators.skew import OrderedScan, attach, exact_percentiles
+from skyloom.operators.skew import OrderedScan, attach, exact_percentiles, spread
 from skyloom.operators.spatial import pairs_within
+from skyloom.session import cut_lineage
 
 FEATURE_NAMES = ["amplitude", "hl_amp_ratio", "kurtosis", "max_95_gap", "mean_variance", "mean_abs_deviation", "period", "phase_cusum", "phase_mean_variance",
                  "phi21", "phi31", "quartile31", "r21", "r31", "shapiro_w", "skewness", "slope_per10", "slope_per90", "stetson_k", "weighted_std", "weighted_mean"]
@@ -113,43 +115,33 @@ def frequency_grid(df: DataFrame, key: str, time: str, oversample: int = 5) -> D
     return grid.select(key, "df", F.greatest(F.lit(0), F.ceil(1 / (2 * F.col("_median")) / F.col("df")) - 1).cast("long").alias("n_freq"))
 
 
+FREQUENCIES = 4096  # of a block of a grid
+POINTS = 16384  # of a pack of a series
+
+
 def periodogram(df: DataFrame, key: str, time: str, flux: str, grid: DataFrame | None = None) -> DataFrame:
     """C4: least-squares amplitude at each frequency of a series' grid (key, df, n_freq); by default its own.
 
-    Rows are range-partitioned by (series, time): short series stay together, a long one is cut
-    into several tasks.  Every Arrow batch is reduced to trigonometric sums per (series,
-    frequency), so the second exchange carries sums instead of points x frequencies.
+    Rows of one time are added up first, so that hashes of the times deal a series into packs of about
+    ``POINTS`` of them.  A row per (series, pack, block of ``FREQUENCIES``) is the unit of work: no task
+    holds a whole series or grid, and the sums of a block that are exchanged are few beside its
+    products.  NULL times and fluxes are left out.
     """
+    df = df.select(key, time, flux).filter(F.col(time).isNotNull() & F.col(flux).isNotNull())
     grid = frequency_grid(df, key, time) if grid is None else grid
-    mean = df.groupBy(key).agg(F.avg(flux).alias("_m"), F.min(time).alias("_t0")).join(grid, key)
-    rows = attach(df.select(key, time, flux), mean, [key]).filter("n_freq > 0").select(
-        key, (F.col(time) - F.col("_t0")).alias("t"), (F.col(flux) - F.col("_m")).alias("f"), "df", "n_freq")
-    ktype = dict(df.dtypes)[key]
+    mean = df.groupBy(key).agg(F.avg(flux).alias("_m"), F.min(time).alias("_t0"), F.count(F.lit(1)).alias("_n")).join(grid.filter("n_freq > 0"), key)
+    points = df.groupBy(key, time).agg(F.sum(flux).alias("_f"), F.count(F.lit(1)).cast("double").alias("_w"))
+    points = attach(points, mean, [key]).filter("n_freq > 0")
+    point = F.struct((F.col(time) - F.col("_t0")).cast("double").alias("t"), (F.col("_f") - F.col("_w") * F.col("_m")).cast("double").alias("f"), F.col("_w").alias("w"))
+    pack = F.pmod(F.xxhash64(time), F.ceil(F.col("_n") / POINTS)).alias("_pack")
+    packs = points.select(key, "df", "n_freq", pack, point.alias("_p")).groupBy(key, "_pack").agg(
+        F.first("df").alias("df"), F.first("n_freq").alias("n_freq"), F.collect_list("_p").alias("_p"))
+    work = packs.select(key, "_pack", "df", "n_freq", *[F.col(f"_p.{c}").alias(c) for c in ("t", "f", "w")],
+                        F.explode(F.sequence(F.lit(0), F.floor((F.col("n_freq") - 1) / FREQUENCIES).cast("int"))).alias("_block"))
     names = ["cc", "ss", "cs", "fc", "fs"]
-
-    def sums(batches):
-        for pdf in batches:
-            for k, g in pdf.groupby(key, sort=False):
-                n, step = int(g["n_freq"].iat[0]), 2 * np.pi * float(g["df"].iat[0])
-                t, f = g["t"].to_numpy(float), g["f"].to_numpy(float)
-                # exp(i j x) = exp(i q m x) exp(i r x) for j = q m + r: all frequencies' sums are two matrix
-                # products, and the squares' sums are the plain sums at twice the frequency.
-                m = 64
-                plain = np.zeros((2 * n // m + 1, m), dtype=complex)
-                signal = np.zeros((n // m + 1, m), dtype=complex)
-                for lo in range(0, len(t), 2000):
-                    x, v = step * t[lo:lo + 2000], f[lo:lo + 2000]
-                    coarse = np.exp(1j * m * np.outer(np.arange(len(plain)), x))
-                    fine = np.exp(1j * np.outer(x, np.arange(m)))
-                    plain += coarse @ fine
-                    signal += (coarse[:len(signal)] * v) @ fine
-                j = np.arange(1, n + 1)
-                twice, one = plain.reshape(-1)[2 * j], signal.reshape(-1)[j]
-                yield pd.DataFrame({key: k, "j": j - 1, "frequency": j * float(g["df"].iat[0]), "cc": (len(t) + twice.real) / 2, "ss": (len(t) - twice.real) / 2,
-                                    "cs": twice.imag / 2, "fc": one.real, "fs": one.imag})
-
-    rows = rows.repartitionByRange(key, "t").sortWithinPartitions(key)
-    part = rows.mapInPandas(sums, f"{key} {ktype}, j long, frequency double, " + ", ".join(f"{n} double" for n in names))
+    ktype = next(f.dataType for f in df.schema.fields if f.name == key)
+    schema = StructType([StructField(key, ktype), StructField("j", LongType()), *[StructField(c, DoubleType()) for c in ("frequency", *names)]])
+    part = spread(work, key, "_pack", "_block").select(key, "df", "n_freq", "_block", "t", "f", "w").mapInArrow(_block_sums, schema)
     s = part.groupBy(key, "j").agg(F.max("frequency").alias("frequency"), *[F.sum(n).alias(n) for n in names])
     # Where sine and cosine are not independent on the sampling there is no amplitude.
     det = F.col("cc") * F.col("ss") - F.col("cs") ** 2
@@ -159,6 +151,30 @@ def periodogram(df: DataFrame, key: str, time: str, flux: str, grid: DataFrame |
     return s.select(key, "j", "frequency", F.sqrt(a * a + b * b).alias("power"))
 
 
+def _block_sums(batches):
+    """Trigonometric sums of each pack of points at each frequency of its block."""
+    m = 64
+    for batch in batches:
+        for i in range(batch.num_rows):
+            step, n, block = (batch.column(c)[i].as_py() for c in (1, 2, 3))
+            t, f, w = (batch.column(c)[i].values.to_numpy() for c in (4, 5, 6))
+            first = block * FREQUENCIES + 1
+            count = min(FREQUENCIES, n - first + 1)
+            # exp(i j x) = exp(i (first + q m) x) exp(i r x): all sums of a block are one matrix
+            # product, and those of the squares the same at twice the frequency.
+            lead = first + m * np.arange(-(-count // m))
+            one, twice = np.zeros((2, len(lead), m), dtype=complex)
+            for lo in range(0, len(t), 2048):
+                x = 2 * np.pi * step * t[lo:lo + 2048]
+                coarse, fine = np.exp(1j * np.outer(lead, x)), np.exp(1j * np.outer(x, np.arange(m)))
+                one += (coarse * f[lo:lo + 2048]) @ fine
+                twice += (coarse ** 2 * w[lo:lo + 2048]) @ fine ** 2
+            one, twice, j = one.reshape(-1)[:count], twice.reshape(-1)[:count], np.arange(first, first + count)
+            columns = [j - 1, j * step, (w.sum() + twice.real) / 2, (w.sum() - twice.real) / 2, twice.imag / 2, one.real, one.imag]
+            yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], count), *[pa.array(np.ascontiguousarray(c)) for c in columns]],
+                                             [batch.schema.names[0], "j", "frequency", "cc", "ss", "cs", "fc", "fs"])
+
+
 def _prominences(p: np.ndarray, peaks: np.ndarray, wlen: int) -> np.ndarray:
     half, out = wlen // 2, np.empty(len(peaks))
     for k, i in enumerate(peaks):
@@ -171,58 +187,119 @@ def _prominences(p: np.ndarray, peaks: np.ndarray, wlen: int) -> np.ndarray:
     return out
 
 
-def prominent_peaks(power: DataFrame, key: str, prominence: float = 3.0, distance: int = 20, wlen: int = 300) -> DataFrame:
+OPEN, KEPT, DROPPED = 0, 1, 2
+
+
+def _thin(j: np.ndarray, height: np.ndarray, state: np.ndarray, distance: int, known: tuple[float, float]) -> np.ndarray:
+    """States of the peaks (ascending ``j``) as far as those seen tell: the highest of a neighbourhood stays.
+
+    ``known`` is the range of ``j`` that is seen whole; a peak whose neighbourhood reaches out of it can
+    be dropped by a higher one that stays, but not kept.
+    """
+    state = state.copy()
+    lows, highs = np.searchsorted(j, j - distance, side="right"), np.searchsorted(j, j + distance, side="left")
+    for i in np.argsort(-height, kind="stable"):
+        if state[i] != OPEN:
+            continue
+        near = np.arange(lows[i], highs[i])
+        above = state[near[(height[near] > height[i]) | ((height[near] == height[i]) & (near < i))]]
+        if (above == KEPT).any():
+            state[i] = DROPPED
+        elif (above == DROPPED).all() and j[i] - distance >= known[0] and j[i] + distance <= known[1]:
+            state[i] = KEPT
+    return state
+
+
+def _dealt(df: DataFrame, block: int, halo: int) -> DataFrame:
+    """Rows by ``_block`` of ``j``, those within ``halo`` of a border also to the block beyond it."""
+    j = F.col("j")
+    return df.withColumn("_block", F.explode(F.sequence(F.floor((j - halo) / block), F.floor((j + halo) / block)))).filter("_block >= 0")
+
+
+def prominent_peaks(power: DataFrame, key: str, prominence: float = 3.0, distance: int = 20, wlen: int = 300, block: int = FREQUENCIES) -> DataFrame:
     """C4: (key, peak, peak_freq, peak_power, prominence, step): local maxima, the most prominent first.
 
-    The power is measured in units of its mean.  A grid is bounded by its series' sampling.
+    The power is measured in units of its mean; ``j`` counts a series' frequencies without gaps.  Of maxima
+    closer than ``distance`` the highest stays.  Grids are cut into blocks with halos, so
+    memory does not grow with a grid; what a block cannot decide, because it hangs on a chain of ever
+    higher maxima that leaves its halo, is decided in further rounds over the maxima only.
     """
-    ktype = dict(power.dtypes)[key]
+    halo = max(block // 4, wlen // 2 + 2, 2 * distance)
+    grid = power.groupBy(key).agg(F.avg("power").alias("_mean"), F.max("j").alias("_last"), F.min("frequency").alias("_f0"), F.max("frequency").alias("_f1"))
+    rows = attach(power, grid, [key]).withColumn("_p", F.coalesce(F.col("power") / F.col("_mean"), F.lit(0.0)))
+    ktype = next(f.dataType for f in power.schema.fields if f.name == key)
+    fields = [("j", LongType()), ("frequency", DoubleType()), ("power", DoubleType()), ("_p", DoubleType()), ("prominence", DoubleType()), ("_last", LongType()), ("_step", DoubleType()), ("_state", IntegerType())]
+    schema = StructType([StructField(key, ktype), *[StructField(n, t) for n, t in fields]])
+    names = [n for n, _ in fields]
+
+    def seen(pdf: pd.DataFrame, number: int) -> tuple[float, float]:
+        low, high = number * block - halo, (number + 1) * block + halo - 1
+        return (-np.inf if low <= 0 else low), (np.inf if high >= pdf["_last"].iat[0] else high)
+
+    def core(pdf: pd.DataFrame, number: int) -> pd.DataFrame:
+        return pdf[pdf["j"] // block == number]
 
     def find(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("j")
-        raw, freq = pdf["power"].to_numpy(float), pdf["frequency"].to_numpy(float)
-        p = np.nan_to_num(raw / np.nanmean(raw)) if np.isfinite(raw).any() else np.zeros(len(raw))
+        pdf = pdf.sort_values("j").reset_index(drop=True)
+        p, j = pdf["_p"].to_numpy(float), pdf["j"].to_numpy()
         idx = np.flatnonzero((p[1:-1] > p[:-2]) & (p[1:-1] > p[2:])) + 1
-        keep = np.ones(len(idx), bool)
-        for i in np.argsort(-p[idx], kind="stable"):
-            if keep[i]:
-                close = np.abs(idx - idx[i]) < distance
-                close[i] = False
-                keep[close] = False
-        idx = idx[keep]
-        prom = _prominences(p, idx, wlen)
-        idx, prom = idx[prom >= prominence], prom[prom >= prominence]
-        order = np.argsort(-prom, kind="stable")
-        step = float(freq[-1] - freq[0]) / (len(freq) - 1) if len(freq) > 1 else 0.0
-        return pd.DataFrame({key: k[0], "peak": np.arange(1, len(idx) + 1), "peak_freq": freq[idx[order]], "peak_power": raw[idx[order]], "prominence": prom[order], "step": step})
-
-    return power.groupBy(key).applyInPandas(find, f"{key} {ktype}, peak long, peak_freq double, peak_power double, prominence double, step double")
-
-
-def periodogram_peaks(power: DataFrame, key: str, prominence: float = 3.0, distance: int = 20, wlen: int = 300) -> DataFrame:
+        out = pdf.iloc[idx].copy()
+        # The outermost maxima of a halo may be missing.
+        low, high = seen(pdf, k[1])
+        out["_state"] = _thin(j[idx], p[idx], np.full(len(idx), OPEN), distance, (low + 1, high - 1)).astype(np.int32)
+        mine = (out["j"] // block == k[1]).to_numpy()
+        out = out[mine].copy()
+        out["prominence"] = _prominences(p, idx[mine], wlen)
+        return out[[key, *names]]
+
+    def again(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("j").reset_index(drop=True)
+        low, high = seen(pdf, k[1])
+        pdf["_state"] = _thin(pdf["j"].to_numpy(), pdf["_p"].to_numpy(), pdf["_state"].to_numpy(), distance, (low + 1, high - 1)).astype(np.int32)
+        return core(pdf, k[1])[[key, *names]]
+
+    step = F.when(F.col("_last") > 0, (F.col("_f1") - F.col("_f0")) / F.col("_last")).otherwise(0.0)
+    first = _dealt(rows.select(key, "j", "frequency", "power", "_p", "_last", step.alias("_step")), block, halo)
+    peaks = cut_lineage(first.groupBy(key, "_block").applyInPandas(find, schema))
+    while not peaks.filter(f"_state = {OPEN}").isEmpty():
+        peaks = cut_lineage(_dealt(peaks, block, halo).groupBy(key, "_block").applyInPandas(again, schema))
+    kept = peaks.filter((F.col("_state") == KEPT) & (F.col("prominence") >= prominence)).withColumn("_order", -F.col("prominence"))
+    ranked = OrderedScan(kept, [key], ["_order", "j"]).row_number("peak").done()
+    return ranked.select(key, "peak", F.col("frequency").alias("peak_freq"), F.col("power").alias("peak_power"), "prominence", F.col("_step").alias("step"))
+
+
+HEADS = 64  # peaks of a series that are looked at for new signals in one round
+
+
+def periodogram_peaks(power: DataFrame, key: str, prominence: float = 3.0, distance: int = 20, wlen: int = 300, heads: int = HEADS) -> DataFrame:
     """C4: peaks by falling prominence, as signals and their harmonics.
 
     Each peak joins the first signal of whose leading frequency it is a harmonic, to a tenth and
-    three grid steps; a peak that is of none leads a new signal.
+    three grid steps; a peak that is of none leads a new signal.  A round finds the signals that the next
+    ``heads`` peaks of every series lead and gives them all their harmonics.
     """
-    peaks = prominent_peaks(power, key, prominence, distance, wlen)
-    ranked = peaks.groupBy(key).agg(F.max("step").alias("step"), F.array_sort(F.collect_list(F.struct("peak", "peak_freq", "peak_power", "prominence"))).alias("peaks"))
-    leads = F.array().cast("array<double>")
-    told = F.array().cast("array<struct<signal_num:bigint,harmonic:bigint>>")
-    start = F.struct(leads.alias("leads"), told.alias("told"), F.col("step").alias("step"))
-
-    def place(state, peak):
-        ratio = lambda lead: peak["peak_freq"] / lead
-        fits = F.transform(state["leads"], lambda lead: F.bround(ratio(lead), 1) - F.floor(ratio(lead)) <= 3 * state["step"])
-        first = F.array_position(fits, True)
-        new = first == 0
-        own = F.when(new, F.struct((F.size(state["leads"]) + 1).cast("long").alias("signal_num"), F.lit(1).cast("long").alias("harmonic"))).otherwise(
-            F.struct(first.cast("long").alias("signal_num"), F.floor(ratio(F.get(state["leads"], first - 1))).cast("long").alias("harmonic")))
-        grown = F.when(new, F.concat(state["leads"], F.array(peak["peak_freq"]))).otherwise(state["leads"])
-        return F.struct(grown.alias("leads"), F.concat(state["told"], F.array(own)).alias("told"), state["step"].alias("step"))
-
-    numbered = ranked.select(key, F.explode(F.arrays_zip("peaks", F.aggregate("peaks", start, place, lambda s: s["told"]).alias("told"))).alias("_z"))
-    return numbered.select(key, *[F.col(f"_z.peaks.{c}").alias(c) for c in ("peak", "peak_freq", "peak_power", "prominence")], "_z.told.signal_num", "_z.told.harmonic")
+    ready = cut_lineage(prominent_peaks(power, key, prominence, distance, wlen).withColumn("_base", F.lit(0).cast("long")))
+    ratio = lambda freq, lead: freq / lead
+    fits = lambda freq, lead, step: F.bround(ratio(freq, lead), 1) - F.floor(ratio(freq, lead)) <= 3 * step
+    done = None
+    while True:
+        front = ready.groupBy(key).agg(F.min("peak").alias("_from"))
+        first = attach(ready, front, [key]).filter(F.col("peak") < F.col("_from") + heads)
+        first = first.groupBy(key).agg(F.max("step").alias("_s"), F.array_sort(F.collect_list(F.struct("peak", "peak_freq"))).alias("_h"))
+        leads = F.aggregate("_h", F.array().cast("array<double>"), lambda known, x: F.when(
+            F.exists(known, lambda lead: fits(x["peak_freq"], lead, F.col("_s"))), known).otherwise(F.concat(known, F.array(x["peak_freq"]))))
+        placed = attach(ready, first.select(key, leads.alias("_leads")), [key])
+        at = F.array_position(F.transform("_leads", lambda lead: fits(F.col("peak_freq"), lead, F.col("step"))), True)
+        placed = placed.withColumn("_at", at)
+        placed = cut_lineage(placed.withColumns({
+            "signal_num": F.when(F.col("_at") > 0, F.col("_base") + F.col("_at")).cast("long"),
+            "harmonic": F.when(F.col("_at") > 0, F.floor(ratio(F.col("peak_freq"), F.get("_leads", F.col("_at").cast("int") - 1)))).cast("long"),
+            "_base": F.col("_base") + F.size("_leads")}).drop("_leads", "_at"))
+        found = placed.filter("signal_num IS NOT NULL")
+        done = found if done is None else done.unionByName(found)
+        ready = placed.filter("signal_num IS NULL").drop("signal_num", "harmonic")
+        if ready.isEmpty():
+            return done.select(key, "peak", "peak_freq", "peak_power", "prominence", "signal_num", "harmonic")
 
 
 def best_period(power: DataFrame, key: str, prominence: float = 3.0, distance: int = 20, wlen: int = 300) -> DataFrame:
@@ -285,20 +362,147 @@ def feature_table(df: DataFrame, key: str, tie: str, periods: DataFrame | None =
     return out.select(key, *FEATURE_NAMES).dropna()
 
 
-def random_forest(train: DataFrame, features: Sequence[str], label: str, trees: int = 200, sample: float = 0.66, seed: int = 7, max_depth: int = 30):
-    """Fitted random forest (Gini, sqrt features, 0.66 sample) with its label index and assembler."""
-    index = StringIndexer(inputCol=label, outputCol="_label").fit(train)
-    pack = VectorAssembler(inputCols=list(features), outputCol="_features")
-    forest = RandomForestClassifier(labelCol="_label", featuresCol="_features", numTrees=trees, featureSubsetStrategy="sqrt", subsamplingRate=sample, impurity="gini", maxDepth=max_depth, seed=seed)
-    return forest.fit(pack.transform(index.transform(train))), index, pack
+@dataclass
+class Forest:
+    """Trees as arrays per node: feature, threshold (left if not above it), left child (right is the next), class shares."""
+    features: list[str]
+    labels: list[str]
+    trees: list[bytes]
+
 
+def _grow(x: np.ndarray, edges: list[np.ndarray], y: np.ndarray, classes: int, rng, sample: float, max_depth: int) -> dict:
+    """One full tree, level by level: each level's class counts are one histogram over (node, bin, class).
 
-def predict(df: DataFrame, model, index, pack) -> DataFrame:
-    """Predicted class and its probability for each row."""
-    out = model.transform(pack.transform(df))
-    names = F.array(*[F.lit(x) for x in index.labels])
-    return out.withColumns({"predicted": F.element_at(names, F.col("prediction").cast("int") + 1), "class_prob": F.array_max(vector_to_array("probability"))}).drop(
-        "_features", "rawPrediction", "probability", "prediction")
+    ``x`` are bins, ``edges`` the upper ends of all bins but the last.  Rows are drawn with Poisson weights of mean ``sample``.
+    """
+    weight = rng.poisson(sample, len(y)).astype(float)
+    rows = np.flatnonzero(weight)
+    x, y, weight = x[rows], y[rows], weight[rows]
+    tries = max(1, int(np.ceil(np.sqrt(x.shape[1]))))
+    feature, threshold, left, share = [], [], [], []
+    node, width, made = np.zeros(len(y), dtype=np.int64), 1, 1
+    for depth in range(max_depth + 1):
+        total = np.bincount(node * classes + y, weights=weight, minlength=width * classes).reshape(width, classes)
+        size = total.sum(axis=1)
+        own = (total ** 2).sum(axis=1) / np.maximum(size, 1e-300)
+        best, pick, cut = own + 1e-9, np.full(width, -1), np.zeros(width, dtype=np.int64)
+        draw = np.argsort(rng.random((width, x.shape[1])), axis=1)[:, :tries]
+        for c in range(x.shape[1]):
+            mine = (draw == c).any(axis=1)
+            if depth == max_depth or not mine.any() or not len(edges[c]):
+                continue
+            at, bins = np.cumsum(mine) - 1, len(edges[c]) + 1
+            # Histograms of as many nodes at a time as fit some tens of megabytes.
+            group = max(1, 2_000_000 // (bins * classes))
+            chosen = np.flatnonzero(mine)
+            inside = mine[node]
+            place, bin_, label, w = at[node[inside]], x[inside, c], y[inside], weight[inside]
+            by_place = np.argsort(place, kind="stable")
+            borders = np.searchsorted(place[by_place], np.arange(0, len(chosen) + group, group))
+            for g, (lo, hi) in enumerate(zip(borders[:-1], borders[1:])):
+                nodes = chosen[g * group:(g + 1) * group]
+                r = by_place[lo:hi]
+                hist = np.bincount(((place[r] - g * group) * bins + bin_[r]) * classes + label[r], weights=w[r], minlength=len(nodes) * bins * classes)
+                below = hist.reshape(len(nodes), bins, classes).cumsum(axis=1)[:, :-1]
+                above = total[nodes][:, None, :] - below
+                nb, na = below.sum(axis=2), above.sum(axis=2)
+                gain = np.where((nb > 0) & (na > 0), (below ** 2).sum(axis=2) / np.maximum(nb, 1e-300) + (above ** 2).sum(axis=2) / np.maximum(na, 1e-300), -1.0)
+                top = gain.argmax(axis=1)
+                value = gain[np.arange(len(nodes)), top]
+                better = value > best[nodes]
+                best[nodes[better]], pick[nodes[better]], cut[nodes[better]] = value[better], c, top[better]
+        split = pick >= 0
+        children = np.where(split, made + 2 * (np.cumsum(split) - 1), -1)
+        feature.append(pick)
+        left.append(children)
+        threshold.append(np.array([edges[c][b] if c >= 0 else 0.0 for c, b in zip(pick, cut)]))
+        share.append(total / np.maximum(size, 1e-300)[:, None])
+        if not split.any():
+            break
+        on = split[node]
+        x, y, weight, node = x[on], y[on], weight[on], node[on]
+        right = x[np.arange(len(node)), pick[node]] > cut[node]
+        node = children[node] + right - made
+        width, made = 2 * int(split.sum()), made + 2 * int(split.sum())
+    return {"feature": np.concatenate(feature).astype(np.int16), "threshold": np.concatenate(threshold), "left": np.concatenate(left).astype(np.int32),
+            "share": np.concatenate(share).astype(np.float32)}
+
+
+def _encode(tree: dict) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **tree)
+    return out.getvalue()
+
+
+def random_forest(train: DataFrame, features: Sequence[str], label: str, trees: int = 200, sample: float = 0.66, seed: int = 7, max_depth: int = 30,
+                  max_rows: int = 20_000, max_bins: int = 128) -> Forest:
+    """Random forest (Gini, sqrt features, 0.66 sample, full depth).
+
+    It is fitted on at most ``max_rows`` labelled rows, those of the smallest hashes; this bound makes the rows small
+    enough to broadcast and the forest small enough to travel once.  Each tree grows
+    whole within one task, from a seed of its own, so a lost executor regrows the same trees.  Rows with a NULL label
+    or feature teach nothing; without any row every prediction is NULL.
+    """
+    cols = list(features)
+    spark = train.sparkSession
+    rows = train.select(F.col(label).cast("string").alias("_label"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)]).dropna()
+    order = F.xxhash64(*rows.columns)
+    data = rows.orderBy(order, *rows.columns).limit(max_rows).toPandas()  # bounded by max_rows
+    labels = sorted(data["_label"].unique().tolist())
+    if not labels:
+        return Forest(cols, [], [])
+    y = np.searchsorted(np.array(labels), data["_label"].to_numpy(dtype=str)).astype(np.int64)
+    values = data[[f"_x{i}" for i in range(len(cols))]].to_numpy(float)
+    edges = []
+    for c in range(len(cols)):
+        known = np.unique(values[:, c])
+        if len(known) > max_bins:
+            known = np.unique(np.quantile(values[:, c], np.arange(1, max_bins + 1) / max_bins, method="lower"))
+        edges.append((known[:-1] + known[1:]) / 2)
+    x = np.column_stack([np.searchsorted(e, values[:, c], side="left") for c, e in enumerate(edges)]).astype(np.int64)
+    shared = spark.sparkContext.broadcast((x, edges, y, len(labels)))
+
+    def grow(batches):
+        x, edges, y, classes = shared.value
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                tree = _grow(x, edges, y, classes, np.random.default_rng([seed, t]), sample, max_depth)
+                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()), pa.array([_encode(tree)], pa.binary())], ["id", "tree"])
+
+    numbers = spark.range(trees, numPartitions=min(trees, 4 * spark.sparkContext.defaultParallelism))
+    grown = numbers.mapInArrow(grow, "id long, tree binary").orderBy("id").collect()
+    return Forest(cols, labels, [bytes(r["tree"]) for r in grown])
+
+
+def predict(df: DataFrame, forest: Forest) -> DataFrame:
+    """Predicted class and its probability (mean share over the trees) for each row; NULL where a feature is."""
+    shared = df.sparkSession.sparkContext.broadcast((forest.labels, forest.trees))
+
+    def shares(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        labels, packed = shared.value
+        trees = [dict(np.load(io.BytesIO(t))) for t in packed]
+        for cols in columns:
+            x = np.column_stack([c.to_numpy(float) for c in cols])
+            known = np.flatnonzero(~np.isnan(x).any(axis=1)) if trees else np.zeros(0, dtype=int)
+            total = np.zeros((len(known), max(1, len(labels))))
+            for tree in trees:
+                at, going = np.zeros(len(known), dtype=np.int64), np.arange(len(known))
+                while len(going):
+                    here = at[going]
+                    inner = tree["feature"][here] >= 0
+                    going, here = going[inner], here[inner]
+                    at[going] = tree["left"][here] + (x[known[going], tree["feature"][here]] > tree["threshold"][here])
+                total += tree["share"][at]
+            name, prob = np.full(len(x), None, dtype=object), np.full(len(x), np.nan)
+            if len(known):
+                top = total.argmax(axis=1)
+                name[known], prob[known] = np.array(labels, dtype=object)[top], total[np.arange(len(known)), top] / len(trees)
+            yield pd.DataFrame({"predicted": name, "class_prob": prob})
+
+    guess = F.pandas_udf(shares, "predicted string, class_prob double")
+    out = df.withColumn("_guess", guess(*[F.col(c).cast("double") for c in forest.features]))
+    prob = F.col("_guess.class_prob")
+    return out.withColumns({"predicted": F.col("_guess.predicted"), "class_prob": F.when(~F.isnan(prob), prob)}).drop("_guess")
 
 
 def confusion(pred: DataFrame, label: str, guess: str = "predicted") -> DataFrame:

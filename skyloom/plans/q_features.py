@@ -119,7 +119,7 @@ def c7(spark, sf):
     data = _labelled(spark, sf)
     train = data.filter(F.pmod(F.xxhash64("o_orderkey"), F.lit(100)) < 85)
     model = C.random_forest(train, ["a", "b", "c", "d"], "o_orderstatus", trees=200)
-    return C.predict(data, *model).select("o_orderkey", "predicted", r6("class_prob", 3).alias("class_prob"))
+    return C.predict(data, model).select("o_orderkey", "predicted", r6("class_prob", 3).alias("class_prob"))
 
 
 @query("A26_confusion_matrix", """WITH p AS (SELECT o_orderstatus, CASE WHEN o_totalprice > 200000 THEN 'P' WHEN o_custkey % 2 = 0 THEN 'F' ELSE 'O' END AS predicted FROM orders), c AS (SELECT o_orderstatus, predicted, count(*) AS n FROM p GROUP BY ALL)
@@ -150,4 +150,4 @@ def c8q(spark, sf):
     s = C.neighbour_separation(D.stars(spark, sf).select("source", "ra", "dec", "gmag"), "source", ["ra", "dec"], 3.0)
     s = s.withColumns({"log_sep": F.log10(F.col("nn_dist") + 1), "good": F.when((F.col("gmag") < 14) & (F.col("nn_dist") > 1), "good").otherwise("poor")})
     model = C.random_forest(s, ["gmag", "log_sep"], "good", trees=20)
-    return C.predict(s, *model).select("source", "predicted", r6("class_prob", 3).alias("class_prob"))
+    return C.predict(s, model).select("source", "predicted", r6("class_prob", 3).alias("class_prob"))

@@ -427,3 +427,71 @@ def test_s3_reports_files_without_rows(spark, tmp_path):
     (tmp_path / "bad.parquet").write_bytes(b"PAR1 no table")
     got = [r["path"] for r in tables.skipped_units(spark, str(tmp_path), "*.parquet", "a long").collect()]
     assert len(got) == 1 and got[0].endswith("bad.parquet")
+
+
+def test_c4_blocks_equal_one_grid(spark):
+    """Peaks over blocks with chains longer than a halo are those of a plain scan of the whole grid."""
+    rng = np.random.default_rng(11)
+    n, distance, wlen = 3000, 8, 40
+    noise = rng.exponential(1, n)
+    ramp = np.where(np.arange(n) % 5 == 2, 5 + np.arange(n) / 300, np.arange(n) % 2 * 0.1)  # one chain of ever higher maxima
+    ties = np.where(np.arange(n) % 6 == 3, 4.0, 0.5)
+    tables = {1: noise, 2: ramp, 3: ties}
+    p = spark.createDataFrame(pd.DataFrame([(s, j, 0.01 * (j + 1), v) for s, x in tables.items() for j, v in enumerate(x.tolist())], columns=["s", "j", "frequency", "power"]))
+    got = features.prominent_peaks(p, "s", 0.5, distance, wlen, block=128).toPandas()
+    for s, raw in tables.items():
+        x = raw / raw.mean()
+        idx = [i for i in range(1, n - 1) if x[i] > x[i - 1] and x[i] > x[i + 1]]
+        kept = []
+        for i in sorted(idx, key=lambda i: (-x[i], i)):
+            if all(abs(i - k) >= distance for k in kept):
+                kept.append(i)
+        prom = {}
+        for i in kept:
+            lo = i
+            while lo > max(0, i - wlen // 2) and x[lo - 1] <= x[i]:
+                lo -= 1
+            hi = i
+            while hi < min(n - 1, i + wlen // 2) and x[hi + 1] <= x[i]:
+                hi += 1
+            prom[i] = x[i] - max(x[lo:i + 1].min(), x[i:hi + 1].min())
+        want = sorted((i for i in kept if prom[i] >= 0.5), key=lambda i: (-round(prom[i], 9), i))
+        mine = got[got["s"] == s].sort_values("peak")
+        assert mine["peak"].tolist() == list(range(1, len(want) + 1))
+        assert sorted(np.rint(mine["peak_freq"] * 100).astype(int) - 1) == sorted(want)
+        assert mine["prominence"].to_numpy() == pytest.approx(sorted((prom[i] for i in want), reverse=True))
+    few, many = (features.periodogram_peaks(p, "s", 0.5, distance, wlen, heads=h).orderBy("s", "peak").collect() for h in (3, 10_000))
+    assert few == many and len(few) == len(got)
+
+
+def test_c4_long_series_is_cut_into_packs_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(features, "POINTS", 50)
+    monkeypatch.setattr(features, "FREQUENCIES", 64)
+    rng = np.random.default_rng(3)
+    t = np.r_[np.sort(rng.uniform(0, 100, 300)), [7.0] * 200]  # one time holds two fifths of the rows
+    f = np.cos(t) + rng.normal(0, 0.1, 500)
+    df = spark.createDataFrame(pd.DataFrame({"s": "a", "t": t, "f": f}))
+    got = features.periodogram(df, "s", "t", "f").orderBy("j").toPandas()
+    assert len(got) > 200 and got["j"].tolist() == list(range(len(got)))
+    for j in range(0, len(got), 41):
+        arg = 2 * np.pi * got["frequency"][j] * (t - t.min())
+        fit = np.linalg.lstsq(np.c_[np.cos(arg), np.sin(arg)], f - f.mean(), rcond=None)[0]
+        assert got["power"][j] == pytest.approx(np.hypot(*fit), rel=1e-6)
+
+
+def test_c7_full_trees_fit_and_generalise(spark):
+    rng = np.random.default_rng(5)
+    x = rng.uniform(-1, 1, (1200, 3))
+    y = np.where(x[:, 0] * x[:, 1] > 0, "same", np.where(x[:, 2] > 0.3, "high", "low"))
+    df = spark.createDataFrame(pd.DataFrame({"i": range(1200), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y}))
+    train, test = df.filter("i < 900"), df.filter("i >= 900")
+    forest = features.random_forest(train, ["a", "b", "c"], "y", trees=40)
+    assert forest.labels == ["high", "low", "same"] and len(forest.trees) == 40
+    assert features.predict(train, forest).filter("predicted = y").count() > 890  # full depth
+    out = features.predict(test, forest)
+    assert out.filter("predicted = y").count() > 270 and out.filter("class_prob BETWEEN 0 AND 1").count() == 300
+    again = features.predict(test, features.random_forest(train, ["a", "b", "c"], "y", trees=40))
+    assert again.orderBy("i").collect() == out.orderBy("i").collect()
+    gaps = spark.createDataFrame([(None, 0.5, 0.5)], "a double, b double, c double")
+    assert features.predict(gaps, forest).first()[3:] == (None, None)
+    assert features.predict(gaps, features.random_forest(train.limit(0), ["a", "b", "c"], "y", trees=2)).first()[3:] == (None, None)
