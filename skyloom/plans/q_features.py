@@ -72,17 +72,39 @@ def c4g(spark, sf):
     return rounded(C.frequency_grid(_lc(spark, sf), "series", "t"), "df", n=9)
 
 
-@query("C4_periodogram")  # in SQL every point meets every frequency; tests hold it against the definition
+POWER_SQL = f"""WITH {LC_SQL}, {GRID_SQL},
+fr AS (SELECT series, t0, m, j, (j + 1) * df AS frequency FROM gr, LATERAL (SELECT unnest(range(n)) AS j)),
+tr AS (SELECT fr.series, j, frequency, flux - m AS f, cos(2 * pi() * frequency * (t - t0)) AS c, sin(2 * pi() * frequency * (t - t0)) AS z FROM fr JOIN s ON s.series = fr.series),
+su AS (SELECT series, j, max(frequency) AS frequency, sum(c * c) AS cc, sum(z * z) AS ss, sum(c * z) AS cs, sum(f * c) AS fc, sum(f * z) AS fs FROM tr GROUP BY series, j),
+am AS (SELECT *, CASE WHEN cc * ss - cs * cs > 1e-9 * cc * ss THEN cc * ss - cs * cs END AS det FROM su),
+pw AS (SELECT series, j, frequency, sqrt(pow((fc * ss - fs * cs) / det, 2) + pow((fs * cc - fc * cs) / det, 2)) AS power FROM am)"""
+# Lists per series: heights, their strict local maxima by falling height, those of them that no kept one is near, and their prominences.
+PEAK_SQL = POWER_SQL + """,
+ls AS (SELECT series, list(coalesce(power / mu, 0) ORDER BY j) AS p, list(power ORDER BY j) AS raw, list(frequency ORDER BY j) AS fq, max(j) AS last, (max(frequency) - min(frequency)) / nullif(max(j), 0) AS step
+    FROM pw JOIN (SELECT series, avg(power) AS mu FROM pw GROUP BY series) USING (series) GROUP BY series),
+mx AS (SELECT series, i, p[i] AS h FROM (SELECT series, p, unnest(range(2, len(p))) AS i FROM ls) WHERE p[i] > p[i - 1] AND p[i] > p[i + 1]),
+kp AS (SELECT series, unnest(list_reduce(list([i] ORDER BY h DESC, i), lambda a, x: CASE WHEN len(list_filter(a, lambda y: abs(y - x[1]) < 5)) > 0 THEN a ELSE a || x END)) AS i FROM mx GROUP BY series),
+wn AS (SELECT series, i, p, raw, fq, step, coalesce(list_max(list_filter(range(greatest(1, i - 30), i), lambda k: p[k] > p[i])) + 1, greatest(1, i - 30)) AS lo,
+    coalesce(list_min(list_filter(range(i + 1, least(len(p), i + 30) + 1), lambda k: p[k] > p[i])) - 1, least(len(p), i + 30)) AS hi FROM kp JOIN ls USING (series)),
+pr AS (SELECT series, i, fq[i] AS peak_freq, raw[i] AS peak_power, step, p[i] - greatest(list_min(p[lo:i]), list_min(p[i:hi])) AS prominence FROM wn),
+pk AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY prominence DESC, i) AS peak, peak_freq, peak_power, prominence, step FROM pr WHERE prominence >= 3e-1)"""
+
+
+@query("C4_periodogram", f"{POWER_SQL} SELECT series, j, {R('frequency')} AS frequency, {R('power', 4)} AS power FROM pw")
 def c4(spark, sf):
     return rounded(rounded(C.periodogram(_lc(spark, sf), "series", "t", "flux"), "frequency"), "power", n=4)
 
 
-@query("C4_best_period")
+@query("C4_best_period", f"{PEAK_SQL} SELECT series, {R('1 / peak_freq')} AS period FROM pk WHERE peak = 1")
 def c4b(spark, sf):
     return rounded(C.best_period(C.periodogram(_lc(spark, sf), "series", "t", "flux"), "series", **PEAKS), "period")
 
 
-@query("C4_periodogram_peaks")
+@query("C4_periodogram_peaks", f"""{PEAK_SQL},
+fz AS (SELECT series, list_reduce(list([peak_freq] ORDER BY peak), lambda a, x: CASE WHEN len(list_filter(a, lambda y: round_even(x[1] / y, 1) - floor(x[1] / y) <= 3 * step)) > 0 THEN a ELSE a || x END) AS leads
+    FROM (SELECT * FROM pk) GROUP BY series, step),
+nm AS (SELECT pk.*, leads, list_position(list_transform(leads, lambda y: round_even(peak_freq / y, 1) - floor(peak_freq / y) <= 3 * step), true) AS signal FROM pk JOIN fz USING (series))
+SELECT series, peak, {R('peak_freq')} AS peak_freq, {R('peak_power')} AS peak_power, {R('prominence')} AS prominence, CAST(signal AS BIGINT) AS signal_num, CAST(floor(peak_freq / leads[signal]) AS BIGINT) AS harmonic FROM nm""")
 def c4p(spark, sf):
     p = C.periodogram(_lc(spark, sf), "series", "t", "flux")
     return rounded(C.periodogram_peaks(p, "series", **PEAKS), "peak_freq", "peak_power", "prominence")
@@ -122,6 +144,14 @@ def c7(spark, sf):
     return C.predict(data, model).select("o_orderkey", "predicted", r6("class_prob", 3).alias("class_prob"))
 
 
+@query("C7_holdout_report")  # the trees have no SQL twin; tests fit planted classes
+def c7h(spark, sf):
+    data = _labelled(spark, sf)
+    learned = F.pmod(F.xxhash64("o_orderkey"), F.lit(100)) < 85
+    model = C.random_forest(data.filter(learned), ["a", "b", "c", "d"], "o_orderstatus", trees=200)
+    return rounded(C.class_report(C.predict(data.filter(~learned), model), "o_orderstatus"), "precision", "recall", "f1", "accuracy", n=3)
+
+
 @query("A26_confusion_matrix", """WITH p AS (SELECT o_orderstatus, CASE WHEN o_totalprice > 200000 THEN 'P' WHEN o_custkey % 2 = 0 THEN 'F' ELSE 'O' END AS predicted FROM orders), c AS (SELECT o_orderstatus, predicted, count(*) AS n FROM p GROUP BY ALL)
 SELECT *, round(n / sum(n) OVER (PARTITION BY o_orderstatus), 6) + 0e0 AS share FROM c""")
 def a26(spark, sf):
