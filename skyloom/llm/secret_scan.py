@@ -4,8 +4,9 @@ Two first-order character models, of random strings and of ordinary identifiers,
 over the corpus from labelled samples: what a fixed rule takes for a secret's value is random; in
 texts without one, runs of identifier characters that seldom change between lower case, upper case,
 digits and signs are ordinary.  (Unknown secrets change often, so they don't teach the ordinary
-model themselves.)  A run is reported when the
-log-likelihood ratio of the two models, per character, exceeds a threshold.
+model themselves.)  Of each run outside the base rules' spans the parts
+with the most evidence are reported: those where the log-likelihood ratio of the two models, less a toll
+per character, sums highest, if their ratio in all exceeds a threshold.
 """
 
 from __future__ import annotations
@@ -61,6 +62,12 @@ def _secret_values(text: str) -> list[str]:
 _KIND = np.full(256, 3, dtype=np.int8)
 _KIND[97:123], _KIND[65:91], _KIND[48:58] = 0, 1, 2
 CHANGES = 0.3  # ordinary runs change kind at most this often per character
+SHORT = 20  # parts with fewer characters must also change kind more often
+
+
+def _steady(run: np.ndarray) -> bool:
+    kind = _KIND[run]
+    return np.count_nonzero(kind[1:] != kind[:-1]) <= CHANGES * len(run)
 
 
 class _Runs:
@@ -122,13 +129,14 @@ def _count(batches):
 @dataclass
 class SecretModel:
     ratio: np.ndarray  # log-likelihood ratio of each transition
-    threshold: float = 1.0
-    shortest: int = 20
+    evidence: float = 20.0  # of a part, in nats
+    toll: float = 0.5  # a character below this ratio does not prolong a part
 
 
-def train(docs: DataFrame, threshold: float = 1.0, shortest: int = 20) -> SecretModel:
+def train(docs: DataFrame, evidence: float = 20.0, toll: float = 0.5) -> SecretModel:
     """Both character models from every text of ``docs``; the driver gets two tables of transitions.
 
+    A part of ``SHORTEST`` characters or more is reported if its log-likelihood ratio reaches ``evidence``.
     Without any sample a model is uniform, so nothing is reported beyond the base rules.
     """
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -142,13 +150,53 @@ def train(docs: DataFrame, threshold: float = 1.0, shortest: int = 20) -> Secret
         # Random characters hardly depend on what stands before: back off to their own shares.
         share = (square.sum(axis=0) + 1) / (square.sum() + SIDE)
         logs[name] = np.log((square + 20 * share[None, :]) / (square.sum(axis=1, keepdims=True) + 20))
-    return SecretModel((logs["random"] - logs["ordinary"]).reshape(-1), threshold, shortest)
-
-
-def _point_of(text: bytes, at: list[int]) -> list[int]:
-    """Code point offsets of ascending byte offsets."""
-    flags = np.concatenate([[0], np.cumsum((np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80)])
-    return flags[at].tolist()
+    return SecretModel((logs["random"] - logs["ordinary"]).reshape(-1), evidence, toll)
+
+
+def _maximal(x: np.ndarray) -> list[tuple[int, int]]:
+    """All maximal-sum ranges of ``x`` (Ruzzo and Tompa), in one pass over its stretches of one sign."""
+    borders = np.concatenate([[0], np.flatnonzero(np.diff(x > 0)) + 1])
+    total = 0.0
+    left, right, starts, ends, lower = [], [], [], [], []  # sums before and after each range; the last range that begins lower
+    for start, end, sum_ in zip(borders.tolist(), [*borders[1:].tolist(), len(x)], np.add.reduceat(x, borders).tolist()):
+        before, total = total, total + sum_
+        if sum_ <= 0:
+            continue
+        while True:
+            j = len(left) - 1
+            while j >= 0 and left[j] >= before:
+                j = lower[j]
+            if j < 0 or right[j] >= total:
+                break
+            # The range grows back over that one and all since.
+            before, start = left[j], starts[j]
+            for part in (left, right, starts, ends, lower):
+                del part[j:]
+        for part, value in zip((left, right, starts, ends, lower), (before, total, start, end, j)):
+            part.append(value)
+    return list(zip(starts, ends))
+
+
+def _parts(run: np.ndarray, ratio: np.ndarray, free: np.ndarray, evidence: float, toll: float) -> list[tuple[int, int]]:
+    """Disjoint ranges of one run, clear of base spans, of ``evidence`` or more.
+
+    A range of fewer than ``SHORT`` characters that seldom changes kind is of the ordinary sort by definition.
+    Fewer than ``SHORTEST`` characters beside a range, up to the stretch's end or the next range, belong to it.
+    """
+    found = []
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]])))
+    for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        if hi - lo < SHORTEST:
+            continue
+        done = lo
+        mine = [(lo + s, lo + e) for s, e in _maximal(ratio[lo:hi] - toll)]
+        mine = [(s, e) for s, e in mine if e - s >= SHORTEST and ratio[s:e].sum() >= evidence and (e - s >= SHORT or not _steady(run[s:e]))]
+        for k, (s, e) in enumerate(mine):
+            after = mine[k + 1][0] if k + 1 < len(mine) else hi
+            s, e = done if s - done < SHORTEST else s, after if after - e < SHORTEST else e
+            found.append((s, e))
+            done = e
+    return found
 
 
 def _scan(model, redact: str | None):
@@ -156,21 +204,27 @@ def _scan(model, redact: str | None):
         known = SecretModel(**model.value)
         for batch in batches:
             for rows, data, offsets in text_slices(batch):
-                runs = _Runs(data, offsets, known.shortest)
-                sums = np.concatenate([[0.0], np.cumsum(known.ratio[runs.step])])
-                mean = (sums[runs.ends] - sums[runs.starts]) / np.maximum(runs.ends - runs.starts, 1)
-                odd = np.flatnonzero(mean > known.threshold)
-                of = runs.doc[odd]
+                runs = _Runs(data, offsets, SHORTEST)
+                ratio = known.ratio[runs.step]
+                gains = np.concatenate([[0.0], np.cumsum(np.maximum(ratio - known.toll, 0))])
+                # A run whose gains all together stay below what a part needs above the toll is passed over.
+                least = known.evidence - known.toll * (runs.ends - runs.starts)
+                odd = np.flatnonzero((gains[runs.ends] - gains[runs.starts] > 0) & (gains[runs.ends] - gains[runs.starts] >= least))
+                first = np.searchsorted(runs.doc[odd], np.arange(rows.num_rows + 1))
                 spans, texts = [], []
                 for i, text in enumerate(rows.column(0).to_pylist()):
                     mine = base_spans(text) if text else []
-                    hits = odd[of == i] if len(odd) else odd
+                    hits = odd[first[i]:first[i + 1]]
                     if len(hits):
-                        flat = np.column_stack([runs.starts[hits], runs.ends[hits]]).reshape(-1) - offsets[i]
-                        at = _point_of(data[offsets[i]:offsets[i + 1]].tobytes(), flat.tolist())
-                        taken = [(s, e) for _, s, e in mine]
-                        extra = [("markov", s, e) for s, e in zip(at[::2], at[1::2]) if not any(s < b and a < e for a, b in taken)]
-                        mine = sorted(mine + extra, key=lambda s: (s[1], KINDS.index(s[0])))
+                        raw = data[offsets[i]:offsets[i + 1]]
+                        point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+                        taken = np.zeros(int(point[-1]) + 1, dtype=bool)
+                        for _, s, e in mine:
+                            taken[s:e] = True
+                        for s, e in zip(runs.starts[hits].tolist(), runs.ends[hits].tolist()):
+                            at = int(point[s - offsets[i]])  # runs are of single bytes
+                            mine += [("markov", at + x, at + y) for x, y in _parts(data[s:e], ratio[s:e], ~taken[at:at + e - s], known.evidence, known.toll)]
+                        mine.sort(key=lambda s: (s[1], KINDS.index(s[0])))
                     spans.append([{"kind": k, "start": s, "end": e} for k, s, e in mine])
                     if redact is not None:
                         texts.append(_without(text, mine, redact))

@@ -260,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, least:
     shared = spark.sparkContext.broadcast(train_characters(docs))
     sample = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     sample = scratch.put(sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
-    rows = docs.join(F.broadcast(sample), "doc_id").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
     often = rows.filter("label = 1").mapInArrow(_frequent(shared), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     needed = max(3, least * sample.filter("label = 1").count())
     names = sorted(r[0] for r in often.filter(F.col("n") >= needed).select("feature").collect())

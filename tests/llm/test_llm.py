@@ -277,6 +277,30 @@ def test_op4_base_spans_and_learned_ones(spark, docs, empty):
     red = secret_scan.scan(table, secret_scan.train(table), ["doc_id"], redact="#").filter("doc_id IN (1000, 1001)").select("doc_id", "redacted")
     assert dict(rows_of(red)) == {1000: "plain # here ǅé #", 1001: None}
     assert secret_scan.scan(docs, secret_scan.train(docs), ["doc_id"]).count() == len(ROWS) and rows_of(secret_scan.scan(empty, secret_scan.train(empty), ["doc_id"])) == []
+    # Short strings, random parts of ordinary runs, and what touches a base span.
+    key = random[260]
+    odd = [f"a {key[:14]} b", f"go/to/document/handler/configuration/{key}", f"document_handler {'0af' * 12}/{key}/{key}", "document_manager/" * 3000 + key]
+    more = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "doc_id long, text string")
+    spans = {r[0]: [(k, odd[r[0]][a:b]) for k, a, b in r[1]] for r in secret_scan.scan(more, secret_scan.train(table), ["doc_id"]).collect()}
+    assert spans[0] == [("markov", key[:14])]
+    assert len(spans[1]) == 1 and spans[1][0][1].endswith(key) and len(spans[1][0][1]) < len(key) + 12
+    assert spans[2][0][0] == "hex" and "".join(t for k, t in spans[2][1:]).count(key) == 2
+    assert len(spans[3]) == 1 and spans[3][0][1].endswith(key) and len(spans[3][0][1]) < len(key) + 12
+
+
+def test_op4_maximal_ranges_equal_brute_force():
+    """The highest range first, then what lies on either side of it."""
+    def brute(x, lo, hi):
+        best = max(((x[a:b].sum(), a - b, a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0,))
+        if best[0] <= 0:
+            return []
+        _, _, a, b = best
+        return brute(x, lo, a) + [(a, b)] + brute(x, b, hi)
+
+    rng = np.random.default_rng(8)
+    for n in [1, 2, *rng.integers(3, 40, 200).tolist()]:
+        x = rng.normal(-0.1, 1, n)
+        assert secret_scan._maximal(x) == brute(x, 0, n)
 
 
 def test_op3_paths_equal_plain_viterbi():
@@ -326,6 +350,8 @@ def test_op1_restores_and_scores(spark, docs, empty):
     got = dict(rows_of(toxicity.score(spark.createDataFrame(probe, "doc_id long, text string"), model, ["doc_id"])))
     assert all(got[k] >= 0.5 for k in (1, 2, 6)) and all(got[k] < 0.5 for k in (3, 4, 5, 7)), got
     assert toxicity.score(docs, model, ["doc_id"]).count() == len(ROWS) and toxicity.score(empty, model, ["doc_id"]).count() == 0
+    clash = table.withColumns({"label": F.lit(1), "toxic": F.lit(0), "n": F.lit(2), "items": F.lit(3)})
+    assert toxicity.train(clash, spark.createDataFrame(labels, "doc_id long, toxic int")).names == model.names
     untaught = toxicity.train(empty, spark.createDataFrame([], "doc_id long, toxic int"))
     assert all(0 <= r[1] <= 1 for r in rows_of(toxicity.score(docs, untaught, ["doc_id"])))
 
@@ -366,6 +392,11 @@ def test_op10_counts_and_limits(spark, docs, empty):
     usual = [(k, prose(k, 60), "en", "s") for k in range(150)] + [(900, "$$ ## " * 30 + prose(900, 60), "en", "s")]
     kept = {r[0]: r[7] for r in rows_of(adaptive_rules.quality_rules(spark.createDataFrame(usual, "doc_id long, text string, lang string, source string")))}
     assert not kept[900] and all(kept[k] for k in range(150))
+    # Repeated words below the base rule's 30 % are rejected where the group hardly repeats; limits follow the group.
+    again = prose(901, 8)
+    mixed = [*usual, (901, f"{prose(902, 70)} {again} {again}", "en", "s"), *[(2000 + k, f"{prose(k, 70)} {prose(k, 8)} {prose(k, 8)}", "en", "r") for k in range(150)]]
+    kept = {r[0]: (r[6], r[7]) for r in rows_of(adaptive_rules.quality_rules(spark.createDataFrame(mixed, "doc_id long, text string, lang string, source string")))}
+    assert kept[901] == (False, False) and sum(kept[2000 + k][1] for k in range(150)) >= 148
 
 
 def test_op8_rules_and_list(spark):
