@@ -4,10 +4,11 @@ Each document's counts give integer measures (per cent of characters per word, p
 of symbols, of repeated lines, of words in repeated windows).  A quantile sketch of a measure
 is a histogram over buckets of bounded relative width: a value keeps its ``SKETCH_BITS``
 leading bits.  Sketches merge by adding counts, so those of sources merge into their
-language's and those of languages into the corpus's, and each group reads its percentiles
-from the narrowest sketch that holds ``min_docs`` documents.  A measure passes up to its group's own
-99th percentile and a margin: a quarter of the percentile's distance from the median, at least
-a small step (where nearly all documents agree, one occurrence is no outlier).
+language's and those of languages into the corpus's, and each group reads its quartiles
+from the narrowest sketch that holds ``min_docs`` documents.  A measure passes up to its group's
+outer quartile and a margin of ``reach`` quartile distances, at least a small step (where nearly all
+documents agree, one occurrence is no outlier).  Quartiles stand firm where up to a quarter of a
+group is poor; a far percentile would lie among the poor documents.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ BLANKS = "\t\n\x0b\f\r "
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 SKETCH_BITS = 6
-# measure: (numerator, denominator, factor, least margin, also a lower limit)
+# measure: (numerator, denominator, factor, least margin, also a lower limit); for repeats half of what the base rule bears
 MEASURES = {
     "word_length": ("word_chars", "n_words", 100, 40, True),
     "symbols": ("n_symbols", "n_words", 1000, 25, False),
-    "lines": ("n_dup_lines", "n_lines", 1000, 100, False),
-    "repeats": ("n_repeat_words", "n_words", 1000, 50, False),
+    "lines": ("n_dup_lines", "n_lines", 1000, 150, False),
+    "repeats": ("n_repeat_words", "n_words", 1000, 150, False),
 }
 
 
@@ -90,21 +91,18 @@ def sketches(counts: DataFrame) -> DataFrame:
         "_l.level", "_l.lang", "_l.source", "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def thresholds(sketch: DataFrame, tail: int = 1, min_docs: int = 100) -> DataFrame:
-    """(lang, source, <measure>_low, <measure>_high) from the narrowest sketch of ``min_docs`` documents.
-
-    ``tail`` is the share beyond the percentile at either end, in per cent.
-    """
+def thresholds(sketch: DataFrame, reach: int = 6, min_docs: int = 100) -> DataFrame:
+    """(lang, source, <measure>_low, <measure>_high) from the narrowest sketch of ``min_docs`` documents."""
     w = Window.partitionBy("level", "lang", "source", "measure")
     ranked = sketch.withColumns({"_sum": F.sum("n").over(w.orderBy("bucket")), "_all": F.sum("n").over(w)})
-    at = lambda share: F.min(F.when(F.col("_sum") * 100 >= F.col("_all") * share, F.col("bucket")))
-    found = ranked.groupBy("level", "lang", "source", "measure").agg(
-        F.max("_all").alias("_all"), at(tail).alias("_low"), at(50).alias("_mid"), at(100 - tail).alias("_high"))
+    quartile = ranked.groupBy("level", "lang", "source", "measure").agg(
+        F.max("_all").alias("_all"), F.min(F.when(F.col("_sum") * 4 >= F.col("_all"), F.col("bucket"))).alias("q1"),
+        F.min(F.when(F.col("_sum") * 4 >= F.col("_all") * 3, F.col("bucket"))).alias("q3"))
     least = F.element_at(F.create_map(*[F.lit(x) for m, v in MEASURES.items() for x in (m, v[3])]), F.col("measure"))
     lower = F.col("measure").isin(*[m for m, v in MEASURES.items() if v[4]])
-    margin = lambda gap: F.greatest(F.expr(f"({gap}) DIV 4"), least)
-    limits = found.select("level", "lang", "source", "measure", "_all",
-                          F.when(lower, F.col("_low") - margin("_mid - _low")).alias("low"), (F.col("_high") + margin("_high - _mid")).alias("high"))
+    margin = F.greatest(F.lit(reach) * (F.col("q3") - F.col("q1")), least)
+    limits = quartile.select("level", "lang", "source", "measure", "_all",
+                             F.when(lower, F.col("q1") - margin).alias("low"), (F.col("q3") + margin).alias("high"))
     wide = limits.groupBy("level", "lang", "source").agg(
         F.max("_all").alias("n"),
         *[F.max(F.when(F.col("measure") == m, F.col(x))).alias(f"{m}_{x}") for m in MEASURES for x in ("low", "high")])
@@ -118,7 +116,7 @@ def thresholds(sketch: DataFrame, tail: int = 1, min_docs: int = 100) -> DataFra
     return chosen.select(F.col("s.lang").alias("lang"), F.col("s.source").alias("source"), pick.alias("_t")).select("lang", "source", "_t.*")
 
 
-def quality_rules(docs: DataFrame, tail: int = 1, min_docs: int = 100) -> DataFrame:
+def quality_rules(docs: DataFrame, reach: int = 6, min_docs: int = 100) -> DataFrame:
     """Counts, base rule and verdict per row of ``docs`` (doc_id, text, lang, source; more columns are ignored).
 
     Words are runs without ASCII blanks.  ``base_failed``: fewer than 20 words, or more than
@@ -130,7 +128,7 @@ def quality_rules(docs: DataFrame, tail: int = 1, min_docs: int = 100) -> DataFr
     scratch = Scratch(docs.sparkSession)
     failed = F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
     counts = scratch.put(document_counts(docs).withColumn("base_failed", failed))
-    limits = thresholds(sketches(counts), tail, min_docs)
+    limits = thresholds(sketches(counts), reach, min_docs)
     joined = counts.alias("d").join(limits.alias("t"), F.expr("d.lang <=> t.lang AND d.source <=> t.source"), "left")
     passes = F.lit(True)
     for m, (*_, lower) in MEASURES.items():

@@ -101,7 +101,7 @@ counts AS (
         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
     FROM w LEFT JOIN covered USING (r)),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts),
-measures(m, least, has_low) AS (VALUES ('word_length', 40, true), ('symbols', 25, false), ('lines', 100, false), ('repeats', 50, false)),
+measures(m, least, has_low) AS (VALUES ('word_length', 40, true), ('symbols', 25, false), ('lines', 150, false), ('repeats', 150, false)),
 vals AS (SELECT r, lang, source, base_failed, m, least, has_low, """ + value.format(m="m") + r""" AS x FROM judged, measures),
 cells AS (SELECT lang, source, m, least, has_low, (x >> greatest(length(bin(x)) - 6, 0)) << greatest(length(bin(x)) - 6, 0) AS b, count(*) AS n
     FROM vals WHERE NOT base_failed GROUP BY ALL),
@@ -110,9 +110,9 @@ levels AS (
     UNION ALL SELECT 1, lang, NULL, m, least, has_low, b, sum(n) FROM cells GROUP BY ALL
     UNION ALL SELECT 2, NULL, NULL, m, least, has_low, b, sum(n) FROM cells GROUP BY ALL),
 ranked AS (SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, m ORDER BY b) AS s, sum(n) OVER (PARTITION BY lv, lang, source, m) AS a FROM levels),
-tails AS (SELECT lv, lang, source, m, least, has_low, max(a) AS a, min(CASE WHEN 100 * s >= a THEN b END) AS lo, min(CASE WHEN 100 * s >= 50 * a THEN b END) AS mid,
-    min(CASE WHEN 100 * s >= 99 * a THEN b END) AS hi FROM ranked GROUP BY ALL),
-lim AS (SELECT lv, lang, source, m, a, CASE WHEN has_low THEN lo - greatest((mid - lo) // 4, least) END AS low, hi + greatest((hi - mid) // 4, least) AS high FROM tails),
+quart AS (SELECT lv, lang, source, m, least, has_low, max(a) AS a, min(CASE WHEN 4 * s >= a THEN b END) AS q1, min(CASE WHEN 4 * s >= 3 * a THEN b END) AS q3
+    FROM ranked GROUP BY ALL),
+lim AS (SELECT lv, lang, source, m, a, CASE WHEN has_low THEN q1 - greatest(6 * (q3 - q1), least) END AS low, q3 + greatest(6 * (q3 - q1), least) AS high FROM quart),
 picked AS (
     SELECT v.r, v.x, CASE WHEN s.a >= 100 THEN s.low WHEN l.a >= 100 THEN l.low ELSE c.low END AS low, CASE WHEN s.a >= 100 THEN s.high WHEN l.a >= 100 THEN l.high ELSE c.high END AS high
     FROM vals v LEFT JOIN lim s ON s.lv = 0 AND s.m = v.m AND s.lang IS NOT DISTINCT FROM v.lang AND s.source IS NOT DISTINCT FROM v.source
