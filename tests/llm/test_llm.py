@@ -394,7 +394,7 @@ def test_op10_counts_and_limits(spark, docs, empty):
     assert not kept[900] and all(kept[k] for k in range(150))
     # Repeated words below the base rule's 30 % are rejected where the group hardly repeats; limits follow the group.
     again = prose(901, 10)
-    mixed = [*usual, (901, f"{prose(902, 70)} {again} {again}", "en", "s"), *[(2000 + k, f"{prose(k, 70)} {prose(k, 10)} {prose(k, 10)}", "en", "r") for k in range(150)]]
+    mixed = [*usual, (901, f"{prose(902, 70)} {again} {again}", "en", "s"), *[(2000 + k, f"{prose(k, 70)} {prose(k + 5000, 10)} {prose(k + 5000, 10)}", "en", "r") for k in range(150)]]
     kept = {r[0]: (r[6], r[7]) for r in rows_of(adaptive_rules.quality_rules(spark.createDataFrame(mixed, "doc_id long, text string, lang string, source string")))}
     assert kept[901] == (False, False) and all(kept[2000 + k][1] for k in range(150))
 
