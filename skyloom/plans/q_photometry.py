@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from skyloom.operators import lightcurves as L
 from skyloom.operators import photometry as P
 from skyloom.operators.detection import background_free, detect_sources, segments
 from skyloom.plans import fixtures as D
@@ -175,6 +176,51 @@ def p22(spark, sf):
     return P.resolve_units(lc, zp, ["label"], "muJy").select("label", F.col("frame").alias("bin"), r6("flux").alias("flux"))
 
 
+# Events of a unit: its frames in blocks of fifty vectors, at a sub-pixel position of the unit.
+CURVES_SQL = f"""{PX_SQL}, fr AS (SELECT CAST(label AS BIGINT) AS label, vec_id AS frame, vec_id / 48e0 + 6e4 AS mjd FROM embeddings),
+ev AS (SELECT label, frame // 50 AS eventid, min(frame) AS s, max(frame) AS e, 3e0 + (label % 4) * 3e-1 AS y, 3e0 + (label % 3) * 35e-2 AS x FROM fr GROUP BY label, frame // 50),
+wi AS (SELECT ev.label, eventid, frame, mjd FROM ev JOIN fr ON ev.label = fr.label AND frame BETWEEN s - 10 AND e + 11)"""
+DESIGN_SQL = """o AS (SELECT CAST(a.dy AS DOUBLE) AS dy, CAST(b.dx AS DOUBLE) AS dx FROM (SELECT unnest(generate_series(-2, 2)) AS dy) a, (SELECT unnest(generate_series(-2, 2)) AS dx) b),
+ob AS (SELECT DISTINCT label, y, x, round(y) AS cy, round(x) AS cx FROM ev), g AS (SELECT label, cy + dy AS py, cx + dx AS px, dy, dx, exp(-0.5 * (pow(cy + dy - y, 2) + pow(cx + dx - x, 2))) AS g FROM ob, o),
+de AS (SELECT label, CAST(py AS BIGINT) AS py, CAST(px AS BIGINT) AS px, g / sum(g) OVER (PARTITION BY label) AS g, dy, dx FROM g),
+fi AS (SELECT p.label, vec_id AS frame, regr_slope(v, g) AS flux, regr_intercept(v, g) AS bg, regr_sxx(v, g) AS sxx FROM p JOIN de ON p.label = de.label AND p.y = py AND p.x = px GROUP BY p.label, vec_id),
+re AS (SELECT p.label, frame, v - flux * g - bg AS r FROM p JOIN de ON p.label = de.label AND p.y = py AND p.x = px JOIN fi ON fi.frame = vec_id), rm AS (SELECT frame, median(r) AS m FROM re GROUP BY frame),
+er AS (SELECT re.frame, median(abs(r - m)) AS mad FROM re JOIN rm USING (frame) GROUP BY re.frame), fe AS (SELECT fi.*, 14826e-4 * mad / sqrt(sxx) AS e FROM fi JOIN er USING (frame))"""
+
+
+def _curves(spark, sf):
+    emb = D.table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("label"), F.col("vec_id").alias("frame"))
+    frames = emb.withColumn("mjd", F.col("frame") / F.lit(48.0) + 60000)
+    ev = emb.groupBy("label", F.floor(F.col("frame") / 50).alias("eventid")).agg(F.min("frame").alias("frame_start"), F.max("frame").alias("frame_end"))
+    ev = ev.withColumns({"objid": F.col("label"), "y": 3 + (F.col("label") % 4) * F.lit(0.3), "x": 3 + (F.col("label") % 3) * F.lit(0.35)})
+    zp = emb.select("label").distinct().select("label", (20 + F.col("label") / 10).alias("zp_ab"))
+    return ev, frames, _px(spark, sf).withColumnRenamed("vec_id", "frame"), zp
+
+
+@query("P22_profile_event_curves", f"""WITH {CURVES_SQL}, {DESIGN_SQL} SELECT wi.label, eventid, wi.frame, {R('mjd')} AS mjd, {R('flux')} AS flux, {R('e')} AS flux_err, {R('bg')} AS background FROM wi JOIN fe ON wi.frame = fe.frame""")
+def p22p(spark, sf):
+    ev, frames, px, _ = _curves(spark, sf)
+    out = L.profile_light_curves(ev, frames, px, ["label"], L.gaussian_profile(1.0), stamp=5, size=(8, 8))
+    return rounded(out.select("label", "eventid", "frame", "mjd", "flux", "flux_err", "background"), "mjd", "flux", "flux_err", "background")
+
+
+@query("P22_profile_object_curves", f"""WITH {CURVES_SQL}, {DESIGN_SQL}, z AS (SELECT *, 20e0 + label / 1e1 AS zp FROM fe) SELECT label, frame, {R('zp - 25e-1 * log10(CASE WHEN flux > e THEN flux ELSE e END)')} AS mag, CASE WHEN flux > e THEN {R('25e-1 * log10(1e0 + e / flux)')} END AS mag_err, 'mag' AS units FROM z""")
+def p22o(spark, sf):
+    ev, frames, px, zp = _curves(spark, sf)
+    out = L.light_curves(ev.select("label", "objid", "y", "x").distinct(), frames, px, ["label"], "psf", "mag", zp, L.gaussian_profile(1.0), ids=["objid"], buffer=None, stamp=5)
+    return out.select("label", "frame", r6("flux").alias("mag"), r6("flux_err").alias("mag_err"), "units")
+
+
+@query("P22_box_event_curves", f"""WITH {CURVES_SQL}, {DESIGN_SQL}, fr2 AS (SELECT label, sum(g) FILTER (abs(dy) <= 1 AND abs(dx) <= 1) / sum(g) AS share FROM de GROUP BY label), bo AS (SELECT DISTINCT label, floor(y + 5e-1) AS cy, floor(x + 5e-1) AS cx FROM ev),
+fl AS (SELECT p.label, vec_id AS frame, sum(v) AS flux FROM p JOIN bo ON p.label = bo.label AND abs(y - cy) <= 1 AND abs(x - cx) <= 1 GROUP BY p.label, vec_id), md AS (SELECT vec_id, median(v) AS m FROM p GROUP BY vec_id), no AS (SELECT p.vec_id AS frame, 3e0 * 14826e-4 * median(abs(v - m)) AS e FROM p JOIN md USING (vec_id) GROUP BY p.vec_id),
+k AS (SELECT label, 3631e0 * 1e3 * pow(1e1, -4e-1 * (20e0 + label / 1e1 + 25e-1 * log10(share))) AS k FROM fr2)
+SELECT wi.label, eventid, wi.frame, {R('flux * k')} AS flux, {R('e * k')} AS flux_err, 'mJy' AS units FROM wi JOIN fl ON wi.frame = fl.frame JOIN no ON wi.frame = no.frame JOIN k ON wi.label = k.label""")
+def p22b(spark, sf):
+    ev, frames, px, zp = _curves(spark, sf)
+    out = L.light_curves(ev, frames, px, ["label"], "aperture", "mJy", zp, L.gaussian_profile(1.0), stamp=5)
+    return rounded(out.select("label", "eventid", "frame", "flux", "flux_err", "units"), "flux", "flux_err")
+
+
 @query("P23_calibrator_centroids")
 def p23(spark, sf):
     s = _px(spark, sf).select("vec_id", "y", "x", (F.abs("v") + 0.1).alias("v"))

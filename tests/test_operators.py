@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from skyloom.functions import angles, photometry, timecode, wcs
 from skyloom.operators import dedupe, detection, events, features, filters, fits, robust, series, tracks
+from skyloom.operators import lightcurves
 from skyloom.operators import photometry as phot
 from skyloom.operators.catalog import recovery_match
 from skyloom.sources import tables, text
@@ -169,6 +170,73 @@ def test_p8_equals_lstsq(spark):
     assert got["flux"] == pytest.approx(sol[0]) and got["background"] == pytest.approx(sol[1]) and got["e_flux"] == pytest.approx(e)
 
 
+def _cube(spark):
+    """A unit with 12 frames of 15x15 pixels, two sources, one NaN and one missing pixel."""
+    rng = np.random.default_rng(5)
+    yy, xx = np.mgrid[0:15, 0:15]
+    shape = lambda y, x: np.exp(-0.5 * ((yy - y) ** 2 + (xx - x) ** 2) / 1.44)
+    cube = rng.normal(0, 0.3, (12, 15, 15)) + np.arange(12)[:, None, None] * 0.1
+    cube += 40 * shape(7.3, 6.6) * (1 + np.arange(12) / 10)[:, None, None] + 90 * shape(8.9, 8.2)
+    cube[3, 6, 6], cube[8, 5, 8] = np.nan, np.inf
+    rows = [("u", t, int(y), int(x), float(cube[t, y, x])) for t in range(12) for y in range(15) for x in range(15) if (t, y, x) != (8, 5, 8)]
+    cube[8, 5, 8] = np.nan
+    px = spark.createDataFrame(pd.DataFrame(rows, columns=["unit", "frame", "y", "x", "v"]))
+    frames = spark.createDataFrame([("u", t, 60000.0 + t) for t in range(12)], "unit string, frame long, mjd double")
+    ev = spark.createDataFrame(
+        [("u", 1, 1, 4, 6, 7.3, 6.6), ("u", 1, 2, 11, 11, 7.3, 6.6), ("u", 1, 2, 11, 11, 7.3, 6.6), ("u", 2, 1, 4, 4, 1.0, 6.0), ("x", 3, 1, 1, 2, 7.0, 7.0), ("u", 4, 1, None, 5, 7.0, 7.0)],
+        "unit string, objid long, eventid long, frame_start long, frame_end long, y double, x double")
+    return cube, px, frames, ev
+
+
+def test_p22_profile_curves_with_neighbours_equal_lstsq(spark):
+    cube, px, frames, ev = _cube(spark)
+    ev = ev.withColumn("near", F.expr("array(struct(8.9D AS y, 8.2D AS x), struct(7.3D AS y, 6.6D AS x), struct(0.0D AS y, 0.0D AS x), struct(8.9D AS y, 8.2D AS x))"))
+    out = lightcurves.profile_light_curves(ev, frames, px, ["unit"], lightcurves.gaussian_profile(1.2), buffer=2, neighbours="near", size=(15, 15)).toPandas()
+    assert sorted(set(zip(out.objid, out.eventid))) == [(1, 1), (1, 2)]
+    yy, xx = np.mgrid[3:12, 3:12]
+    cols = []
+    for y, x in ((7.3, 6.6), (8.9, 8.2)):
+        g = np.exp(-0.5 * ((yy - y) ** 2 + (xx - x) ** 2) / 1.44)
+        cols.append((g / g.sum()).ravel())
+    a = np.column_stack([*cols, np.ones(81)])
+    for eventid, span in ((1, range(2, 10)), (2, range(9, 12))):
+        got = out[out.eventid == eventid].sort_values("frame")
+        assert list(got.frame) == list(span)
+        d = cube[list(span), 3:12, 3:12].reshape(len(span), 81)
+        use = np.isfinite(d).all(0)
+        c = np.linalg.lstsq(a[use], d[:, use].T, rcond=None)[0]
+        res = d[:, use].T - a[use] @ c
+        err = 1.4826 * np.median(abs(res - np.median(res, axis=0)), axis=0) * np.sqrt(np.linalg.inv(a[use].T @ a[use])[0, 0])
+        np.testing.assert_allclose(got.flux, c[0], rtol=1e-9)
+        np.testing.assert_allclose(got.background, c[-1], rtol=1e-7)
+        np.testing.assert_allclose(got.flux_err, err, rtol=1e-9)
+
+
+def test_p22_units_whole_series_and_degenerate_stamps(spark):
+    cube, px, frames, ev = _cube(spark)
+    zp = spark.createDataFrame([("u", 20.0)], "unit string, zp_ab double")
+    g = lightcurves.gaussian_profile(1.2)
+    obj = ev.select("unit", "objid", "y", "x").distinct()
+    psf = lightcurves.light_curves(obj, frames, px, ["unit"], "psf", "mJy", zp, g, ids=["objid"], buffer=None)
+    counts = lightcurves.light_curves(obj, frames, px, ["unit"], "psf", "counts", None, g, ids=["objid"], buffer=None)
+    both = psf.filter("objid = 1").select("frame", F.col("flux").alias("m")).join(counts.filter("objid = 1"), "frame").toPandas()
+    assert len(both) == 12
+    np.testing.assert_allclose(both.m, both.flux * 3631e3 * 10**-8, rtol=1e-9)
+    box = lightcurves.light_curves(ev, frames, px, ["unit"], "aperture", "counts", buffer=0).filter("objid = 1 AND eventid = 1").orderBy("frame").toPandas()
+    np.testing.assert_allclose(box.flux, [np.nansum(cube[t, 6:9, 6:9]) for t in (4, 5, 6, 7)], rtol=1e-9)
+    one = lightcurves.profile_light_curves(obj, frames, px.filter("y = 7 AND x = 7"), ["unit"], g, ids=["objid"], buffer=None).toPandas()
+    assert len(one) and one[["flux", "flux_err", "background"]].isna().all().all()
+    for method in ("psf", "aperture"):
+        assert lightcurves.light_curves(ev.limit(0), frames, px.limit(0), ["unit"], method, "counts", profile=g).count() == 0
+
+
+def test_p22_sampled_profile_is_bilinear(spark):
+    grid = np.arange(25.0).reshape(5, 5)
+    df = frame(spark, dy=[0.0, 0.25, -0.5, 2.0, 1.1], dx=[0.0, -0.25, 0.5, 0.0, 0.0]).withColumn("g", F.array(*[F.lit(v) for v in grid.ravel()]))
+    got = [r[0] for r in df.select(lightcurves.sampled_profile(F.col("g"), 5, 2)(F.col("dy"), F.col("dx"))).collect()]
+    np.testing.assert_allclose(got, [12.0, 12.0 + 2.5 - 0.5, 12.0 - 5 + 1, 0.0, 0.8 * grid[4, 2]], rtol=1e-12)
+
+
 def flood(mask):
     """Lists of (y, x) of the parts of a mask, pixel by pixel."""
     left, parts = set(zip(*map(list, np.nonzero(mask)))), []
