@@ -45,6 +45,15 @@ def sampled_profile(grid: Column, side: int, oversample: int) -> Profile:
     return at
 
 
+def stamp_column(profile: Profile, half: int, sub_y: Column, sub_x: Column) -> Column:
+    """The profile of a source at (sub_y, sub_x) from the stamp's central pixel, as an array with sum 1, or of zeros."""
+    places = F.array(*[F.struct(F.lit(float(dy)).alias("dy"), F.lit(float(dx)).alias("dx")) for dy, dx in offsets(half, square=True)])
+    raw = F.transform(places, lambda o: profile(o["dy"] - sub_y, o["dx"] - sub_x))
+    # Values and sum are bound to a variable of a lambda each, or every pixel would compute them again.
+    summed = F.transform(F.array(raw), lambda r: F.struct(r.alias("r"), F.aggregate(r, F.lit(0.0), lambda a, b: a + F.coalesce(b, F.lit(0.0))).alias("t")))
+    return F.flatten(F.transform(summed, lambda s: F.transform(s["r"], lambda p: F.when(s["t"] > 0, p / s["t"]).otherwise(F.lit(0.0)))))
+
+
 def event_windows(events: DataFrame, frames: DataFrame, keys: Sequence[str], ids: Sequence[str], buffer: int | None) -> DataFrame:
     """(keys, ids, frame, mjd) of every event: ``buffer`` frames before its start to ``buffer + 1`` after its end, where
     there are such frames; with None the whole series.  Events that are listed twice count once."""
@@ -107,13 +116,7 @@ def profile_light_curves(
     if size is not None:
         at = at.filter((F.col("cy") >= half) & (F.col("cx") >= half) & (F.col("cy") < size[0] - half) & (F.col("cx") < size[1] - half))
         windows = windows.join(at.select(*keys, *ids), [*keys, *ids], "left_semi")
-    places = F.array(*[F.struct(F.lit(float(dy)).alias("dy"), F.lit(float(dx)).alias("dx")) for dy, dx in offs])
-
-    def column(y: Column, x: Column) -> Column:
-        raw = F.transform(places, lambda o: profile(o["dy"] - (y - F.col("cy")), o["dx"] - (x - F.col("cx"))))
-        total = F.aggregate(raw, F.lit(0.0), lambda a, b: a + F.coalesce(b, F.lit(0.0)))
-        return F.transform(raw, lambda p: F.when(total > 0, p / total).otherwise(F.lit(0.0)))
-
+    column = lambda y, x: stamp_column(profile, half, y - F.col("cy"), x - F.col("cx"))
     terms = F.array(column(F.col("y"), F.col("x")))
     if neighbours:
         near = F.filter(F.array_distinct(F.coalesce(F.col(neighbours), F.array().cast(dict(events.dtypes)[neighbours]))), lambda s: (

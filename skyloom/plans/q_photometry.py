@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from skyloom.operators import lightcurves as L
 from skyloom.operators import photometry as P
+from skyloom.operators import starfits as S
 from skyloom.operators.detection import background_free, detect_sources, segments
 from skyloom.plans import fixtures as D
 from skyloom.plans.fixtures import R, r6
@@ -167,6 +168,42 @@ def p18(spark, sf):
     return rounded(P.calibration_zeropoint(st, ["unit"], "mag"), "zp_ab", "e_zp_ab", "zp_scatter")
 
 
+# One star per stamp, near its centre; its neighbour lies 1.8 pixels below.
+_PLACE = {"y": ("3 + (vec_id % 4) * 3e-1", 3 + (F.col("vec_id") % 4) * F.lit(0.3)), "x": ("3 + (vec_id % 3) * 35e-2", 3 + (F.col("vec_id") % 3) * F.lit(0.35))}
+STAR_SQL = f"""{PX_SQL}, st AS (SELECT vec_id, y, x, round(y) AS cy, round(x) AS cx FROM (SELECT vec_id, {_PLACE['y'][0]} AS y, {_PLACE['x'][0]} AS x FROM embeddings)),
+sp AS (SELECT vec_id, p.y - cy AS dy, p.x - cx AS dx, v, st.y - cy AS sy, st.x - cx AS sx FROM p JOIN st USING (vec_id) WHERE abs(p.y - cy) <= 2 AND abs(p.x - cx) <= 2)"""
+
+
+def _star_stamps(spark, sf):
+    st = D.table(spark, sf, "embeddings").select("vec_id", F.col("vec_id").alias("star"), _PLACE["y"][1].alias("y"), _PLACE["x"][1].alias("x"), F.lit(12.0).alias("mag"))
+    return S.star_stamps(st, _px(spark, sf), ["vec_id"], stamp=5)
+
+
+@query("P18_star_fits", f"""WITH {STAR_SQL}, k AS (SELECT a.a / 4e0 AS a, b.b / 4e0 AS b FROM (SELECT unnest(generate_series(-2, 2)) AS a) a, (SELECT unnest(generate_series(-2, 2)) AS b) b),
+g AS (SELECT vec_id, a, b, v, exp(-0.5 * (pow(dy - sy - a, 2) + pow(dx - sx - b, 2))) AS g FROM sp, k), m AS (SELECT vec_id, a, b, v, g / sum(g) OVER (PARTITION BY vec_id, a, b) AS g FROM g),
+f AS (SELECT vec_id, a, b, regr_syy(v, g) - pow(regr_sxy(v, g), 2) / regr_sxx(v, g) AS loss, regr_slope(v, g) AS flux, regr_intercept(v, g) AS bg, regr_sxx(v, g) AS sxx FROM m GROUP BY vec_id, a, b),
+w AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY loss, a, b) = 1)
+SELECT vec_id, {R('a')} AS dy_fit, {R('b')} AS dx_fit, {R('flux')} AS flux, {R('sqrt(loss / 21e0 / sxx)')} AS e_flux, {R('bg')} AS background FROM w WHERE flux > 0""")
+def p18f(spark, sf):
+    """One round of shifts, as in the twin; the operator's default refines them further."""
+    at = S.locate(_star_stamps(spark, sf), L.gaussian_profile(1.0), F.lit(0.5), F.lit(0.5), 5, rounds=1, polish=False)
+    out = S.fit_fluxes(at, L.gaussian_profile(1.0), 5).select("vec_id", "dy_fit", "dx_fit", F.col("flux_psf").alias("flux"), F.col("e_flux_psf").alias("e_flux"), "background")
+    return rounded(out, "dy_fit", "dx_fit", "flux", "e_flux", "background")
+
+
+@query("P18_scene_fits", f"""WITH {STAR_SQL}, g AS (SELECT vec_id, v, exp(-0.5 * (pow(dy - sy, 2) + pow(dx - sx, 2))) AS g, exp(-0.5 * (pow(dy - sy - 18e-1, 2) + pow(dx - sx, 2))) AS h FROM sp),
+m AS (SELECT vec_id, v, g / sum(g) OVER (PARTITION BY vec_id) AS p, h / sum(h) OVER (PARTITION BY vec_id) AS q FROM g),
+c AS (SELECT vec_id, regr_sxx(v, p) AS pp, regr_sxx(v, q) AS qq, regr_sxy(q, p) AS pq, regr_sxy(v, p) AS pv, regr_sxy(v, q) AS qv, regr_syy(v, p) AS vv, avg(v) AS mv, avg(p) AS mp, avg(q) AS mq FROM m GROUP BY vec_id),
+r AS (SELECT *, (pv * qq - qv * pq) / (pp * qq - pq * pq) AS flux, (qv * pp - pv * pq) / (pp * qq - pq * pq) AS other FROM c)
+SELECT vec_id, CAST(2 AS BIGINT) AS n_scene, {R('flux')} AS flux, {R('sqrt((vv - flux * pv - other * qv) / 22e0 * qq / (pp * qq - pq * pq))')} AS e_flux, {R('mv - flux * mp - other * mq')} AS background FROM r WHERE flux > 0""")
+def p18s(spark, sf):
+    st = _star_stamps(spark, sf)
+    near = st.select("vec_id", (F.col("y") + 1.8).alias("y"), "x", F.lit(13.0).alias("mag"))
+    scene = S.with_scene(st, near, ["vec_id"], stamp=5).withColumns({"dy_fit": F.lit(0.0), "dx_fit": F.lit(0.0)})
+    out = S.fit_fluxes(scene, L.gaussian_profile(1.0), 5).select("vec_id", "n_scene", F.col("flux_psf").alias("flux"), F.col("e_flux_psf").alias("e_flux"), "background")
+    return rounded(out, "flux", "e_flux", "background")
+
+
 @query("P22_event_light_curves", f"""WITH {PX_SQL}, {LAB_POS}, b AS (SELECT p.label, vec_id // 5 AS bin, y, x, avg(v) AS v FROM p GROUP BY p.label, vec_id // 5, y, x)
 SELECT b.label, bin, {R('sum(v) * 3631e0 * pow(1e1, -4e-1 * 20e0) * 1e6')} AS flux FROM b JOIN lp ON b.label = lp.label AND abs(y - py) <= 1 AND abs(x - px) <= 1 GROUP BY b.label, bin""")
 def p22(spark, sf):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skyloom.functions import angles, photometry, timecode, wcs
-from skyloom.operators import dedupe, detection, events, features, filters, fits, robust, series, tracks
+from skyloom.operators import dedupe, detection, events, features, filters, fits, robust, series, starfits, tracks
 from skyloom.operators import lightcurves
 from skyloom.operators import photometry as phot
 from skyloom.operators.catalog import recovery_match
@@ -237,6 +237,62 @@ def test_p22_sampled_profile_is_bilinear(spark):
     np.testing.assert_allclose(got, [12.0, 12.0 + 2.5 - 0.5, 12.0 - 5 + 1, 0.0, 0.8 * grid[4, 2]], rtol=1e-12)
 
 
+def test_p18_recovers_planted_shifts_fluxes_and_zero_points(spark):
+    rng = np.random.default_rng(11)
+    sigma, size = 1.1, 76
+    yy, xx = np.mgrid[0:size, 0:size]
+    stars, sources, pixels, truth = [], [], [], {}
+    for unit, zp in (("a", 20.4), ("b", 19.9)):
+        img = rng.normal(3.0, 0.5, (size, size))
+        for n in range(16):
+            y, x = 12 + 17 * (n // 4) + rng.uniform(-0.45, 0.45), 12 + 17 * (n % 4) + rng.uniform(-0.45, 0.45)
+            mag = 11.0 + 2.4 * n / 16
+            spots = [(y, x, mag, *rng.uniform(-0.15, 0.15, 2), True)]
+            if n % 3 == 0:  # a close neighbour that only a scene can tell apart, where the catalogue has it
+                spots.append((y + 1.8, x - 2.1, mag + 0.8, 0.0, 0.0, False))
+            for sy, sx, m, dy, dx, main in spots:
+                g = np.exp(-0.5 * ((yy - sy - dy) ** 2 + (xx - sx - dx) ** 2) / sigma**2)
+                flux = 10 ** ((zp - m) / 2.5)
+                img += flux * g / g.sum()
+                sources.append((unit, sy, sx, m))
+                if main:
+                    stars.append((unit, n, sy, sx, m, n % 3 != 0))
+                    truth[unit, n] = (flux, dy, dx)
+        pixels += [(unit, int(r), int(c), float(img[r, c])) for r in range(size) for c in range(size)]
+    st = spark.createDataFrame(stars, "unit string, star long, y double, x double, mag double, alone boolean")
+    st = st.unionByName(spark.createDataFrame([("a", 90, 1.0, 50.0, 12.0, False), ("a", 91, None, 3.0, 12.0, True)], st.schema))
+    src = spark.createDataFrame(sources + sources[:5], "unit string, y double, x double, mag double")
+    img = spark.createDataFrame(pd.DataFrame(pixels, columns=["unit", "y", "x", "v"]))
+    zp, fits_ = starfits.scene_calibration(st.filter("alone").drop("alone"), st.drop("alone"), src, img, ["unit"], lightcurves.gaussian_profile(sigma), free=0.5)
+    got = {r["unit"]: r for r in zp.collect()}
+    assert abs(got["a"]["zp_ab"] - 20.4) < 0.01 and abs(got["b"]["zp_ab"] - 19.9) < 0.01
+    rows = fits_.collect()
+    assert len(rows) == 32 and {r["n_scene"] for r in rows if r["star"] % 3 == 0} == {2}
+    for r in rows:
+        flux, dy, dx = truth[r["unit"], r["star"]]
+        assert abs(r["dy_fit"] - dy) < 0.03 and abs(r["dx_fit"] - dx) < 0.03
+        assert abs(r["flux_psf"] / flux - 1) < 0.05 and abs(r["background"] - 3) < 0.5 and not r["at_bound"]
+
+
+def test_p18_bounds_hold_and_are_marked(spark):
+    rng = np.random.default_rng(2)
+    a = np.abs(rng.normal(size=(30, 3)))
+    lo, hi = np.array([0.5, 0.2, -np.inf]), np.array([0.9, 0.4, np.inf])
+    v = a @ np.array([1.5, 0.1, 2.0]) + rng.normal(0, 0.1, 30)
+    x = starfits._bounded(a.T @ a, a.T @ v, lo, hi, np.zeros(3))
+    grad = a.T @ (a @ x - v)
+    assert (x >= lo).all() and (x <= hi).all()
+    assert all(abs(g) < 1e-8 or (c == l and g > 0) or (c == h and g < 0) for g, c, l, h in zip(grad, x, lo, hi))
+    g = np.exp(-0.5 * (np.mgrid[-4:5, -4:5] ** 2).sum(0))
+    img = frame(spark, unit=["u"] * 81, y=np.repeat(np.arange(9), 9), x=np.tile(np.arange(9), 9), v=(100 * g / g.sum()).ravel() + rng.normal(0, 0.01, 81))
+    star = spark.createDataFrame([("u", 1, 4.0, 4.0, 15.0)], "unit string, star long, y double, x double, mag double")
+    one = starfits.star_stamps(star, img, ["unit"]).withColumns({"dy_fit": F.lit(0.0), "dx_fit": F.lit(0.0), "zp": F.lit(19.0), "tol": F.lit(0.5)})
+    fit = starfits.fit_fluxes(one, lightcurves.gaussian_profile(1.0), zp="zp", tolerance="tol").first()
+    assert fit["at_bound"] and abs(fit["flux_psf"] - 10 ** (4.5 / 2.5)) < 1e-6
+    assert abs(starfits.fit_fluxes(one, lightcurves.gaussian_profile(1.0)).first()["flux_psf"] - 100) < 0.1
+    assert starfits.star_stamps(star, img.filter("y <> 2"), ["unit"]).count() == 0
+
+
 def flood(mask):
     """Lists of (y, x) of the parts of a mask, pixel by pixel."""
     left, parts = set(zip(*map(list, np.nonzero(mask)))), []
