@@ -139,14 +139,14 @@ ZEROPOINTS_SQL = """SELECT CAST(n_regionkey + 1 AS BIGINT) AS sector, 1 + s_supp
 
 
 def frame_grid(spark, sf) -> DataFrame:
-    """Reduced frames: the occupied ten-minute slots, without every 17th slot."""
+    """Reduced frames: the occupied ten-minute slots; gaps are those of the events."""
     slot = F.floor(seconds("ts") / 600).cast("long")
-    return (table(spark, sf, "events").select(slot.alias("slot")).distinct().filter("slot % 17 <> 0")
+    return (table(spark, sf, "events").select(slot.alias("slot")).distinct()
             .select("slot", (F.col("slot") * 600 / F.lit(86400.0) + 40587).alias("mjd")))
 
 
 FRAME_GRID_SQL = """SELECT slot, slot * 600 / 86400e0 + 40587e0 AS mjd FROM (
-  SELECT DISTINCT CAST(floor(epoch(ts) / 600e0) AS BIGINT) AS slot FROM events) WHERE slot % 17 <> 0"""
+  SELECT DISTINCT CAST(floor(epoch(ts) / 600e0) AS BIGINT) AS slot FROM events)"""
 
 
 def tracks(spark, sf) -> DataFrame:
@@ -166,7 +166,7 @@ TRACKS_SQL = f"""SELECT event_id, user_id AS designation, (epoch(ts) - {EPOCH0})
 
 
 def injections(spark, sf) -> DataFrame:
-    return detections(spark, sf).filter("eventkey % 5 = 0").select(
+    return detections(spark, sf).select(
         F.col("eventkey").alias("injid"), (F.col("ra") + 0.0005).alias("x0"), F.col("dec").alias("y0"),
         (F.col("mjd_start") + 0.2).alias("i_start"), (F.col("mjd_end") + 0.2).alias("i_end"),
         F.col("flux_sign").alias("i_sign"), (F.col("snr") / 2).alias("i_snr"),
@@ -175,4 +175,4 @@ def injections(spark, sf) -> DataFrame:
 
 INJECTIONS_SQL = f"""SELECT eventkey AS injid, ra + 5e-4 AS x0, dec AS y0, mjd_start + 2e-1 AS i_start, mjd_end + 2e-1 AS i_end,
   flux_sign AS i_sign, snr / 2e0 AS i_snr, CASE WHEN flux_sign = 1 THEN 'flare' ELSE 'dip' END AS event_type
-  FROM ({DETECTIONS_SQL}) d WHERE eventkey % 5 = 0"""
+  FROM ({DETECTIONS_SQL}) d"""

@@ -154,11 +154,11 @@ def a19(spark, sf):
     return rounded(P.local_noise(_pos(spark, sf).withColumn("row", F.col("vec_id")), _px(spark, sf), ["vec_id"], "row", (8, 8)).drop("row"), "bkg_std")
 
 
-@query("S14_unit_resolution", f"""WITH s AS (SELECT series, pt, flux, err FROM ({D.SERIES_SQL})), z AS (SELECT star AS series, zp_ab FROM ({D.ZEROPOINTS_SQL}) WHERE star % 4 <> 0)
+@query("S14_unit_resolution", f"""WITH s AS (SELECT series, pt, flux, err FROM ({D.SERIES_SQL})), z AS (SELECT star AS series, zp_ab FROM ({D.ZEROPOINTS_SQL}) WHERE zp_ab >= 20e0)
 SELECT s.series, pt, {R('CASE WHEN zp_ab IS NULL THEN flux ELSE flux * 3631e0 * pow(1e1, -4e-1 * zp_ab) * 1e3 END', 8)} AS flux, CASE WHEN zp_ab IS NULL THEN 'counts' ELSE 'mJy' END AS units FROM s LEFT JOIN z USING (series)""")
 def s14(spark, sf):
     s = D.series(spark, sf).select("series", "pt", "flux", F.col("err").alias("flux_err"))
-    z = D.zeropoints(spark, sf).filter("star % 4 <> 0").select(F.col("star").alias("series"), "zp_ab")
+    z = D.zeropoints(spark, sf).filter("zp_ab >= 20").select(F.col("star").alias("series"), "zp_ab")
     return rounded(P.resolve_units(s, z, ["series"], "mJy").select("series", "pt", "flux", "units"), "flux", n=8)
 
 
