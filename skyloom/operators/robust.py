@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from math import comb
+from operator import and_, or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -411,3 +414,102 @@ def clipped_polynomial_fit(df: DataFrame, x: str, y: str, target: str, order: in
             break
         last = n
     return coeffs
+
+
+def keyed_polynomial_fits(df: DataFrame, keys: Sequence[str], x: str, y: str, targets: Sequence[str], order: int, fixed: dict[tuple[int, int], float] | None = None) -> DataFrame:
+    """A24 for many tiles at once: (keys, n, <target>_c: coefficients in the order of ``polynomial_terms``).
+
+    The sums of all keys are one aggregate, solved row by row in Arrow batches; rows with a NULL key or a NULL or NaN input
+    are left out.  ``fixed`` holds coefficients that are given instead of fitted (a constant of 0, or a scale of 1 without rotation).
+    Coordinates are centred and scaled per key before the sums, which keeps high orders accurate, and turned back after.
+    A key with fewer distinct equations than free terms has NULL coefficients.
+    """
+    keys, targets, fixed = list(keys), list(targets), dict(fixed or {})
+    terms = polynomial_terms(order)
+    free = [t for t in terms if t not in fixed]
+    ok = [F.col(c).isNotNull() & ~F.isnan(c) for c in (x, y, *targets)] + [F.col(k).isNotNull() for k in keys]
+    rows = df.filter(reduce(and_, ok))
+    box = rows.groupBy(*keys).agg(*[f(F.col(c).cast("double")).alias(f"_{n}{c_}") for c, c_ in ((x, "x"), (y, "y")) for n, f in (("lo", F.min), ("hi", F.max))])
+    mid = lambda a: (F.col(f"_lo{a}") + F.col(f"_hi{a}")) / 2
+    half = lambda a: F.when(F.col(f"_hi{a}") > F.col(f"_lo{a}"), (F.col(f"_hi{a}") - F.col(f"_lo{a}")) / 2).otherwise(F.lit(1.0))
+    box = box.select(*keys, mid("x").alias("_mx"), mid("y").alias("_my"), half("x").alias("_hx"), half("y").alias("_hy"))
+    u, v = (F.col(x) - F.col("_mx")) / F.col("_hx"), (F.col(y) - F.col("_my")) / F.col("_hy")
+    scaled = attach(rows, box, keys).withColumns({"_u": u, "_v": v})
+    power = lambda p, q: F.pow("_u", F.lit(float(p))) * F.pow("_v", F.lit(float(q)))
+    moments = sorted({(a + c, b + d) for a, b in terms for c, d in terms})
+    given = reduce(lambda s, t: s + fixed[t] * F.pow(F.col(x), F.lit(float(t[0]))) * F.pow(F.col(y), F.lit(float(t[1]))), fixed, F.lit(0.0))
+    sums = scaled.groupBy(*keys, "_mx", "_my", "_hx", "_hy").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(power(p, q)) for p, q in moments]).alias("_m"),
+        F.array(*[F.sum((F.col(t) - given) * power(p, q)) for t in targets for p, q in terms]).alias("_t"))
+    types = dict(sums.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in [*keys, "n"]) + "".join(f", `{t}_c` array<double>" for t in targets)
+    place = {m: i for i, m in enumerate(moments)}
+    look = np.array([[place[p + r, q + s] for r, s in terms] for p, q in terms])
+
+    def solve(batches):
+        for pdf in batches:
+            out = pdf[[*keys, "n"]].copy()
+            found: dict[str, list] = {t: [] for t in targets}
+            for r in range(len(pdf)):
+                mx, my, hx, hy = (float(pdf[c].iat[r]) for c in ("_mx", "_my", "_hx", "_hy"))
+                a = np.asarray(pdf["_m"].iat[r], float)[look]
+                # Each free power of (x, y) as a sum of powers of the scaled coordinates.
+                back = np.zeros((len(free), len(terms)))
+                for i, (p, q) in enumerate(free):
+                    for j, (k, m) in enumerate(terms):
+                        if k <= p and m <= q:
+                            back[i, j] = comb(p, k) * comb(q, m) * mx ** (p - k) * hx**k * my ** (q - m) * hy**m
+                if len(free) == len(terms):
+                    g, scale = a, np.sqrt(np.maximum(np.diag(a), 1e-300))
+                else:
+                    g = back @ a @ back.T
+                    scale = np.sqrt(np.maximum(np.diag(g), 1e-300))
+                g = g / np.outer(scale, scale)
+                solvable = pdf["n"].iat[r] >= len(free) and np.linalg.matrix_rank(g, hermitian=True) == len(free)
+                for i, t in enumerate(targets):
+                    if not solvable:
+                        found[t].append(None)
+                        continue
+                    b = np.asarray(pdf["_t"].iat[r], float)[i * len(terms):(i + 1) * len(terms)]
+                    if len(free) == len(terms):
+                        c = np.linalg.solve(back.T, np.linalg.solve(g, b / scale) / scale)
+                    else:
+                        c = np.linalg.solve(g, back @ b / scale) / scale
+                    by = {**fixed, **dict(zip(free, c))}
+                    found[t].append([float(by[k]) for k in terms])
+            for t in targets:
+                out[f"{t}_c"] = found[t]
+            yield out
+
+    return sums.mapInPandas(solve, schema)
+
+
+def polynomial_value(x: str, y: str, coefficients: str, order: int) -> Column:
+    """The surface of ``keyed_polynomial_fits`` at (x, y)."""
+    parts = [F.get(coefficients, F.lit(i)) * F.pow(F.col(x), F.lit(float(p))) * F.pow(F.col(y), F.lit(float(q))) for i, (p, q) in enumerate(polynomial_terms(order))]
+    return reduce(lambda a, b: a + b, parts)
+
+
+def clipped_keyed_fits(df: DataFrame, keys: Sequence[str], x: str, y: str, targets: Sequence[str], order: int, nsigma: float = 3.0, rounds: int = 20, fixed: dict[tuple[int, int], float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """A24 with a clip for all keys at once: (fits, rows with ``kept``).
+
+    A round fits every target on the kept rows and drops those beyond ``nsigma`` population deviations from the mean residual in
+    any of them; it ends when no key loses a row (or after ``rounds``, as the single fit's rule has it).
+    """
+    keys, targets = list(keys), list(targets)
+    rows = cut_lineage(df.withColumn("kept", reduce(and_, [F.col(c).isNotNull() & ~F.isnan(c) for c in (x, y, *targets)] + [F.col(k).isNotNull() for k in keys])))
+    for n in range(rounds + 1):
+        fits = keyed_polynomial_fits(rows.filter("kept"), keys, x, y, targets, order, fixed)
+        fits = cut_lineage(fits)
+        if n == rounds:
+            break
+        both = attach(rows, fits.drop("n"), keys).withColumns({f"_r{i}": F.col(t) - polynomial_value(x, y, f"{t}_c", order) for i, t in enumerate(targets)})
+        stats = both.filter("kept").groupBy(*keys).agg(*[f(f"_r{i}").alias(f"_{a}{i}") for i in range(len(targets)) for a, f in (("m", F.avg), ("s", F.stddev_pop))])
+        far = [F.abs(F.col(f"_r{i}") - F.col(f"_m{i}")) > nsigma * F.col(f"_s{i}") + 1e-12 for i in range(len(targets))]
+        after = attach(both, stats, keys).withColumn("_far", F.col("kept") & F.coalesce(reduce(or_, far), F.lit(False)))
+        after = cut_lineage(after.select(*df.columns, (F.col("kept") & ~F.col("_far")).alias("kept"), "_far"))
+        lost = after.filter("_far").limit(1).count()
+        rows = after.drop("_far")
+        if not lost:
+            break
+    return fits, rows

@@ -206,3 +206,33 @@ def a24c(spark, sf):
     s = D.sources(spark, sf).select((F.col("x") / 128 - 1).alias("u"), (F.col("y") / 128 - 1).alias("v"), "flux")
     s = s.withColumn("target", 3 + 2 * F.col("u") - F.col("v") + F.when(F.col("flux") > 95, F.col("flux")).otherwise(F.col("flux") / 1000))
     return rounded(Rb.clipped_polynomial_fit(s, "u", "v", "target", 1), "coefficient")
+
+
+# Tiles are the eight mask values; one fit of a plane per tile by centred sums (Cramer's rule).
+TILES_SQL = f"t AS (SELECT event_id, source_mask AS tile, x / 128e0 - 1e0 AS u, y / 128e0 - 1e0 AS v, flux FROM ({D.SOURCES_SQL}))"
+
+
+def plane_sql(name, src):
+    return f"""{name}_s AS (SELECT tile, count(*) AS n, avg(u) AS mu, avg(v) AS mv, avg(flux) AS mf, regr_sxx(flux, u) AS uu, regr_sxx(flux, v) AS vv, regr_sxy(v, u) AS uv, regr_sxy(flux, u) AS fu, regr_sxy(flux, v) AS fv FROM {src} GROUP BY tile),
+{name} AS (SELECT tile, n, mf - cu * mu - cv * mv AS c0, cu, cv FROM (SELECT *, (fu * vv - fv * uv) / (uu * vv - uv * uv) AS cu, (fv * uu - fu * uv) / (uu * vv - uv * uv) AS cv FROM {name}_s))"""
+
+
+def _tiles(spark, sf):
+    return D.sources(spark, sf).select("event_id", F.col("source_mask").alias("tile"), (F.col("x") / 128 - 1).alias("u"), (F.col("y") / 128 - 1).alias("v"), "flux")
+
+
+def _plane(fits):
+    c = lambda i: r6(F.get("flux_c", F.lit(i)))
+    return fits.select("tile", "n", c(0).alias("c0"), c(2).alias("cu"), c(1).alias("cv"))
+
+
+@query("A24_keyed_fits", f"WITH {TILES_SQL}, {plane_sql('a', 't')} SELECT tile, n, {R('c0')} AS c0, {R('cu')} AS cu, {R('cv')} AS cv FROM a")
+def a24k(spark, sf):
+    return _plane(Rb.keyed_polynomial_fits(_tiles(spark, sf), ["tile"], "u", "v", ["flux"], 1))
+
+
+@query("A24_keyed_clipped_fits", f"""WITH {TILES_SQL}, {plane_sql('a', 't')}, r AS (SELECT t.*, flux - c0 - cu * u - cv * v AS r FROM t JOIN a USING (tile)), d AS (SELECT tile, avg(r) AS m, stddev_pop(r) AS s FROM r GROUP BY tile),
+k AS (SELECT r.* FROM r JOIN d USING (tile) WHERE NOT abs(r - m) > 15e-1 * s + 1e-12), {plane_sql('b', 'k')} SELECT tile, n, {R('c0')} AS c0, {R('cu')} AS cu, {R('cv')} AS cv FROM b""")
+def a24kc(spark, sf):
+    """One round of the clip, as in the twin."""
+    return _plane(Rb.clipped_keyed_fits(_tiles(spark, sf), ["tile"], "u", "v", ["flux"], 1, nsigma=1.5, rounds=1)[0])

@@ -123,6 +123,43 @@ def test_a24_recovers_a_surface(spark):
     assert all(got[k] == pytest.approx(w, abs=1e-9) for k, w in want.items())
 
 
+def test_a24_keyed_fits_equal_single_fits_and_clip_per_key(spark):
+    rng = np.random.default_rng(3)
+    terms = robust.polynomial_terms(3)
+    parts, want = [], {}
+    for key, n, off in (("a", 400, 0.0), ("b", 300, 5000.0), ("c", 4, 0.0)):
+        x, y = off + rng.uniform(0, 40, n), off + rng.uniform(0, 40, n)
+        s = x - y + 0.01 * x * y / (1 + off) + rng.normal(0, 0.1, n)
+        if key == "b":
+            s[:5] += 80
+        parts.append(pd.DataFrame({"tile": key, "x": x, "y": y, "s": s, "t": 2 * s + 1}))
+    df = pd.concat(parts)
+    df.loc[len(df)] = ["b", None, 1.0, 2.0, 3.0]
+    rows = spark.createDataFrame(df)
+    fits_, kept = robust.clipped_keyed_fits(rows, ["tile"], "x", "y", ["s", "t"], 3)
+    got, flags = {r["tile"]: r for r in fits_.collect()}, kept.toPandas()
+    assert got["c"]["s_c"] is None and got["c"]["n"] == 4 and len(flags) == len(df)
+    for key in ("a", "b"):
+        d = flags[flags.tile == key]
+        use = d.x.notna() & d.y.notna()
+        for _ in range(21):
+            a = np.column_stack([((d.x - d.x.mean()) / 20) ** p * ((d.y - d.y.mean()) / 20) ** q for p, q in terms])
+            a_, far = a[use], pd.Series(False, index=d.index)
+            for c in ("s", "t"):
+                r = d[c] - a @ np.linalg.lstsq(a_, d[c][use], rcond=None)[0]
+                far |= (r - r[use].mean()).abs() > 3 * r[use].std(ddof=0) + 1e-12
+            if not (far & use).any():
+                break
+            use &= ~far
+        assert (d.kept == use).all() and (key == "a" or (~use).sum() >= 6)
+        model = sum(c * d.x[use] ** p * d.y[use] ** q for c, (p, q) in zip(got[key]["s_c"], terms))
+        np.testing.assert_allclose(model, a[use] @ np.linalg.lstsq(a[use], d.s[use], rcond=None)[0], atol=2e-3)
+    held = robust.keyed_polynomial_fits(rows.filter("tile = 'a'"), ["tile"], "x", "y", ["s"], 1, fixed={(0, 0): 0.0, (1, 0): 1.0}).first()["s_c"]
+    y, s = parts[0].y, parts[0].s - parts[0].x
+    np.testing.assert_allclose(held, [0.0, (y * s).sum() / (y * y).sum(), 1.0], rtol=1e-9)
+    assert robust.keyed_polynomial_fits(rows.limit(0), ["tile"], "x", "y", ["s"], 1).count() == 0
+
+
 def test_g2_equals_sequential_greedy(spark):
     rng = np.random.default_rng(6)
     x = rng.uniform(0, 12, (250, 2))
