@@ -169,13 +169,13 @@ def p18(spark, sf):
 
 
 # One star per stamp, near its centre; its neighbour lies 1.8 pixels below.
-_PLACE = {"y": ("3 + (vec_id % 4) * 3e-1", 3 + (F.col("vec_id") % 4) * F.lit(0.3)), "x": ("3 + (vec_id % 3) * 35e-2", 3 + (F.col("vec_id") % 3) * F.lit(0.35))}
-STAR_SQL = f"""{PX_SQL}, st AS (SELECT vec_id, y, x, round(y) AS cy, round(x) AS cx FROM (SELECT vec_id, {_PLACE['y'][0]} AS y, {_PLACE['x'][0]} AS x FROM embeddings)),
+_PLACE = {"y": "3 + (vec_id % 4) * 3e-1", "x": "3 + (vec_id % 3) * 35e-2"}
+STAR_SQL = f"""{PX_SQL}, st AS (SELECT vec_id, y, x, round(y) AS cy, round(x) AS cx FROM (SELECT vec_id, {_PLACE['y']} AS y, {_PLACE['x']} AS x FROM embeddings)),
 sp AS (SELECT vec_id, p.y - cy AS dy, p.x - cx AS dx, v, st.y - cy AS sy, st.x - cx AS sx FROM p JOIN st USING (vec_id) WHERE abs(p.y - cy) <= 2 AND abs(p.x - cx) <= 2)"""
 
 
 def _star_stamps(spark, sf):
-    st = D.table(spark, sf, "embeddings").select("vec_id", F.col("vec_id").alias("star"), _PLACE["y"][1].alias("y"), _PLACE["x"][1].alias("x"), F.lit(12.0).alias("mag"))
+    st = D.table(spark, sf, "embeddings").select("vec_id", F.col("vec_id").alias("star"), F.expr(_PLACE["y"]).alias("y"), F.expr(_PLACE["x"]).alias("x"), F.lit(12.0).alias("mag"))
     return S.star_stamps(st, _px(spark, sf), ["vec_id"], stamp=5)
 
 
