@@ -4,7 +4,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from skyloom.operators import filters, spatial
+from skyloom.functions import photometry
+from skyloom.operators import catalog, filters, skew, spatial
 
 
 def frame(spark, **cols):
@@ -15,6 +16,19 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def _count_rows(monkeypatch, name):
+    """Row counts of the candidate tables that ``catalog`` asks for."""
+    counts, real = [], getattr(catalog, name)
+
+    def counted(*a, **k):
+        out = real(*a, **k)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(catalog, name, counted)
+    return counts
+
+
 def test_exploded_sides_are_not_broadcast(spark):
     ev, pts = frame(spark, e=[1, 2], x=[0.5, 9.0], y=[0.5, 1.0]), frame(spark, p=[1, 2], px=[0.6, 3.0], py=[0.6, 3.0])
     box = spatial.box_candidates(ev, pts, [("x", F.lit(1.0)), ("y", F.lit(1.0))], ["px", "py"], 0.5)
@@ -28,3 +42,17 @@ def test_f17_copies_of_a_place_ask_once_and_decide_each(spark):
     cat = frame(spark, source=[1, 2, 3, 4], ra=[10.0, 10.0, 10.01, 50.0], dec=[0.0] * 4, rpmag=[12.0, 8.0, 11.0, None])
     left = filters.isolated_stars(cat, cat, 0.1)
     assert sorted(r.source for r in left.collect()) == [2, 4] and left.columns == cat.columns
+
+
+def test_j13_binned_medians_are_exact_and_pairs_of_copies_are_not_listed(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v, w = rng.uniform(-5, 5, 3001).round(2), rng.integers(1, 9, 3001)
+    df = frame(spark, k=[1] * 3000 + [2], a=v, b=-v, w=w)
+    got = skew.pooled_medians(df, ["k"], ["a", "b"], -5.0, 5.0, "w", bins=16).orderBy("k").toPandas()
+    want = np.median(np.repeat(v[:3000], w[:3000]))
+    assert got["a"].tolist() == [want, v[3000]] and got["b"].tolist() == [-want, -v[3000]]
+    assert got["_n"].tolist() == [w[:3000].sum(), w[3000]]
+    listed = _count_rows(monkeypatch, "pairs_within")
+    n = 30
+    det, pred = frame(spark, frame=[1] * n, xcentroid=[1.0] * n, ycentroid=[2.0] * n), frame(spark, frame=[1] * n, x=[0.5] * n, y=[2.5] * n)
+    assert tuple(catalog.pooled_offset(det, pred).first()) == (n * n, 0.5, -0.5) and listed == [1]
