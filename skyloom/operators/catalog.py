@@ -158,10 +158,19 @@ def identify_moving(det: DataFrame, pred: DataFrame, offset: DataFrame | None =
     off = offset if offset is not None else pooled_offset(det, pred)
     moved = pred.crossJoin(F.broadcast(off.select("offset_x", "offset_y")))  # one row per unit
     moved = moved.select("designation", "frame", (F.col("x") + F.col("offset_x")).alias("_px"), (F.col("y") + F.col("offset_y")).alias("_py"))
-    near = pairs_within(det.select(objid, "frame", "xcentroid", "ycentroid"), moved, ["xcentroid", "ycentroid"], ["_px", "_py"], max_dist, ["frame"], dist="_d")
-    best = near.groupBy(objid).agg(F.min(F.struct("_d", "designation", "frame")).alias("_m"))
+    # Of predictions at one place and frame the first can win; an object with a hit on a fine grid asks no coarser one.
+    moved = moved.groupBy("frame", "_px", "_py").agg(F.min("designation").alias("designation"))
+    todo = det.select(objid, "frame", "xcentroid", "ycentroid").distinct()
+    best = None
+    for factor in APPROACH_LEVELS:
+        near = pairs_within(todo, moved, ["xcentroid", "ycentroid"], ["_px", "_py"], max_dist / factor, ["frame"], dist="_d")
+        hit = cut_lineage(near.groupBy(objid).agg(F.min("_d").alias("_d"), F.min_by(F.struct("designation", "frame"), F.struct("_d", "designation", "frame")).alias("_m")))
+        best = hit if best is None else best.unionByName(hit)
+        todo = todo.join(hit, objid, "left_anti")
+        if todo.isEmpty():
+            break
     return det.select(objid).distinct().join(best, objid, "left").select(
-        objid, F.col("_m.designation").alias("designation"), F.col("_m._d").alias("dist_px"), F.col("_m.frame").alias("match_frame"))
+        objid, F.col("_m.designation").alias("designation"), F.col("_d").alias("dist_px"), F.col("_m.frame").alias("match_frame"))
 
 
 def upgrade_class(events: DataFrame, matches: DataFrame | None, objid: str = "objid") -> DataFrame:

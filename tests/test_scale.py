@@ -56,3 +56,15 @@ def test_j13_binned_medians_are_exact_and_pairs_of_copies_are_not_listed(spark,
     n = 30
     det, pred = frame(spark, frame=[1] * n, xcentroid=[1.0] * n, ycentroid=[2.0] * n), frame(spark, frame=[1] * n, x=[0.5] * n, y=[2.5] * n)
     assert tuple(catalog.pooled_offset(det, pred).first()) == (n * n, 0.5, -0.5) and listed == [1]
+
+
+def test_j12_only_the_finest_grid_with_a_hit_lists_pairs(spark, monkeypatch):
+    n = 40
+    i = np.arange(n)
+    det = frame(spark, objid=[1] * n + [2], frame=[1] * n + [2], xcentroid=np.r_[i * 0.01, 0.0], ycentroid=[0.0] * (n + 1))
+    pred = frame(spark, designation=np.r_[i, 99, 98], frame=[1] * n + [2, 2], x=np.r_[i * 0.01 + 0.001, 2.5, 2.5], y=[0.0] * (n + 2))
+    listed = _count_rows(monkeypatch, "pairs_within")
+    off = spark.range(1).select(F.lit(0.0).alias("offset_x"), F.lit(0.0).alias("offset_y"))
+    got = catalog.identify_moving(det, pred, off).orderBy("objid").toPandas()
+    assert got["dist_px"].round(6).tolist() == [0.001, 2.5] and got["designation"].tolist()[1] == 98
+    assert sum(listed) < n * n / 4
