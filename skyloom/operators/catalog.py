@@ -115,20 +115,22 @@ def brightest_star(events: DataFrame, stars: DataFrame, sigma: float = 3.0, even
     A wrapped error box with cos(dec) selects candidates by grid cell before the exact test.
     Classes that are no stars are skipped.
     """
-    ev = events.filter(~F.coalesce(F.col("classification").isin(SKIPPED_CLASSES), F.lit(False))) if "classification" in events.columns else events
-    small = ev.select(event, F.col("ra").alias("_era"), F.col("dec").alias("_edec"), F.col("ra_err").alias("_sx"), F.col("dec_err").alias("_sy"))
+    real = ~F.coalesce(F.col("classification").isin(SKIPPED_CLASSES), F.lit(False)) if "classification" in events.columns else F.lit(True)
+    # Events with one place and errors share their star, and of stars at one place the first in order can win.
+    place = {"_era": F.when(real, F.col("ra")), "_edec": F.col("dec"), "_sx": F.col("ra_err"), "_sy": F.col("dec_err")}
+    small = events.select(*[c.alias(n) for n, c in place.items()]).filter("_era IS NOT NULL").distinct()
     cosd = F.greatest(F.cos(F.radians("_edec")), F.lit(1e-6))
-    pts = stars.select("source", F.col("ra").alias("_ra"), F.col("dec").alias("_dec"), "gmag", "rpmag")
+    first = F.struct(*[c.alias(f"_{i}") for i, c in enumerate((*nulls_last("rpmag"), *nulls_last("gmag")))], F.col("source").alias("s"))
+    pts = stars.groupBy(F.col("ra").alias("_ra"), F.col("dec").alias("_dec")).agg(F.min(first).alias("_o"))
     cells = int(round(360 / cell))
     cand = box_candidates(small, pts, [("_era", sigma * F.col("_sx") / cosd), ("_edec", sigma * F.col("_sy"))], ["_ra", "_dec"], cell, {0: cells})
     dra = ra_difference("_ra", "_era") * F.cos(F.radians("_edec"))
     ddec = F.col("_dec") - F.col("_edec")
     near = cand.filter((F.abs(dra) <= sigma * F.col("_sx")) & (F.abs(ddec) <= sigma * F.col("_sy"))
                        & (mahalanobis(dra, ddec, "_sx", "_sy") <= sigma))
-    best = near.groupBy(event).agg(F.min(F.struct(
-        *[c.alias(f"_{i}") for i, c in enumerate((*nulls_last("rpmag"), *nulls_last("gmag")))], F.col("source").alias("s"))).alias("_b"))
-    out = attach(events, best.select(event, F.col("_b.s").alias("star_source")), [event])
-    return out.withColumn("gaia_id", F.coalesce(F.col("star_source").cast("string"), F.lit("-"))).drop("star_source")
+    best = near.groupBy(*place).agg(F.min("_o").alias("_b"))
+    out = attach(events.withColumns(place), best.select(*place, F.col("_b.s").alias("star_source")), list(place)).drop(*place)
+    return out.withColumn("gaia_id", F.coalesce(F.col("star_source").cast("string"), F.lit("-"))).drop("star_source").select(*events.columns, "gaia_id")
 
 
 def variable_class(events: DataFrame, variables: DataFrame, sigma: float = 3.0, event: str = "eventkey", cell: float = 0.05) -> DataFrame:

@@ -68,3 +68,12 @@ def test_j12_only_the_finest_grid_with_a_hit_lists_pairs(spark, monkeypatch):
     got = catalog.identify_moving(det, pred, off).orderBy("objid").toPandas()
     assert got["dist_px"].round(6).tolist() == [0.001, 2.5] and got["designation"].tolist()[1] == 98
     assert sum(listed) < n * n / 4
+
+
+def test_j8_copies_of_a_place_are_matched_once(spark, monkeypatch):
+    n = 30
+    ev = frame(spark, eventkey=range(n + 1), ra=[10.0] * n + [np.nan], dec=[0.0] * (n + 1), ra_err=[0.01] * (n + 1), dec_err=[0.01] * (n + 1), classification=["Junk"] + ["-"] * n)
+    stars = frame(spark, source=range(n), ra=[10.005] * n, dec=[0.0] * n, gmag=[9.0] * n, rpmag=[9.0] * (n - 1) + [8.0])
+    listed = _count_rows(monkeypatch, "box_candidates")
+    got = catalog.brightest_star(ev, stars).orderBy("eventkey").toPandas()["gaia_id"].tolist()
+    assert got == ["-"] + [str(n - 1)] * (n - 1) + ["-"] and sum(listed) <= 2
