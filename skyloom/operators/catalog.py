@@ -193,7 +193,16 @@ def contaminating_star(points: DataFrame, stars: DataFrame, row: str, max_px: fl
     st = stars.filter(F.col("mag").isNotNull()).select(F.col("star_idx"), F.col("x").alias("_sx"), F.col("y").alias("_sy"), F.col("mag").alias("_sm"))
     st = st.groupBy("_sx", "_sy").agg(F.min(F.struct("_sm", "star_idx")).alias("_b")).select("_sx", "_sy", "_b._sm", "_b.star_idx")
     st = st.withColumn("_rad", star_radius_px("_sm"))
-    near = pairs_within(points.select(row, F.col("x").alias("_x"), F.col("y").alias("_y")), st, ["_x", "_y"], ["_sx", "_sy"], max_px, dist="_d")
+    # A small cell keeps only the stars that could win somewhere in it: none whose least margin there exceeds another's greatest.
+    side = max_px / 8
+    half = side / 2 * math.sqrt(2) + 1e-9
+    pts = points.select(row, F.col("x").alias("_x"), F.col("y").alias("_y")).withColumns({"_fx": cell("_x", side), "_fy": cell("_y", side)})
+    middles = pts.select("_fx", "_fy").distinct().withColumns({"_mx": (F.col("_fx") + 0.5) * side, "_my": (F.col("_fy") + 0.5) * side})
+    seen = pairs_within(middles, st, ["_mx", "_my"], ["_sx", "_sy"], max_px + half, dist="_dm")
+    greatest = F.when(F.col("_dm") + half <= max_px, F.col("_dm") + half - F.col("_rad"))
+    able = group_stats(seen, ["_fx", "_fy"], F.min(greatest).alias("_top")).filter(
+        F.col("_top").isNull() | (F.col("_dm") - half - F.col("_rad") <= F.col("_top"))).select("_fx", "_fy", "_sx", "_sy", "_rad", "star_idx", "_sm")
+    near = pts.join(able, ["_fx", "_fy"]).withColumn("_d", euclid([(F.col("_x"), F.col("_sx")), (F.col("_y"), F.col("_sy"))])).filter(F.col("_d") <= max_px)
     best = near.groupBy(row).agg(F.min(F.struct((F.col("_d") - F.col("_rad")).alias("margin"), "star_idx", "_d", "_sm")).alias("_m"))
     out = attach(points, best, [row])
     return out.withColumns({

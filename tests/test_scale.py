@@ -77,3 +77,18 @@ def test_j8_copies_of_a_place_are_matched_once(spark, monkeypatch):
     listed = _count_rows(monkeypatch, "box_candidates")
     got = catalog.brightest_star(ev, stars).orderBy("eventkey").toPandas()["gaia_id"].tolist()
     assert got == ["-"] + [str(n - 1)] * (n - 1) + ["-"] and sum(listed) <= 2
+
+
+def test_j15_points_meet_only_stars_that_can_win_in_their_cell(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    n = 400
+    pt = frame(spark, event_id=range(n), x=rng.uniform(0, 30, n), y=rng.uniform(0, 30, n))
+    st = frame(spark, star_idx=range(60), x=rng.uniform(-10, 40, 60), y=rng.uniform(-10, 40, 60), mag=rng.uniform(5, 14, 60))
+    listed = _count_rows(monkeypatch, "pairs_within")
+    got = catalog.contaminating_star(pt, st, "event_id").orderBy("event_id").toPandas()
+    p, s = pt.toPandas(), st.toPandas()
+    d = np.hypot(p.x.to_numpy()[:, None] - s.x.to_numpy(), p.y.to_numpy()[:, None] - s.y.to_numpy())
+    rad = st.select(photometry.star_radius_px("mag").alias("r"), "star_idx").orderBy("star_idx").toPandas()["r"].to_numpy()
+    margin = np.where(d <= 20, d - rad, np.inf)
+    assert got["contaminating_star_idx"].tolist() == margin.argmin(1).tolist()
+    assert sum(listed) < (d <= 20).sum()
