@@ -274,14 +274,21 @@ def in_ellipse(x, y, cx, cy, a, b) -> Column:
 
 
 def in_polygon(x, y, vertices: Sequence[tuple[float, float]]) -> Column:
-    """Even-odd rule over the polygon's edges."""
+    """Even-odd rule over the polygon's edges; points on an edge are outside."""
     px, py = _c(x), _c(y)
-    crossings = F.lit(0)
+    crossings, on = F.lit(0), F.lit(False)
     for (x1, y1), (x2, y2) in zip(vertices, [*vertices[1:], vertices[0]]):
+        beside = py.between(float(min(y1, y2)), float(max(y1, y2)))
+        if y1 == y2:
+            on = on | (beside & px.between(float(min(x1, x2)), float(max(x1, x2))))
+            continue
+        # The edge is px + lean * py = at.
+        lean = (x1 - x2) / (y2 - y1)
+        side, at = px + py * lean, F.lit(x1 + y1 * lean)
         spans = (F.lit(float(y1)) > py) != (F.lit(float(y2)) > py)
-        at = F.lit(float(x1)) + (py - y1) * ((x2 - x1) / (y2 - y1)) if y1 != y2 else F.lit(0.0)
-        crossings = crossings + F.when(spans & (px < at), 1).otherwise(0)
-    return crossings % 2 == 1
+        crossings = crossings + F.when(spans & (side < at), 1).otherwise(0)
+        on = on | (beside & (side == at))
+    return (crossings % 2 == 1) & ~on
 
 
 def flag_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, tol_arcsec: float = 5.0, columns: Sequence[str] = ()) -> DataFrame:

@@ -92,3 +92,9 @@ def test_j15_points_meet_only_stars_that_can_win_in_their_cell(spark, monkeypatc
     margin = np.where(d <= 20, d - rad, np.inf)
     assert got["contaminating_star_idx"].tolist() == margin.argmin(1).tolist()
     assert sum(listed) < (d <= 20).sum()
+
+
+def test_j19_points_on_an_edge_of_a_polygon_are_outside(spark):
+    df = frame(spark, x=[158.2, 20.0, 100.0, 170.0, 20.5, 160.0, 300.0], y=[30.0, 90.0, 100.0, 30.0, 30.5, 30.5, 30.0])
+    got = df.select(catalog.in_polygon("x", "y", [(20, 30), (170, 30), (20, 180)]).alias("v")).toPandas()["v"].tolist()
+    assert got == [False, False, False, False, True, True, False]
