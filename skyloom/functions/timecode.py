@@ -23,7 +23,7 @@ DEFAULT_BINS = [
 
 def mjd(ts) -> Column:
     """Timestamp to modified Julian date (session time zone UTC)."""
-    return F.unix_micros(_c(ts).cast("timestamp")) / F.lit(MICROS_PER_DAY) + MJD_UNIX_EPOCH
+    return F.unix_micros(_c(ts).cast("timestamp")) / F.lit(1e6) / F.lit(86400.0) + MJD_UNIX_EPOCH
 
 
 def mjd_to_timestamp(value) -> Column:
@@ -31,10 +31,15 @@ def mjd_to_timestamp(value) -> Column:
     return F.timestamp_micros(F.rint((_c(value) - MJD_UNIX_EPOCH) * MICROS_PER_DAY).cast("long"))
 
 
+def timestamp_to_iso(ts) -> Column:
+    """ISO text of a timestamp with milliseconds, halves away from zero."""
+    seconds = F.unix_micros(_c(ts).cast("timestamp")) / F.lit(1e6)
+    return F.date_format(F.timestamp_millis(F.round(seconds * 1000.0).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+
+
 def mjd_to_iso(value) -> Column:
-    """ISO text with milliseconds."""
-    rounded = F.timestamp_millis(F.rint((_c(value) - MJD_UNIX_EPOCH) * (MICROS_PER_DAY / 1000)).cast("long"))
-    return F.date_format(rounded, "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    """ISO text with milliseconds; a date of our time resolves 0.6 microseconds, so text of a known timestamp comes from ``timestamp_to_iso``."""
+    return timestamp_to_iso(mjd_to_timestamp(value))
 
 
 def iso_to_mjd(text) -> Column:

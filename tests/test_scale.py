@@ -4,8 +4,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
 from skyloom.functions import photometry
 from skyloom.operators import catalog, filters, skew, spatial
+from tests.oracle import compare, connect
 
 
 def frame(spark, **cols):
@@ -98,3 +100,13 @@ def test_j19_points_on_an_edge_of_a_polygon_are_outside(spark):
     df = frame(spark, x=[158.2, 20.0, 100.0, 170.0, 20.5, 160.0, 300.0], y=[30.0, 90.0, 100.0, 30.0, 30.5, 30.5, 30.0])
     got = df.select(catalog.in_polygon("x", "y", [(20, 30), (170, 30), (20, 180)]).alias("v")).toPandas()["v"].tolist()
     assert got == [False, False, False, False, True, True, False]
+
+
+def test_e13_times_of_any_microsecond_equal_the_sql(spark, tmp_path):
+    duck = connect(str(tmp_path))
+    odd = "CASE WHEN i % 4 = 0 THEN floor(random() * 1e6) WHEN i % 4 = 1 THEN 999500 ELSE 999499 END"
+    duck.execute("SELECT setseed(0.5)")
+    duck.execute(f"COPY (SELECT i AS event_id, make_timestamp(CAST(1704067200000000 + floor(random() * 2592000) * 1000000 + {odd} AS BIGINT)) AS ts FROM range(200000) t(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    duck = connect(str(tmp_path))
+    ok, message = compare(spark, duck, "E13_mjd_iso", queries()["E13_mjd_iso"], oracle_sql()["E13_mjd_iso"], str(tmp_path))
+    assert ok, message
