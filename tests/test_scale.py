@@ -110,3 +110,9 @@ def test_e13_times_of_any_microsecond_equal_the_sql(spark, tmp_path):
     duck = connect(str(tmp_path))
     ok, message = compare(spark, duck, "E13_mjd_iso", queries()["E13_mjd_iso"], oracle_sql()["E13_mjd_iso"], str(tmp_path))
     assert ok, message
+
+
+def test_p18_hot_groups_may_have_a_bin_as_their_key(spark):
+    df = frame(spark, unit=[1] * 60, _b=[7] * 60, v=np.arange(60.0))
+    got = skew.exact_percentiles(df, ["unit", "_b"], {"med": ("v", 0.5)}, hot_rows=5).first()
+    assert tuple(got) == (1, 7, 29.5)
