@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skyloom.operators.components import connected_components, density_groups, number_labels
 from skyloom.operators.skew import attach
@@ -58,6 +59,18 @@ def predicted(t: str) -> tuple[Column, Column]:
     return (F.col("x0") + F.col("vx") * dt + 0.5 * F.col("ax") * dt * dt, F.col("y0") + F.col("vy") * dt + 0.5 * F.col("ay") * dt * dt)
 
 
+def _laid_out(tracks: DataFrame, radius: float, lo: Column, hi: Column, step: float, size: float, slack: Column | None = None) -> DataFrame:
+    """Tracks over the time steps (``_tb``) between ``lo`` and ``hi`` and the cells (``_kx``, ``_ky``) within ``radius`` of them; ``slack`` times the acceleration is added."""
+    bins = tracks.withColumn("_tb", F.explode(F.sequence(F.floor(lo / step), F.floor(hi / step))))
+    bins = bins.withColumn("_tc", (F.col("_tb") + 0.5) * step)
+    cx, cy = predicted("_tc")
+    speed = lambda v, a: (F.abs(F.col(v) + F.col(a) * (F.col("_tc") - F.col("t_ref"))) + F.abs(F.col(a)) * step / 2) * step / 2
+    more = lambda a: F.lit(0.0) if slack is None else F.abs(F.col(a)) * slack
+    reach_x, reach_y = speed("vx", "ax") + radius + more("ax"), speed("vy", "ay") + radius + more("ay")
+    bins = bins.withColumns({"_kx": F.explode(F.sequence(F.floor((cx - reach_x) / size), F.floor((cx + reach_x) / size)))})
+    return bins.withColumns({"_ky": F.explode(F.sequence(F.floor((cy - reach_y) / size), F.floor((cy + reach_y) / size)))}).drop("_tc")
+
+
 def near_tracks(points: DataFrame, tracks: DataFrame, row: str, radius: float, lo: Column, hi: Column, keys: Sequence[str] = (), track: str = "track", step: float = 0.25) -> DataFrame:
     """(row, track, distance) of points closer than ``radius`` to a track's prediction.
 
@@ -65,13 +78,7 @@ def near_tracks(points: DataFrame, tracks: DataFrame, row: str, radius: float, l
     step, so points meet tracks by equality on (step, cell) and never all tracks of a unit.
     """
     size = max(2.0 * radius, 1.0)
-    bins = tracks.withColumn("_tb", F.explode(F.sequence(F.floor(lo / step), F.floor(hi / step))))
-    bins = bins.withColumn("_tc", (F.col("_tb") + 0.5) * step)
-    cx, cy = predicted("_tc")
-    speed = lambda v, a: (F.abs(F.col(v) + F.col(a) * (F.col("_tc") - F.col("t_ref"))) + F.abs(F.col(a)) * step / 2) * step / 2
-    reach_x, reach_y = speed("vx", "ax") + radius, speed("vy", "ay") + radius
-    bins = bins.withColumns({"_kx": F.explode(F.sequence(F.floor((cx - reach_x) / size), F.floor((cx + reach_x) / size)))})
-    bins = bins.withColumns({"_ky": F.explode(F.sequence(F.floor((cy - reach_y) / size), F.floor((cy + reach_y) / size)))}).drop("_tc")
+    bins = _laid_out(tracks, radius, lo, hi, step, size)
     pts = points.select(*keys, row, "t", "x", "y", F.floor(F.col("t") / step).alias("_tb"), F.floor(F.col("x") / size).alias("_kx"), F.floor(F.col("y") / size).alias("_ky"))
     j = pts.join(bins, [*keys, "_tb", "_kx", "_ky"])
     px, py = predicted("t")
@@ -102,28 +109,59 @@ def grow_tracks(points: DataFrame, row: str, eps: float = 5.0, keys: Sequence[st
     return cur
 
 
+def _largest_close(named: DataFrame, model: DataFrame, eps: float, keys: Sequence[str], track: str, step: float = 1.0, first_ranks: int = 32) -> DataFrame:
+    """(keys..., _own, to): the first track, by falling size and then by name, before ``_own`` whose mean distance from its points is below ``eps``.
+
+    A mean distance is at least the distance of the means, so only the middle of a track's points
+    looks for partners.  The partners of a cell are ranked and tried in bands that grow
+    eightfold; a track that has found one leaves, so crowded cells list no pairs.
+    """
+    keys = list(keys)
+    good = named.filter(F.col("t").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
+    size = max(2.0 * eps, 1.0)
+    own_n = model.select(*keys, F.col(track).alias("_own"), F.col("n_points").alias("_own_n"))
+    mid = good.groupBy(*keys, "_own").agg(F.avg("t").alias("_mt"), F.avg("x").alias("_mx"), F.avg("y").alias("_my"), F.var_pop("t").alias("_mv")).join(own_n, [*keys, "_own"])
+    cells = ["_tb", "_kx", "_ky"]
+    todo = cut_lineage(mid.withColumns({"_tb": F.floor(F.col("_mt") / step), "_kx": F.floor(F.col("_mx") / size), "_ky": F.floor(F.col("_my") / size)}))
+    lim = mid.groupBy(*keys).agg(F.min("_mt").alias("_t_lo"), F.max("_mt").alias("_t_hi"), (F.max("_mv") / 2).alias("_slack"))
+    near = model.join(lim, keys) if keys else model.crossJoin(F.broadcast(lim))
+    near = _laid_out(near, eps * (1 + 1e-6), F.col("_t_lo"), F.col("_t_hi"), step, size, F.col("_slack"))
+    # Cells without a middle have no use.
+    near = near.join(todo.select(*keys, *cells).distinct(), [*keys, *cells], "left_semi")
+    order = Window.partitionBy(*keys, *cells).orderBy(F.desc("n_points"), track)
+    near = cut_lineage(near.withColumn("_rank", F.row_number().over(order)).select(*keys, *cells, "_rank", track, "n_points", "t_ref", "x0", "vx", "ax", "y0", "vy", "ay"))
+    before_own = F.struct(-F.col("n_points"), F.col(track)) < F.struct(-F.col("_own_n"), F.col("_own"))
+    out, low, high = None, 0, first_ranks
+    while True:
+        band = near.filter((F.col("_rank") > low) & (F.col("_rank") <= high))
+        mx, my = predicted("_mt")
+        mx, my = mx + 0.5 * F.col("ax") * F.col("_mv"), my + 0.5 * F.col("ay") * F.col("_mv")
+        pairs = todo.join(band.hint("merge"), [*keys, *cells]).filter(before_own & (F.sqrt((F.col("_mx") - mx) ** 2 + (F.col("_my") - my) ** 2) < eps * (1 + 1e-6)))
+        pairs = pairs.select(*keys, "_own", track, "n_points", "t_ref", "x0", "vx", "ax", "y0", "vy", "ay")
+        px, py = predicted("t")
+        mean = pairs.join(good.select(*keys, "_own", "t", "x", "y").hint("merge"), [*keys, "_own"]).groupBy(*keys, "_own", track, "n_points").agg(F.avg(F.sqrt((F.col("x") - px) ** 2 + (F.col("y") - py) ** 2)).alias("mean_dist"))
+        found = mean.filter(F.col("mean_dist") < eps).groupBy(*keys, "_own").agg(F.min(F.struct((-F.col("n_points")).alias("n"), F.col(track).alias("to"))).alias("_b"))
+        found = cut_lineage(found.select(*keys, "_own", "_b.to"))
+        out = found if out is None else out.unionByName(found)
+        # Others go on where their cell holds a further track before them.
+        following = near.filter(F.col("_rank") == high + 1).select(*keys, *cells, "n_points", track)
+        left = todo.join(found, [*keys, "_own"], "left_anti").join(following, [*keys, *cells]).filter(before_own).select(*todo.columns)
+        todo = cut_lineage(left)
+        if todo.isEmpty():
+            return out
+        low, high = high, high * 8
+
+
 def merge_tracks(points: DataFrame, row: str, eps: float = 10.0, keys: Sequence[str] = (), track: str = "track", rounds: int = 5, **fit) -> DataFrame:
     """A track joins a larger one when its points lie on average within ``eps`` of it.
 
-    Candidates are pairs with at least one close point (a mean below ``eps`` needs one); their exact
-    mean distances are aggregated, and the size-ordered greedy choice runs on this short pair list.
+    A track is absorbed by its largest close partner that is not itself absorbed by a larger one.
     """
     cur = points
     for _ in range(rounds):
         model = cut_lineage(fit_tracks(cur, track, keys, **fit))
         named = cur.filter(F.col(track).isNotNull()).withColumn("_own", F.col(track)).drop(track)
-        hit = near_tracks(named, _with_range(model, cur, keys), row, eps, F.col("_t_lo"), F.col("_t_hi"), keys, track)
-        pairs = hit.join(named.select(row, "_own"), row).filter(F.col("_own") != F.col(track)).select(*keys, "_own", track).distinct()
-        full = pairs.join(model, [*keys, track]).join(named.select(*keys, "_own", "t", "x", "y"), [*keys, "_own"])
-        px, py = predicted("t")
-        dist = full.groupBy(*keys, "_own", track).agg(F.avg(F.sqrt((F.col("x") - px) ** 2 + (F.col("y") - py) ** 2)).alias("mean_dist")).filter(F.col("mean_dist") < eps)
-        sizes = model.select(*keys, track, "n_points")
-        dist = dist.join(sizes.withColumnRenamed("n_points", "big_n"), [*keys, track]).join(
-            sizes.select(*keys, F.col(track).alias("_own"), F.col("n_points").alias("small_n")), [*keys, "_own"])
-        # A track is absorbed by its largest close partner that is not itself absorbed by a larger one.
-        order_big = F.struct(-F.col("big_n"), F.col(track))
-        order_own = F.struct(-F.col("small_n"), F.col("_own"))
-        best = dist.filter(order_big < order_own).groupBy(*keys, "_own").agg(F.min(F.struct((-F.col("big_n")).alias("n"), F.col(track).alias("to"))).alias("_b")).select(*keys, "_own", "_b.to")
+        best = _largest_close(named, model, eps, keys, track)
         absorbed = best.select(*keys, F.col("_own").alias("to"))
         now = cut_lineage(best.join(absorbed, [*keys, "to"], "left_anti"))
         if now.isEmpty():

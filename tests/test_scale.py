@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from skyloom.functions import photometry
-from skyloom.operators import catalog, components, filters, skew, spatial
+from skyloom.operators import catalog, components, filters, skew, spatial, tracks
 from tests.oracle import compare, connect
 
 
@@ -152,3 +152,31 @@ def test_g4_cells_that_are_joined_already_list_no_pairs(spark, monkeypatch):
         got = components.density_groups(df, "id", ["x", "y", "z"], 1.0, least).orderBy("id").toPandas()["label"].fillna(-1).astype(int).to_numpy()
         assert (got == _brute_groups(p, 1.0, least)).all()
         assert max(sizes) < 12 * len(p)
+
+
+def test_g8_tracks_of_one_path_list_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    n = 160
+    size = rng.integers(3, 8, n)
+    track = np.repeat(np.arange(n), size)
+    t = rng.uniform(0, 6, len(track))
+    x, y = 0.4 * t + 0.05 * (track % 40) + rng.normal(0, 0.04, len(t)), 0.2 * t + 7.0 * (track % 3)
+    p = pd.DataFrame({"id": np.arange(len(t)), "track": track, "t": t, "x": x, "y": y})
+    # Pairs of points and tracks are not listed at all.
+    monkeypatch.setattr(tracks, "near_tracks", None)
+    for quadratic in (False, True):
+        model = tracks.fit_tracks(spark.createDataFrame(p), quadratic=quadratic).toPandas().set_index("track")
+        # All pairs: the first larger track with a small mean distance, unless that is absorbed itself.
+        order = {k: (-model.n_points[k], k) for k in model.index}
+        to = {}
+        m = model[["t_ref", "x0", "vx", "ax", "y0", "vy", "ay"]].to_numpy().T[:, None]
+        for own, g in p.groupby("track"):
+            dt = g.t.to_numpy()[:, None] - m[0]
+            d = np.hypot(g.x.to_numpy()[:, None] - m[1] - m[2] * dt - m[3] * dt**2 / 2, g.y.to_numpy()[:, None] - m[4] - m[5] * dt - m[6] * dt**2 / 2).mean(0)
+            d = dict(zip(model.index, d))
+            close = [k for k in d if d[k] < 0.3 and order[k] < order[own]]
+            if close:
+                to[own] = min(close, key=order.get)
+        want = [to[k] if k in to and to[k] not in to else k for k in track]
+        got = tracks.merge_tracks(spark.createDataFrame(p), "id", eps=0.3, rounds=1, quadratic=quadratic).orderBy("id").toPandas()["track"].tolist()
+        assert got == want and len(set(want)) < n
