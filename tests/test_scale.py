@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import oracle_sql, queries
 from skyloom.functions import photometry
 from skyloom.operators import catalog, components, filters, skew, spatial, tracks
+from skyloom.plans import q_series
 from tests.oracle import compare, connect
 
 
@@ -180,3 +181,10 @@ def test_g8_tracks_of_one_path_list_no_pairs(spark, monkeypatch):
         want = [to[k] if k in to and to[k] not in to else k for k in track]
         got = tracks.merge_tracks(spark.createDataFrame(p), "id", eps=0.3, rounds=1, quadratic=quadratic).orderBy("id").toPandas()["track"].tolist()
         assert got == want and len(set(want)) < n
+
+
+def test_w21_light_curves_round_as_the_sql(spark, monkeypatch):
+    rows = frame(spark, objid=[0], frame=[212], flux=[69.8])
+    monkeypatch.setattr(q_series.D, "sources", lambda *_: rows)
+    got = q_series.light_curves(spark, "").first()["flux"]
+    assert got == 69.8 / 10 + 0.02 - 1 != 69.8 / 10 + (0.02 - 1)
