@@ -174,7 +174,9 @@ def cross_tracks(points: DataFrame, row: str, max_dist: float = 2.0, limit: floa
     """Tracks that come within ``max_dist`` at the same time inside the field become one.
 
     Both tracks are sampled on one time grid; the closest approach inside a step follows from the
-    relative motion, taken as straight within it.
+    relative motion, taken as straight within it.  Tracks that share a cell of side max_dist/sqrt(2) in
+    the middle of a step are close without comparison and all linked to the cell's first one; only samples
+    in neighbouring cells of tracks that these links leave apart are compared, so crowded cells list no pairs.
     """
     model = _with_range(fit_tracks(points, track, keys, **fit), points, keys)
     grid = model.withColumn("_tb", F.explode(F.sequence(F.floor(F.col("_t_lo") / step), F.floor(F.col("_t_hi") / step)))).withColumn("_tc", (F.col("_tb") + 0.5) * step)
@@ -182,21 +184,45 @@ def cross_tracks(points: DataFrame, row: str, max_dist: float = 2.0, limit: floa
     dt = F.col("_tc") - F.col("t_ref")
     pos = grid.select(*keys, track, "_tb", px.alias("px"), py.alias("py"), (F.col("vx") + F.col("ax") * dt).alias("ux"), (F.col("vy") + F.col("ay") * dt).alias("uy"))
     pos = pos.filter(F.col("px").between(-max_dist, limit + max_dist) & F.col("py").between(-max_dist, limit + max_dist))
+    # The field's border is decided pair by pair, so only tracks that stay inside for the step are linked unseen.
+    side, half = max_dist / math.sqrt(2) * (1 - 1e-6), step / 2
+    inner = F.lit(True)
+    for p, u in (("px", "ux"), ("py", "uy")):
+        reach = F.abs(F.col(u)) * half * (1 + 1e-6)
+        inner = inner & (F.col(p) - reach >= 0) & (F.col(p) + reach <= limit)
+    tight = [*keys, "_tb", F.floor(F.col("px") / side).alias("_sx"), F.floor(F.col("py") / side).alias("_sy")]
+    inside = pos.filter(inner).select(track, *tight)
+    first = inside.groupBy(*keys, "_tb", "_sx", "_sy").agg(F.min(track).alias("_first"), F.max(track).alias("_last")).filter("_first < _last").drop("_last")
+    sure = inside.join(first, [*keys, "_tb", "_sx", "_sy"]).filter(F.col(track) != F.col("_first")).select(F.col(track).alias("u"), F.col("_first").alias("v")).distinct()
+    roots = cut_lineage(connected_components(sure))
     # Cells are wide enough for the approach during one step.
     size = 4 * max_dist
-    a = pos.withColumns({"_kx": F.floor(F.col("px") / size), "_ky": F.floor(F.col("py") / size)})
+    named = attach(pos, roots.withColumnRenamed("node", track), [track]).withColumn("root", F.coalesce("root", track))
+    named = named.withColumns({"_kx": F.floor(F.col("px") / size), "_ky": F.floor(F.col("py") / size)})
+    held = cut_lineage(named.groupBy(*keys, "_tb", "_kx", "_ky").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")))
     ring = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    b = pos.withColumnsRenamed({track: "_other", "px": "qx", "py": "qy", "ux": "wx", "uy": "wy"}).withColumn("_o", ring)
-    b = b.withColumns({"_kx": F.floor(F.col("qx") / size) + F.col("_o.i"), "_ky": F.floor(F.col("qy") / size) + F.col("_o.j")}).drop("_o")
-    j = a.join(b, [*keys, "_tb", "_kx", "_ky"]).filter(F.col(track) < F.col("_other"))
+    around = held.withColumn("_o", ring).withColumns({"_kx": F.col("_kx") + F.col("_o.i"), "_ky": F.col("_ky") + F.col("_o.j")})
+    mixed = around.groupBy(*keys, "_tb", "_kx", "_ky").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).filter("_lo <> _hi").drop("_lo", "_hi")
+    # Only cells with a second root in reach are compared, and only across roots.
+    a = cut_lineage(named.join(mixed, [*keys, "_tb", "_kx", "_ky"], "left_semi"))
+    cells = a.select(*keys, "_tb", "_kx", "_ky", "root").distinct()
+    b_cells = cells.select(*keys, "_tb", F.col("_kx").alias("_jx"), F.col("_ky").alias("_jy"), F.col("root").alias("_other_root"), ring.alias("_o"))
+    b_cells = b_cells.withColumns({"_kx": F.col("_jx") + F.col("_o.i"), "_ky": F.col("_jy") + F.col("_o.j")}).drop("_o")
+    meet = cells.join(b_cells.hint("merge"), [*keys, "_tb", "_kx", "_ky"]).filter("root <> _other_root")
+    b = a.withColumnsRenamed({track: "_other", "px": "qx", "py": "qy", "ux": "wx", "uy": "wy", "root": "_other_root", "_kx": "_jx", "_ky": "_jy"})
+    j = a.join(meet.hint("merge"), [*keys, "_tb", "_kx", "_ky", "root"]).join(b.hint("merge"), [*keys, "_tb", "_jx", "_jy", "_other_root"]).filter(F.col(track) < F.col("_other"))
     rx, ry, sx, sy = F.col("px") - F.col("qx"), F.col("py") - F.col("qy"), F.col("ux") - F.col("wx"), F.col("uy") - F.col("wy")
     s2 = sx * sx + sy * sy
     tau = F.when(s2 > 0, F.greatest(F.lit(-step / 2), F.least(F.lit(step / 2), -(rx * sx + ry * sy) / s2))).otherwise(F.lit(0.0))
     j = j.withColumn("_tau", tau)
     close = F.sqrt((rx + sx * F.col("_tau")) ** 2 + (ry + sy * F.col("_tau")) ** 2)
     at_x, at_y = F.col("px") + F.col("ux") * F.col("_tau"), F.col("py") + F.col("uy") * F.col("_tau")
-    edges = j.filter((close < max_dist) & at_x.between(0, limit) & at_y.between(0, limit)).select(F.col(track).alias("u"), F.col("_other").alias("v")).distinct()
-    comp = connected_components(edges)
+    near = j.filter((close < max_dist) & at_x.between(0, limit) & at_y.between(0, limit))
+    # The links of a pair of roots are all one.
+    edges = near.select(F.col("root").alias("u"), F.col("_other_root").alias("v")).distinct()
+    upper = connected_components(edges).select(F.col("root").alias("_up"), F.col("node").alias("root"))
+    members = roots.select("node", "root").unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root"))).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    comp = attach(members, upper, ["root"]).select("node", F.coalesce("_up", "root").alias("root"))
     low = comp.join(comp.groupBy("root").agg(F.min("node").alias("_low")), "root").select(F.col("node").alias(track), "_low")
     return attach(points, low, [track]).withColumn(track, F.coalesce("_low", track)).drop("_low")
 

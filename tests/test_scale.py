@@ -188,3 +188,33 @@ def test_w21_light_curves_round_as_the_sql(spark, monkeypatch):
     monkeypatch.setattr(q_series.D, "sources", lambda *_: rows)
     got = q_series.light_curves(spark, "").first()["flux"]
     assert got == 69.8 / 10 + 0.02 - 1 != 69.8 / 10 + (0.02 - 1)
+
+
+def test_g9_tracks_of_one_path_list_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    n, far, step, limit = 220, 0.3, 0.5, 20.0
+    t = np.stack([rng.uniform(0, 1, n), rng.uniform(3, 4, n)])
+    # A crowd on one path, tracks along the field's border, and tracks that cross at any speed.
+    x0, y0 = rng.normal(8, 0.05, n), rng.normal(5, 0.05, n)
+    vx, vy = np.full(n, 0.7), np.full(n, 0.2)
+    x0[150:170], y0[150:170], vx[150:170] = rng.uniform(-0.2, 0.1, 20), rng.uniform(0, 6, 20), rng.uniform(-0.1, 0.1, 20)
+    x0[170:], y0[170:], vx[170:], vy[170:] = rng.uniform(0, 20, 50), rng.uniform(0, 20, 50), rng.uniform(-1, 1, 50), rng.uniform(-1, 1, 50)
+    p = pd.DataFrame({"id": np.arange(2 * n), "track": np.tile(np.arange(n), 2), "t": t.ravel(), "x": (x0 + vx * t).ravel(), "y": (y0 + vy * t).ravel()})
+    df = spark.createDataFrame(p)
+    edges, real = [], tracks.connected_components
+    monkeypatch.setattr(tracks, "connected_components", lambda e: (edges.append(e.count()), real(e))[1])
+    got = tracks.cross_tracks(df, "id", far, limit, step=step, quadratic=False).orderBy("id").toPandas()["track"].tolist()
+    m = tracks.fit_tracks(df, quadratic=False).orderBy("track").toPandas()
+    root = np.arange(n)
+    for b in range(int(t.min() // step), int(t.max() // step) + 1):
+        dt = (b + 0.5) * step - m.t_ref.to_numpy()
+        px, py = m.x0.to_numpy() + m.vx.to_numpy() * dt, m.y0.to_numpy() + m.vy.to_numpy() * dt
+        d = lambda v: v[:, None] - v[None]
+        rx, ry, sx, sy = d(px), d(py), d(m.vx.to_numpy()), d(m.vy.to_numpy())
+        tau = np.clip(-(rx * sx + ry * sy) / np.maximum(sx**2 + sy**2, 1e-300), -step / 2, step / 2)
+        ax, ay = px[:, None] + m.vx.to_numpy()[:, None] * tau, py[:, None] + m.vy.to_numpy()[:, None] * tau
+        near = (np.hypot(rx + sx * tau, ry + sy * tau) < far) & (ax >= 0) & (ax <= limit) & (ay >= 0) & (ay <= limit)
+        for i, j in zip(*np.nonzero(np.triu(near, 1))):
+            root[root == max(root[i], root[j])] = min(root[i], root[j])
+    assert got == root.tolist() * 2 and 20 < len(set(got)) < n
+    assert sum(edges) < 20 * n
