@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skyloom.operators.components import connected_components, density_groups, number_labels
-from skyloom.operators.skew import attach
+from skyloom.operators.skew import attach, spread
 from skyloom.session import cut_lineage
 
 
@@ -71,19 +71,20 @@ def _laid_out(tracks: DataFrame, radius: float, lo: Column, hi: Column, step: fl
     return bins.withColumns({"_ky": F.explode(F.sequence(F.floor((cy - reach_y) / size), F.floor((cy + reach_y) / size)))}).drop("_tc")
 
 
-def near_tracks(points: DataFrame, tracks: DataFrame, row: str, radius: float, lo: Column, hi: Column, keys: Sequence[str] = (), track: str = "track", step: float = 0.25) -> DataFrame:
-    """(row, track, distance) of points closer than ``radius`` to a track's prediction.
+def near_tracks(points: DataFrame, tracks: DataFrame, row: str, radius: float, lo: Column, hi: Column, keys: Sequence[str] = (), track: str = "track", step: float = 0.25, keep: Sequence[str] = ()) -> DataFrame:
+    """(row, track, distance) of points closer than ``radius`` to a track's prediction, with the points' columns ``keep``.
 
     Tracks are laid out over time steps between ``lo`` and ``hi`` and the cells they can reach in a
     step, so points meet tracks by equality on (step, cell) and never all tracks of a unit.
     """
     size = max(2.0 * radius, 1.0)
     bins = _laid_out(tracks, radius, lo, hi, step, size)
-    pts = points.select(*keys, row, "t", "x", "y", F.floor(F.col("t") / step).alias("_tb"), F.floor(F.col("x") / size).alias("_kx"), F.floor(F.col("y") / size).alias("_ky"))
-    j = pts.join(bins, [*keys, "_tb", "_kx", "_ky"])
+    pts = points.select(*keys, row, "t", "x", "y", *keep, F.floor(F.col("t") / step).alias("_tb"), F.floor(F.col("x") / size).alias("_kx"), F.floor(F.col("y") / size).alias("_ky"))
+    # Few points can meet many tracks, so they are dealt into as many tasks as there are.
+    j = spread(pts, *keys, "_tb", "_kx", "_ky").join(bins.hint("merge"), [*keys, "_tb", "_kx", "_ky"])
     px, py = predicted("t")
     j = j.withColumns({"dist": F.sqrt((F.col("x") - px) ** 2 + (F.col("y") - py) ** 2), "px": px, "py": py})
-    return j.filter(F.col("dist") < radius).select(*keys, row, "t", track, "dist", "px", "py", "t_min", "t_max")
+    return j.filter(F.col("dist") < radius).select(*keys, row, "t", *keep, track, "dist", "px", "py", "t_min", "t_max")
 
 
 def _time_range(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -228,11 +229,20 @@ def cross_tracks(points: DataFrame, row: str, max_dist: float = 2.0, limit: floa
 
 
 def link_detections(points: DataFrame, tracks: DataFrame, row: str, radius: float = 2.0, limit: float = 256.0, keys: Sequence[str] = (), track: str = "track") -> DataFrame:
-    """Nearest track within ``radius`` during its life and inside the field; NULL when none."""
-    hit = near_tracks(points, tracks, row, radius, F.col("t_min"), F.col("t_max"), keys, track)
-    hit = hit.filter(F.col("t").between(F.col("t_min"), F.col("t_max")) & F.col("px").between(0, limit) & F.col("py").between(0, limit))
-    best = hit.groupBy(row).agg(F.min(F.struct("dist", track)).alias("_b")).select(row, F.col(f"_b.{track}").alias(track), F.col("_b.dist").alias("link_dist"))
-    return points.drop(track).join(best, row, "left")
+    """Nearest track within ``radius`` during its life and inside the field; NULL when none.
+
+    The least distance is found first and its first track in a second pass: plain minima are kept in hash tables, while
+    a minimum of (distance, track) would sort and spill all pairs.
+    """
+    def hits(pts: DataFrame, *keep: str) -> DataFrame:
+        hit = near_tracks(pts, tracks, row, radius, F.col("t_min"), F.col("t_max"), keys, track, keep=keep)
+        return hit.filter(F.col("t").between(F.col("t_min"), F.col("t_max")) & F.col("px").between(0, limit) & F.col("py").between(0, limit))
+
+    points = points.drop(track)
+    least = cut_lineage(hits(points).groupBy(row).agg(F.min("dist").alias("link_dist")))
+    same = hits(points.join(least, row), "link_dist").filter(F.col("dist") == F.col("link_dist"))
+    best = same.groupBy(row).agg(F.min(track).alias(track), F.min("link_dist").alias("link_dist"))
+    return points.join(best, row, "left")
 
 
 def tag_moving(events: DataFrame, row: str, min_track_events: int = 10, keys: Sequence[str] = (), min_samples: int = 3, eps_space: float = 6.0, eps_time: float = 0.5,

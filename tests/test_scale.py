@@ -218,3 +218,24 @@ def test_g9_tracks_of_one_path_list_no_pairs(spark, monkeypatch):
             root[root == max(root[i], root[j])] = min(root[i], root[j])
     assert got == root.tolist() * 2 and 20 < len(set(got)) < n
     assert sum(edges) < 20 * n
+
+
+def test_g10_nearest_track_sorts_no_pairs(spark):
+    rng = np.random.default_rng(10)
+    n, m, radius = 60, 120, 0.4
+    model = pd.DataFrame({"track": np.arange(n), "t_ref": 2.0, "t_min": rng.uniform(0, 1, n), "t_max": rng.uniform(2, 4, n), "x0": rng.normal(5, 0.4, n), "vx": 0.5, "ax": 0.0, "y0": 3.0, "vy": 0.3, "ay": 0.0})
+    # Copies of a track tie; the first one counts.
+    model = pd.concat([model, model.assign(track=model.track + n)], ignore_index=True)
+    t = rng.uniform(0, 4, m)
+    p = pd.DataFrame({"id": np.arange(m), "t": t, "x": 5 + 0.5 * (t - 2) + rng.normal(0, 0.7, m), "y": 3 + 0.3 * (t - 2) + rng.normal(0, 0.2, m), "track": pd.Series([None] * m, dtype="float")})
+    out = tracks.link_detections(spark.createDataFrame(p), spark.createDataFrame(model), "id", radius)
+    assert "SortAggregate" not in plan(out)
+    got = out.orderBy("id").toPandas()
+    dt = p.t.to_numpy()[:, None] - 2.0
+    d = np.hypot(p.x.to_numpy()[:, None] - model.x0.to_numpy() - 0.5 * dt, p.y.to_numpy()[:, None] - 3.0 - 0.3 * dt)
+    alive = (p.t.to_numpy()[:, None] >= model.t_min.to_numpy()) & (p.t.to_numpy()[:, None] <= model.t_max.to_numpy())
+    d = np.where(alive & (d < radius), d, np.inf)
+    hit = np.isfinite(d.min(1))
+    assert (got["track"].notna().to_numpy() == hit).all() and 20 < hit.sum() < m
+    assert (got["track"][hit] == d.argmin(1)[hit]).all() and (got["track"][hit] < n).all()
+    assert np.allclose(got["link_dist"][hit], d.min(1)[hit])
