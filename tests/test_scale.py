@@ -239,3 +239,19 @@ def test_g10_nearest_track_sorts_no_pairs(spark):
     assert (got["track"].notna().to_numpy() == hit).all() and 20 < hit.sum() < m
     assert (got["track"][hit] == d.argmin(1)[hit]).all() and (got["track"][hit] < n).all()
     assert np.allclose(got["link_dist"][hit], d.min(1)[hit])
+
+
+def test_bracketed_percentiles_neither_deal_nor_broadcast_the_rows(spark):
+    rows = spark.range(2000).select((F.col("id") % 2).alias("k"), (F.col("id") * 7 % 1999).cast("double").alias("v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        long = rows.select("k", F.lit(0).alias("_i"), F.col("v").alias("_v"))
+        out, missed = skew._read_brackets(long, ["k"], ["m"], [0.5], 200, 0.02)
+        assert "BroadcastHashJoin" in plan(out) and not missed.count()
+        assert plan(out).count("SortMergeJoin") == 1  # that of the counts below, one row a key
+        got = {r.k: r.m for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = rows.toPandas().groupby("k")["v"].median().to_dict()
+    assert got == want
