@@ -23,11 +23,16 @@ FEATURE_NAMES = ["amplitude", "hl_amp_ratio", "kurtosis", "max_95_gap", "mean_va
 
 
 def scale_and_trim(df: DataFrame, key: str, flux: str = "flux", low: float = 2.5, high: float = 97.5) -> DataFrame:
-    """Z-score per series, then only values strictly inside the two percentiles."""
+    """Z-score per series, then only values strictly inside the two percentiles.
+
+    The percentiles are those of the values themselves, which the score keeps in order: sums added
+    up twice may differ in their last bits, and a limit that falls on a value must not depend on them.
+    """
     st = df.groupBy(key).agg(F.avg(flux).alias("_m"), F.stddev_pop(flux).alias("_s"))
-    z = attach(df, st, [key]).withColumn(flux, (F.col(flux) - F.col("_m")) / F.col("_s")).drop("_m", "_s")
-    q = exact_percentiles(z, [key], {"_lo": (flux, low / 100), "_hi": (flux, high / 100)})
-    return attach(z, q, [key]).filter((F.col(flux) > F.col("_lo")) & (F.col(flux) < F.col("_hi"))).drop("_lo", "_hi")
+    q = exact_percentiles(df, [key], {"_lo": (flux, low / 100), "_hi": (flux, high / 100)})
+    inside = attach(attach(df, q, [key]), st, [key]).filter((F.col(flux) > F.col("_lo")) & (F.col(flux) < F.col("_hi")))
+    z = inside.withColumn(flux, (F.col(flux) - F.col("_m")) / F.col("_s")).drop("_m", "_s", "_lo", "_hi")
+    return z.filter(~F.isnan(flux))
 
 
 def sequence_stats(df: DataFrame, key: str, order: Sequence[str], flux: str, centre: DataFrame, prefix: str = "") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from skyloom.functions import photometry
-from skyloom.operators import catalog, components, filters, skew, spatial, tracks
+from skyloom.operators import catalog, components, features, filters, skew, spatial, tracks
 from skyloom.plans import q_series
 from tests.oracle import compare, connect
 
@@ -255,3 +255,20 @@ def test_bracketed_percentiles_neither_deal_nor_broadcast_the_rows(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     want = rows.toPandas().groupby("k")["v"].median().to_dict()
     assert got == want
+
+
+def test_c1_limits_do_not_depend_on_the_order_of_sums(spark):
+    rng = np.random.default_rng(5)
+    base = frame(spark, series=np.repeat(np.arange(100), 41), pt=np.tile(np.arange(41), 100), flux=np.round(rng.uniform(1, 90, 4100), 5)).coalesce(1)
+
+    def mixed(batches):
+        for pdf in batches:
+            yield pdf.iloc[np.random.default_rng().permutation(len(pdf))]
+
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        out = features.scale_and_trim(base.mapInPandas(mixed, base.schema), "series").groupBy("series").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    # Of 41 values the limits are the second and the last but one.
+    assert {r["count"] for r in out} == {37} and len(out) == 100
