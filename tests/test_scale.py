@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from skyloom.functions import photometry
-from skyloom.operators import catalog, components, features, filters, skew, spatial, tracks
+from skyloom.operators import catalog, components, features, filters, series, skew, spatial, tracks
 from skyloom.plans import q_series
 from tests.oracle import compare, connect
 
@@ -272,3 +272,46 @@ def test_c1_limits_do_not_depend_on_the_order_of_sums(spark):
         spark.conf.unset("spark.sql.exchange.reuse")
     # Of 41 values the limits are the second and the last but one.
     assert {r["count"] for r in out} == {37} and len(out) == 100
+
+
+def _lc(spark, n=80):
+    rng = np.random.default_rng(2)
+    obj, fr = np.repeat([1, 2, 3], n), np.tile(np.arange(n), 3)
+    flux = rng.normal(0, 1, 3 * n)
+    flux[(fr >= 28) & (fr <= 34)] += 60
+    return frame(spark, objid=obj, frame=fr, mjd=60000 + fr / 12, flux=flux)
+
+
+def test_w12_finds_the_excess_once(spark):
+    rng = np.random.default_rng(3)
+    n = 600
+    s = frame(spark, series=np.arange(n) % 3, pt=np.arange(n), t=np.arange(n) / 2, flux=rng.normal(0, 1, n), near_star_proximity=rng.random(n) < 0.6, contaminating_star_idx=rng.integers(0, 2, n))
+    out = series.contamination_flags(s, ["series"], ["t", "pt"], "flux", min_run=3)
+    assert plan(out).count("FlatMapGroupsInPandas") == 1
+    split = skew.CHUNK_ROWS
+    try:
+        series.CHUNK_ROWS = 10  # by statistics that are joined to the rows
+        joined = series.contamination_flags(s, ["series"], ["t", "pt"], "flux", min_run=3).orderBy("pt").toPandas()
+    finally:
+        series.CHUNK_ROWS = split
+    assert joined.equals(out.orderBy("pt").toPandas()) and joined["near_bright_star"].nunique() == 2
+
+
+def test_w6_scales_only_the_frames_around_an_event(spark, monkeypatch):
+    lc = _lc(spark)
+    ev = frame(spark, objid=[1, 2, 3], eventid=[1, 1, 1], frame_start=[30, 30, 30], frame_end=[32, 32, 32], flux_sign=[1, 1, 1], n_detections=[3, 3, 3], frame_duration=[3, 3, 3],
+               classification=["Asteroid", "Asteroid", "-"], mjd_start=[60002.5] * 3, mjd_end=[60002.7] * 3)
+    seen, real = [], series.extend_events
+
+    def spied(events, rows, *a, **k):
+        seen.append(rows.count())
+        return real(events, rows, *a, **k)
+
+    monkeypatch.setattr(series, "extend_events", spied)
+    found = {}
+    for reach in (3, 500):
+        monkeypatch.setattr(series, "REACH", reach)
+        found[reach] = series.recheck_moving(ev, lc, ["objid"]).orderBy("objid").toPandas()
+    assert found[3].equals(found[500])
+    assert seen[0] <= 2 * 9 and len(seen) >= 3  # later rounds take only the events whose frames run out
+    assert found[3]["frame_start"].tolist() == [28, 28, 30] and found[3]["frame_end"].tolist() == [34, 34, 32]
