@@ -7,8 +7,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from skyloom.operators.components import connected_components, density_groups, number_labels
@@ -279,36 +281,73 @@ def com_motion(stamps: DataFrame, event: str, frame: str = "frame", value: str =
     return ends.select(event, F.sqrt((F.col("a.cx") - F.col("b.cx")) ** 2 + (F.col("a.cy") - F.col("b.cy")) ** 2).alias("com_motion"))
 
 
-def gaussian_score(lc: DataFrame, event: str, time: str = "frame", flux: str = "flux", iterations: int = 30) -> DataFrame:
-    """R^2 of a Gaussian plus constant fitted to each event's window of a few dozen points, at least 0."""
-    etype = dict(lc.dtypes)[event]
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t, f = pdf[time].to_numpy(float), pdf[flux].to_numpy(float)
-        ok = np.isfinite(t) & np.isfinite(f)
-        t, f = t[ok], f[ok]
-        score = 0.0
-        ss = ((f - f.mean()) ** 2).sum() if len(f) else 0.0
-        if len(f) >= 4 and ss > 0:
-            p = np.array([f.max() - np.median(f), t[f.argmax()], max(1.0, (t.max() - t.min()) / 6), np.median(f)])
-            lam, cost = 1e-3, np.inf
-            for _ in range(iterations):
-                z = (t - p[1]) / p[2]
-                g = np.exp(-0.5 * z * z)
-                r = f - p[0] * g - p[3]
-                cost = (r * r).sum()
-                jac = np.column_stack([g, p[0] * g * z / p[2], p[0] * g * z * z / p[2], np.ones_like(t)])
-                a = jac.T @ jac
-                step = np.linalg.lstsq(a + lam * np.diag(np.diag(a) + 1e-12), jac.T @ r, rcond=None)[0]
-                q = p + step
-                q[2] = max(abs(q[2]), 1e-3)
-                new = ((f - q[0] * np.exp(-0.5 * ((t - q[1]) / q[2]) ** 2) - q[3]) ** 2).sum()
-                lam, p = (lam / 3, q) if new < cost else (lam * 5, p)
-                cost = min(cost, new)
-            score = max(0.0, 1 - cost / ss)
-        return pd.DataFrame([[key[0], float(score)]])
-
-    return lc.select(event, time, flux).groupBy(event).applyInPandas(fit, f"{event} {etype}, gaussian_score double")
+def _gaussian_scores(t: np.ndarray, f: np.ndarray, ok: np.ndarray, iterations: int) -> np.ndarray:
+    """Scores of many windows at once, a row each; ``ok`` marks the points in use, which are the first of a row."""
+    n = ok.sum(axis=1)
+    t, f = np.where(ok, t, 0.0), np.where(ok, f, 0.0)
+    mean = f.sum(axis=1) / np.maximum(n, 1)
+    ss = (np.where(ok, f - mean[:, None], 0.0) ** 2).sum(axis=1)
+    score, use = np.zeros(len(t)), (n >= 4) & (ss > 0)
+    if not use.any():
+        return score
+    t, f, ok, n, ss = t[use], f[use], ok[use], n[use], ss[use]
+    rows, ordered = np.arange(len(t)), np.sort(np.where(ok, f, np.inf), axis=1)
+    middle = (ordered[rows, (n - 1) // 2] + ordered[rows, n // 2]) / 2
+    top = np.where(ok, f, -np.inf).argmax(axis=1)
+    span = np.where(ok, t, -np.inf).max(axis=1) - np.where(ok, t, np.inf).min(axis=1)
+    p = np.stack([f[rows, top] - middle, t[rows, top], np.maximum(1.0, span / 6), middle], axis=1)
+    lam, cost, diag = np.full(len(t), 1e-3), np.full(len(t), np.inf), np.arange(4)
+    for _ in range(iterations):
+        z = (t - p[:, 1:2]) / p[:, 2:3]
+        g = np.exp(-0.5 * z * z)
+        r = np.where(ok, f - p[:, :1] * g - p[:, 3:], 0.0)
+        cost = (r * r).sum(axis=1)
+        jac = np.where(ok[:, :, None], np.stack([g, p[:, :1] * g * z / p[:, 2:3], p[:, :1] * g * z * z / p[:, 2:3], np.ones_like(t)], axis=2), 0.0)
+        a = jac.transpose(0, 2, 1) @ jac
+        b = (jac.transpose(0, 2, 1) @ r[:, :, None])
+        damped = a.copy()
+        damped[:, diag, diag] += lam[:, None] * (a[:, diag, diag] + 1e-12)
+        q = p + (np.linalg.pinv(damped, rcond=4 * np.finfo(float).eps, hermitian=True) @ b)[:, :, 0]
+        q[:, 2] = np.maximum(np.abs(q[:, 2]), 1e-3)
+        new = (np.where(ok, f - q[:, :1] * np.exp(-0.5 * ((t - q[:, 1:2]) / q[:, 2:3]) ** 2) - q[:, 3:], 0.0) ** 2).sum(axis=1)
+        better = new < cost
+        lam, p = np.where(better, lam / 3, lam * 5), np.where(better[:, None], q, p)
+        cost = np.minimum(cost, new)
+    score[use] = np.maximum(0.0, 1 - cost / ss)
+    return score
+
+
+def gaussian_score(lc: DataFrame, event: str, time: str = "frame", flux: str = "flux", iterations: int = 30, points: int = 100_000) -> DataFrame:
+    """R^2 of a Gaussian plus constant fitted to each event's window of a few dozen points, at least 0.
+
+    Windows travel as arrays in order of time and are fitted together, at most ``points`` padded points at once.
+    """
+    known = F.col(time).isNotNull() & F.col(flux).isNotNull() & ~F.isnan(F.col(flux).cast("double"))
+    point = F.when(known, F.struct(F.col(time).cast("double").alias("t"), F.col(flux).cast("double").alias("f")))
+    windows = lc.groupBy(event).agg(F.array_sort(F.collect_list(point)).alias("_p")).select(event, F.col("_p.t").alias("t"), F.col("_p.f").alias("f"))
+    etype = windows.schema[event].dataType
+
+    def fit(batches):
+        for batch in batches:
+            ts, fs = ([np.asarray(v, dtype=float) for v in batch.column(c).to_pylist()] for c in (1, 2))
+            sizes, scores = np.array([len(v) for v in ts], dtype=int), np.zeros(batch.num_rows)
+            by_size, lo = np.argsort(sizes, kind="stable"), 0
+            while lo < len(by_size):
+                hi = lo + 1
+                while hi < len(by_size) and (hi + 1 - lo) * sizes[by_size[hi]] <= points:
+                    hi += 1
+                at = by_size[lo:hi]
+                wide = max(1, sizes[at].max())
+                t, f, ok = np.zeros((len(at), wide)), np.zeros((len(at), wide)), np.zeros((len(at), wide), dtype=bool)
+                for k, i in enumerate(at):
+                    good = np.isfinite(ts[i]) & np.isfinite(fs[i])
+                    m = int(good.sum())
+                    t[k, :m], f[k, :m], ok[k, :m] = ts[i][good], fs[i][good], True
+                scores[at] = _gaussian_scores(t, f, ok, iterations)
+                lo = hi
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], [batch.schema.names[0], "gaussian_score"])
+
+    return windows.mapInArrow(fit, StructType([StructField(event, etype), StructField("gaussian_score", DoubleType())]))
 
 
 # Pairs (least centroid motion, least Gaussian score) of a moving object.

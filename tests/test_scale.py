@@ -315,3 +315,18 @@ def test_w6_scales_only_the_frames_around_an_event(spark, monkeypatch):
     assert found[3].equals(found[500])
     assert seen[0] <= 2 * 9 and len(seen) >= 3  # later rounds take only the events whose frames run out
     assert found[3]["frame_start"].tolist() == [28, 28, 30] and found[3]["frame_end"].tolist() == [34, 34, 32]
+
+
+def test_p14_fits_windows_together(spark):
+    n, w = 30, 25
+    t = np.arange(w, dtype=float)
+    clean = [np.exp(-0.5 * ((t - 12) / (2 + k % 4)) ** 2) * (3 + k) + 1 for k in range(n)]
+    rows = pd.DataFrame({"event": np.repeat([f"e{k}" for k in range(n)], w), "frame": np.tile(t, n), "flux": np.concatenate(clean)})
+    rows = pd.concat([rows, pd.DataFrame({"event": ["few"] * 3 + ["flat"] * 9, "frame": np.arange(12.0), "flux": [1.0, 5.0, 1.0] + [2.0] * 9})])
+    rows.loc[rows["frame"] == 3, "flux"] = np.nan
+    df = spark.createDataFrame(rows.sample(frac=1, random_state=1))
+    out = tracks.gaussian_score(df, "event", points=200)
+    got = {r.event: r.gaussian_score for r in out.collect()}
+    assert got.pop("few") == 0 and got.pop("flat") == 0
+    assert len(got) == n and min(got.values()) > 0.999
+    assert "FlatMapGroupsInPandas" not in plan(out)
