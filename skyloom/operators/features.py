@@ -133,20 +133,11 @@ def periodogram(df: DataFrame, key: str, time: str, flux: str, grid: DataFrame |
     products.  NULL times and fluxes are left out.
     """
     df = df.select(key, time, flux).filter(F.col(time).isNotNull() & F.col(flux).isNotNull())
-    grid = frequency_grid(df, key, time) if grid is None else grid
-    mean = df.groupBy(key).agg(F.avg(flux).alias("_m"), F.min(time).alias("_t0"), F.count(F.lit(1)).alias("_n")).join(grid.filter("n_freq > 0"), key)
-    points = df.groupBy(key, time).agg(F.sum(flux).alias("_f"), F.count(F.lit(1)).cast("double").alias("_w"))
-    points = attach(points, mean, [key]).filter("n_freq > 0")
-    point = F.struct((F.col(time) - F.col("_t0")).cast("double").alias("t"), (F.col("_f") - F.col("_w") * F.col("_m")).cast("double").alias("f"), F.col("_w").alias("w"))
-    pack = F.pmod(F.xxhash64(time), F.ceil(F.col("_n") / POINTS)).alias("_pack")
-    packs = points.select(key, "df", "n_freq", pack, point.alias("_p")).groupBy(key, "_pack").agg(
-        F.first("df").alias("df"), F.first("n_freq").alias("n_freq"), F.collect_list("_p").alias("_p"))
-    work = packs.select(key, "_pack", "df", "n_freq", *[F.col(f"_p.{c}").alias(c) for c in ("t", "f", "w")],
-                        F.explode(F.sequence(F.lit(0), F.floor((F.col("n_freq") - 1) / FREQUENCIES).cast("int"))).alias("_block"))
+    work = _work(df, key, time, flux, frequency_grid(df, key, time) if grid is None else grid)
     names = ["cc", "ss", "cs", "fc", "fs"]
     ktype = next(f.dataType for f in df.schema.fields if f.name == key)
     schema = StructType([StructField(key, ktype), StructField("j", LongType()), *[StructField(c, DoubleType()) for c in ("frequency", *names)]])
-    part = spread(work, key, "_pack", "_block").select(key, "df", "n_freq", "_block", "t", "f", "w").mapInArrow(_block_sums, schema)
+    part = work.mapInArrow(_block_sums, schema)
     s = part.groupBy(key, "j").agg(F.max("frequency").alias("frequency"), *[F.sum(n).alias(n) for n in names])
     # Where sine and cosine are not independent on the sampling there is no amplitude.
     det = F.col("cc") * F.col("ss") - F.col("cs") ** 2
@@ -156,6 +147,20 @@ def periodogram(df: DataFrame, key: str, time: str, flux: str, grid: DataFrame |
     return s.select(key, "j", "frequency", F.sqrt(a * a + b * b).alias("power"))
 
 
+def _work(df: DataFrame, key: str, time: str, flux: str, grid: DataFrame) -> DataFrame:
+    """(key, df, n_freq, _block, t, f, w): packs of points, one row for each block of their grid."""
+    mean = df.groupBy(key).agg(F.avg(flux).alias("_m"), F.min(time).alias("_t0"), F.count(F.lit(1)).alias("_n")).join(grid.filter("n_freq > 0"), key)
+    points = df.groupBy(key, time).agg(F.sum(flux).alias("_f"), F.count(F.lit(1)).cast("double").alias("_w"))
+    points = attach(points, mean, [key]).filter("n_freq > 0")
+    point = F.struct((F.col(time) - F.col("_t0")).cast("double").alias("t"), (F.col("_f") - F.col("_w") * F.col("_m")).cast("double").alias("f"), F.col("_w").alias("w"))
+    pack = F.pmod(F.xxhash64(time), F.ceil(F.col("_n") / POINTS)).alias("_pack")
+    packs = points.select(key, "df", "n_freq", pack, point.alias("_p")).groupBy(key, "_pack").agg(
+        F.first("df").alias("df"), F.first("n_freq").alias("n_freq"), F.collect_list("_p").alias("_p"))
+    work = packs.select(key, "_pack", "df", "n_freq", *[F.col(f"_p.{c}").alias(c) for c in ("t", "f", "w")],
+                        F.explode(F.sequence(F.lit(0), F.floor((F.col("n_freq") - 1) / FREQUENCIES).cast("int"))).alias("_block"))
+    return spread(work, key, "_pack", "_block").select(key, "df", "n_freq", "_block", "t", "f", "w")
+
+
 def _block_sums(batches):
     """Trigonometric sums of each pack of points at each frequency of its block."""
     m = 64
@@ -283,7 +288,12 @@ def periodogram_peaks(power: DataFrame, key: str, prominence: float = 3.0, dista
     three grid steps; a peak that is of none leads a new signal.  A round finds the signals that the next
     ``heads`` peaks of every series lead and gives them all their harmonics.
     """
-    ready = cut_lineage(prominent_peaks(power, key, prominence, distance, wlen).withColumn("_base", F.lit(0).cast("long")))
+    return signals(prominent_peaks(power, key, prominence, distance, wlen), key, heads)
+
+
+def signals(peaks: DataFrame, key: str, heads: int = HEADS) -> DataFrame:
+    """C4: ``peaks`` with their signals and harmonics, as in ``periodogram_peaks``."""
+    ready = cut_lineage(peaks.withColumn("_base", F.lit(0).cast("long")))
     ratio = lambda freq, lead: freq / lead
     fits = lambda freq, lead, step: F.bround(ratio(freq, lead), 1) - F.floor(ratio(freq, lead)) <= 3 * step
     done = None
@@ -307,9 +317,76 @@ def periodogram_peaks(power: DataFrame, key: str, prominence: float = 3.0, dista
             return done.select(key, "peak", "peak_freq", "peak_power", "prominence", "signal_num", "harmonic")
 
 
+def _thinned(j: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
+    """Whether each peak (ascending ``j``) of a whole grid stays: ``_thin`` in rounds over all peaks at once."""
+    state, n = np.full(len(j), OPEN), len(j)
+    steps = [k for k in range(1, distance) if k < n and (j[k:] - j[:-k] < distance).any()]
+    pairs = [(k, j[k:] - j[:-k] < distance, height[:-k] >= height[k:]) for k in steps]
+    while (state == OPEN).any():
+        beaten, still = np.zeros(n, dtype=bool), state == OPEN
+        for k, near, left in pairs:
+            both = near & still[:-k] & still[k:]
+            beaten[k:] |= both & left
+            beaten[:-k] |= both & ~left
+        won = still & ~beaten
+        state[won] = KEPT
+        for k, near, _ in pairs:
+            state[k:][near & won[:-k] & still[k:]] = DROPPED
+            state[:-k][near & won[k:] & still[:-k]] = DROPPED
+    return state == KEPT
+
+
+def _series_peaks(prominence: float, distance: int, wlen: int):
+    def run(batches):
+        for batch in _block_sums(batches):
+            frequency, cc, ss, cs, fc, fs = (batch.column(c).to_numpy() for c in range(2, 8))
+            with np.errstate(all="ignore"):
+                det = cc * ss - cs ** 2
+                det = np.where(det > 1e-9 * cc * ss, det, np.nan)
+                power = np.sqrt(((fc * ss - fs * cs) / det) ** 2 + ((fs * cc - fc * cs) / det) ** 2)
+                known = ~np.isnan(power)
+                mean = power[known].mean() if known.any() else 0.0
+                p = np.where(known, power, 0.0) / mean if mean else np.zeros(len(power))
+            idx = np.flatnonzero((p[1:-1] > p[:-2]) & (p[1:-1] > p[2:])) + 1
+            idx = idx[_thinned(idx, p[idx], distance)]
+            height = _prominences(p, idx, wlen)
+            idx, height = idx[height >= prominence], height[height >= prominence]
+            order = np.lexsort((idx, -height))
+            idx, height, n = idx[order], height[order], len(idx)
+            if n:
+                step = (frequency[-1] - frequency[0]) / (len(p) - 1)
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[0], n), pa.array(np.arange(1, n + 1)), *[pa.array(c) for c in (frequency[idx], power[idx], height, np.full(n, step))]],
+                                                 [batch.schema.names[0], "peak", "peak_freq", "peak_power", "prominence", "step"])
+
+    return run
+
+
+def series_peaks(df: DataFrame, key: str, time: str, flux: str, prominence: float = 3.0, distance: int = 20, wlen: int = 300) -> DataFrame:
+    """C4: ``prominent_peaks`` of the series' own periodograms, whose powers are written nowhere for series of one pack and one block.
+
+    Longer series or grids take the general way by ``periodogram``.
+    """
+    df = df.select(key, time, flux).filter(F.col(time).isNotNull() & F.col(flux).isNotNull())
+    grid = cut_lineage(frequency_grid(df, key, time).join(df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")), key))
+    fits = (F.col("_rows") <= POINTS) & (F.col("n_freq") <= FREQUENCIES)
+    ktype = next(f.dataType for f in df.schema.fields if f.name == key)
+    schema = StructType([StructField(key, ktype), StructField("peak", LongType()), *[StructField(c, DoubleType()) for c in ("peak_freq", "peak_power", "prominence", "step")]])
+    found = _work(df, key, time, flux, grid.filter(fits).drop("_rows")).mapInArrow(_series_peaks(prominence, distance, wlen), schema)
+    large = grid.filter(~fits).drop("_rows")
+    if large.isEmpty():
+        return found
+    rest = prominent_peaks(periodogram(df.join(large.select(key), key, "left_semi"), key, time, flux, large), key, prominence, distance, wlen)
+    return found.unionByName(rest.withColumn("peak", F.col("peak").cast("long")))
+
+
 def best_period(power: DataFrame, key: str, prominence: float = 3.0, distance: int = 20, wlen: int = 300) -> DataFrame:
     """C4: period of the most prominent peak of each series; series without a peak have none and are left out."""
-    return prominent_peaks(power, key, prominence, distance, wlen).filter("peak = 1").select(key, (1 / F.col("peak_freq")).alias("period"))
+    return best_peak(prominent_peaks(power, key, prominence, distance, wlen), key)
+
+
+def best_peak(peaks: DataFrame, key: str) -> DataFrame:
+    """C4: (key, period) of each series' first peak."""
+    return peaks.filter("peak = 1").select(key, (1 / F.col("peak_freq")).alias("period"))
 
 
 def fourier_features(df: DataFrame, key: str, periods: DataFrame, time: str = "t", flux: str = "flux", order: int = 3) -> DataFrame:
@@ -361,7 +438,7 @@ def feature_table(df: DataFrame, key: str, tie: str, periods: DataFrame | None =
     """The 21 features of every series; series with an undefined feature, as one
     without a prominent period, are dropped."""
     if periods is None:
-        periods = best_period(periodogram(df, key, time, flux), key, prominence)
+        periods = cut_lineage(best_peak(series_peaks(df, key, time, flux, prominence), key))
     out = non_periodic_features(df, key, [time, tie], flux).join(shapiro_w(df, key, flux, tie), key).join(periods, key)
     out = out.join(fourier_features(df, key, periods, time, flux), key).join(folded_features(df, key, periods, tie, time, flux), key)
     return out.select(key, *FEATURE_NAMES).dropna()

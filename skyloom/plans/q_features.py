@@ -97,7 +97,7 @@ def c4(spark, sf):
 
 @query("C4_best_period", f"{PEAK_SQL} SELECT series, {R('1 / peak_freq')} AS period FROM pk WHERE peak = 1")
 def c4b(spark, sf):
-    return rounded(C.best_period(C.periodogram(_lc(spark, sf), "series", "t", "flux"), "series", **PEAKS), "period")
+    return rounded(C.best_peak(C.series_peaks(_lc(spark, sf), "series", "t", "flux", **PEAKS), "series"), "period")
 
 
 @query("C4_periodogram_peaks", f"""{PEAK_SQL},
@@ -106,8 +106,8 @@ fz AS (SELECT series, list_reduce(list([peak_freq] ORDER BY peak), lambda a, x:
 nm AS (SELECT pk.*, leads, list_position(list_transform(leads, lambda y: round_even(peak_freq / y, 1) - floor(peak_freq / y) <= 3 * step), true) AS signal FROM pk JOIN fz USING (series))
 SELECT series, peak, {R('peak_freq')} AS peak_freq, {R('peak_power')} AS peak_power, {R('prominence')} AS prominence, CAST(signal AS BIGINT) AS signal_num, CAST(floor(peak_freq / leads[signal]) AS BIGINT) AS harmonic FROM nm""")
 def c4p(spark, sf):
-    p = C.periodogram(_lc(spark, sf), "series", "t", "flux")
-    return rounded(C.periodogram_peaks(p, "series", **PEAKS), "peak_freq", "peak_power", "prominence")
+    p = C.series_peaks(_lc(spark, sf), "series", "t", "flux", **PEAKS)
+    return rounded(C.signals(p, "series"), "peak_freq", "peak_power", "prominence")
 
 
 @query("C5_fourier_features")

@@ -330,3 +330,27 @@ def test_p14_fits_windows_together(spark):
     assert got.pop("few") == 0 and got.pop("flat") == 0
     assert len(got) == n and min(got.values()) > 0.999
     assert "FlatMapGroupsInPandas" not in plan(out)
+
+
+def test_c4_peaks_of_bounded_series_write_no_powers(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    n = 150
+    t = np.concatenate([np.sort(rng.choice(np.arange(2 * n, dtype=float), n, replace=False)) for _ in range(4)])
+    s = np.repeat(np.arange(4), n)
+    lc = frame(spark, s=s, t=t, flux=np.sin(2 * np.pi * t / (5.0 + s)) + rng.normal(0, 0.5, 4 * n))
+    want = features.prominent_peaks(features.periodogram(lc, "s", "t", "flux"), "s", 0.3, 5, 60).orderBy("s", "peak").toPandas()
+
+    def unused(*a, **k):
+        raise AssertionError("no powers are written")
+
+    for points in (features.POINTS, 100):  # the shorter packs take the general way
+        with monkeypatch.context() as m:
+            m.setattr(features, "POINTS", points)
+            if points > 100:
+                m.setattr(features, "prominent_peaks", unused)
+            got = features.series_peaks(lc, "s", "t", "flux", 0.3, 5, 60).orderBy("s", "peak").toPandas()
+        pd.testing.assert_frame_equal(got, want[list(got.columns)], check_dtype=False, rtol=1e-7)
+    heights = rng.integers(0, 9, 400).astype(float)
+    j = np.cumsum(rng.integers(2, 6, 400))
+    slow = features._thin(j, heights, np.full(400, features.OPEN), 12, (-np.inf, np.inf)) == features.KEPT
+    assert (features._thinned(j, heights, 12) == slow).all()
