@@ -151,6 +151,9 @@ def segments(pixels: DataFrame, keys: Sequence[str], widths: Sequence[float] = W
     run, reach = _parts(keys, widths, threshold, tile)
     tiles = lambda c: F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile))
     spread = pixels.select(*keys, "y", "x", "s", "noise", F.explode(tiles("y")).alias("_ty")).withColumn("_tx", F.explode(tiles("x")))
+    # Tiles that hold a halo only find nothing.
+    own = pixels.select(*keys, F.floor(F.col("y") / tile).alias("_ty"), F.floor(F.col("x") / tile).alias("_tx")).distinct()
+    spread = spread.join(own, [*keys, "_ty", "_tx"], "left_semi")
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "kind int, scale int, flux_sign long, part_y long, part_x long, y long, x long, n_pixels long", *[f"{s} double" for s in SUMS[1:]]])
     found = cut_lineage(spread_rows(spread, *keys, "_ty", "_tx").groupBy(*keys, "_ty", "_tx").applyInPandas(run, schema))
     layer = [*keys, "scale", "flux_sign"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from skyloom.functions import photometry
-from skyloom.operators import catalog, components, features, filters, series, skew, spatial, tracks
+from skyloom.operators import catalog, components, detection, features, filters, series, skew, spatial, tracks
 from skyloom.plans import q_series
 from tests.oracle import compare, connect
 
@@ -354,3 +354,17 @@ def test_c4_peaks_of_bounded_series_write_no_powers(spark, monkeypatch):
     j = np.cumsum(rng.integers(2, 6, 400))
     slow = features._thin(j, heights, np.full(400, features.OPEN), 12, (-np.inf, np.inf)) == features.KEPT
     assert (features._thinned(j, heights, 12) == slow).all()
+
+
+def test_p1_tiles_beside_the_image_are_not_dealt(spark, monkeypatch):
+    y, x = (a.ravel() for a in np.mgrid[0:8, 0:8])
+    px = frame(spark, vec_id=np.zeros(64, dtype=int), y=y, x=x, s=np.where((y == 3) & (x == 4), 9.0, 0.0), noise=np.ones(64))
+    seen, real = [], detection.spread_rows
+
+    def spied(df, *cols):
+        seen.append(df.select("_ty", "_tx").distinct().count())
+        return real(df, *cols)
+
+    monkeypatch.setattr(detection, "spread_rows", spied)
+    assert detection.segments(px, ["vec_id"], widths=(1.0,), tile=8).count() >= 1
+    assert seen[0] == 1
