@@ -5,97 +5,165 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from skyloom.operators.components import density_groups
-from skyloom.operators.skew import attach
+from skyloom.operators.skew import attach, spread
 
 FIT_COLUMNS = ["A", "A_err", "t0", "tau_rise", "tau_rise_err", "tau_fall", "tau_fall_err", "offset", "A_snr", "redchi2_region", "delta_bic", "delta_chi2"]
 
 
-def _profile(t, p, exposure, supersample):
+def _profiles(t, p, exposure, supersample):
+    """(shapes of unit height, models) at times ``t``, a window in each row; exposures are averages over shifts.
+
+    The exponentials of a time and of a shift are multiplied, and the product is held between exp(-50) and exp(50).
+    """
     shift = (np.arange(supersample) / (supersample - 1) - 0.5) * exposure if exposure > 0 else np.zeros(1)
-    dt = t[None, :] + shift[:, None] - p[1]
-    rise = np.exp(np.clip(-dt / p[2], -50, 50))
-    return (p[0] * np.exp(np.clip(-dt / p[3], -50, 50)) / (1 + rise)).mean(0) + p[4]
-
-
-def _bounded_fit(t, f, e, exposure, supersample, iterations=60):
-    """Damped least squares with parameters projected into their bounds; (parameters, errors)."""
-    span = (t.max() - t.min()) or 1.0
-    base, top = np.median(f), f.argmax()
-    low = np.array([0.0, t.min() - span, 1e-3, 1e-3, -np.inf])
-    high = np.array([np.inf, t.max() + span, 5 * span, 10 * span, np.inf])
-    p = np.clip(np.array([max(f[top] - base, 0.0) or 1.0, t[top], 0.05 * span, 0.2 * span, base]), low + 1e-6, high - 1e-6)
-    cost, lam, jac = np.inf, 1e-2, None
+    dt = t - p[:, 1:2]
+    low, high = np.exp(-50.0), np.exp(50.0)
+    ahead = [np.exp(-dt / p[:, i : i + 1]) for i in (2, 3)]
+    steps = [np.exp(-shift[None, :] / p[:, i : i + 1]) for i in (2, 3)]
+    shape = np.zeros_like(t)
+    for k in range(len(shift)):
+        rise, fall = (np.clip(x * s[:, k : k + 1], low, high) for x, s in zip(ahead, steps))
+        shape += fall / (1 + rise)
+    shape /= len(shift)
+    return shape, p[:, :1] * shape + p[:, 4:]
+
+
+def _edges(t, ok):
+    return np.where(ok, t, np.inf).min(axis=1), np.where(ok, t, -np.inf).max(axis=1)
+
+
+def _bounded_fits(t, f, e, ok, exposure, supersample, iterations=60):
+    """Damped least squares with parameters projected into their bounds, a window in each row; (parameters, errors).
+
+    ``ok`` marks the points in use.  Windows that have settled leave the loop.
+    """
+    n, rows = ok.sum(axis=1), np.arange(len(t))
+    first, last = _edges(t, ok)
+    span = np.where(last > first, last - first, 1.0)
+    ordered = np.sort(np.where(ok, f, np.inf), axis=1)
+    base = (ordered[rows, (n - 1) // 2] + ordered[rows, n // 2]) / 2
+    top = np.where(ok, f, -np.inf).argmax(axis=1)
+    zero, inf = np.zeros(len(t)), np.full(len(t), np.inf)
+    low = np.stack([zero, first - span, zero + 1e-3, zero + 1e-3, -inf], axis=1)
+    high = np.stack([inf, last + span, 5 * span, 10 * span, inf], axis=1)
+    jump = f[rows, top] - base
+    p = np.clip(np.stack([np.where(jump > 0, jump, 1.0), t[rows, top], 0.05 * span, 0.2 * span, base], axis=1), low + 1e-6, high - 1e-6)
+    lam, jac, out, err, diag = np.full(len(t), 1e-2), np.zeros((*t.shape, 5)), p.copy(), np.zeros_like(p), np.arange(5)
+    w = np.where(ok, 1 / np.where(ok, e, 1.0), 0.0)
+    at = rows  # the windows still in the loop
+    shape, m = _profiles(t, p, exposure, supersample)
     for _ in range(iterations):
-        m = _profile(t, p, exposure, supersample)
-        r = (f - m) / e
-        cost = r @ r
-        jac = np.empty((len(t), 5))
-        for i in range(5):
-            h = 1e-6 * max(abs(p[i]), 1e-3)
+        r = (f - m) * w
+        cost = (r * r).sum(axis=1)
+        jac = np.empty((*t.shape, 5))
+        jac[:, :, 0], jac[:, :, 4] = shape * w, w
+        for i in (1, 2, 3):
+            h = 1e-6 * np.maximum(np.abs(p[:, i]), 1e-3)
             q = p.copy()
-            q[i] = q[i] + h if q[i] + h <= high[i] else q[i] - h
-            jac[:, i] = (_profile(t, q, exposure, supersample) - m) / (q[i] - p[i]) / e
-        a, g = jac.T @ jac, jac.T @ r
-        improved = False
+            q[:, i] = np.where(q[:, i] + h <= high[:, i], q[:, i] + h, q[:, i] - h)
+            jac[:, :, i] = (_profiles(t, q, exposure, supersample)[1] - m) / (q[:, i] - p[:, i])[:, None] * w
+        a, g = jac.transpose(0, 2, 1) @ jac, jac.transpose(0, 2, 1) @ r[:, :, None]
+        improved, new, nshape, nm, least = np.zeros(len(t), bool), p.copy(), shape.copy(), m.copy(), cost.copy()
+        ask = np.arange(len(t))
         for _ in range(8):
-            step = np.linalg.lstsq(a + lam * np.diag(np.diag(a) + 1e-12), g, rcond=None)[0]
-            q = np.clip(p + step, low, high)
-            rn = (f - _profile(t, q, exposure, supersample)) / e
-            if rn @ rn < cost:
-                improved, lam = True, max(lam / 4, 1e-9)
+            damped = a[ask]
+            damped[:, diag, diag] += lam[ask, None] * (damped[:, diag, diag] + 1e-12)
+            step = np.linalg.pinv(damped, rcond=5 * np.finfo(float).eps, hermitian=True) @ g[ask]
+            q = np.clip(p[ask] + step[:, :, 0], low[ask], high[ask])
+            qs, qm = _profiles(t[ask], q, exposure, supersample)
+            cn = (((f[ask] - qm) * w[ask]) ** 2).sum(axis=1)
+            better = cn < cost[ask]
+            won = ask[better]
+            improved[won], new[won], nshape[won], nm[won], least[won] = True, q[better], qs[better], qm[better], cn[better]
+            lam[won] = np.maximum(lam[won] / 4, 1e-9)
+            ask = ask[~better]
+            lam[ask] *= 4
+            if not len(ask):
                 break
-            lam *= 4
-        if not improved:
-            break
-        done = cost - rn @ rn < 1e-10 * max(cost, 1e-12)
-        p = q
-        if done:
+        settled = ~improved | (cost - least < 1e-10 * np.maximum(cost, 1e-12))
+        out[at] = new
+        err[at[settled]] = np.sqrt(np.clip(np.linalg.pinv(a[settled])[:, diag, diag], 0, np.inf))
+        go = ~settled
+        last_a, p, shape, m = a[go], new[go], nshape[go], nm[go]
+        t, f, w, low, high, lam, at = t[go], f[go], w[go], low[go], high[go], lam[go], at[go]
+        if not len(at):
             break
-    return p, np.sqrt(np.clip(np.diag(np.linalg.pinv(jac.T @ jac)), 0, np.inf))
-
-
-def fit_events(windows: DataFrame, keys: Sequence[str], exposure: float = 0.0, supersample: int = 7, above: float = 0.05) -> DataFrame:
+    else:
+        err[at] = np.sqrt(np.clip(np.linalg.pinv(last_a)[:, diag, diag], 0, np.inf))
+    return out, err
+
+
+def _fit_statistics(t, f, e, ok, start, end, exposure, supersample, above):
+    """``FIT_COLUMNS`` and the points of the region, a window in each row."""
+    p, err = _bounded_fits(t, f, e, ok, exposure, supersample)
+    m = _profiles(t, p, exposure, supersample)[1]
+    bump = np.where(ok, m - p[:, 4:], 0.0)
+    peak = bump[np.arange(len(t)), np.abs(bump).argmax(axis=1)][:, None]
+    region = (peak != 0) & (bump / np.where(peak != 0, peak, 1.0) > above)
+    region = ok & (region | ((t >= start[:, None]) & (t <= end[:, None])))
+    region = np.where((region.sum(axis=1) < 3)[:, None], ok, region)
+    n, w = region.sum(axis=1), np.where(region, 1 / np.where(ok, e, 1.0) ** 2, 0.0)
+    chi_fit, chi_flat = (w * (f - m) ** 2).sum(axis=1), (w * (f - p[:, 4:]) ** 2).sum(axis=1)
+    snr = np.where(err[:, 0] > 0, p[:, 0] / np.where(err[:, 0] > 0, err[:, 0], 1.0), np.nan)
+    red = np.where(n > 5, chi_fit / np.where(n > 5, n - 5, 1), np.nan)
+    return np.stack([p[:, 0], err[:, 0], p[:, 1], p[:, 2], err[:, 2], p[:, 3], err[:, 3], p[:, 4], snr, red, chi_fit - chi_flat + 4 * np.log(n), chi_flat - chi_fit], axis=1), n
+
+
+def fit_events(windows: DataFrame, keys: Sequence[str], exposure: float = 0.0, supersample: int = 7, above: float = 0.05, points: int = 20_000) -> DataFrame:
     """Fit each event's window and compare with a flat baseline over the event region.
 
     ``windows`` holds the points of each event's fit window (t, flux, err, t_start, t_end): a few
     event durations, cut out in Spark beforehand.  The region is where the model rises above
-    ``above`` of its peak, or the detected interval.
+    ``above`` of its peak, or the detected interval.  Windows travel as arrays in order of time and
+    are fitted together, at most ``points`` padded points at once.
     """
     keys = list(keys)
-    types = dict(windows.dtypes)
-    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["fit_ok boolean"] + [f"{c} double" for c in FIT_COLUMNS] + ["n_region long"])
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t, f, e = (pdf[c].to_numpy(float) for c in ("t", "flux", "err"))
-        ok = np.isfinite(t) & np.isfinite(f) & np.isfinite(e) & (e > 0)
-        start, end = float(pdf["t_start"].iloc[0]), float(pdf["t_end"].iloc[0])
-        t, f, e = t[ok], f[ok], e[ok]
-        order = np.argsort(t, kind="stable")
-        t, f, e = t[order], f[order], e[order]
-        if len(t) < 6:
-            return pd.DataFrame([[*key, False, *[np.nan] * len(FIT_COLUMNS), 0]])
-        p, err = _bounded_fit(t, f, e, exposure, supersample)
-        m = _profile(t, p, exposure, supersample)
-        bump = m - p[4]
-        peak = bump[np.abs(bump).argmax()]
-        region = (bump / peak > above) if peak != 0 else np.zeros(len(t), bool)
-        region |= (t >= start) & (t <= end)
-        if region.sum() < 3:
-            region[:] = True
-        n, w = int(region.sum()), 1 / e[region] ** 2
-        chi_fit, chi_flat = float((w * (f - m)[region] ** 2).sum()), float((w * (f - p[4])[region] ** 2).sum())
-        values = [p[0], err[0], p[1], p[2], err[2], p[3], err[3], p[4], p[0] / err[0] if err[0] > 0 else np.nan, chi_fit / (n - 5) if n > 5 else np.nan,
-                  (chi_fit - chi_flat) + 4 * np.log(n), chi_flat - chi_fit]
-        return pd.DataFrame([[*key, True, *map(float, values), n]])
-
-    return windows.select(*keys, "t", "flux", "err", "t_start", "t_end").groupBy(*keys).applyInPandas(fit, schema)
+    point = F.struct(*[F.col(c).cast("double").alias(c) for c in ("t", "flux", "err")])
+    # Few bytes, but much work: adaptive execution would merge them into one task.
+    packed = spread(windows, *keys).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(point)).alias("_p"), F.min(F.col("t_start").cast("double")).alias("_s"), F.min(F.col("t_end").cast("double")).alias("_e"))
+    packed = packed.select(*keys, "_p.t", "_p.flux", "_p.err", "_s", "_e")
+    schema = StructType([packed.schema[k] for k in keys] + [StructField("fit_ok", BooleanType())] + [StructField(c, DoubleType()) for c in FIT_COLUMNS] + [StructField("n_region", LongType())])
+
+    def fit(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [[np.asarray(v, dtype=float) for v in batch.column(len(keys) + i).to_pylist()] for i in range(3)]
+            start, end = (batch.column(len(keys) + i).to_numpy(zero_copy_only=False) for i in (3, 4))
+            good = [np.isfinite(t) & np.isfinite(f) & np.isfinite(e) & (e > 0) for t, f, e in zip(*cols)]
+            sizes = np.array([g.sum() for g in good], dtype=int)
+            values, region = np.full((batch.num_rows, len(FIT_COLUMNS)), np.nan), np.zeros(batch.num_rows, dtype=np.int64)
+            by_size = np.argsort(sizes, kind="stable")
+            by_size = by_size[sizes[by_size] >= 6]
+            lo = 0
+            while lo < len(by_size):
+                hi = lo + 1
+                while hi < len(by_size) and (hi + 1 - lo) * sizes[by_size[hi]] <= points:
+                    hi += 1
+                at = by_size[lo:hi]
+                part, ok = np.zeros((3, len(at), sizes[at[-1]])), np.zeros((len(at), sizes[at[-1]]), dtype=bool)
+                for k, i in enumerate(at):
+                    ok[k, : sizes[i]] = True
+                    for c in range(3):
+                        part[c, k, : sizes[i]] = cols[c][i][good[i]]
+                        # Points that only fill a row repeat its last one.
+                        part[c, k, sizes[i] :] = part[c, k, sizes[i] - 1]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    values[at], region[at] = _fit_statistics(*part, ok, start[at], end[at], exposure, supersample, above)
+                lo = hi
+            arrays = [batch.column(i) for i in range(len(keys))] + [pa.array(sizes >= 6)] + [pa.array(v, from_pandas=True) for v in values.T] + [pa.array(region)]
+            yield pa.RecordBatch.from_arrays(arrays, schema.fieldNames())
+
+    return packed.mapInArrow(fit, schema)
 
 
 def busy_objects(events: DataFrame, keys: Sequence[str], max_events: int) -> DataFrame:
