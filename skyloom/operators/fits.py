@@ -171,16 +171,14 @@ def busy_objects(events: DataFrame, keys: Sequence[str], max_events: int) -> Dat
     return events.filter("flux_sign > 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_events")).filter(F.col("n_events") > max_events)
 
 
-def event_windows(events: DataFrame, lc: DataFrame, keys: Sequence[str], event: str, cadence: float, n_durations: float = 3.0, max_events: int | None = None) -> DataFrame:
-    """Light-curve points within ``n_durations`` around each positive event.
+def event_windows(events: DataFrame, lc: DataFrame, keys: Sequence[str], event: str, cadence: float, n_durations: float = 3.0) -> DataFrame:
+    """Light-curve points within ``n_durations`` around each positive event, of every object.
 
-    With ``max_events``, objects with more events are left out; ``busy_objects`` lists them.  Events
-    reach their points by equality on time blocks.
+    Events reach their points by equality on time blocks; ``busy_objects`` lists the objects that a
+    caller may want to leave out.
     """
     keys = list(keys)
     ev = events.filter("flux_sign > 0")
-    if max_events is not None:
-        ev = ev.join(busy_objects(events, keys, max_events), keys, "left_anti")
     dur = F.greatest(F.col("t_end") - F.col("t_start"), F.lit(cadence))
     mid = (F.col("t_start") + F.col("t_end")) / 2
     ev = ev.select(*keys, event, "t_start", "t_end", (mid - n_durations * dur / 2).alias("_lo"), (mid + n_durations * dur / 2).alias("_hi"))

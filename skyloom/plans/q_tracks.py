@@ -132,7 +132,7 @@ def p16(spark, sf):
 def p17(spark, sf):
     ev = lc_events(spark, sf).withColumns({"t_start": F.lit(60000.0) + F.col("frame_start") / 12, "t_end": F.lit(60000.0) + F.col("frame_end") / 12}).filter("frame_duration > 1")
     lc = light_curves(spark, sf).select("objid", F.col("mjd").alias("t"), "flux", F.lit(0.6).alias("err"))
-    win = Ft.event_windows(ev, lc, ["objid"], "eventid", 1 / 12, n_durations=5.0, max_events=40)
+    win = Ft.event_windows(ev, lc, ["objid"], "eventid", 1 / 12, n_durations=5.0)
     fit = Ft.fit_events(win, ["objid", "eventid"], exposure=1 / 12)
     return rounded(fit.select("objid", "eventid", "fit_ok", "delta_chi2", "n_region"), "delta_chi2", n=2)
 
