@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,12 +13,14 @@ from pyspark.sql import functions as F
 from skyloom.functions.angles import _c, mahalanobis, ra_difference, separation_arcsec
 from skyloom.functions.photometry import star_radius_px
 from skyloom.operators.components import density_groups
-from skyloom.operators.skew import OrderedScan, attach, best_per_key, group_stats, nulls_last, pooled_medians
+from skyloom.operators.skew import OrderedScan, attach, best_per_key, broadcast_if_small, group_stats, nulls_last, pooled_medians
 from skyloom.operators.spatial import any_within, box_candidates, cell, chord, euclid, nearest_within, pairs_within, unit_vector
 from skyloom.session import cut_lineage
 
-# Refinement factors of the closest approach: the finest grid that holds a hit of an object settles it.
-APPROACH_LEVELS = (1024, 128, 32, 8, 1)
+# Refinement factors of the closest approach: the least reach that surely holds a pair of an object settles it.
+# Cells are as wide as the first reach; those that may hold the approach are cut ``FINER`` times finer.
+APPROACH_LEVELS = (32, 8, 2, 1)
+FINER = 32
 
 SKIPPED_CLASSES = ["Asteroid", "CosmicRay", "Junk"]
 
@@ -155,22 +159,68 @@ def pooled_offset(det: DataFrame, pred: DataFrame, search_px: float = 5.0, min_p
     return both.select(*keys, "n_pairs", keep("offset_x"), keep("offset_y"))
 
 
+def _boxes(points: DataFrame, keys: Sequence[str], x: str, y: str, name: str) -> DataFrame:
+    """The least box around the points of each key: {name}x0, {name}x1, {name}y0, {name}y1."""
+    return points.groupBy(*keys).agg(*[f(c).alias(f"{name}{axis}{i}") for axis, c in (("x", x), ("y", y)) for i, f in enumerate((F.min, F.max))])
+
+
+def _box_distances(a: str, b: str) -> tuple[Column, Column]:
+    """(least, greatest) distance that points of two boxes can have, with room for rounding."""
+    near, far = [], []
+    for axis in "xy":
+        a0, a1, b0, b1 = (F.col(f"{n}{axis}{i}") for n in (a, b) for i in (0, 1))
+        near.append((F.greatest(F.lit(0.0), a0 - b1, b0 - a1), F.lit(0.0)))
+        far.append((F.greatest(a1 - b0, b1 - a0), F.lit(0.0)))
+    return euclid(near) * (1 - 1e-9), euclid(far) * (1 + 1e-9)
+
+
+def _closest_boxes(pairs: DataFrame, objid: str, cols: Sequence[str], within: float, settle: float) -> tuple[DataFrame, DataFrame]:
+    """(objects with a pair surely within ``settle``, their pairs of boxes that may hold the closest approach)."""
+    least, most = _box_distances("_a", "_b")
+    near = pairs.withColumns({"_least": least, "_most": most}).filter(F.col("_least") <= within)
+    sure = cut_lineage(near.groupBy(objid).agg(F.min("_most").alias("_sure")).filter(F.col("_sure") <= settle))
+    return sure, cut_lineage(near.join(broadcast_if_small(sure), objid).filter(F.col("_least") <= F.col("_sure")).select(*cols))
+
+
 def identify_moving(det: DataFrame, pred: DataFrame, offset: DataFrame | None = None, max_dist: float = 3.0, objid: str = "objid") -> DataFrame:
-    """Per object the closest approach of an offset-corrected prediction in a shared frame; all objects stay."""
+    """Per object the closest approach of an offset-corrected prediction in a shared frame; all objects stay.
+
+    Points are gathered in small cells.  The boxes around a cell's points tell which pairs of cells can hold an object's
+    closest approach; these are looked at again in smaller cells, and only what then stays compares points.
+    """
     off = offset if offset is not None else pooled_offset(det, pred)
+    side = max_dist / APPROACH_LEVELS[0]
+    known = lambda *cols: reduce(and_, [F.abs(F.col(c)) < float("inf") for c in cols])  # NULL and NaN are near nothing
+    cells = lambda x, y, a, b: {f"{a}x": cell(x, side), f"{a}y": cell(y, side), f"{b}x": cell(x, side / FINER), f"{b}y": cell(y, side / FINER)}
     moved = pred.crossJoin(F.broadcast(off.select("offset_x", "offset_y")))  # one row per unit
-    moved = moved.select("designation", "frame", (F.col("x") + F.col("offset_x")).alias("_px"), (F.col("y") + F.col("offset_y")).alias("_py"))
-    # Of predictions at one place and frame the first can win; an object with a hit on a fine grid asks no coarser one.
-    moved = moved.groupBy("frame", "_px", "_py").agg(F.min("designation").alias("designation"))
-    todo = det.select(objid, "frame", "xcentroid", "ycentroid").distinct()
-    best = None
+    moved = moved.select("designation", "frame", (F.col("x") + F.col("offset_x")).alias("_px"), (F.col("y") + F.col("offset_y")).alias("_py")).filter(known("_px", "_py"))
+    # Of predictions at one place and frame the first can win.  Sums in another order would move them, so they are kept.
+    moved = cut_lineage(moved.groupBy("frame", "_px", "_py").agg(F.min("designation").alias("designation"))).withColumns(cells("_px", "_py", "_q", "_s"))
+    points = det.select(objid, "frame", F.col("xcentroid").alias("_x"), F.col("ycentroid").alias("_y")).filter(known("_x", "_y")).withColumns(cells("_x", "_y", "_c", "_f"))
+    mine, theirs = [objid, "frame", "_cx", "_cy"], ["frame", "_qx", "_qy"]
+    todo, places, found = cut_lineage(_boxes(points, mine, "_x", "_y", "_a")), cut_lineage(_boxes(moved, theirs, "_px", "_py", "_b")), None
     for factor in APPROACH_LEVELS:
-        near = pairs_within(todo, moved, ["xcentroid", "ycentroid"], ["_px", "_py"], max_dist / factor, ["frame"], dist="_d")
-        hit = cut_lineage(near.groupBy(objid).agg(F.min("_d").alias("_d"), F.min_by(F.struct("designation", "frame"), F.struct("_d", "designation", "frame")).alias("_m")))
-        best = hit if best is None else best.unionByName(hit)
-        todo = todo.join(hit, objid, "left_anti")
+        reach, last = max_dist / factor, factor == APPROACH_LEVELS[-1]
+        # Blocks four times as wide as the reach copy a box to about two of them; a cell lies in the block of its lower corner.
+        wide, room = 4 * reach, reach * (1 + 1e-6)
+        lhs = todo.withColumns({f"_k{i}": cell(F.col(c) * side, wide) for i, c in enumerate(("_cx", "_cy"))})
+        rhs = places
+        for i, axis in enumerate("xy"):
+            rhs = rhs.withColumn(f"_k{i}", F.explode(F.sequence(cell(F.col(f"_b{axis}0") - room - 1.001 * side, wide), cell(F.col(f"_b{axis}1") + room, wide))))
+        # The planner takes exploded rows for as few as they came from and would broadcast them.
+        sure, hit = _closest_boxes(lhs.join(rhs.hint("merge"), ["frame", "_k0", "_k1"]), objid, [*mine, *theirs[1:]], reach, float("inf") if last else reach)
+        found = hit if found is None else found.unionByName(hit)
+        todo = todo.join(sure, objid, "left_anti")
         if todo.isEmpty():
             break
+    some = broadcast_if_small(found.select(*mine).distinct())
+    asked = broadcast_if_small(found.select(*theirs).distinct())
+    points, moved = cut_lineage(points.join(some, mine, "left_semi").distinct()), cut_lineage(moved.join(asked, theirs, "left_semi"))
+    inner = found.join(_boxes(points, [*mine, "_fx", "_fy"], "_x", "_y", "_a"), mine).join(_boxes(moved, [*theirs, "_sx", "_sy"], "_px", "_py", "_b"), theirs)
+    both = _closest_boxes(inner, objid, [*mine, *theirs[1:], "_fx", "_fy", "_sx", "_sy"], max_dist, float("inf"))[1]
+    near = both.join(points, [*mine, "_fx", "_fy"]).join(moved, [*theirs, "_sx", "_sy"])
+    near = near.withColumn("_d", euclid([(F.col("_x"), F.col("_px")), (F.col("_y"), F.col("_py"))])).filter(F.col("_d") <= max_dist)
+    best = near.groupBy(objid).agg(F.min("_d").alias("_d"), F.min_by(F.struct("designation", "frame"), F.struct("_d", "designation", "frame")).alias("_m"))
     return det.select(objid).distinct().join(best, objid, "left").select(
         objid, F.col("_m.designation").alias("designation"), F.col("_d").alias("dist_px"), F.col("_m.frame").alias("match_frame"))
 
