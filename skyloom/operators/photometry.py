@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.photometry import convert_flux
 from skyloom.operators.robust import MAD_TO_SIGMA, median_mad, sigma_clip
-from skyloom.operators.skew import attach, broadcast_if_small, exact_percentiles
+from skyloom.operators.skew import attach, attach_few, broadcast_if_small, exact_percentiles
 
 
 def offsets(radius: float, inner: float | None = None, square: bool = False) -> list[tuple[int, int]]:
@@ -273,7 +273,7 @@ def calibration_zeropoint(stars: DataFrame, keys: Sequence[str], mag: str, max_e
 
     keys = list(keys)
     good = stars.filter("flux > 0").withColumns({"zp_ab": F.col(mag) + 2.5 * F.log10("flux"), "e_zp": 1.0857 * F.col("e_flux") / F.col("flux"), "rp": F.col(mag)})
-    good = keep_good_errors(good, "e_zp", keys, max_err_factor)
+    good = keep_good_errors(good, "e_zp", keys, max_err_factor).select(*keys, "zp_ab", "rp")
     cur, zp = good, None
     for _ in range(rounds):
         new = cut_lineage(binned_zeropoint(cur, keys))
@@ -282,6 +282,7 @@ def calibration_zeropoint(stars: DataFrame, keys: Sequence[str], mag: str, max_e
             if step is None or step < tolerance:
                 return new.withColumn("converged", F.lit(True))
         zp = new
-        lim = attach(good, zp.select(*keys, F.col("zp_ab").alias("_z"), F.col("zp_scatter").alias("_s")), keys)
+        # A unit has many stars: its limits go to them, not they to it.
+        lim = attach_few(good, zp.select(*keys, F.col("zp_ab").alias("_z"), F.col("zp_scatter").alias("_s")), keys)
         cur = lim.filter(F.abs(F.col("zp_ab") - F.col("_z")) <= F.greatest(5 * F.col("_s"), F.lit(1e-6))).drop("_z", "_s")
     return zp.withColumn("converged", F.lit(False))

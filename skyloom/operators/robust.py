@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.numeric import c4
 from skyloom.functions.photometry import scale_to_zp, zp_to_scale
-from skyloom.operators.skew import OrderedScan, attach, exact_percentiles, largest_group
+from skyloom.operators.skew import OrderedScan, attach, broadcast_if_small, exact_percentiles, largest_group
 from skyloom.session import cut_lineage
 
 MAD_TO_SIGMA = 1.4826
@@ -233,14 +233,20 @@ def apparent_magnitude(df: DataFrame, key: str, zp: Column, min_sig: float = 3.0
     return exact_percentiles(good, [key], {"mag_measured": ("_mag", 0.5)})
 
 
-def zeropoint_summary(df: DataFrame, keys: Sequence[str], zp: str = "zp_ab") -> DataFrame:
-    """Median in linear flux space, scatter as scaled MAD in magnitudes, count."""
+def zeropoint_summary(df: DataFrame, keys: Sequence[str], zp: str = "zp_ab", also: Sequence[Column] = ()) -> DataFrame:
+    """Median in linear flux space, scatter as scaled MAD in magnitudes, count; ``also`` adds plain aggregates.
+
+    The rows are read for the counts and for each of the two medians; few keys are broadcast to them.
+    """
     keys = list(keys)
+    n = cut_lineage(df.groupBy(*keys).agg(F.count(zp).alias("n"), F.count(F.lit(1)).alias("_rows"), *also))
+    largest = n.agg(F.max("_rows")).first()[0] or 0
+    n = n.drop("_rows")
     lin = df.withColumn("_lin", zp_to_scale(zp))
-    med = exact_percentiles(lin, keys, {"_m": ("_lin", 0.5)}).withColumn("zp", scale_to_zp("_m")).drop("_m")
-    dev = _attach_any(df.select(*keys, zp), med, keys).withColumn("_dev", F.abs(F.col(zp) - F.col("zp")))
-    mad = exact_percentiles(dev, keys, {"_mad": ("_dev", 0.5)}).withColumn("scatter", F.col("_mad") * MAD_TO_SIGMA).drop("_mad")
-    n = df.groupBy(*keys).agg(F.count(zp).alias("n"))
+    med = cut_lineage(exact_percentiles(lin, keys, {"_m": ("_lin", 0.5)}, largest=largest).withColumn("zp", scale_to_zp("_m")).drop("_m"))
+    few = df.select(*keys, zp)
+    dev = (few.join(broadcast_if_small(med), keys, "left") if keys else few.crossJoin(F.broadcast(med))).withColumn("_dev", F.abs(F.col(zp) - F.col("zp")))
+    mad = exact_percentiles(dev, keys, {"_mad": ("_dev", 0.5)}, largest=largest).withColumn("scatter", F.col("_mad") * MAD_TO_SIGMA).drop("_mad")
     return med.join(mad, keys).join(n, keys) if keys else med.crossJoin(F.broadcast(mad)).crossJoin(F.broadcast(n))
 
 
@@ -284,17 +290,25 @@ def binned_zeropoint(df: DataFrame, keys: Sequence[str], zp: str = "zp_ab", mag:
     keys = list(keys)
     ok = df.filter(F.col(zp).isNotNull() & F.col(mag).isNotNull()).withColumn("_b", F.floor(F.col(mag) / width))
     part = [*keys, "_b"]
-    bins = zeropoint_summary(ok, part, zp).join(ok.groupBy(*part).agg(F.stddev_pop(zp).alias("_sd")), part)
+    bins = cut_lineage(zeropoint_summary(ok, part, zp, [F.stddev_pop(zp).alias("_sd")]))
+    stars = bins.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_stars"))
     bins = bins.withColumn("scatter", F.when(F.col("scatter") > 0, F.col("scatter")).otherwise(F.col("_sd")))
     bins = bins.filter((F.col("n") >= min_n) & (F.col("scatter") > 0))
     w = F.col("n") / (F.col("scatter") * F.col("scatter"))
     comb = bins.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_bins"), scale_to_zp(F.sum(w * zp_to_scale("zp")) / F.sum(w)).alias("_zp"), F.sqrt(1 / F.sum(w)).alias("_e"),
         (F.sum(w * F.col("scatter")) / F.sum(w)).alias("_s"))
-    glob = zeropoint_summary(ok, keys, zp).withColumnsRenamed({"zp": "_gzp", "scatter": "_gs", "n": "n_stars"})
-    both = glob.join(comb, keys, "left") if keys else glob.crossJoin(F.broadcast(comb))
-    use = (F.col("n_stars") >= min_n) & (F.coalesce("n_bins", F.lit(0)) >= 2)
-    ge = F.col("_gs") / F.sqrt(F.greatest("n_stars", F.lit(1)))
+    both = stars.join(comb, keys, "left") if keys else stars.crossJoin(F.broadcast(comb))
+    both = cut_lineage(both.withColumn("_use", (F.col("n_stars") >= min_n) & (F.coalesce("n_bins", F.lit(0)) >= 2)))
+    # Only units whose bins do not do need all their rows once more.
+    rest = both.filter(~F.col("_use"))
+    if rest.isEmpty():
+        both = both.withColumns({"_gzp": F.lit(None).cast("double"), "_gs": F.lit(None).cast("double")})
+    else:
+        rows = ok.join(broadcast_if_small(rest.select(*keys)), keys, "left_semi") if keys else ok
+        glob = zeropoint_summary(rows, keys, zp).drop("n").withColumnsRenamed({"zp": "_gzp", "scatter": "_gs"})
+        both = both.join(glob, keys, "left") if keys else both.crossJoin(F.broadcast(glob))
+    use, ge = F.col("_use"), F.col("_gs") / F.sqrt(F.greatest("n_stars", F.lit(1)))
     return both.select(*keys, F.when(use, F.col("_zp")).otherwise(F.col("_gzp")).alias("zp_ab"), F.when(use, F.col("_e")).otherwise(F.when(ge > 0, ge).otherwise(F.col("_gs"))).alias("e_zp_ab"),
                        F.when(use, F.col("_s")).otherwise(F.col("_gs")).alias("zp_scatter"), "n_stars")
 
